@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, secrets, shard
+from . import bpe, extract, knn, secrets, shard
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -26,6 +27,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
@@ -33,6 +42,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_sharding": op3_sharding,
+    "op4_knn": op4_knn,
+    "op9_extract": op9_extract,
     "op10_secrets": op10_secrets,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_knn": """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e
+    from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+    select q.vec_id as query_id, d.vec_id, cast(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])) as bigint) as score
+    from v q join v d on q.vec_id % 20 = 0 and q.vec_id <> d.vec_id
+), r as (
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+)
+select * from r where rank <= 20
+""",
+}
