@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, knn, secrets, shard
+from . import bpe, documents, extract, knn, lines, secrets, shard
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -31,6 +31,14 @@ def op4_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
+def op5_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.near_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=85)
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -43,6 +51,8 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_sharding": op3_sharding,
     "op4_knn": op4_knn,
+    "op5_near_documents": op5_near_documents,
+    "op7_lines": op7_lines,
     "op9_extract": op9_extract,
     "op10_secrets": op10_secrets,
 }
