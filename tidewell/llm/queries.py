@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, documents, extract, knn, lines, secrets, shard
+from . import bpe, documents, extract, knn, lines, passages, secrets, shard
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -35,6 +35,10 @@ def op5_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.near_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=85)
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_knn": op4_knn,
     "op5_near_documents": op5_near_documents,
+    "op6_passages": op6_passages,
     "op7_lines": op7_lines,
     "op9_extract": op9_extract,
     "op10_secrets": op10_secrets,
