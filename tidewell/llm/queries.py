@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, documents, extract, knn, lines, passages, secrets, shard
+from . import bpe, decon, documents, extract, knn, lines, passages, quality, secrets, shard
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -23,6 +23,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer())
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -43,6 +47,10 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decon.find_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -53,11 +61,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op4_knn": op4_knn,
     "op5_near_documents": op5_near_documents,
     "op6_passages": op6_passages,
     "op7_lines": op7_lines,
+    "op8_decontamination": op8_decontamination,
     "op9_extract": op9_extract,
     "op10_secrets": op10_secrets,
 }
