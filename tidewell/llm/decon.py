@@ -160,6 +160,15 @@ def marked(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int64())), pa.array(map(len, held), pa.int64())], ["doc_id", "item_ids", "n_items"])
 
 
+def parts(benchmark: DataFrame) -> Iterator[Items]:
+    """The benchmark in parts of up to about ITEM_WORDS words, one at least."""
+    rows = benchmark.select("item_id", "text").where("length(text) > 0")
+    size = rows.agg(F.coalesce(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+"))), F.lit(0))).first()[0]
+    n = max(1, -(-size // ITEM_WORDS))
+    for part in range(n):
+        yield Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == part).collect()])
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_ids, n_items and contaminated for every document.
 
@@ -171,15 +180,24 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The benchmark goes to all tasks in parts of up to ITEM_WORDS words; documents are not shuffled.
     """
-    rows = benchmark.select("item_id", "text").where("length(text) > 0")
-    size = rows.agg(F.coalesce(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+"))), F.lit(0))).first()[0]
-    parts = max(1, -(-size // ITEM_WORDS))
-    out = None
-    for part in range(parts):
-        items = Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()])
+    out, n = None, 0
+    for items in parts(benchmark):
         one = docs.select("doc_id", "text").mapInArrow(lambda b, items=items: marked(b, items), SCHEMA)
-        out = one if out is None else out.unionByName(one)
-    if parts > 1:
+        out, n = one if out is None else out.unionByName(one), n + 1
+    if n > 1:
         # Rows alike in id are one here, as no column tells them apart.
         out = out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.sum("n_items").alias("n_items"))
     return out.withColumn("contaminated", F.col("n_items") > 0)
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, that hold no item."""
+    for items in parts(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = next(marked(iter([batch.select(["doc_id", "text"])]), items)).column("n_items").to_numpy()
+                yield batch.filter(pa.array(n == 0))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

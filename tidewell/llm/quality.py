@@ -178,3 +178,15 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     out = docs.select("doc_id", "text").mapInArrow(lambda b: scored(b, model), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text is predicted to be good."""
+    model = train(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = next(scored(iter([batch.select(["doc_id", "text"])]), model)).column("score").to_numpy()
+            yield batch.filter(pa.array(score >= GOOD))
+
+    return docs.mapInArrow(run, docs.schema)

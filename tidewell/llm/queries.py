@@ -59,7 +59,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
