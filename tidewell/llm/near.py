@@ -8,6 +8,7 @@ tells a spanning forest of its links. The components of those links are the clas
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -24,11 +25,14 @@ SKETCH_BITS, DEVIATIONS = 256, 5.0
 GROUP_BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES = 512, 512, 400_000
 #: Columns of the 0/1 matrices that are multiplied at once.
 COLUMNS = 8192
+#: Shingles that are permuted at once.
+SLICE = 1 << 18
 #: Rows that are sent to all tasks at most; beyond that both sides are shuffled.
 MOST_SENT = 1_000_000
 EDGE = "src long, dst long"
 
 
+@functools.cache
 def permutations(n: int) -> list[tuple[np.uint32, np.uint32]]:
     """Fixed odd multipliers and masks: bijections of 32-bit values."""
     draw = np.random.default_rng(977).integers(0, 1 << 32, (n, 2), dtype=np.uint64)
@@ -39,8 +43,17 @@ def min_hashes(shingle: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
     """n by sets: the least of n permutations of the 32 upper bits, over the shingles from each start to the next; no set is empty."""
     x = (shingle >> np.uint64(32)).astype(np.uint32)
     out = np.empty((n, len(start)), np.uint32)
-    for i, (a, b) in enumerate(permutations(n)):
-        np.minimum.reduceat((x ^ b) * a, start, out=out[i])
+    edge = np.append(start, len(x))
+    # Whole sets of about SLICE shingles at a time, which stay in the cache for all permutations.
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, len(x) + SLICE, SLICE)), len(start)))
+    room = np.empty((edge[cuts[1:]] - edge[cuts[:-1]]).max(initial=0), np.uint32)
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own, at = x[edge[s] : edge[e]], start[s:e] - start[s]
+        h = room[: len(own)]
+        for i, (a, b) in enumerate(permutations(n)):
+            np.bitwise_xor(own, b, out=h)
+            np.multiply(h, a, out=h)
+            np.minimum.reduceat(h, at, out=out[i, s:e])
     return out
 
 
@@ -165,7 +178,7 @@ def links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
             at = 0
             while at < len(item):
                 lo, hi = np.searchsorted(code, (at, at + COLUMNS))
-                dense = np.zeros((len(sets), COLUMNS), np.float32)
+                dense = np.zeros((len(sets), min(COLUMNS, len(item) - at)), np.float32)
                 dense[owner[lo:hi], code[lo:hi] - at] = 1
                 both += dense[rows] @ dense[cols].T
                 at += COLUMNS
