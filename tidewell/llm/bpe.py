@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import bounded
+
 #: Parts up to which a scan for the smallest rank is cheaper than a heap.
 SHORT = 96
 #: Words that a worker remembers before it begins anew, and the longest that it remembers.
@@ -182,7 +184,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
     One pass without a shuffle. A null text is an empty one: no tokens, digests of nothing. doc_id may be null or
     repeated: each row gives one row. Other columns of `docs` are not read.
     """
-    return docs.select("doc_id", "text").mapInArrow(lambda b: encoded(b, path, keep_ids), SCHEMA + (", ids array<int>" if keep_ids else ""))
+    return bounded(docs).select("doc_id", "text").mapInArrow(lambda b: encoded(b, path, keep_ids), SCHEMA + (", ids array<int>" if keep_ids else ""))
 
 
 def decode_documents(rows: DataFrame, path: str) -> DataFrame:

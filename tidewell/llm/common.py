@@ -12,7 +12,9 @@ MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
-PASS_BYTES = 2_000_000
+PASS_BYTES = 1_000_000
+#: Rows that Python takes from Spark at once.
+BATCH_ROWS = 1000
 
 #: UTF-8 bytes 0x20 and 0x09-0x0D end a word.
 SPACE = np.zeros(256, bool)
@@ -33,6 +35,13 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded(frame: DataFrame) -> DataFrame:
+    """The same rows; from now on the session sends rows to Python few at a time, as texts may be long."""
+    conf = frame.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(BATCH_ROWS, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or BATCH_ROWS))
+    return frame
+
+
 def staged(frame: DataFrame, label: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts the lineage, and outlives executors."""
     spark = frame.sparkSession

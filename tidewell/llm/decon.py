@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER, MASK, mixed, passes, words
+from .common import BASE, LOWER, MASK, bounded, mixed, passes, words
 
 #: Edits for each word of an item, rounded down.
 EDITS = 0.2
@@ -180,6 +180,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The benchmark goes to all tasks in parts of up to ITEM_WORDS words; documents are not shuffled.
     """
+    docs = bounded(docs)
     out, n = None, 0
     for items in parts(benchmark):
         one = docs.select("doc_id", "text").mapInArrow(lambda b, items=items: marked(b, items), SCHEMA)
@@ -192,6 +193,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, that hold no item."""
+    docs = bounded(docs)
     for items in parts(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, passes, shingles, staged
+from .common import bounded, mixed, passes, shingles, staged
 from .near import band_keys, classes, min_hashes, odd_sketch, sent
 
 #: Bands and rows: a pair at the threshold shares no band with a chance under 1 in a million (0.85: 25 of 5, 0.8: 28 of 4).
@@ -61,7 +61,7 @@ def near_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     treated alike. No rows give no rows. Other columns of `docs` are not read.
     """
     bands, rows = BANDS[percent]
-    table = docs.select("doc_id", "text")
+    table = bounded(docs).select("doc_id", "text")
     marks = staged(table.mapInArrow(lambda b: signed(b, width, bands, rows), SIGNED), "document-marks")
     nodes = staged(
         marks.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded
+
 #: Fixed values of the HTML standard: elements by their content and by the end tags that they imply.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -212,4 +214,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     A null or empty page, and one without article text, has an empty text. A page that breaks off is read as far as it
     goes. page_id and url may be null or repeated: each row gives one row. Other columns of `pages` are not read.
     """
-    return pages.select("page_id", "url", "html").mapInArrow(extracted, SCHEMA)
+    return bounded(pages).select("page_id", "url", "html").mapInArrow(extracted, SCHEMA)

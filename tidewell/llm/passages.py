@@ -1,7 +1,7 @@
 """Repeated passages by sorted suffixes: every byte of a 50-byte string that an earlier document has too.
 
-Of all suffixes, those are taken whose leading 16 bytes have the least hash in some window of LENGTH bytes: two equal
-windows choose the same one, so no repeat is missed, and one suffix in 18 is kept. With each goes the stretch of
+Of all suffixes, those are taken whose leading 20 bytes have the least hash in some window of LENGTH bytes: two equal
+windows choose the same one, so no repeat is missed, and one suffix in 16 is kept. With each goes the stretch of
 windows that chose it. Sampled splitters deal the suffixes into ranges by their leading tokens; each range is sorted
 by several keys in turn (leading token, stretch, document), which brings equal stretches together. Equal leading
 tokens never lie in two ranges. Suffixes that share a token but not the stretch are compared window by window.
@@ -17,19 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, powers, prefix_hash, span_hash, staged
+from .common import bounded, mixed, powers, prefix_hash, span_hash, staged
 from .near import grouped, sent, starts
 
 #: Bytes of a repeated string, of a leading token, and windows that a suffix may stand for.
-LENGTH, TOKEN = 50, 16
+LENGTH, TOKEN = 50, 20
 REACH = LENGTH - TOKEN + 1
 #: Bytes of text in a numpy pass; longer texts are cut, with LENGTH - 1 bytes in both pieces.
-PIECE = 2_000_000
+PIECE = 1_000_000
 #: Bytes of text for a range of suffixes, suffixes sampled for each splitter, and suffixes that a task holds back to send together.
 RANGE_BYTES, SAMPLED, HELD = 8_000_000, 64, 400_000
 #: A leading token with more stretches than this is dealt by windows instead.
 MANY = 20_000
-#: Packed bytes up to which lists of places are sent to all tasks.
+#: Packed bytes up to which removed runs are sent to all tasks.
 MOST_BYTES = 64_000_000
 FOUND = "open boolean, token long, doc long, version int, at int, windows int"
 
@@ -286,7 +286,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     doc_id are told apart by their texts and take nothing from each other. No rows give no rows. Other columns of
     `docs` are not read.
     """
-    table = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).withColumn("version", F.expr("cast(hash & 65535 as int)"))
+    table = bounded(docs).select("doc_id", "text", F.xxhash64("text").alias("hash")).withColumn("version", F.expr("cast(hash & 65535 as int)"))
     known = table.where("doc_id is not null and octet_length(text) >= 50")
     copies = staged(known.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first"), "passage-copies")
     n_copies = copies.count()
@@ -307,8 +307,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     opened = found.where("open")
     hot = np.array([r[0] for r in opened.groupBy("token").count().where(F.col("count") > MANY).select("token").collect()], np.int64)
     listed = staged(opened.select("doc", "version", "token", "at", "windows").repartition("doc", "version").sortWithinPartitions("doc", "version").mapInArrow(places, "doc_id long, version int, places binary"), "passage-places")
-    bytes_ = listed.agg(F.coalesce(F.sum(F.octet_length("places") + 40), F.lit(0))).first()[0]
-    listed = F.broadcast(listed) if bytes_ <= MOST_BYTES else listed
     pieces = heads.join(listed, ["doc_id", "version"]).select("doc_id", "version", "text", "places").mapInArrow(lambda b: stretches(b, hot), "key long, doc long, version int, at int, content binary")
     runs = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(windows_again, "doc long, version int, at int, windows int")
 

@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, passes, words
+from .common import SPACE, bounded, passes, words
 
 #: Words in a passage.
 PASSAGE = 64
 #: Bound of the sample that is learned from: labelled documents of each class, and passages of each (spread over the text). Scoring reads all passages.
 SAMPLE, SAMPLE_PASSAGES = 4000, 48
 #: Sizes of the code and of the attention, steps over the whole sample and their length, and decay of weights.
-CODE, GATE, STEPS, STEP, DECAY = 16, 8, 300, 0.01, 1e-4
+CODE, GATE, STEPS, STEP, DECAY = 16, 8, 150, 0.02, 1e-4
 #: From this score on a document is predicted to be good.
 GOOD = 0.3
 
@@ -175,14 +175,14 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null text is an empty one: it has a score like any text. A null doc_id is not held out. Without any labels all
     scores are 0.5. Repeated rows are rows of their own; no rows give no rows. Other columns are not read.
     """
-    model = train(docs, labels)
+    model = train(bounded(docs), labels)
     out = docs.select("doc_id", "text").mapInArrow(lambda b: scored(b, model), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, whose text is predicted to be good."""
-    model = train(docs, labels)
+    model = train(bounded(docs), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded, staged
 
 #: The patterns of the three base kinds, and the lengths below which a match fails.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -154,7 +154,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     Offsets are code points, the end exclusive. A null or empty text has no spans. doc_id may be null or repeated: each
     row gives one row. Other columns of `docs` are not read.
     """
-    spans = staged(docs.select("doc_id", "text").mapInArrow(found, SCHEMA), "secrets")
+    spans = staged(bounded(docs).select("doc_id", "text").mapInArrow(found, SCHEMA), "secrets")
     runs = spans.select(F.explode("maybe").alias("m")).groupBy("m.length", "m.depth").count()
     passed = discoveries([tuple(r) for r in runs.collect()], spans.count())
     keep = lambda m: m["depth"] >= _least(m["length"], passed)
