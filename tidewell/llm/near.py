@@ -154,17 +154,31 @@ def close_pairs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(node[root[other]]), pa.array(node[other])], ["src", "dst"])
 
 
-def links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def hashes(items: list[bytes]) -> list[np.ndarray]:
+    """Sets that were packed as sorted 64-bit hashes."""
+    return [np.frombuffer(x, np.uint64) for x in items]
+
+
+def links(batches: Iterator[pa.RecordBatch], percent: int, sets_of: Callable[[list[bytes]], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Spanning forests of the links in (family, i, j): pairs with 100 * intersection >= percent * union, on full sets."""
     names = ["family", "i", "j"]
     for table in grouped(batches, names):
         edge = starts(table, names)
+        every = sets_of(table.column("items").to_pylist())
+        nodes, sides = table.column("node").to_numpy(), table.column("side").to_numpy()
+        pairs = []
         for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if e - s < 2:
                 continue
-            t = table.slice(s, e - s)
-            node, side = t.column("node").to_numpy(), t.column("side").to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
+            node, side, sets = nodes[s:e], sides[s:e], every[s:e]
+            if e - s == 2:
+                if side[0] == 3 or side[0] != side[1]:
+                    both = np.concatenate(sets)
+                    both.sort(kind="stable")
+                    n = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if 100 * n >= percent * (len(both) - n):
+                        pairs.append(s)
+                continue
             rows = np.flatnonzero(side != 2)
             cols = np.flatnonzero(side != 1)
             if not len(rows) or not len(cols):
@@ -187,6 +201,8 @@ def links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
             root = roots(len(node), rows[a], cols[b])
             other = np.flatnonzero(root != np.arange(len(node)))
             yield pa.RecordBatch.from_arrays([pa.array(node[root[other]]), pa.array(node[other])], ["src", "dst"])
+        at = np.array(pairs, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[at + 1])], ["src", "dst"])
 
 
 def blocked(rows: DataFrame, key: list[str], blocks) -> DataFrame:
@@ -239,11 +255,11 @@ def families(nodes: DataFrame, percent: int, samples: int) -> DataFrame:
     return components(stars).withColumnRenamed("root", "family")
 
 
-def classes(nodes: DataFrame, percent: int, samples: int, full_sets: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def classes(nodes: DataFrame, percent: int, samples: int, full_sets: Callable[[DataFrame, int], DataFrame], sets_of: Callable[[list[bytes]], list[np.ndarray]] = hashes) -> DataFrame:
     """node and root of the nodes that have links with 100 * intersection >= percent * union.
 
-    nodes: node, bands, sketch, size (of the set); full_sets(members, rows) gives node and items (binary, sorted
-    64-bit shingles), one row a node, for the members' nodes.
+    nodes: node, bands, sketch, size (of the set); full_sets(members, rows) gives node and items (binary) for the
+    members' nodes, and sets_of makes sorted 64-bit shingles of items.
     """
     found = families(nodes.select("node", "bands", "sketch"), percent, samples)
     sized = staged(found.join(nodes.select("node", "size"), "node"), "families")
@@ -251,6 +267,6 @@ def classes(nodes: DataFrame, percent: int, samples: int, full_sets: Callable[[D
     family = sized.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("s")).select("family", F.greatest(F.ceil(F.col("n") / FAMILY_BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).alias("pieces"))
     pieces = staged(sized.select("node", "family").join(sent(family, n), "family"), "pieces")
     rows = blocked(full_sets(sized.select("node"), n).join(sent(pieces, n), "node"), ["family"], F.col("pieces")).select("family", "i", "j", "side", "node", "items")
-    edges = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(lambda b: links(b, percent), EDGE)
+    edges = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(lambda b: links(b, percent, sets_of), EDGE)
     return components(edges)
 
