@@ -1,0 +1,73 @@
+"""Document files: discovery, path rules, decoding, parsing."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+#: Suffixes by the parser that reads them.
+MARKDOWN, PLAIN = (".md", ".markdown"), (".txt",)
+#: Fields of front matter that are indexed.
+FIELDS = ("title", "description", "summary", "author", "category", "type")
+
+
+def _any(path: Column, globs: list[str]) -> Column:
+    out = F.lit(False)
+    for g in globs:
+        out = out | path.rlike(T.glob_pattern(g))
+    return out
+
+
+def accepted(path: Column, include: list[str], exclude: list[str], hidden: bool = False) -> Column:
+    """Whether a path, relative to its root, is to be read: an exclusion wins, and hidden parts leave it out unless wanted."""
+    path = F.replace(path, F.lit("\\"), F.lit("/"))
+    out = ~_any(path, exclude)
+    if include:
+        out = out & _any(path, include)
+    return out if hidden else out & ~T.hidden(path)
+
+
+def discover(spark: SparkSession, roots: list[str], include: list[str] | None = None, exclude: list[str] | None = None, hidden: bool = False) -> DataFrame:
+    """path, root, file_path, modified_time, size and content of the files under the roots, each once.
+
+    Content is read only if it is asked for. A file under several roots belongs to the deepest."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).dropDuplicates(["path"])
+    bare = F.regexp_replace("path", "^file:/+", "/")
+    root = F.lit(None).cast("string")
+    for r in sorted((r.rstrip("/") for r in roots), key=len):
+        root = F.when(F.startswith(bare, F.lit(r + "/")), F.lit(r)).otherwise(root)
+    files = files.select(bare.alias("path"), root.alias("root"), F.col("modificationTime").alias("modified_time"), F.col("length").alias("size"), "content")
+    files = files.withColumn("file_path", F.when(F.col("root").isNotNull(), F.substring("path", F.length("root") + 2, F.length("path"))).otherwise(F.col("path")))
+    return files.where(accepted(F.col("file_path"), include or [], exclude or [], hidden))
+
+
+def parser_of(path: Column) -> Column:
+    s = T.suffix(path)
+    return F.when(s.isin(*MARKDOWN), "markdown").when(s.isin(*PLAIN), "plain")
+
+
+def failed(files: DataFrame) -> DataFrame:
+    """path and error of files that no parser reads."""
+    return files.where(parser_of(F.col("path")).isNull()).select("path", F.concat(F.lit("no parser for "), T.suffix(F.col("path"))).alias("error"))
+
+
+def parse(files: DataFrame) -> DataFrame:
+    """Documents of Markdown and plain-text files: doc_id (the relative path without suffix), content, metadata, links,
+    tags, transclusions and aliases."""
+    rows = files.withColumn("parser", parser_of(F.col("path"))).where("parser is not null").withColumn("raw", T.decoded(F.col("content")))
+    md = F.col("parser") == "markdown"
+    matter = F.when(md, T.front_matter(F.col("raw"))).otherwise("")
+    content = F.when(md, T.body(F.col("raw"))).otherwise(F.col("raw"))
+    rows = rows.withColumn("matter", matter).withColumn("body", content).withColumn("plain", F.when(md, T.without_code(F.col("body"))))
+    none = F.array().cast("array<string>")
+    fields = F.map_filter(F.create_map(*[x for f in FIELDS for x in (F.lit(f), T.front_value(F.col("matter"), f))]), lambda _, v: v.isNotNull())
+    links = F.when(md, F.array_union(T.wikilinks(F.col("plain")), T.front_list(F.col("matter"), "related"))).otherwise(none)
+    tags = F.when(md, F.array_sort(F.array_distinct(F.concat(T.front_list(F.col("matter"), "tags"), T.inline_tags(F.col("plain")))))).otherwise(none)
+    latin = ~F.is_valid_utf8(F.col("content").cast("string"))
+    metadata = F.map_concat(fields, F.map_filter(F.create_map(F.lit("encoding"), F.when(latin, "latin-1")), lambda _, v: v.isNotNull()))
+    return rows.select(
+        T.without_suffix(F.col("file_path")).alias("doc_id"), F.col("body").alias("content"), metadata.alias("metadata"), links.alias("links"), tags.alias("tags"),
+        F.when(md, T.transclusions(F.col("plain"))).otherwise(none).alias("transclusions"), T.front_list(F.col("matter"), "aliases").alias("aliases"), T.front_list(F.col("matter"), "keywords").alias("keywords"), "file_path", "root", "modified_time",
+    )
