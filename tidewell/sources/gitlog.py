@@ -1,7 +1,8 @@
 """Commits of Git repositories as a data source: spark.read.format("gitlog").option("repos", ...).
 
 One partition a repository; `since` (seconds) leaves out older commits. Rows come oldest first, so a cursor saved in
-the middle of a run never skips any. As a stream, offsets are the seconds of the newest commit read.
+the middle of a run never skips any. As a stream, an offset holds the seconds of the newest commit read and the
+commits of that time.
 """
 
 from __future__ import annotations
@@ -70,15 +71,20 @@ class _Stream(SimpleDataSourceStreamReader):
         self.repos, self.since = json.loads(options["repos"]), int(options.get("since", 0))
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"cursor": self.since}
+        return {"cursor": self.since, "seen": []}
+
+    def _new(self, start: dict) -> list[tuple]:
+        # A second is read again, as a commit may come with the second of the last one; `seen` are those told before.
+        return [c for r in self.repos for c in commits(r, max(0, start["cursor"] - 1)) if c[1] not in start["seen"]]
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        # A second is read again: a commit may come with the second of the last one.
-        rows = [c for r in self.repos for c in commits(r, max(0, start["cursor"] - 1))]
-        return iter(rows), {"cursor": max([start["cursor"], *(c[2] for c in rows)])}
+        rows = self._new(start)
+        cursor = max([start["cursor"], *(c[2] for c in rows)])
+        seen = sorted({c[1] for r in self.repos for c in commits(r, max(0, cursor - 1))})
+        return iter(rows), {"cursor": cursor, "seen": seen} if rows else start
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter([c for r in self.repos for c in commits(r, max(0, start["cursor"] - 1)) if c[2] <= end["cursor"]])
+        return iter([c for c in self._new(start) if c[2] < end["cursor"] - 1 or c[1] in end["seen"]])
 
 
 class GitLog(DataSource):
