@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 
 import numpy as np
@@ -24,15 +26,14 @@ _BYTE = np.random.default_rng(20240607).integers(1, MASK, 256, dtype=np.uint64)
 _powers = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
 
+@functools.cache
+def _own() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of this process where it is unset, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own()).rstrip("/")
 
 
 def bounded(frame: DataFrame) -> DataFrame:
