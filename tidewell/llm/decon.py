@@ -23,8 +23,8 @@ EDITS = 0.2
 WALKS, SAMPLES, PLACES = 8, 8, 2
 #: Words of items that a task works with at once; more items take more passes over the texts.
 ITEM_WORDS = 2_000_000
-#: Windows that are embedded at once.
-BLOCK = 20_000
+#: Places whose windows are embedded at once.
+BLOCK = 2_000
 SCHEMA = "doc_id long, item_ids array<long>, n_items long"
 
 
@@ -35,22 +35,26 @@ def gram(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(sum((h[i : len(h) - n + 1 + i] * np.uint64(pow(BASE, 3 * i + 1, 1 << 64)) for i in range(n)), np.uint64(0)))
 
 
-def walk(sequences: np.ndarray, seed: int) -> np.ndarray:
+def walk(sequences: np.ndarray, seed: int, steps: int | None = None) -> np.ndarray:
     """CGK embeddings of rows of words: three letters for each word; the walk steps on by a bit of the word and the step. Past the end stand zeros."""
     rows, n = sequences.shape
     padded = np.concatenate((sequences, np.zeros((rows, 1), np.uint64)), 1)
     at, line = np.zeros(rows, np.int64), np.arange(rows)
-    out = np.empty((rows, 3 * n), np.uint64)
-    for j in range(3 * n):
+    out = np.empty((rows, steps or 3 * n), np.uint64)
+    for j in range(out.shape[1]):
         out[:, j] = letter = padded[line, at]
         turn = mixed(letter ^ np.uint64((seed * 1_000_003 + j) * BASE & MASK)) >> np.uint64(63)
         at = np.minimum(at + turn.astype(np.int64), n)
     return out
 
 
+def half(n: int) -> int:
+    return max(1, 3 * n // 2)
+
+
 def sampled_places(n: int, seed: int) -> np.ndarray:
     """SAMPLES by PLACES places of an embedding of n words; only the first half of the walk, which stays inside the words."""
-    return np.random.default_rng((seed, n)).integers(0, max(1, 3 * n // 2), (SAMPLES, PLACES))
+    return np.random.default_rng((seed, n)).integers(0, half(n), (SAMPLES, PLACES))
 
 
 def edit_distance(a: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -78,7 +82,7 @@ class Items:
         self.sizes = sorted(found)
         self.ids = {n: [i for i, _ in x] for n, x in found.items()}
         self.words = {n: np.stack([h for _, h in x]) for n, x in found.items()}
-        self.samples = {n: [walk(w, s)[:, sampled_places(n, s)] for s in range(WALKS)] for n, w in self.words.items()}
+        self.samples = {n: [walk(w, s, half(n))[:, sampled_places(n, s)] for s in range(WALKS)] for n, w in self.words.items()}
         segments: dict[int, list[tuple[int, int, int, int]]] = {}
         for n, w in self.words.items():
             length = n // (int(EDITS * n) + 1)
@@ -129,18 +133,16 @@ def confirmed(h: np.ndarray, count: np.ndarray, hits: np.ndarray, size: int, ite
     at = start[:, None] + np.arange(-2 * edits, size + 2 * edits)
     region = np.where((at >= low[:, None]) & (at < high[:, None]), h[np.clip(at, 0, len(h) - 1)], np.uint64(0))
     agreed = np.zeros(len(hits), bool)
-    for shift in sorted(range(-edits, edits + 1), key=abs):
+    shifts = 2 * edits + 1
+    for s in range(WALKS):
         rest = np.flatnonzero(~agreed)
         if not len(rest):
             break
-        window = region[rest, 2 * edits + shift : 2 * edits + shift + size]
-        for s in range(WALKS):
-            left = ~agreed[rest]
-            if not left.any():
-                break
-            sample = walk(window[left], s)[:, sampled_places(size, s)]
-            same = (sample == items.samples[size][s][row[rest[left]]]).all(2).any(1)
-            agreed[rest[left][same]] = True
+        # The windows at all shifts of a hit, one after another.
+        window = np.lib.stride_tricks.sliding_window_view(region[rest, edits : size + 3 * edits], size, axis=1).reshape(-1, size)
+        sample = walk(window, s, half(size))[:, sampled_places(size, s)]
+        same = (sample == np.repeat(items.samples[size][s][row[rest]], shifts, axis=0)).all(2).any(1)
+        agreed[rest[same.reshape(-1, shifts).any(1)]] = True
     out = set()
     for r in np.unique(row[agreed]).tolist():
         own = np.flatnonzero(agreed & (row == r))
