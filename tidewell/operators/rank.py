@@ -164,3 +164,19 @@ def ranking_metrics(ranked_rows: DataFrame, judged: DataFrame, query_key: str, k
         *[zero(F.col(f"h{k}") / F.col("n")).alias(f"recall_at_{k}") for k in (1, 3, 5)],
         *[zero(F.col(f"g{k}") / ideal(k)).alias(f"ndcg_at_{k}") for k in (3, 5)],
     )
+
+
+def compressed(hits: DataFrame, query_key: str, key: str, text: str, document: str, floor: float, ngram: float | None = 0.7, per_document: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(results, counts by query): floor, exact copies, n-gram copies, limit by document, each with what it left."""
+    order = [F.desc("score"), key]
+    above = hits.where(F.col("score") >= floor)
+    unlike = first_of(above.withColumn("_md5", F.md5(text)), [query_key, "_md5"], order).drop("_md5")
+    apart = unlike if ngram is None else unlike.join(ngram_dedup(unlike, query_key, key, text, ngram).select(query_key, key), [query_key, key], "left_semi")
+    out = first_of(apart, [query_key, document], order, per_document)
+    steps = {"original": hits, "after_threshold": above, "after_content_dedup": unlike, "after_ngram_dedup": apart, "after_doc_limit": out}
+    counts = None
+    for name, frame in steps.items():
+        one = frame.select(query_key, F.lit(name).alias("step"))
+        counts = one if counts is None else counts.unionByName(one)
+    stats = counts.groupBy(query_key).pivot("step", list(steps)).count().na.fill(0)
+    return out, stats.withColumn("clusters_merged", F.col("after_threshold") - F.col("after_ngram_dedup"))

@@ -34,13 +34,18 @@ def lengths(posted: DataFrame, key: str) -> DataFrame:
     return posted.groupBy(key).agg(F.sum("tf").alias("length"))
 
 
-def bm25(posted: DataFrame, key: str, queries: DataFrame, query_key: str) -> DataFrame:
+def text_lengths(rows: DataFrame, key: str, text: str, tokens=words) -> DataFrame:
+    """As `lengths`, from texts at hand: no shuffle. Keys are unique; texts without words are left out."""
+    return rows.select(key, F.size(tokens(F.col(text))).cast("long").alias("length")).where("length > 0")
+
+
+def bm25(posted: DataFrame, key: str, queries: DataFrame, query_key: str, size: DataFrame | None = None) -> DataFrame:
     """query_key, key and score for all rows that share a term with a query.
 
-    queries: query_key and term, each term once a query. Only postings of query terms are shuffled to the scores;
+    queries: query_key and term, each term once a query; size: key and length, if they are known. Only postings of query terms are shuffled to the scores;
     number, mean length and document frequencies are exact. A row in no posting has no length and counts nowhere.
     """
-    size = lengths(posted, key)
+    size = lengths(posted, key) if size is None else size
     total = size.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     held = posted.join(queries.select("term").distinct(), "term", "left_semi")
     df = held.groupBy("term").agg(F.count("*").alias("df"))

@@ -150,3 +150,18 @@ def fetch_limit(n: int, projects: bool, most: int = 100) -> int:
 
 def tokens_of(chars: int) -> int:
     return max(1, math.ceil(chars / 3))
+
+
+def remaining(found: DataFrame, done: DataFrame, path: str) -> DataFrame:
+    """Files to do after a break: those not in the checkpoint with the same time and size."""
+    return found.join(done.select(path, "modified_time", "size"), [path, "modified_time", "size"], "left_anti")
+
+
+def migrated(vectors: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """Counts that a change of model is judged by: rows of the old one, of the new, missing and of mixed size; `whole` if all are there."""
+    have = fresh.select(key, F.size("embedding").alias("s"))
+    n = have.agg(F.count("*").alias("new"), F.count_distinct("s").alias("sizes"))
+    lost = vectors.select(key).join(have.select(key), key, "left_anti").agg(F.count("*").alias("missing"))
+    # one row each
+    counts = vectors.agg(F.count("*").alias("old")).join(F.broadcast(n)).join(F.broadcast(lost))
+    return counts.withColumn("whole", (F.col("missing") == 0) & (F.col("sizes") <= 1))

@@ -92,3 +92,13 @@ def dense_positions(spark, folder):
     """Positions from 1 without gaps after a filter."""
     rows = table(spark, folder, "orders").where("o_totalprice > 100000")
     return rows.select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rank"))
+
+
+@query(f"""with {scores_sql()}, {KEYWORD}, h as (select item_id, k.doc_id, k.score, source, text from k join documents using (doc_id) where rank <= 20), f1 as (select * from h where score >= 5),
+f2 as (select * from f1 qualify row_number() over (partition by item_id, md5(text) order by score desc, doc_id) = 1), f3 as (select * from f2 qualify row_number() over (partition by item_id, source order by score desc, doc_id) = 1)
+select item_id, count(*) as original, (select count(*) from f1 where f1.item_id = h.item_id) as after_threshold, (select count(*) from f2 where f2.item_id = h.item_id) as after_content_dedup, (select count(*) from f2 where f2.item_id = h.item_id) as after_ngram_dedup,
+(select count(*) from f3 where f3.item_id = h.item_id) as after_doc_limit, (select count(*) from f1 where f1.item_id = h.item_id) - (select count(*) from f2 where f2.item_id = h.item_id) as clusters_merged from h group by item_id""")
+def compression_stats(spark, folder):
+    """Without the n-gram step, which has a query of its own."""
+    hits = keyword_hits(spark, folder, 20).drop("rank").join(table(spark, folder, "documents").select("doc_id", "source", "text"), "doc_id")
+    return R.compressed(hits, "item_id", "doc_id", "text", "source", 5.0, ngram=None)[1]

@@ -29,7 +29,8 @@ def item_terms(spark, folder):
 
 def keyword_hits(spark, folder, k):
     """Scores have 9 digits, so that equal ones tie on either engine."""
-    scored = S.bm25(S.postings(table(spark, folder, "documents"), "doc_id", "text"), "doc_id", item_terms(spark, folder), "item_id")
+    docs = table(spark, folder, "documents")
+    scored = S.bm25(S.postings(docs, "doc_id", "text"), "doc_id", item_terms(spark, folder), "item_id", S.text_lengths(docs, "doc_id", "text"))
     return S.top(scored.withColumn("score", F.round("score", 9)), "item_id", "doc_id", k)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import projects as P
 from ..operators import state as U
 from ..session import table
 from .registry import query
@@ -141,3 +142,52 @@ def tumbling_windows(spark, folder):
 def dimension_rollup(spark, folder):
     rows = table(spark, folder, "supplier").join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("n_name").agg(F.count("*").alias("suppliers"), F.count(F.when(F.col("s_acctbal") < 0, 1)).alias("indebted"), F.max("s_suppkey").alias("newest"))
+
+
+URLS = "select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') as path from pages"
+
+
+def page_paths(spark, folder):
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return table(spark, folder, "pages").select("page_id", path.alias("path"))
+
+
+@query(f"""with c as (select page_id, case when c = '' then 'project' else c end as c from (select page_id, regexp_replace(regexp_replace(path, '[^A-Za-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') as c from (select page_id, split_part(path, '/', 1) as path from ({URLS})))),
+n as (select *, row_number() over (partition by c order by page_id) as n from c) select page_id, case when n = 1 then c else c || '-' || n end as name from n""")
+def unique_names(spark, folder):
+    return P.unique_names(page_paths(spark, folder).withColumn("host", F.substring_index("path", "/", 1)), "page_id", "host")
+
+
+@query(f"""with r as (select distinct split_part(path, '/', 1) as root from ({URLS}) union select distinct split_part(path, '/', 1) || '/' || split_part(path, '/', 2) from ({URLS}))
+select o.root as "outer", i.root as "inner" from r o join r i on starts_with(i.root, o.root || '/')""")
+def nested_roots(spark, folder):
+    part = F.split("path", "/")
+    rows = page_paths(spark, folder)
+    roots = rows.select(part[0].alias("root")).union(rows.select(F.concat_ws("/", part[0], part[1]))).distinct()
+    return P.nested(roots.withColumn("name", F.col("root")), "name", "root")
+
+
+@query(f"select path, list(page_id order by page_id) as keys from ({URLS}) group by path having count(*) > 1")
+def duplicate_paths(spark, folder):
+    return P.duplicates(page_paths(spark, folder), "path", "page_id")
+
+
+@query("select o_custkey, arg_min(o_orderkey, struct_pack(a := o_orderpriority not in ('1-URGENT', '2-HIGH'), b := o_orderstatus <> 'O', c := o_orderkey)) as o_orderkey from orders group by all")
+def canonical_choice(spark, folder):
+    """The choice of a main copy, as orders of a customer."""
+    order = F.struct(~F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.col("o_orderstatus") != "O", F.col("o_orderkey"))
+    return table(spark, folder, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", order).alias("o_orderkey"))
+
+
+@query("select doc_id as path, n_chars as size from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id and l.quality = d.n_chars % 2)")
+def resume_remaining(spark, folder):
+    """Documents whose checkpoint is missing or of another state; parity stands for the time of change."""
+    found = table(spark, folder, "documents").select(F.col("doc_id").alias("path"), (F.col("n_chars") % 2).alias("modified_time"), F.col("n_chars").alias("size"))
+    done = table(spark, folder, "labels").join(table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("doc_id").alias("path"), F.col("quality").cast("long").alias("modified_time"), F.col("n_chars").alias("size"))
+    return U.remaining(found, done, "path").select("path", "size")
+
+
+@query("select count(*) as old, count(*) filter (vec_id % 7 <> 0) as new, count(distinct len(embedding)) filter (vec_id % 7 <> 0) as sizes, count(*) filter (vec_id % 7 = 0) as missing, false as whole from embeddings")
+def model_migration(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return U.migrated(vectors, vectors.where("vec_id % 7 <> 0"), "vec_id")
