@@ -27,6 +27,8 @@ REACH = LENGTH - TOKEN + 1
 PIECE = 1_000_000
 #: Bytes of text for a range of suffixes, suffixes sampled for each splitter, and suffixes that a task holds back to send together.
 RANGE_BYTES, SAMPLED, HELD = 8_000_000, 64, 400_000
+#: Added to the number of windows, of REACH at most, of stretches that are known to come again.
+AGAIN = 128
 #: A leading token with more stretches than this is dealt by windows instead.
 MANY = 20_000
 #: Packed bytes up to which removed runs are sent to all tasks.
@@ -102,11 +104,21 @@ def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dealt(batches: Iterator[pa.RecordBatch], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Suffixes packed by range: columns one after another, hashes cut to 6 bytes, documents as differences."""
+    """Suffixes packed by range: columns one after another, hashes cut to 6 bytes, documents as differences.
+
+    A stretch that a smaller document of the same batch has is known to come again: it is marked by AGAIN and goes to
+    any range, so that a passage of very many documents weighs on its range by batches, not by documents.
+    """
 
     def packed() -> pa.RecordBatch:
         token, stretch, doc, version, at, windows = (np.concatenate(c) for c in zip(*held, strict=True))
         bucket = np.searchsorted(cuts, token, side="right")
+        by = np.argsort(stretch, kind="stable")
+        new = np.append(True, stretch[by][1:] != stretch[by][:-1])
+        again = np.empty(len(by), bool)
+        again[by] = doc[by] > np.minimum.reduceat(doc[by], np.flatnonzero(new))[np.cumsum(new) - 1]
+        bucket[again] = np.arange(again.sum()) % (len(cuts) + 1)
+        windows = windows + AGAIN * again
         order = np.argsort(bucket, kind="stable")
         edge = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
         out = []
@@ -156,6 +168,14 @@ def sorted_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = starts(t, ["bucket"])
         for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             token, stretch, doc, version, at, windows = unpacked(t.column("packed").slice(s, e - s).to_pylist())
+            known = windows >= AGAIN
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(known.sum(), bool)), pa.array(token[known].view(np.int64)), pa.array(doc[known]), pa.array(version[known].astype(np.int32)), pa.array(at[known].astype(np.int32)), pa.array((windows[known] - AGAIN).astype(np.int32))],
+                ["open", "token", "doc", "version", "at", "windows"],
+            )
+            token, stretch, doc, version, at, windows = (x[~known] for x in (token, stretch, doc, version, at, windows))
+            if not len(token):
+                continue
             order = np.lexsort((doc, stretch, token))
             token, stretch, doc = token[order], stretch[order], doc[order]
             new_token = np.append(True, token[1:] != token[:-1])
