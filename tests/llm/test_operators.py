@@ -378,6 +378,7 @@ def test_extract_by_ratios():
     menu = "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(20))
     body = "".join(f"<p>Sentence {i}, with words, and more words. And another one, too.</p>" for i in range(6))
     text = extract.main_text(f"<html><body><div><ul>{menu}</ul></div><div><div><h2>Head</h2>{body}</div></div><div><a>x</a></div></body></html>")
+    assert extract.main_text('<body><div class="page with-sidebar"><article><p>Kept, here.</p></article></div></body>') == "Kept, here."
     assert text.startswith("Head\nSentence 0,") and "Link" not in text and text.count("\n") == 6
 
 

@@ -50,8 +50,8 @@ class Node:
         self.path = f"{parent.path}/{tag}" if parent and len(parent.path) < 2000 else tag
 
 
-def parsed(page: str) -> list[tuple[Node, int, str]]:
-    """(element, block number, raw text) of the text nodes outside dropped elements, in page order."""
+def parsed(page: str, by_name: bool = True) -> list[tuple[Node, int, str]]:
+    """(element, block number, raw text) of the text nodes outside dropped elements, in page order; by_name: drop elements by class, id and role too."""
     root = Node("", None, False, False)
     stack, out, at, block = [root], [], 0, 0
     open_p = 0
@@ -118,7 +118,7 @@ def parsed(page: str) -> list[tuple[Node, int, str]]:
                     dropped = True
                 elif name == "itemprop" and value == "articlebody" or name == "role" and value == "main":
                     body = True
-                elif tag not in ("html", "body", "article", "main") or "comment" in value:
+                elif by_name and (tag not in ("html", "body", "article", "main") or "comment" in value):
                     dropped = dropped or not NAMED.isdisjoint(NAME.findall(value))
         if tag == "header" and not top.body:
             dropped = True
@@ -183,9 +183,12 @@ def article(nodes: list[tuple[Node, int, str]]) -> Node | None:
 
 def main_text(page: str) -> str:
     """Blocks of the article, in page order, one to a line."""
-    nodes = parsed(page)
-    read = [(e, b, t) for e, b, s in nodes if (t := html.unescape(s)).strip()]
-    if not read:
+    for by_name in (True, False):  # a wrapper's class may name what a part of the page is
+        nodes = parsed(page, by_name)
+        read = [(e, b, t) for e, b, s in nodes if (t := html.unescape(s)).strip()]
+        if read:
+            break
+    else:
         return ""
     top = article(read)
     lines: dict[int, list[str]] = {}
