@@ -169,7 +169,8 @@ def ranking_metrics(spark, folder):
     items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("item"), head("text").alias("gram"))
     grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(5)), " "))
     held = F.element_at(F.transform(F.array(F.split("text", r"\s+")), grams), 1)
-    docs = table(spark, folder, "documents").select("doc_id", "text", F.explode(F.array_distinct(held)).alias("gram"))
-    judged = docs.join(items, "gram").where(F.contains("text", "item")).select("item_id", "doc_id").distinct()
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    maybe = docs.select("doc_id", F.explode(held).alias("gram")).join(items, "gram").select("item_id", "doc_id", "item").distinct()
+    judged = maybe.join(docs, "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id")
     out = R.ranking_metrics(keyword_hits(spark, folder, 20), judged, "item_id", "doc_id")
     return out.select("item_id", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
