@@ -51,9 +51,10 @@ def bm25(posted: DataFrame, key: str, queries: DataFrame, query_key: str, size:
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     # total is one row.
     idf = df.join(F.broadcast(total)).select("term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hits = queries.select(query_key, "term").join(idf, "term").join(held, "term").join(size, key)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return hits.groupBy(query_key, key).agg(F.sum(part).alias("score"))
+    # A term's part of a row's score is the same for all queries: taken once, before queries multiply the rows.
+    weighed = held.join(idf, "term").join(size, key).select(key, "term", part.alias("part"))
+    return queries.select(query_key, "term").join(weighed, "term").groupBy(query_key, key).agg(F.sum("part").alias("score"))
 
 
 def weighted_postings(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
