@@ -30,6 +30,8 @@ SLICE = 1 << 18
 #: Rows that are sent to all tasks at most; beyond that both sides are shuffled.
 MOST_SENT = 1_000_000
 EDGE = "src long, dst long"
+#: Band keys that a task holds back to count together, and nodes for each range of keys.
+HELD_KEYS, BUCKET_NODES = 1_000_000, 20_000
 
 
 @functools.cache
@@ -131,6 +133,38 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def counted(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Distinct band keys with their counts, some rows together, packed by range of keys."""
+
+    def packed() -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held).view(np.uint32), return_counts=True)
+        cut = np.searchsorted(key, np.arange(buckets + 1, dtype=np.uint64) * (1 << 32) // buckets)
+        full = np.flatnonzero(np.diff(cut))
+        out = [key[cut[i] : cut[i + 1]].tobytes() + n[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in full.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(out, pa.binary())], ["bucket", "packed"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch.column("bands").flatten().to_numpy())
+        n += len(held[-1])
+        if n >= HELD_KEYS:
+            yield packed()
+            held, n = [], 0
+    if n:
+        yield packed()
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys that stand more than once, and how often."""
+    for t in grouped(batches, ["bucket"]):
+        parts = [np.frombuffer(b, np.uint32).reshape(2, -1) for b in t.column("packed").to_pylist()]
+        key, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        total = np.add.reduceat(n[order].astype(np.int64), first)
+        yield pa.RecordBatch.from_arrays([pa.array(key[order][first][total > 1].view(np.int32)), pa.array(total[total > 1])], ["key", "n"])
+
+
 def close_pairs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Stars over the members of groups (key, i, j) whose sketches are near. side: 1 for block i, 2 for block j, 3 in one block."""
     for t in grouped(batches, ["key", "i", "j"]):
@@ -243,8 +277,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def families(nodes: DataFrame, percent: int, samples: int) -> DataFrame:
     """node and family of the nodes with candidates. nodes: node, bands array<int>, sketch binary, one row a node."""
+    buckets = max(32, nodes.count() // BUCKET_NODES)
+    dealt = nodes.select("bands").mapInArrow(lambda b: counted(b, buckets), "bucket int, packed binary")
+    shared = staged(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(summed, "key int, n long"), "shared")
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = staged(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     in_groups = staged(keys.join(sent(shared, shared.count()), "key").select("key", "n", "node"), "groups")
     members = in_groups.select("node").distinct()
     n = members.count()
