@@ -235,6 +235,18 @@ def test_components(spark):
         assert got == {i: root[i] for i in {x for a, b in pairs if a != b for x in (a, b)}}
 
 
+def test_key_counts(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    keys = [[rng.choice([-5, 7, 1 << 30, rng.randrange(-(1 << 31), 1 << 31)]) for _ in range(4)] for _ in range(300)]
+    monkeypatch.setattr(near, "HELD_KEYS", 100)
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 40], pa.list_(pa.int32()))], ["bands"]) for i in range(0, 300, 40)]
+    packed = pa.Table.from_batches(list(near.counted(iter(batches), 8))).sort_by("bucket").combine_chunks().to_batches(max_chunksize=5)
+    got = {k: n for b in near.summed(iter(packed)) for k, n in zip(b.column("key").to_pylist(), b.column("n").to_pylist(), strict=True)}
+    assert got == {k: n for k, n in collections.Counter(x for row in keys for x in row).items() if n > 1}
+
+
 def test_sketches():
     rng = np.random.default_rng(4)
     for s in (0.85, 0.5):
