@@ -439,3 +439,20 @@ def test_battery():
     assert kept >= 290
     assert min(secrets.battery("0123456789" * 5)) < secrets.RULED_OUT and min(secrets.battery("a1" * 30)) < secrets.RULED_OUT
     assert secrets.discoveries([(0, 60, 5), (0, 20, 1)], 100) == {0: 60}
+
+
+def test_random_alphabets(spark):
+    """Random runs of every alphabet are found, and long ordinary runs, which count as tested, are not."""
+    rng = random.Random(3)
+    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    alphabets = [lower.upper() + "234567", digits + lower, digits + "ABCDEF", lower, lower.upper(), digits + lower.upper(), lower + lower.upper()]
+    planted = [(n, "".join(rng.choices(x, k=n))) for x in alphabets for n in (20, 32, 64, 150) for _ in range(20)]
+    plain = ["gesellschaftsentwicklungen", "AbstractSingletonProxyFactoryBean", "images/2023/11/foo/bar/index", "550e8400-e29b-41d4-a716-446655440000", "THIS_IS_A_CONSTANT_NAME", "20240110123045678901", "gh" * 40]
+    rows = [(i, f"see {x} there") for i, (_, x) in enumerate(planted)] + [(1000 + i, f"see {x} there") for i, x in enumerate(plain * 10)]
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(found[i] for i in found if i >= 1000)
+    for n, least in ((20, 0.9), (32, 0.97), (64, 0.97), (150, 0.97)):
+        got = [found[i] == [("random", 4, 4 + n)] for i, (k, _) in enumerate(planted) if k == n]
+        assert sum(got) >= least * len(got), n
+    decimal = "".join(rng.choices(digits, k=300))
+    assert secrets.depth(decimal) > 100 and secrets.depth(decimal[:20]) < 30

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,21 +21,42 @@ KINDS = ["assign", "access", "hex", "random"]
 
 #: Runs that may encode random bytes, and the alphabets that the tests infer, smallest first.
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = [
-    ("decimal", "0123456789"),
-    ("hex", "0123456789abcdef"),
-    ("hex", "0123456789ABCDEF"),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("decimal", DIGITS),
+    ("hex", DIGITS + LOWER[:6]),
+    ("hex", DIGITS + UPPER[:6]),
+    ("lower", LOWER),
+    ("upper", UPPER),
+    ("base32", LOWER + "234567"),
+    ("base32", UPPER + "234567"),
+    ("base36", DIGITS + LOWER),
+    ("base36", DIGITS + UPPER),
+    ("letters", UPPER + LOWER),
+    ("base62", DIGITS + UPPER + LOWER),
+    ("base64", UPPER + LOWER + DIGITS + "+/"),
+    ("base64url", UPPER + LOWER + DIGITS + "-_"),
 ]
 ORDERS = [(name, {c: i for i, c in enumerate(letters)}) for name, letters in ALPHABETS]
 #: A test of uniformity, runs or serial correlation under this rules randomness out.
 RULED_OUT = 1e-3
 #: Share of neighbours in ordinary words, names and numbers whose classes (lower, upper, digit, sign) differ; taken high, so that the chance of an ordinary run is not understated.
 TURN = 0.12
+#: The chance of a change of class after each class: capitals are often alone, and signs nearly always.
+LEAVE = [TURN, 0.5, TURN, 1 - TURN]
+#: Ordinary words, from which the chances of a letter after another are taken, whatever its case.
+WORDS = """
+the of and that have for not with you this but his from they say her she will one all would there their what out about who get which when make can like time just him know take people into year your good some
+could them see other than then now look only come its over think also back after use two how our work first well way even new want because any these give day most us information between another system number
+question government development through against should before great while those where being under during without nothing something different important possible business history example network service server
+user password connection document description version application configuration transaction management performance international communication understanding relationship organization responsible
+der die und das nicht ein eine ich ist sie mit sich auf des dem den von werden haben auch nach bei einer noch wie aber wenn durch wird sein oder zwischen gegen unter immer schon mehr kein diese dieser seine
+geschichte gesellschaft wirtschaft entwicklung verbindung bedeutung regierung wissenschaft freiheit sicherheit zusammenhang verantwortung unternehmen verschiedene eigentlich nachrichten beispiel arbeit pfeife
+le la les des une est pas que qui dans pour sur plus avec tout faire son mais comme nous vous elle cette bien sont leur aussi deux entre temps toujours quelque beaucoup pourquoi maintenant homme femme eaux aux
+gouvernement question information administration nouvelle heureux travail peut premier situation personne quelle iere eur ement
+el los las por con para una como pero sus este esta entre cuando muy sin sobre hasta donde quien desde todo nos durante todos uno les contra otros ese eso ante ellos cion dad mente gobierno desarrollo tiempo
+informacion educacion sociedad historia mundo trabajo mismo gran hacer cada mejor nuestro siempre entonces pueblo ciudad
+"""
 #: Expected share of false finds, held for each class of lengths.
 RATE = 0.001
 #: Length classes: up to 31, 63, 127 letters, and longer.
@@ -82,15 +104,55 @@ def battery(run: str) -> tuple[float, float, float] | None:
     return uniform, runs, 2 * normal_tail(abs(serial + 1 / n) * math.sqrt(n))
 
 
-def ordinary(run: str) -> int:
-    """Tenths of -log10 of the chance that an ordinary run of this length changes class as often."""
-    kind = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in run]
-    n, t = len(run) - 1, sum(p != q for p, q in zip(kind, kind[1:], strict=False))
-    if t <= n * TURN:
+def neighbours() -> dict[str, dict[str, float]]:
+    """Log10 of the chance of each small letter after another, or after none, in WORDS; a tenth is spread over all letters alike."""
+    pairs = Counter(w[max(i - 1, 0) : i] + c for w in WORDS.split() for i, c in enumerate(w))
+    ones = Counter(c for w in WORDS.split() for c in w)
+    total = sum(ones.values())
+    alone = {c: 0.9 * ones[c] / total + 0.1 / 26 for c in LOWER}
+    after = {a: sum(pairs[a + c] for c in LOWER) for a in LOWER}
+    chance = lambda a, c: 0.75 * pairs[a + c] / after[a] + 0.25 * alone[c] if after[a] else alone[c]
+    return {"": {c: math.log10(alone[c]) for c in LOWER}} | {a: {c: math.log10(chance(a, c)) for c in LOWER} for a in LOWER}
+
+
+NEXT = neighbours()
+
+
+def ordinary(letters: str) -> float:
+    """Log10 of the chance that ordinary text gives these letters: a chain of classes, letters in it as they follow each other in words, digits and signs alike."""
+    out, last, before = 0.0, None, ""
+    for c in letters:
+        kind = 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+        if last is None:
+            out -= math.log10(4)
+        else:
+            out += math.log10(1 - LEAVE[last] if kind == last else LEAVE[last] / 3)
+        if kind < 2:
+            # a capital before small letters begins their word
+            c = c.lower()
+            out += NEXT[before if kind == last or (last, kind) == (1, 0) else ""][c]
+        else:
+            out -= 1 if kind == 2 else math.log10(4)
+        last, before = kind, c
+    return out
+
+
+def depth(run: str) -> int | None:
+    """Tenths of -log10 of the chance that ordinary text gives a run that looks as random; None if it fits no alphabet.
+
+    The odds of ordinary against uniform letters, these spread over all alphabets alike, are such a chance (by Markov's
+    inequality). They are divided by the battery's chance, which is the least of its three with Bonferroni's factor: it
+    is at most 1, so the chance stays one. What a test rules out gets 0, but is counted as tested.
+    """
+    chances = battery(run)
+    if chances is None:
+        return None
+    if min(chances) < RULED_OUT:
         return 0
-    f = t / n  # Chernoff's bound on the binomial tail
-    nats = n * (f * math.log(f / TURN) + (1 - f) * math.log((1 - f) / (1 - TURN)) if f < 1 else -math.log(TURN))
-    return min(DEEPEST, int(10 * nats / math.log(10)))
+    letters = run.rstrip("=")
+    fit = min(len(order) for _, order in ORDERS if all(c in order for c in letters))
+    odds = ordinary(letters) + len(letters) * math.log10(fit) + math.log10(len(ORDERS))
+    return max(0, min(DEEPEST, int(-10 * (odds - math.log10(min(1, 3 * min(chances)))))))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -103,16 +165,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_runs(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Runs apart from base spans that no test rules out, with their length class and the depth of their chance."""
+    """All runs apart from base spans that fit an alphabet, with their length class and the depth of their chance."""
     out = []
     for m in RUN.finditer(text):
         s, e = m.span()
-        depth = ordinary(m[0])
-        if depth < 20 or any(a < e and s < b for _, a, b in base):
-            continue
-        chances = battery(m[0])
-        if chances and min(chances) >= RULED_OUT:
-            out.append({"start": s, "end": e, "length": sum(e - s >= c for c in CLASSES), "depth": depth})
+        if not any(a < e and s < b for _, a, b in base) and (d := depth(m[0])) is not None:
+            out.append({"start": s, "end": e, "length": sum(e - s >= c for c in CLASSES), "depth": d})
     return out
 
 
@@ -131,8 +189,8 @@ def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def discoveries(counts: list[tuple[int, int, int]], tested: int) -> dict[int, int]:
     """Least depth that Benjamini and Hochberg's rule lets pass, by length class.
 
-    counts: rows (length class, depth, runs). A class is weighed alike, so each takes RATE of its own finds; the number
-    of tests is that of all texts, which is more than the runs that were tested in any class.
+    counts: rows (length class, depth, runs). A class is weighed alike, so each takes RATE of its own finds; tested is
+    the number of runs that were tested in a class.
     """
     out = {}
     for length in {c[0] for c in counts}:
@@ -149,14 +207,19 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
     Kinds assign, access and hex are pattern matches. Kind random holds runs of 20 letters and more that no test of
     the battery rules out as random and that ordinary text would hardly give; one threshold for each class of lengths,
-    from counts over all documents, bounds the share of false finds. These counts are at most 4 times DEEPEST rows.
+    from counts over all documents, bounds the share of false finds among all runs that were tested. These counts are
+    some 4 times DEEPEST rows.
 
     Offsets are code points, the end exclusive. A null or empty text has no spans. doc_id may be null or repeated: each
     row gives one row. Other columns of `docs` are not read.
     """
     spans = staged(bounded(docs).select("doc_id", "text").mapInArrow(found, SCHEMA), "secrets")
     runs = spans.select(F.explode("maybe").alias("m")).groupBy("m.length", "m.depth").count()
-    passed = discoveries([tuple(r) for r in runs.collect()], spans.count())
+    counts = [tuple(r) for r in runs.collect()]
+    passed = {}
+    for length in {c[0] for c in counts}:
+        alike = [c for c in counts if c[0] == length]
+        passed |= discoveries(alike, sum(n for _, _, n in alike))
     keep = lambda m: m["depth"] >= _least(m["length"], passed)
     added = F.transform(F.filter("maybe", keep), lambda m: F.struct(F.lit(3).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     ordered = F.array_sort(F.transform(F.concat("base", added), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
