@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from tidewell.operators import rank as R
 from tidewell.operators import retrieve as S
 from tidewell.operators import state as U
 from tidewell.plans.search import Index, Request
+from tidewell.queries import QUERIES
 
 NOTES = [
     (0, "gardening", "Garden beds", "Raised beds keep roots warm. Compost feeds the soil.", "home/gardening.md", "Garden beds", "home", "note"),
@@ -88,3 +91,39 @@ def test_deltas(spark):
     assert got == {1: "delta", 2: "delete", 3: "reindex"}
     moved = U.moves(spark.createDataFrame([("o", c) for c in "abcde"], "d string, h string"), spark.createDataFrame([("n", c) for c in "abcdf"] + [("m", c) for c in "abcde"], "d string, h string"), "d", "h").collect()
     assert [(r["old"], r["new"], r["similarity"]) for r in moved] == [("o", "m", 1.0)]
+
+
+def brute_moves(docs):
+    """Every pair of an even and an odd document, over all chunks."""
+    out = []
+    for o, a in docs.items():
+        near = [(-len(a & b) / len(a | b), n) for n, b in docs.items() if n % 2 and len(a & b) / len(a | b) >= U.MOVED] if o % 2 == 0 else []
+        out += [(o, n, round(-s, 6)) for s, n in [min(near)]] if near else []
+    return sorted(out)
+
+
+def test_moves_whole(spark):
+    """Frequent chunks count, and so do documents with equal chunks."""
+    rng = random.Random(2)
+    base = [{f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 14))} for _ in range(25)]
+    docs = {}
+    for i in range(300):
+        own = set(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            own ^= {f"w{rng.randrange(30)}" if rng.random() < 0.8 else f"rare{i}"}
+        docs[i] = own or {"w0"}
+    rows = spark.createDataFrame([(i, c) for i, own in docs.items() for c in own], "d long, h string")
+    got = U.moves(rows.where("d % 2 = 0"), rows.where("d % 2 = 1"), "d", "h").collect()
+    want = brute_moves(docs)
+    assert sorted(map(tuple, got)) == want and {s for _, _, s in want} > {0.8, 1.0}
+
+
+def test_move_detection_whole(spark, tmp_path):
+    """Lines in over 20 texts, one rare line in common, and a text under ids of both sides."""
+    common = [f"line {k}" for k in range(10)]
+    texts = {i: common[:4] + [f"own {i}"] + common[5:] for i in range(40)}  # 9 of 11 lines in common
+    texts |= {41: ["rare", "a"], 42: ["rare", "b"], 51: ["same"], 52: ["same"], 54: ["same"]}
+    spark.createDataFrame([(i, "\n".join(x)) for i, x in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["move_detection_whole"](spark, str(tmp_path)).collect()
+    want = brute_moves({i: set(x) for i, x in texts.items()})
+    assert sorted(map(tuple, got)) == want and len(want) == 22

@@ -50,13 +50,38 @@ def deltas(old: DataFrame, new: DataFrame, doc: str, digest: str) -> DataFrame:
 def moves(gone: DataFrame, came: DataFrame, doc: str, digest: str) -> DataFrame:
     """old, new and similarity of documents that went and came with the same chunks, each with its best match.
 
-    Chunks of equal digest bring pairs together; digests that many documents share are counted, not paired, elsewhere."""
-    a, b = gone.select(F.col(doc).alias("old"), digest).distinct(), came.select(F.col(doc).alias("new"), digest).distinct()
-    na, nb = a.groupBy("old").agg(F.count("*").alias("na")), b.groupBy("new").agg(F.count("*").alias("nb"))
-    both = a.join(b, digest).groupBy("old", "new").agg(F.count("*").alias("n")).join(na, "old").join(nb, "new")
-    close = both.withColumn("similarity", F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).where(F.col("similarity") >= MOVED)
-    w = Window.partitionBy("old").orderBy(F.desc("similarity"), "new")
-    return close.withColumn("r", F.row_number().over(w)).where("r = 1").select("old", "new", F.round("similarity", 6).alias("similarity"))
+    Exact over all chunks. Documents of one side with equal sets of chunks are one node, and equal sets of both sides are
+    joined at once. Of the rest, two sets as close as MOVED have one of their rarest chunks in common: each set's first
+    n - ceil(MOVED n) + 1, in one order for all. Such pairs are compared in full."""
+    slack = 1e-9  # a bound that rounds up would lose a pair at MOVED
+
+    def nodes(side):
+        docs = side.select(F.col(doc).alias("doc"), F.col(digest).alias("h")).groupBy("doc").agg(F.array_sort(F.collect_set("h")).alias("hs"))
+        return docs.where(F.size("hs") > 0).withColumn("node", batch_key(F.col("hs")))
+
+    old, new = nodes(gone), nodes(came)
+    # the best of equal nodes is the one with the least key
+    a = old.groupBy("node").agg(F.first("hs").alias("hs"))
+    b = new.groupBy("node").agg(F.first("hs").alias("hs"), F.min("doc").alias("new"))
+    equal = a.select("node").join(b.select("node", "new"), "node").withColumn("similarity", F.lit(1.0))
+    left = a.join(b.select("node"), "node", "left_anti")
+    count = left.select("hs").unionAll(b.select("hs")).select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+
+    def prefix(side, name):
+        rows = side.select("node", F.size("hs").alias("n"), F.explode("hs").alias("h")).join(count, "h")
+        order = rows.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
+        first = F.slice("o", F.lit(1), (F.col("n") - F.ceil(MOVED * F.col("n") - slack) + 1).cast("int"))
+        return order.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.posexplode(first).alias(f"at{name}", "f")).select(name, f"n{name}", f"at{name}", F.col("f.h").alias("h"))
+
+    na, nb = F.col("na"), F.col("nb")
+    # at the first chunk in common, no more than what follows can be shared
+    enough = F.least(na - F.col("ata"), nb - F.col("atb")) >= MOVED / (1 + MOVED) * (na + nb) - slack
+    pairs = prefix(left, "a").join(prefix(b, "b"), "h").where(enough).select("a", "b").distinct()
+    both = pairs.join(left.select(F.col("node").alias("a"), F.col("hs").alias("ha")), "a").join(b.select(F.col("node").alias("b"), F.col("hs").alias("hb"), "new"), "b")
+    n = F.size(F.array_intersect("ha", "hb"))
+    close = both.select(F.col("a").alias("node"), "new", (n / (F.size("ha") + F.size("hb") - n)).alias("similarity")).where(F.col("similarity") >= MOVED)
+    best = close.groupBy("node").agg(F.min_by(F.struct("new", "similarity"), F.struct(-F.col("similarity"), "new")).alias("m")).select("node", "m.new", "m.similarity")
+    return old.select("node", F.col("doc").alias("old")).join(equal.unionByName(best), "node").select("old", "new", F.round("similarity", 6).alias("similarity"))
 
 
 def debounced(events: DataFrame, path: str, ts: str, kind: str, tie: str, quiet: str) -> DataFrame:

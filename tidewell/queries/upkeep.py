@@ -53,7 +53,7 @@ def delta_by_hash(spark, folder):
 p as (select a.doc_id as o, b.doc_id as n, count(*) as m from k a join k b using (h) where a.doc_id % 2 = 0 and b.doc_id % 2 = 1 group by all), s as (select o, p.n as nw, m / (x.n + y.n - m) as s from p join c x on x.doc_id = o join c y on y.doc_id = p.n where m / (x.n + y.n - m) >= {U.MOVED})
 select o as old, nw as new, round(s, 6) as similarity from s qualify row_number() over (partition by o order by s desc, nw) = 1""")
 def move_detection(spark, folder):
-    """Even documents went and odd ones came. Lines in over 20 distinct texts are no sign of a move."""
+    """Even documents went and odd ones came. As in the SQL, lines in over 20 distinct texts are left out, and a text is told under its least doc_id alone; move_detection_whole has all."""
     docs = table(spark, folder, "documents")
     texts = docs.groupBy(F.md5("text").alias("t")).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
     lines = texts.select("doc_id", F.explode(F.split("text", "\n")).alias("l")).select("doc_id", F.md5("l").alias("h")).distinct()
@@ -62,6 +62,13 @@ def move_detection(spark, folder):
     return U.moves(told.where("doc_id % 2 = 0"), told.where("doc_id % 2 = 1"), "doc_id", "h")
 
 
+@query()
+def move_detection_whole(spark, folder):
+    """Even documents went and odd ones came: all documents, with all their lines."""
+    lines = line_digests(spark, folder)
+    return U.moves(lines.where("doc_id % 2 = 0"), lines.where("doc_id % 2 = 1"), "doc_id", "h")
+
+
 @query("""with g as (select *, case when ts - lag(ts) over w < interval 30 minute then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)), s as (select *, sum(new) over (partition by user_id order by ts, event_id) as burst from g)
 select user_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) as event_type, count(*) as n, max(ts) as last_seen from s group by user_id, burst""")
 def debounce_latest(spark, folder):
