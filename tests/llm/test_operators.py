@@ -11,6 +11,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,6 +292,33 @@ def test_passages(docs, rows, none, monkeypatch):
     assert sorted(map(tuple, passages.remove_repeats(docs).drop("kept").collect()), key=key) == want
 
 
+def test_common_passage(spark, monkeypatch):
+    """A short passage of all documents, whose stretches hold other bytes at their edges, gathers in no range and no group."""
+    rng = random.Random(4)
+    other = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    shared = "This footer stands in each and every document of the table, always."
+    texts = {i: f"{other(120)}{shared}{other(120)}" for i in range(600)}
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(texts), "version": pa.array([0] * len(texts), pa.int32()), "text": list(texts.values())})
+    tokens = np.concatenate([t for t, *_ in passages.chosen(passages.utf8(batch))])
+    drawn = np.concatenate([b.column("token").to_numpy() for b in passages.sampled(iter([batch]))]).view(np.uint64)
+    counted = collections.Counter((tokens & ~np.uint64(0xFFFF)).tolist())
+    common = np.array([t for t, n in counted.items() if n > 300], np.uint64)
+    assert len(common) and all(((drawn & ~np.uint64(0xFFFF)) == t).sum() > 30 for t in common)
+    rest = np.sort(tokens[~np.isin(tokens & ~np.uint64(0xFFFF), common)])
+    cuts = rest[np.arange(1, 8) * len(rest) // 8] & ~np.uint64(0xFFFF)
+    most = max(len(x) // 27 for b in passages.dealt(iter([batch]), cuts, common) for x in b.column("packed").to_pylist())
+    assert most < 1.5 * len(tokens) / 8
+
+    for name, value in (("RANGE_BYTES", 20_000), ("MANY", 100), ("OFTEN", 20)):
+        monkeypatch.setattr(passages, name, value)
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in passages.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[0] == texts[0] and all(shared not in got[i] and 230 <= len(got[i]) <= 240 for i in range(1, 600))
+    places = [np.array([int(t)], np.uint64).view(np.int64)[0].tobytes() + np.int32(130).tobytes() + bytes([9]) for t in common[:1]]
+    held = pa.RecordBatch.from_pydict({"doc_id": [1], "version": pa.array([0], pa.int32()), "text": [texts[1]], "places": places})
+    hot = common.view(np.int64)
+    assert [b.num_rows for b in passages.stretches(iter([held]), hot, False)] == [0] and [b.num_rows for b in passages.stretches(iter([held]), hot, True)] == [9]
+
+
 # 7
 
 

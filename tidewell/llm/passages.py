@@ -27,10 +27,12 @@ REACH = LENGTH - TOKEN + 1
 PIECE = 1_000_000
 #: Bytes of text for a range of suffixes, suffixes sampled for each splitter, and suffixes that a task holds back to send together.
 RANGE_BYTES, SAMPLED, HELD = 8_000_000, 64, 400_000
-#: Added to the number of windows, of REACH at most, of stretches that are known to come again.
-AGAIN = 128
-#: A leading token with more stretches than this is dealt by windows instead.
+#: Added to the number of windows, of REACH at most, of stretches that are known to come again, and of those with a common token.
+AGAIN, COMMON = 128, 64
+#: A leading token with more stretches than this is compared by its windows' first documents instead.
 MANY = 20_000
+#: A token that is so often among those sampled for the splitters would fill a quarter of a range: it goes to all ranges.
+OFTEN = SAMPLED // 4
 #: Packed bytes up to which removed runs are sent to all tasks.
 MOST_BYTES = 64_000_000
 FOUND = "open boolean, token long, doc long, version int, at int, windows int"
@@ -98,16 +100,19 @@ def utf8(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of one suffix in 8, drawn by the token and its place, so that a token comes as often as its share."""
     for batch in batches:
         for token, *_ in chosen(utf8(batch)):
-            yield pa.RecordBatch.from_arrays([pa.array(token[token % np.uint64(8) == 0].view(np.int64))], ["token"])
+            drawn = mixed(token + np.arange(len(token), dtype=np.uint64)) % np.uint64(8) == 0
+            yield pa.RecordBatch.from_arrays([pa.array(token[drawn].view(np.int64))], ["token"])
 
 
-def dealt(batches: Iterator[pa.RecordBatch], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def dealt(batches: Iterator[pa.RecordBatch], cuts: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Suffixes packed by range: columns one after another, hashes cut to 6 bytes, documents as differences.
 
     A stretch that a smaller document of the same batch has is known to come again: it is marked by AGAIN and goes to
-    any range, so that a passage of very many documents weighs on its range by batches, not by documents.
+    any range, so that a passage of very many documents weighs on its range by batches, not by documents. So do
+    stretches whose token is in `often` (upper 6 bytes): they are marked by COMMON and all stay open.
     """
 
     def packed() -> pa.RecordBatch:
@@ -117,8 +122,10 @@ def dealt(batches: Iterator[pa.RecordBatch], cuts: np.ndarray) -> Iterator[pa.Re
         new = np.append(True, stretch[by][1:] != stretch[by][:-1])
         again = np.empty(len(by), bool)
         again[by] = doc[by] > np.minimum.reduceat(doc[by], np.flatnonzero(new))[np.cumsum(new) - 1]
-        bucket[again] = np.arange(again.sum()) % (len(cuts) + 1)
-        windows = windows + AGAIN * again
+        common = np.isin(token & ~np.uint64(0xFFFF), often) & ~again
+        spread = again | common
+        bucket[spread] = np.arange(spread.sum()) % (len(cuts) + 1)
+        windows = windows + AGAIN * again + COMMON * common
         order = np.argsort(bucket, kind="stable")
         edge = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
         out = []
@@ -163,14 +170,14 @@ def unpacked(blobs: list[bytes]) -> list[np.ndarray]:
 
 def sorted_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each range: stretches that an earlier document has (not open), and the first holders' stretches whose token
-    other documents have in other stretches (open)."""
+    other documents have in other stretches (open). Those with a common token are passed on as open."""
     for t in grouped(batches, ["bucket"]):
         edge = starts(t, ["bucket"])
         for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             token, stretch, doc, version, at, windows = unpacked(t.column("packed").slice(s, e - s).to_pylist())
-            known = windows >= AGAIN
+            known = windows >= COMMON
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(known.sum(), bool)), pa.array(token[known].view(np.int64)), pa.array(doc[known]), pa.array(version[known].astype(np.int32)), pa.array(at[known].astype(np.int32)), pa.array((windows[known] - AGAIN).astype(np.int32))],
+                [pa.array(windows[known] < AGAIN), pa.array(token[known].view(np.int64)), pa.array(doc[known]), pa.array(version[known].astype(np.int32)), pa.array(at[known].astype(np.int32)), pa.array((windows[known] % COMMON).astype(np.int32))],
                 ["open", "token", "doc", "version", "at", "windows"],
             )
             token, stretch, doc, version, at, windows = (x[~known] for x in (token, stretch, doc, version, at, windows))
@@ -204,30 +211,35 @@ def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([t.column("doc").combine_chunks().take(pa.array(edge[:-1])), t.column("version").combine_chunks().take(pa.array(edge[:-1])), pa.array(packed, pa.binary())], ["doc_id", "version", "places"])
 
 
-def stretches(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The bytes of open stretches, by token; window by window, and by the window's hash, for hot tokens."""
+def stretches(batches: Iterator[pa.RecordBatch], hot: np.ndarray, by_window: bool) -> Iterator[pa.RecordBatch]:
+    """The bytes of open stretches of tokens that are not hot, by token; by_window: windows of hot tokens, by their hash of 16 bytes."""
     for batch in batches:
         key, doc, version, place, content = [], [], [], [], []
         ids, versions = batch.column("doc_id").to_pylist(), batch.column("version").to_pylist()
         for d, v, text, packed in zip(ids, versions, utf8(batch), batch.column("places").to_pylist(), strict=True):
             n = len(packed) // 13
             token = np.frombuffer(packed, np.int64, n)
-            at, windows = np.frombuffer(packed, np.int32, n, 8 * n).tolist(), np.frombuffer(packed, np.uint8, n, 12 * n).tolist()
-            many = np.isin(token, hot).tolist() if len(hot) else [False] * n
-            for k, a, w, m in zip(token.tolist(), at, windows, many, strict=True):
-                if m:
-                    for i in range(a, a + w):
-                        c = text[i : i + LENGTH]
-                        key.append(int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little", signed=True))
-                        place.append(i)
-                        content.append(c)
+            at, windows = np.frombuffer(packed, np.int32, n, 8 * n), np.frombuffer(packed, np.uint8, n, 12 * n)
+            mine = np.isin(token, hot) == by_window
+            for k, a, w in zip(token[mine].tolist(), at[mine].tolist(), windows[mine].tolist(), strict=True):
+                if by_window:
+                    place += range(a, a + w)
+                    key += [hashlib.blake2b(text[i : i + LENGTH], digest_size=16).digest() for i in range(a, a + w)]
                 else:
                     key.append(k)
                     place.append(a)
                     content.append(text[a : a + w - 1 + LENGTH])
             doc += [d] * (len(key) - len(doc))
             version += [v] * (len(key) - len(version))
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(version, pa.int32()), pa.array(place, pa.int32()), pa.array(content, pa.binary())], ["key", "doc", "version", "at", "content"])
+        columns = [pa.array(key, pa.binary() if by_window else pa.int64()), pa.array(doc, pa.int64()), pa.array(version, pa.int32()), pa.array(place, pa.int32())]
+        yield pa.RecordBatch.from_arrays([*columns, *([] if by_window else [pa.array(content, pa.binary())])], ["key", "doc", "version", "at", *([] if by_window else ["content"])])
+
+
+def later_windows(windows: DataFrame) -> DataFrame:
+    """doc, version, at and windows (1) of windows whose key a smaller document has. Nothing gathers by key: first documents
+    are told by partial sums, and joined back."""
+    first = staged(windows.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("key", "first"), "passage-windows")
+    return windows.join(sent(first, first.count()), "key").where("doc > first").select("doc", "version", "at", F.lit(1).alias("windows"))
 
 
 def windows_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,16 +331,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     lot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)) + 1)
     # About SAMPLED tokens for each range.
     drawn = heads.where(lot).select("text").mapInArrow(sampled, "token long").toPandas()["token"].to_numpy().view(np.uint64) if ranges > 1 else np.zeros(0, np.uint64)
+    seen, times = np.unique(drawn & ~np.uint64(0xFFFF), return_counts=True)
+    often = seen[times >= OFTEN]
+    drawn = drawn[~np.isin(drawn & ~np.uint64(0xFFFF), often)]
     cuts = np.unique(np.sort(drawn)[np.arange(1, ranges) * len(drawn) // ranges]) if len(drawn) else drawn
     cuts &= ~np.uint64(0xFFFF)  # tokens are compared by their upper 6 bytes
 
-    suffix = heads.mapInArrow(lambda b: dealt(b, cuts), "bucket int, packed binary")
+    suffix = heads.mapInArrow(lambda b: dealt(b, cuts, often), "bucket int, packed binary")
     found = staged(suffix.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sorted_range, FOUND), "passage-suffixes")
     opened = found.where("open")
     hot = np.array([r[0] for r in opened.groupBy("token").count().where(F.col("count") > MANY).select("token").collect()], np.int64)
     listed = staged(opened.select("doc", "version", "token", "at", "windows").repartition("doc", "version").sortWithinPartitions("doc", "version").mapInArrow(places, "doc_id long, version int, places binary"), "passage-places")
-    pieces = heads.join(listed, ["doc_id", "version"]).select("doc_id", "version", "text", "places").mapInArrow(lambda b: stretches(b, hot), "key long, doc long, version int, at int, content binary")
+    held = heads.join(listed, ["doc_id", "version"]).select("doc_id", "version", "text", "places")
+    pieces = held.mapInArrow(lambda b: stretches(b, hot, False), "key long, doc long, version int, at int, content binary")
     runs = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(windows_again, "doc long, version int, at int, windows int")
+    if len(hot):
+        windows = staged(held.mapInArrow(lambda b: stretches(b, hot, True), "key binary, doc long, version int, at int"), "passage-hot")
+        runs = runs.unionByName(later_windows(windows))
 
     gone = found.where("not open").select("doc", "version", "at", "windows").unionByName(runs)
     spans = staged(gone.repartition("doc", "version").sortWithinPartitions("doc", "version", "at").mapInArrow(merged, "doc_id long, version int, runs binary"), "passage-runs")
