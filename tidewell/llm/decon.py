@@ -9,13 +9,15 @@ agree with the item in a sample of places, in any of several repeats, are checke
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER, MASK, bounded, mixed, passes, words
+from .common import BASE, LOWER, MASK, bounded, mixed, passes, staged, words
 
 #: Edits for each word of an item, rounded down.
 EDITS = 0.2
@@ -151,24 +153,32 @@ def confirmed(h: np.ndarray, count: np.ndarray, hits: np.ndarray, size: int, ite
     return out
 
 
-def marked(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
+def held_items(batch: pa.RecordBatch, items: Items) -> list[set[tuple[int, int]]]:
+    """(words, row) of the items that each text holds."""
+    texts = [t.translate(LOWER) for t in batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()]
+    held: list[set] = [set() for _ in texts]
+    for part in passes([len(t) for t in texts]):
+        for d, n, row in matches(texts[part], items):
+            held[d + part.start].add((n, row))
+    return held
+
+
+def marked(batches: Iterator[pa.RecordBatch], items: Items, key: str = "doc_id", bare: bool = True) -> Iterator[pa.RecordBatch]:
+    """The key, item_ids and n_items of each row; of those alone that hold an item, if not `bare`."""
     for batch in batches:
-        texts = [t.translate(LOWER) for t in batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()]
-        held: list[set] = [set() for _ in texts]
-        for part in passes([len(t) for t in texts]):
-            for d, n, row in matches(texts[part], items):
-                held[d + part.start].add((n, row))
+        held = held_items(batch, items)
         ids = [sorted({i for n, r in x if (i := items.ids[n][r]) is not None}) for x in held]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int64())), pa.array(map(len, held), pa.int64())], ["doc_id", "item_ids", "n_items"])
+        out = pa.RecordBatch.from_arrays([batch.column(key), pa.array(ids, pa.list_(pa.int64())), pa.array(map(len, held), pa.int64())], [key, "item_ids", "n_items"])
+        yield out if bare else out.filter(pa.array([bool(x) for x in held], pa.bool_()))
 
 
-def parts(benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark in parts of up to about ITEM_WORDS words, one at least."""
+def parts(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The benchmark in parts of up to about ITEM_WORDS words, one at least, each sent to all executors."""
     rows = benchmark.select("item_id", "text").where("length(text) > 0")
     size = rows.agg(F.coalesce(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+"))), F.lit(0))).first()[0]
     n = max(1, -(-size // ITEM_WORDS))
     for part in range(n):
-        yield Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == part).collect()])
+        yield benchmark.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == part).collect()]))
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -180,28 +190,38 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A null doc_id is a document like any other, and repeated rows are told each. No rows give no rows. Other columns
     are not read.
 
-    The benchmark goes to all tasks in parts of up to ITEM_WORDS words; documents are not shuffled.
+    The benchmark goes to all executors in parts of up to ITEM_WORDS words; documents are not shuffled. With several
+    parts, each row gets a place in a table first, and only finds are told by place and summed.
     """
-    docs = bounded(docs)
-    out, n = None, 0
-    for items in parts(benchmark):
-        one = docs.select("doc_id", "text").mapInArrow(lambda b, items=items: marked(b, items), SCHEMA)
-        out, n = one if out is None else out.unionByName(one), n + 1
-    if n > 1:
-        # Rows alike in id are one here, as no column tells them apart.
-        out = out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.sum("n_items").alias("n_items"))
+    docs = bounded(docs).select("doc_id", "text")
+    every = parts(benchmark)
+    first, second = next(every), next(every, None)
+    if second is None:
+        out = docs.mapInArrow(lambda b: marked(b, first.value), SCHEMA)
+    else:
+        placed = staged(docs.withColumn("place", F.monotonically_increasing_id()), "items-places")
+        finds = None
+        for items in chain((first, second), every):
+            one = staged(placed.select("place", "text").mapInArrow(lambda b, items=items: marked(b, items.value, "place", False), "place long, item_ids array<long>, n_items long"), "items-found")
+            finds = one if finds is None else finds.unionByName(one)
+            items.unpersist()
+        found = finds.groupBy("place").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.sum("n_items").alias("n_items"))
+        none = F.array().cast("array<long>")
+        out = placed.select("place", "doc_id").join(found, "place", "left").select("doc_id", F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"))
     return out.withColumn("contaminated", F.col("n_items") > 0)
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, that hold no item."""
-    docs = bounded(docs)
+    """The rows of `docs`, with all their columns, that hold no item; as in find_items, null and empty texts hold none."""
+    docs, schema = bounded(docs), docs.schema
+    after = False
     for items in parts(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n = next(marked(iter([batch.select(["doc_id", "text"])]), items)).column("n_items").to_numpy()
-                yield batch.filter(pa.array(n == 0))
+                yield batch.filter(pa.array([not x for x in held_items(batch, items.value)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        # A table between two parts, so that a worker holds one.
+        docs = (staged(docs, "items-clean") if after else docs).mapInArrow(run, schema)
+        after = True
     return docs
