@@ -32,8 +32,11 @@ def _own() -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this process where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own()).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of this process in local mode, as in tests, and an error on a cluster, whose executors would write to their own discs."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (folder or _own()).rstrip("/")
 
 
 def bounded(frame: DataFrame) -> DataFrame:
