@@ -5,10 +5,12 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -156,17 +158,23 @@ def test_shards(docs, rows, none, spark):
 # 4
 
 
+def brute_top_k(rows, k=20):
+    """By plain whole numbers, over rows of (vec_id, embedding) that take part."""
+    ok = [(i, [math.floor(Fraction(64) * Fraction(x)) for x in v]) for i, v in rows if i is not None and v is not None and None not in v and all(map(math.isfinite, v))]
+    out = []
+    for q in sorted({i for i, _ in ok if i % 20 == 0}):
+        asked = [v for i, v in ok if i == q]
+        best = sorted((-sum(a * b for a, b in zip(x, v)), d) for x in asked for d, v in ok if d != q)[:k]  # noqa: B905
+        out += [(q, r + 1, d, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, d) in enumerate(best)]
+    return out
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
-    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6)]) for i in range(300)]
-    rows += [(i, rows[7][1]) for i in range(300, 340)] + [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, [1.0] * 6), (20, rows[20][1]), (404, [0.5, 0.5])]
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.2, 6)]) for i in range(300)]
+    rows += [(i, rows[7][1]) for i in range(300, 340)] + [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, [1.0] * 6), (20, rows[20][1]), (20, rows[33][1]), (77, rows[20][1]), (77, rows[20][1]), (404, [0.5, 0.5])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1)).withColumn("score", F.lit(1))
-    ok = {i: np.floor(64 * np.pad(np.array(v, np.float32).astype(float), (0, 6 - len(v)))).astype(int) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
-    want = []
-    for q in ok:
-        if q % 20 == 0:
-            best = sorted((-int(ok[q] @ ok[d]), d) for d in ok if d != q)[:20]
-            want += [(q, r + 1, d, -s) for r, (s, d) in enumerate(best)]
+    want = brute_top_k(rows)
     for limit in (512, 3):
         knn.QUERIES_A_PIVOT = limit
         got = knn.top_k(frame, F.col("vec_id") % 20 == 0)
@@ -177,6 +185,31 @@ def test_top_k(spark):
     assert [tuple(r) for r in knn.top_k(few, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 2048)]
 
 
+def test_top_k_wide(spark):
+    """Large components: no error, exact order, also beyond 64 bits."""
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-1, 1) * 10.0 ** rng.choice([0, 0, 0, 3, 9, 30, 300, 308]) for _ in range(3)]) for i in range(60)]
+    rows += [(60, [1e9, 0.0, 0.0]), (61, [1.0, 1.0, 1.0]), (62, [1e30, -1e30, 0.0]), (80, [1.7e308, 1.7e308, -1.7e308]), (80, [1e30])]
+    for some in (rows, rows[-5:-2], [r for r in rows if max(map(abs, r[1])) > 1e9]):
+        got = knn.top_k(spark.createDataFrame(some, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+        assert sorted(map(tuple, got.collect())) == sorted(brute_top_k(some))
+
+
+def test_top_k_sql(spark):
+    """The registered SQL tells the same rows where ids come again."""
+    import duckdb
+
+    from tidewell.llm.queries import SQL
+
+    rng = random.Random(2)
+    rows = [(i % 45, [float(np.float32(rng.gauss(0, 0.3))) for _ in range(4)]) for i in range(90)]
+    embeddings = pa.table({"vec_id": [i for i, _ in rows], "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))})
+    c = duckdb.connect()
+    c.register("embeddings", embeddings)
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0)
+    assert sorted(map(tuple, got.collect())) == sorted(c.sql(SQL["op4_knn"]).fetchall())
+
+
 # 5
 
 
@@ -386,6 +419,48 @@ def test_decontamination(spark, docs, none):
     assert sorted(r["doc_id"] for r in decon.without_items(frame.where("doc_id is not null"), benchmark).collect()) == sorted(i for i, (_, n) in want.items() if i is not None and not n)
 
 
+def test_decontamination_parts(spark, docs, none, monkeypatch):
+    """A benchmark of several parts: every row is told, those that share an id or have none too."""
+    rng = random.Random(19)
+    items = [(i, sentence(rng, 12)) for i in range(9)] + [(3, sentence(rng, 14)), (None, sentence(rng, 13)), (None, None)]
+    text = [f"{sentence(rng, 20)} {items[i][1]} {sentence(rng, 20)}" for i in (0, 4, 9, 10)]
+    rows = [(1, text[0]), (1, text[0]), (1, text[1]), (2, sentence(rng, 30)), (None, text[2]), (None, text[3]), (None, None), (3, f"{text[0]} {text[1]} {text[2]}")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.lit("clash"))
+    order = lambda f: sorted((repr(r["doc_id"]), r["item_ids"], r["n_items"], r["contaminated"]) for r in f.collect())
+    whole, kept = order(decon.find_items(frame, benchmark)), sorted(map(repr, decon.without_items(frame, benchmark).collect()))
+    assert whole == sorted([("1", [0], 1, True)] * 2 + [("1", [4], 1, True), ("2", [], 0, False), ("None", [3], 1, True), ("None", [], 1, True), ("None", [], 0, False), ("3", [0, 3, 4], 3, True)])
+    monkeypatch.setattr(decon, "ITEM_WORDS", 40)
+    assert order(decon.find_items(frame, benchmark)) == whole
+    assert sorted(map(repr, decon.without_items(frame, benchmark).collect())) == kept and len(kept) == 2
+    assert decon.find_items(none, benchmark).count() == 0
+
+
+def test_recall_at_the_limit():
+    """Passages with as many edits as an item may have: thousands, all found."""
+    rng = random.Random(23)
+    pool = [f"w{i}" for i in range(3000)]
+    source = [rng.choices(pool, k=rng.randint(10, 80)) for _ in range(200)]
+    items = decon.Items([(i, " ".join(w)) for i, w in enumerate(source)])
+    texts = []
+    for w in source:
+        for _ in range(15):
+            x = list(w)
+            edits = int(decon.EDITS * len(w))
+            for at in sorted(rng.sample(range(len(w)), edits), reverse=True):
+                op = rng.randrange(3)
+                x[at : at + (op > 0)] = [] if op == 1 else [f"new{rng.random()}"]
+            texts.append((w, " ".join([*rng.choices(pool, k=20), *x, *rng.choices(pool, k=20)])))
+    missed = 0
+    for s in range(0, len(texts), 300):
+        some = texts[s : s + 300]
+        found = collections.defaultdict(set)
+        for d, size, row in decon.matches([t.encode() for _, t in some], items):
+            found[d].add(items.ids[size][row])
+        missed += sum(source.index(w) not in found[d] for d, (w, _) in enumerate(some))
+    assert missed == 0
+
+
 def test_walks_keep_edits_near():
     """Embeddings of near sequences differ less than those of others."""
     rng = np.random.default_rng(1)
