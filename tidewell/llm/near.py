@@ -1,9 +1,11 @@
 """Links between similar sets: MinHash bands, odd sketches, exact Jaccard on full sets, and connected components.
 
-Nodes are distinct sets. Bands give groups of candidates; odd sketches drop pairs that are surely apart; what is left
-of a group is told as a star, so that rows grow with the group and not with its square. The stars' components are
-families: they hold every candidate pair. A family's full sets are compared block by block, and each pair of blocks
-tells a spanning forest of its links. The components of those links are the classes.
+Nodes are distinct sets. Bands give groups of candidates; odd sketches drop pairs that are surely apart. In a few
+rounds each group has a leader: its other members are compared with it in full, so rows grow with the group and not
+with its square. What one component holds needs no further comparison, and a leader is done with. Groups that still
+hold several components are told as forests of near sketches, whose components are families: they hold every candidate
+pair that is left. Of a family, the rest is compared with all, block by block. The components of all links are the
+classes.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ from .common import mixed, staged
 
 #: Bits of an odd sketch, and how many standard deviations under the threshold an estimate may lie.
 SKETCH_BITS, DEVIATIONS = 256, 5.0
-#: Members of a group, and of a family, that are compared in one piece; and shingles in a piece of a family.
-GROUP_BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES = 512, 512, 400_000
+#: Members of a group, and of a family, in a block; shingles in a block of a family; and rounds of leaders.
+GROUP_BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES, LEADERS = 512, 512, 400_000, 2
 #: Columns of the 0/1 matrices that are multiplied at once.
 COLUMNS = 8192
 #: Shingles that are permuted at once.
 SLICE = 1 << 18
-#: Rows that are sent to all tasks at most; beyond that both sides are shuffled.
-MOST_SENT = 1_000_000
+#: Bytes, and rows, that are sent to all tasks at most; beyond that both sides are shuffled.
+SENT_BYTES, MOST_SENT = 32 << 20, 1_000_000
 EDGE = "src long, dst long"
 #: Band keys that a task holds back to count together, and nodes for each range of keys.
 HELD_KEYS, BUCKET_NODES = 1_000_000, 20_000
@@ -60,14 +62,14 @@ def min_hashes(shingle: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """sets by SKETCH_BITS / 8 bytes: each sample flips the bit that its value and place are hashed to."""
+    """sets by SKETCH_BITS / 64 words: each sample flips the bit that its value and place are hashed to."""
     n, sets = samples.shape
     place = np.arange(n, dtype=np.uint64)[:, None] << np.uint64(32)
     bit = (mixed(samples.astype(np.uint64) | place) >> np.uint64(64 - int(math.log2(SKETCH_BITS)))).astype(np.int64)
     flips = np.zeros((sets, SKETCH_BITS), np.uint8)
     for row in bit:
         flips[np.arange(sets), row] ^= 1
-    return np.packbits(flips, axis=1)
+    return np.packbits(flips, axis=1).view(np.int64)
 
 
 def most_bits(similarity: float, samples: int) -> int:
@@ -81,11 +83,11 @@ def most_bits(similarity: float, samples: int) -> int:
 
 
 def band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """sets by bands: 32-bit keys, different for different bands."""
+    """sets by bands: 64-bit keys, different for different bands."""
     h = np.zeros((bands, samples.shape[1]), np.uint64)
     for r in range(rows):
         h = mixed(h * np.uint64(3) + samples[r : bands * rows : rows].astype(np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)[:, None])
-    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32).T
+    return h.view(np.int64).T
 
 
 def grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
@@ -135,10 +137,11 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def counted(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Distinct band keys with their counts, some rows together, packed by range of keys."""
+    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
 
     def packed() -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(held).view(np.uint32), return_counts=True)
-        cut = np.searchsorted(key, np.arange(buckets + 1, dtype=np.uint64) * (1 << 32) // buckets)
+        key, n = np.unique(np.concatenate(held).view(np.uint64), return_counts=True)
+        cut = np.concatenate(([0], np.searchsorted(key, edges), [len(key)]))
         full = np.flatnonzero(np.diff(cut))
         out = [key[cut[i] : cut[i + 1]].tobytes() + n[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in full.tolist()]
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(out, pa.binary())], ["bucket", "packed"])
@@ -157,19 +160,20 @@ def counted(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys that stand more than once, and how often."""
     for t in grouped(batches, ["bucket"]):
-        parts = [np.frombuffer(b, np.uint32).reshape(2, -1) for b in t.column("packed").to_pylist()]
-        key, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        blobs = t.column("packed").to_pylist()
+        key = np.concatenate([np.frombuffer(b, np.uint64, len(b) // 12) for b in blobs])
+        n = np.concatenate([np.frombuffer(b, np.uint32, -1, len(b) // 12 * 8) for b in blobs])
         order = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
         total = np.add.reduceat(n[order].astype(np.int64), first)
-        yield pa.RecordBatch.from_arrays([pa.array(key[order][first][total > 1].view(np.int32)), pa.array(total[total > 1])], ["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[order][first][total > 1].view(np.int64)), pa.array(total[total > 1])], ["key", "n"])
 
 
 def close_pairs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Stars over the members of groups (key, i, j) whose sketches are near. side: 1 for block i, 2 for block j, 3 in one block."""
+    """Forests over the members of blocks (key, i, j), of pairs of both sides and two components whose sketches are near."""
     for t in grouped(batches, ["key", "i", "j"]):
-        node, side = t.column("node").to_numpy(), t.column("side").to_numpy()
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1).view(np.uint64)
+        node, side, own = (t.column(c).to_numpy() for c in ("node", "side", "c"))
+        sketch = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         edge = starts(t, ["key", "i", "j"])
         size = np.diff(edge)
         group = np.repeat(np.arange(len(size)), size)
@@ -178,7 +182,7 @@ def close_pairs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Rec
             a = np.flatnonzero(group[d:] == group[:-d])
             if not len(a):
                 break
-            a = a[(side[a] == 3) | (side[a] != side[a + d])]
+            a = a[(side[a] != side[a + d]) & (own[a] != own[a + d])]
             near = np.bitwise_count(sketch[a] ^ sketch[a + d]).sum(1) <= bits
             left.append(a[near])
             right.append(a[near] + d)
@@ -194,7 +198,7 @@ def hashes(items: list[bytes]) -> list[np.ndarray]:
 
 
 def links(batches: Iterator[pa.RecordBatch], percent: int, sets_of: Callable[[list[bytes]], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Spanning forests of the links in (family, i, j): pairs with 100 * intersection >= percent * union, on full sets."""
+    """Spanning forests of the links in blocks (family, i, j): pairs of both sides with 100 * intersection >= percent * union, on full sets."""
     names = ["family", "i", "j"]
     for table in grouped(batches, names):
         edge = starts(table, names)
@@ -206,7 +210,7 @@ def links(batches: Iterator[pa.RecordBatch], percent: int, sets_of: Callable[[li
                 continue
             node, side, sets = nodes[s:e], sides[s:e], every[s:e]
             if e - s == 2:
-                if side[0] == 3 or side[0] != side[1]:
+                if side[0] != side[1]:
                     both = np.concatenate(sets)
                     both.sort(kind="stable")
                     n = int(np.count_nonzero(both[1:] == both[:-1]))
@@ -239,18 +243,20 @@ def links(batches: Iterator[pa.RecordBatch], percent: int, sets_of: Callable[[li
         yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[at + 1])], ["src", "dst"])
 
 
-def blocked(rows: DataFrame, key: list[str], blocks) -> DataFrame:
-    """Each row once for each pair (i, j) of blocks that its own block is in; blocks: how many the row's group has."""
-    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    out = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("pair", F.explode(pair))
-    side = F.when(F.col("pair.i") == F.col("pair.j"), 3).when(F.col("own") == F.col("pair.i"), 1).otherwise(2)
-    return out.withColumn("i", F.col("pair.i")).withColumn("j", F.col("pair.j")).withColumn("side", side.cast("int")).drop("pair", "own", "blocks")
+def blocked(rows: DataFrame, size, others) -> DataFrame:
+    """The rows of a group in blocks (i, j): each once for every block j of the rest as side 1, and those of the rest (by
+    the column `rest`) once for every block i of all as side 2. size and others: how many blocks all and the rest have."""
+    lot = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    out = rows.withColumn("size", size.cast("int")).withColumn("others", others.cast("int")).withColumn("i", lot(3, F.col("size"))).withColumn("j", lot(4, F.col("others")))
+    one = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: cell(F.col("i"), j, 1))
+    two = F.when(F.col("rest"), F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: cell(i, F.col("j"), 2)))
+    return out.withColumn("cell", F.explode(F.concat(one, F.coalesce(two, F.array().cast("array<struct<i:int,j:int,side:int>>"))))).drop("i", "j", "size", "others", "rest").select("*", "cell.*").drop("cell")
 
 
-def sent(small: DataFrame, rows: int) -> DataFrame:
-    """Sent to all tasks if its counted rows are few."""
-    return F.broadcast(small) if rows <= MOST_SENT else small
+def sent(small: DataFrame, rows: int, width: int = 16) -> DataFrame:
+    """Sent to all tasks if its counted rows, of about `width` bytes each, are few."""
+    return F.broadcast(small) if rows <= MOST_SENT and rows * width <= SENT_BYTES else small
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -275,34 +281,96 @@ def components(edges: DataFrame) -> DataFrame:
     return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def families(nodes: DataFrame, percent: int, samples: int) -> DataFrame:
-    """node and family of the nodes with candidates. nodes: node, bands array<int>, sketch binary, one row a node."""
-    buckets = max(32, nodes.count() // BUCKET_NODES)
-    dealt = nodes.select("bands").mapInArrow(lambda b: counted(b, buckets), "bucket int, packed binary")
-    shared = staged(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(summed, "key int, n long"), "shared")
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    in_groups = staged(keys.join(sent(shared, shared.count()), "key").select("key", "n", "node"), "groups")
-    members = in_groups.select("node").distinct()
-    n = members.count()
-    sketches = nodes.select("node", "sketch").join(sent(members, n), "node")
-    rows = blocked(in_groups.join(sent(sketches, n * 4), "node"), ["key"], F.ceil(F.col("n") / GROUP_BLOCK)).select("key", "i", "j", "side", "node", "sketch")
-    bits = most_bits(percent / 100, samples)
-    stars = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda b: close_pairs(b, bits), EDGE)
-    return components(stars).withColumnRenamed("root", "family")
+def in_blocks(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.repartition(*names).sortWithinPartitions(*names)
+
+
+class Search:
+    """The search for classes. nodes: node, bands array<long>, sketch array<long> and size (of the set), one row a node;
+    full_sets(members, rows) gives node and items (binary) for the members' nodes, sets_of makes sorted 64-bit shingles of items."""
+
+    def __init__(self, nodes: DataFrame, percent: int, samples: int, full_sets: Callable[[DataFrame, int], DataFrame], sets_of: Callable[[list[bytes]], list[np.ndarray]] = hashes):
+        self.nodes, self.percent, self.full_sets, self.sets_of = nodes, percent, full_sets, sets_of
+        self.bits = most_bits(percent / 100, samples)
+
+    def groups(self) -> DataFrame:
+        """key, node and c (the node's component, at first itself) for keys that several nodes have."""
+        buckets = max(32, self.nodes.count() // BUCKET_NODES)
+        dealt = self.nodes.select("bands").mapInArrow(lambda b: counted(b, buckets), "bucket int, packed binary")
+        shared = staged(in_blocks(dealt, "bucket").mapInArrow(summed, "key long, n long"), "shared")
+        keys = self.nodes.select("node", F.explode("bands").alias("key"))
+        return staged(keys.join(sent(shared.select("key"), shared.count()), "key").select("key", "node", F.col("node").alias("c")), "groups")
+
+    def sketches(self, members: DataFrame) -> tuple[DataFrame, int]:
+        n = members.count()
+        out = staged(self.nodes.select("node", "sketch").join(sent(members, n), "node"), "sketches")
+        return out, n
+
+    def sets(self, rows: DataFrame) -> DataFrame:
+        """node and items of the nodes in the column of `rows`, each once."""
+        members = staged(rows.distinct(), "members")
+        return staged(self.full_sets(members, members.count()).dropDuplicates(["node"]), "sets")
+
+    def compared(self, rows: DataFrame) -> DataFrame:
+        """Links of blocks: family, i, j, side, node and items."""
+        percent, sets_of = self.percent, self.sets_of
+        found = in_blocks(rows.select("family", "i", "j", "side", "node", "items"), "family", "i", "j").mapInArrow(lambda b: links(b, percent, sets_of), EDGE)
+        return staged(found.where("src <> dst"), "links")
+
+    def led(self, groups: DataFrame, sketches: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        """Links of each group's least node with its others, and the groups without it."""
+        lead = staged(groups.groupBy("key").agg(F.min(F.struct("node", "c")).alias("lead")), "leaders")
+        others = staged(groups.join(sent(lead, lead.count()), "key").where("node <> lead.node").select("key", "node", "c", F.col("lead.node").alias("family"), F.col("lead.c").alias("lead")), "led")
+        pairs = others.where("c <> lead").select("family", "node").distinct()
+        apart = sum((F.bit_count(F.get("sketch", k).bitwiseXOR(F.get("own", k))) for k in range(SKETCH_BITS // 64)), F.lit(0))
+        own = sketches.select(F.col("node").alias("family"), F.col("sketch").alias("own"))
+        near = staged(pairs.join(sent(sketches, n, 64), "node").join(sent(own, n, 64), "family").where(apart <= self.bits).select("family", "node"), "near")
+        sets = self.sets(near.select("node").unionByName(near.select(F.col("family").alias("node"))))
+        # A block of a leader's pairs, with the leader's own set in each.
+        blocks = staged(near.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks")), "blocks")
+        m = blocks.count()
+        second = near.join(sent(blocks, m), "family").join(sets, "node").select("family", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("i"), F.lit(2).alias("side"), "node", "items")
+        first = blocks.withColumn("node", F.col("family")).join(sets, "node").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(1).alias("side"), "node", "items")
+        return self.compared(first.unionByName(second).withColumn("j", F.lit(0))), others.select("key", "node", "c")
+
+    def rest(self, groups: DataFrame, sketches: DataFrame, n: int, component: DataFrame) -> DataFrame:
+        """Links between the components of each group."""
+        shape = groups.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "c")).alias("lead"))
+        rows = groups.join(shape, "key").withColumn("rest", F.col("c") != F.col("lead.c"))
+        count = rows.groupBy("key").agg(F.sum(F.col("rest").cast("int")).alias("r")).where("r > 0")
+        rows = blocked(rows.join(count, "key").join(sent(sketches, n, 64), "node").drop("lead"), F.ceil(F.col("n") / GROUP_BLOCK), F.ceil(F.col("r") / GROUP_BLOCK))
+        bits = self.bits
+        stars = in_blocks(rows.select("key", "i", "j", "side", "node", "c", "sketch"), "key", "i", "j").mapInArrow(lambda b: close_pairs(b, bits), EDGE)
+        family = staged(components(stars).withColumnRenamed("root", "family"), "families")
+        sized = staged(family.join(self.nodes.select("node", "size"), "node").join(component, "node", "left").select("family", "node", "size", F.coalesce("root", "node").alias("c")), "family-members")
+        main = sized.groupBy("family", "c").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+        marked = sized.join(main, "family").withColumn("rest", F.col("c") != F.col("main"))
+        blocks = lambda own: F.greatest(F.ceil(F.sum(own) / FAMILY_BLOCK), F.ceil(F.sum(F.col("size") * own) / BLOCK_SHINGLES), F.lit(1))
+        pieces = marked.groupBy("family").agg(blocks(F.lit(1)).alias("all"), blocks(F.col("rest").cast("int")).alias("few"))
+        rows = staged(blocked(marked.join(pieces, "family").select("family", "node", "rest", "all", "few"), F.col("all"), F.col("few")), "family-blocks")
+        return self.compared(rows.join(self.sets(sized.select("node")), "node"))
+
+    def classes(self) -> DataFrame:
+        """node and root of the nodes that have links."""
+        groups = self.groups()
+        sketches, n = self.sketches(groups.select("node").distinct())
+        edges, component = None, None
+        for step in range(LEADERS + 1):
+            if step < LEADERS:
+                found, groups = self.led(groups, sketches, n)
+            else:
+                found = self.rest(groups, sketches, n, component)
+            edges = found if edges is None else edges.unionByName(found)
+            component = staged(components(edges), "components")
+            if step < LEADERS:
+                known = groups.select("key", "node").join(sent(component, component.count()), "node", "left").select("key", "node", F.coalesce("root", "node").alias("c"))
+                apart = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+                groups = staged(known.join(apart, "key", "left_semi"), "groups")
+                if groups.isEmpty():
+                    break
+        return component
 
 
 def classes(nodes: DataFrame, percent: int, samples: int, full_sets: Callable[[DataFrame, int], DataFrame], sets_of: Callable[[list[bytes]], list[np.ndarray]] = hashes) -> DataFrame:
-    """node and root of the nodes that have links with 100 * intersection >= percent * union.
-
-    nodes: node, bands, sketch, size (of the set); full_sets(members, rows) gives node and items (binary) for the
-    members' nodes, and sets_of makes sorted 64-bit shingles of items.
-    """
-    found = families(nodes.select("node", "bands", "sketch"), percent, samples)
-    sized = staged(found.join(nodes.select("node", "size"), "node"), "families")
-    n = sized.count()
-    family = sized.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("s")).select("family", F.greatest(F.ceil(F.col("n") / FAMILY_BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).alias("pieces"))
-    pieces = staged(sized.select("node", "family").join(sent(family, n), "family"), "pieces")
-    rows = blocked(full_sets(sized.select("node"), n).join(sent(pieces, n), "node"), ["family"], F.col("pieces")).select("family", "i", "j", "side", "node", "items")
-    edges = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(lambda b: links(b, percent, sets_of), EDGE)
-    return components(edges)
-
+    """node and root of the nodes that have links with 100 * intersection >= percent * union; see Search."""
+    return Search(nodes, percent, samples, full_sets, sets_of).classes()
