@@ -241,23 +241,67 @@ def test_near_documents(docs, rows, none, width, percent):
     assert documents.near_documents(none).count() == 0
 
 
-def test_large_families(spark):
-    """Blocks of a few members: links across blocks are found."""
+@pytest.mark.parametrize("leaders", [1, 2])
+def test_large_families(spark, monkeypatch, leaders):
+    """Blocks of a few members: links across blocks, and between what no leader is near, are found."""
     rng = random.Random(2)
     base = sentence(rng, 200).split(" ")
     rows = []
-    for i in range(60):
+    for i in range(120):
         words = list(base)
-        for _ in range(rng.randint(0, 9)):
+        if i % 40 == 39:
+            base = words
+        for _ in range(rng.randint(0, 13)):
             words[rng.randrange(200)] = f"w{rng.random()}"
         rows.append((i, " ".join(words)))
-    keep = near.FAMILY_BLOCK, near.GROUP_BLOCK
-    near.FAMILY_BLOCK, near.GROUP_BLOCK = 7, 5
-    try:
-        got = {r["doc_id"]: r["component_id"] for r in documents.near_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
-    finally:
-        near.FAMILY_BLOCK, near.GROUP_BLOCK = keep
-    assert [got[i] for i in range(60)] == union(60, links(list(word_sets([t for _, t in rows], 3)), 85))
+    for name, value in (("FAMILY_BLOCK", 7), ("GROUP_BLOCK", 5), ("LEADERS", leaders)):
+        monkeypatch.setattr(near, name, value)
+    got = {r["doc_id"]: r["component_id"] for r in documents.near_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert [got[i] for i in range(120)] == union(120, links(list(word_sets([t for _, t in rows], 3)), 85))
+
+
+def test_chain(spark, monkeypatch):
+    """Each text is near the next two alone, so that one leader links few of them."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(words[8 * i : 8 * i + 160])) for i in range(90)]
+    rng.shuffle(rows)
+    monkeypatch.setattr(near, "GROUP_BLOCK", 6)
+    got = {r["doc_id"]: r["component_id"] for r in documents.near_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    want = union(90, links(list(word_sets([t for _, t in sorted(rows)], 3)), 85))
+    assert [got[i] for i in range(90)] == want and len(set(want)) < 5
+
+
+def test_blocks_meet(spark):
+    """Every pair of a group with one of the rest meets in a block, and rows grow with both, not with the square of a group."""
+    rows = spark.createDataFrame([(0, i, i < 40) for i in range(1000)], "key long, node long, rest boolean")
+    got = near.blocked(rows, F.lit(10), F.lit(1)).collect()
+    assert len(got) == 1000 + 40 * 10
+    sides = collections.defaultdict(lambda: (set(), set()))
+    for r in got:
+        sides[r["i"], r["j"]][r["side"] - 1].add(r["node"])
+    met = {(a, b) for one, two in sides.values() for a in one for b in two}
+    assert met == {(a, b) for a in range(1000) for b in range(40)}
+
+
+def test_hot_family(spark, monkeypatch):
+    """A family's rows grow with its members: all but the leader are compared with it alone."""
+    seen = []
+    monkeypatch.setattr(near.Search, "compared", lambda self, rows, real=near.Search.compared: (seen.append(rows.count()), real(self, rows))[1])
+    monkeypatch.setattr(near, "GROUP_BLOCK", 50)
+    monkeypatch.setattr(near, "FAMILY_BLOCK", 50)
+    rng = random.Random(31)
+    base = [f"w{i}" for i in range(300)]
+    for n in (200, 800):
+        rows = []
+        for i in range(n):
+            w = list(base)
+            w[rng.randrange(300)] = f"x{i}"
+            rows.append((i, " ".join(w)))
+        seen.clear()
+        got = documents.near_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+        assert {r["component_id"] for r in got.collect()} == {0}
+        assert sum(seen) < 8 * n
 
 
 def test_components(spark):
@@ -273,9 +317,9 @@ def test_key_counts(monkeypatch):
     import pyarrow as pa
 
     rng = random.Random(8)
-    keys = [[rng.choice([-5, 7, 1 << 30, rng.randrange(-(1 << 31), 1 << 31)]) for _ in range(4)] for _ in range(300)]
+    keys = [[rng.choice([-5, 7, 1 << 62, rng.randrange(-(1 << 63), 1 << 63)]) for _ in range(4)] for _ in range(300)]
     monkeypatch.setattr(near, "HELD_KEYS", 100)
-    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 40], pa.list_(pa.int32()))], ["bands"]) for i in range(0, 300, 40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 40], pa.list_(pa.int64()))], ["bands"]) for i in range(0, 300, 40)]
     packed = pa.Table.from_batches(list(near.counted(iter(batches), 8))).sort_by("bucket").combine_chunks().to_batches(max_chunksize=5)
     got = {k: n for b in near.summed(iter(packed)) for k, n in zip(b.column("key").to_pylist(), b.column("n").to_pylist(), strict=True)}
     assert got == {k: n for k, n in collections.Counter(x for row in keys for x in row).items() if n > 1}
