@@ -2,7 +2,8 @@
 
 Every text node has a path of tags from the root. Text length and punctuation are summed for each path, divided by
 the path's nodes, smoothed along the page and fused; nodes whose fused ratio reaches a threshold are content. The
-article is the element that holds them, less the parts that its mark-up names as something else.
+article is the smallest part of the page that covers them. In it, lists of links go whose path stays under the
+threshold, and so does what mark-up names as something else, unless its path shows that it is prose.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,40 +28,62 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("body head html option tbody td tfoot th thead tr legend".split())
 IMPLIED = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tbody thead tfoot tr td th", "table"), "thead": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table")}
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
-#: Elements that are never article text, and words of class, id and role that name menus, adverts, notices, comments and the like.
+#: Elements that are never article text.
 DROPPED = frozenset("head script style title template noscript iframe object svg math canvas audio video nav footer aside form button select textarea input dialog menu search noembed noframes xmp".split())
+#: Words of class, id and role that name readers' comments and adverts; those that name menus, notices and the like; and words that go with either.
+NEVER = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored comment comments commentlist reply replies respond disqus".split())
 NAMED = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer masthead comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations toolbar pagination pager skip copyright disclaimer hidden complementary contentinfo search".split()
+    "promo promos promotion promotions banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars widget widgets footer masthead discussion cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations toolbar pagination pager skip copyright disclaimer hidden complementary contentinfo search".split()
 )
-MAIN = frozenset("article main".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?=/?\Z)", re.S)
+PLAIN = frozenset("area article articles bar block bottom box button buttons container content form group header icon icons inner item items left link links list main message more outer page panel post posts right section site slot stories text thread title top unit wrap wrapper".split())
+MAIN, HEADINGS = frozenset("article main".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose names are no hints, as their ids come from titles; and those in which a text that is all link is no list of links.
+UNNAMED, WORDED = frozenset("html body article main p".split()) | HEADINGS, HEADINGS | frozenset("p blockquote figcaption td th caption pre".split())
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)|<(?=/?\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-NAME = re.compile(r"[a-z]+")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SIGNS = re.compile(r"[.,;:!?…。、，；：！？¡¿]")
-#: Spread of the smoothing along the page, in nodes, and how many standard deviations of the fused ratios the threshold lies under their mean.
-SPREAD, DEVIATIONS = 1.0, 0.75
+#: Spread of the smoothing along the page, in nodes; the threshold's share of the mean ratio of a letter; nodes of a path that make a list of links; and letters of named content, to one of other content, that make a name a wrapper's.
+SPREAD, SHARE, LISTED, WRAPPED = 1.0, 0.1, 3, 4
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
 class Node:
-    __slots__ = ("body", "dropped", "kept", "parent", "path", "tag")
+    """An element. path: a number that elements with the same tags from the root share; hint: 0, or 1 in what is named as
+    no article, 2 in comments and adverts; link: in a link; worded: in a heading, paragraph, cell and the like."""
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, body: bool):
-        self.tag, self.parent, self.dropped, self.body, self.kept = tag, parent, dropped, body, 0
-        self.path = f"{parent.path}/{tag}" if parent and len(parent.path) < 2000 else tag
+    __slots__ = ("body", "content", "dropped", "hint", "inside", "link", "parent", "path", "tag", "worded")
 
+    def __init__(self, tag: str, parent: Node | None, paths: dict[tuple[int, str, int], int], dropped: bool = False, body: bool = False, hint: int = 0):
+        self.tag, self.parent, self.dropped, self.body, self.hint, self.content, self.inside = tag, parent, dropped, body, hint, 0, False
+        self.link = tag == "a" or parent is not None and parent.link
+        self.worded = tag in WORDED or parent is not None and parent.worded
+        self.path = paths.setdefault((parent.path if parent else -1, tag, hint), len(paths))
 
-def parsed(page: str, by_name: bool = True) -> list[tuple[Node, int, str]]:
-    """(element, block number, raw text) of the text nodes outside dropped elements, in page order; by_name: drop elements by class, id and role too."""
-    root = Node("", None, False, False)
-    stack, out, at, block = [root], [], 0, 0
-    open_p = 0
+
+def hinted(value: str) -> int:
+    """2 if a name is made of words for comments and adverts, 1 if of words for menus, notices and the like, else 0."""
+    out = 0
+    for token in value.split():
+        found = {w.lower() for w in WORD.findall(token)}
+        if found <= NEVER | NAMED | PLAIN:
+            out = max(out, 2 * (not NEVER.isdisjoint(found)), int(not NAMED.isdisjoint(found)))
+    return out
+
+
+def parsed(page: str) -> tuple[list[Node], list[tuple[Node, int, str]]]:
+    """All elements in page order, and (element, block number, raw text) of the text nodes outside dropped elements."""
+    paths: dict[tuple[int, str, int], int] = {}
+    root = Node("", None, paths)
+    every, stack, out, at, block = [root], [root], [], 0, 0
+    still: Counter[str] = Counter()
 
     def pop() -> None:
-        nonlocal open_p
-        open_p -= stack.pop().tag == "p"
+        still[stack.pop().tag] -= 1
 
     def close(tags, stops) -> None:
+        if not any(still[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 while len(stack) > i:
@@ -89,7 +112,7 @@ def parsed(page: str, by_name: bool = True) -> list[tuple[Node, int, str]]:
         if tag in BLOCK:
             block += 1
         if m[1]:
-            if tag == "p" and not open_p:
+            if not still[tag]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -99,7 +122,7 @@ def parsed(page: str, by_name: bool = True) -> list[tuple[Node, int, str]]:
                 if stack[i].tag in BLOCK and tag not in BLOCK:
                     break
             continue
-        if tag in CLOSES_P and open_p:
+        if tag in CLOSES_P and still["p"]:
             close(frozenset(("p",)), frozenset(("td", "th", "table", "button", "object")))
         if tag in IMPLIED:
             close(*IMPLIED[tag])
@@ -107,19 +130,19 @@ def parsed(page: str, by_name: bool = True) -> list[tuple[Node, int, str]]:
             text(" ")
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
-        if len(stack) > 500:  # deeper elements are taken as parts of this one
-            continue
         top = stack[-1]
-        dropped, body = top.dropped or tag in DROPPED, top.body or tag in MAIN
+        dropped, body, hint = top.dropped or tag in DROPPED, top.body or tag in MAIN, top.hint
         if m[3]:
             for a in ATTRIBUTE.finditer(m[3]):
-                name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
-                if name == "hidden" or name == "aria-hidden" and value == "true":
+                name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+                if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                     dropped = True
-                elif name == "itemprop" and value == "articlebody" or name == "role" and value == "main":
+                elif name == "itemprop" and value.lower() == "articlebody" or name == "role" and value.lower() == "main":
                     body = True
-                elif by_name and (tag not in ("html", "body", "article", "main") or "comment" in value):
-                    dropped = dropped or not NAMED.isdisjoint(NAME.findall(value))
+                elif tag not in UNNAMED:
+                    hint = max(hint, hinted(value))
+                elif tag in MAIN and "comment" in value.lower():
+                    hint = 2
         if tag == "header" and not top.body:
             dropped = True
         if tag in RAW:
@@ -128,9 +151,10 @@ def parsed(page: str, by_name: bool = True) -> list[tuple[Node, int, str]]:
                 text(page[at : close_at.start()])
             at = close_at.start() if close_at else end
             continue
-        stack.append(Node(tag, top, dropped, body))
-        open_p += tag == "p"
-    return out
+        stack.append(Node(tag, top, paths, dropped, body, hint))
+        every.append(stack[-1])
+        still[tag] += 1
+    return every, out
 
 
 def smoothed(x: list[float]) -> list[float]:
@@ -142,64 +166,75 @@ def smoothed(x: list[float]) -> list[float]:
     return out
 
 
-def ratios(nodes: list[tuple[Node, int, str]]) -> list[float]:
-    """The fused ratio of each text node: of letters, and of signs, a node of its path."""
+def ratios(nodes: list[tuple[Node, int, str]]) -> tuple[list[float], list[float]]:
+    """The fused ratio of each text node, smoothed and as its path has it: of letters, and of signs, a node of the path."""
     total = defaultdict(lambda: [0, 0, 0])
     for element, _, s in nodes:
         sums = total[element.path]
         sums[0] += len(s)
         sums[1] += len(SIGNS.findall(s))
         sums[2] += 1
-    length = smoothed([total[e.path][0] / total[e.path][2] for e, _, _ in nodes])
-    signs = smoothed([total[e.path][1] / total[e.path][2] for e, _, _ in nodes])
-    return [n * (1 + s) for n, s in zip(length, signs, strict=True)]
-
-
-def article(nodes: list[tuple[Node, int, str]]) -> Node | None:
-    """The element that holds the content: of the marked main parts the richest in content nodes, or else the smallest
-    element with most of the text of content nodes."""
-    fused = ratios(nodes)
-    mean = sum(fused) / len(fused)
-    deviation = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    least = min(max(fused), mean - DEVIATIONS * deviation)
-    total = 0
-    seen = []
-    for (element, _, s), x in zip(nodes, fused, strict=True):
-        if x < least:
-            continue
-        content, e = len(s), element
-        total += content
-        while e:
-            if not e.kept:
-                seen.append(e)
-            e.kept += content
-            e = e.parent
-    marked = [e for e in seen if e.body and not e.parent.body]
-    if marked:
-        return max(marked, key=lambda e: e.kept)
-    inside = [e for e in seen if e.tag in BLOCK and e.tag != "p" and e.kept * 10 >= total * 7]
-    return max(inside, key=lambda e: e.path.count("/"), default=None)
+    length = [total[e.path][0] / total[e.path][2] for e, _, _ in nodes]
+    signs = [total[e.path][1] / total[e.path][2] for e, _, _ in nodes]
+    fuse = lambda a, b: [n * (1 + s) for n, s in zip(a, b, strict=True)]
+    return fuse(smoothed(length), smoothed(signs)), fuse(length, signs)
+
+
+def article(every: list[Node], nodes: list[tuple[Node, int, str]], content: list[bool]) -> None:
+    """Marks as inside the smallest part of the page that covers the content nodes: every outermost marked main part that
+    holds any, or their one article; else the smallest element that holds all, and headings of the first order before it."""
+    for e in every:
+        e.content = 0
+    for (element, _, s), good in zip(nodes, content, strict=True):
+        element.content += len(s) * good
+    for e in reversed(every[1:]):
+        e.parent.content += e.content
+    marked = [e for e in every[1:] if e.body and not e.parent.body and e.content]
+    for e in [x for x in every if x.tag == "article" and x.parent.tag != "article"] if len(marked) == 1 and marked[0].tag != "article" else ():
+        if e.content == marked[0].content:
+            marked = [e]
+            break
+    if not marked:
+        # Down from the root while one child holds all.
+        top = every[0]
+        for e in every[1:]:
+            if e.parent is top and e.content == top.content and e.tag != "p" and e.tag in BLOCK | {"html"}:
+                top = e
+        marked = [top]
+    own = set(marked)
+    first = marked[0]
+    seen = False
+    for e in every:
+        seen = seen or e is first
+        e.inside = e in own or bool(e.parent and e.parent.inside) or not seen and e.tag == "h1" and e.parent is first.parent and not e.hint
 
 
 def main_text(page: str) -> str:
     """Blocks of the article, in page order, one to a line."""
-    for by_name in (True, False):  # a wrapper's class may name what a part of the page is
-        nodes = parsed(page, by_name)
-        read = [(e, b, t) for e, b, s in nodes if (t := html.unescape(s)).strip()]
-        if read:
-            break
-    else:
+    every, nodes = parsed(page)
+    read = [(e, b, t) for e, b, s in nodes if (t := html.unescape(s)).strip()]
+    if not read:
         return ""
-    top = article(read)
+    smooth, plain = ratios(read)
+    fused = [math.sqrt(x * y) for x, y in zip(smooth, plain, strict=True)]
+    letters = sum(len(s) for _, _, s in read)
+    least = SHARE * sum(x * len(s) for x, (_, _, s) in zip(plain, read, strict=True)) / letters
+    good = [sum(len(s) for x, (e, _, s) in zip(fused, read, strict=True) if x >= least and e.hint == k and not (k and e.body)) for k in range(3)]
+    for e in every:  # a wrapper may be named after a part of the page
+        if WRAPPED * good[0] < good[1] and e.hint == 1 or not good[0] + good[1]:
+            e.hint = 0
+    content = [x >= least and not e.hint for x, (e, _, _) in zip(fused, read, strict=True)]
+    if not any(content):
+        content = [True] * len(read)
+    article(every, read, content)
     lines: dict[int, list[str]] = {}
-    inside: dict[Node, bool] = {}
+    known = {id(e): x for x, (e, _, _) in zip(plain, read, strict=True)}
+    times = Counter(e.path for e, _, _ in read)
+    alone: dict[int, bool] = {}
+    for e, b, _ in read:
+        alone[b] = alone.get(b, True) and e.link and not e.worded and known[id(e)] < least and times[e.path] >= LISTED
     for element, block, s in nodes:
-        if element not in inside:
-            e = element
-            while e and e is not top:
-                e = e.parent
-            inside[element] = top is None or e is top
-        if inside[element]:
+        if element.inside and not alone.get(block) and (not element.hint or element.hint == 1 and element.body and known.get(id(element), 0) >= least):
             lines.setdefault(block, []).append(s)
     out = [" ".join(html.unescape("".join(parts)).split()) for parts in lines.values()]
     return "\n".join(x for x in out if x)
@@ -214,7 +249,9 @@ def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, main text and its code points for every page. One pass without a shuffle.
 
-    A null or empty page, and one without article text, has an empty text. A page that breaks off is read as far as it
+    A null or empty page, and one without article text, has an empty text. Mark-up that names a part as menu, notice or
+    the like drops it outside a marked article, and inside only where its path's ratio is low too; comments and adverts
+    go from both. Headings, cells and short items of the article stay, whatever their ratio. A page that breaks off is read as far as it
     goes. page_id and url may be null or repeated: each row gives one row. Other columns of `pages` are not read.
     """
     return bounded(pages).select("page_id", "url", "html").mapInArrow(extracted, SCHEMA)
