@@ -9,8 +9,10 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from fractions import Fraction
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -532,19 +534,72 @@ def test_extract(spark):
     assert text[4] == ["only & text"] and text[5] == ["The title\nOne & two, three. Four five.\nSix"] and text[6] == ["deep, text."] and text[8] == ["c"] and text[10] == ["&am"] and len(text[9][0]) == 100000
 
 
-def test_extract_by_ratios():
-    """Without an article element, the part with the text is found."""
-    menu = "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(20))
-    body = "".join(f"<p>Sentence {i}, with words, and more words. And another one, too.</p>" for i in range(6))
-    text = extract.main_text(f"<html><body><div><ul>{menu}</ul></div><div><div><h2>Head</h2>{body}</div></div><div><a>x</a></div></body></html>")
-    assert extract.main_text('<body><div class="page with-sidebar"><article><p>Kept, here.</p></article></div></body>') == "Kept, here."
-    assert text.startswith("Head\nSentence 0,") and "Link" not in text and text.count("\n") == 6
+PROSE = "Prose that goes on, and on, with words; and more. " * 6
+LINKS = "<ul>" + "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(15)) + "</ul>"
+#: Pages of several layouts, and their article's blocks.
+LABELLED = [
+    (f"<body><div>{LINKS}</div><div><div><h2>Head</h2><p>{PROSE}<p>{PROSE}</div></div><div><a>x</a></div></body>", ["Head", PROSE, PROSE]),
+    ('<body><div class="page with-sidebar"><article><p>Kept, here.</p></article></div></body>', ["Kept, here."]),
+    (f"<article><h1>T</h1><p>{PROSE}</p>{LINKS}<p>{PROSE}</p></article>", ["T", PROSE, PROSE]),
+    (f"<article><p>{PROSE}</p><section class='related-work'><h2 id='search-trees'>Search</h2><p>{PROSE}</p></section></article>", [PROSE, "Search", PROSE]),
+    (f"<article><p>{PROSE}</p><div class='notice'><p>{PROSE}</p></div><p class=notice>Short.</p></article><div class=notice>{PROSE}</div>", [PROSE, PROSE, "Short."]),
+    (f"<article><p>{PROSE}</p><div class='share-buttons'>Share this</div><div id=comments><p>{PROSE}</p></div><div class='ad'>{PROSE}</div></article>", [PROSE]),
+    (f"<article><h3 id='social-impact'>Impact</h3><p>{PROSE}</p><table><tr><td>1<td>2</table><ul><li>one<li>two</ul></article>", ["Impact", PROSE, "1", "2", "one", "two"]),
+    (f"<main><article><p>{PROSE}</article><article><p>{PROSE} End.</article></main>", [PROSE, PROSE + "End."]),
+    (f"<article><p>{PROSE}</article><article><p>{PROSE} End.</article><article class=comment><p>{PROSE}</article>", [PROSE, PROSE + "End."]),
+    (f"<main><div>{LINKS}</div><article><p>{PROSE}</article></main>", [PROSE]),
+    (f"<body><h1>Title</h1><div><p>{PROSE}</div><div>more</div></body>", ["Title", PROSE]),
+    (f"<body><div><p>{PROSE}</div><div><p>{PROSE}</div></body>", [PROSE, PROSE]),
+    (f"<body class=sidebar><div class='menu'><p>{PROSE}</p></div></body>", [PROSE]),
+    ("<div>" * 600 + f"<script>var x='leak';</script><nav>menu</nav><p>{PROSE}</p>" + "</div>" * 600, [PROSE]),
+    (f"<div><a title='x>y' href=\"z\" \">Link</a> and <b>text,</b> here.</div><p>{PROSE}", ["Link and text, here.", PROSE]),
+]
+
+
+@pytest.mark.parametrize("at", range(len(LABELLED)))
+def test_extract_labelled(at):
+    page, want = LABELLED[at]
+    assert extract.main_text(page) == "\n".join(x.strip() for x in want)
+
+
+def test_ratios():
+    """Against paths that are written out."""
+    rng = random.Random(8)
+    for _ in range(40):
+        page = "".join(rng.choice(["<div>", "</div>", "<p>", "<b>", "</b>", "<ul><li>", "</ul>", "<a href=x>", "</a>", "Some text, and more. ", "word "]) for _ in range(60))
+        _, nodes = extract.parsed(page)
+        if not nodes:
+            continue
+
+        def path(e):
+            return (path(e.parent) if e.parent else ()) + (e.tag,)
+
+        mean = lambda f, e: np.mean([f(s) for o, _, s in nodes if path(o) == path(e)])  # noqa: E731, B023
+        signs = lambda s: sum(c in ".,;:!?" for c in s)
+        smooth, plain = extract.ratios(nodes)
+        assert np.allclose(plain, [mean(len, e) * (1 + mean(signs, e)) for e, _, _ in nodes])
+        weight = lambda x, i: sum(math.exp(-((i - j) ** 2) / 2) * x[j] for j in range(len(x)) if abs(i - j) < 3) / sum(math.exp(-((i - j) ** 2) / 2) for j in range(len(x)) if abs(i - j) < 3)
+        length, sign = [mean(len, e) for e, _, _ in nodes], [mean(signs, e) for e, _, _ in nodes]
+        assert np.allclose(smooth, [weight(length, i) * (1 + weight(sign, i)) for i in range(len(nodes))])
+
+
+def test_deep_pages():
+    began = time.time()
+    assert len(extract.main_text("<div>x, y." * 20000)) == 119999
+    assert extract.main_text("<li><b>" * 20000 + "deep, text.") == "deep, text."
+    assert extract.main_text("<p></section></b>" * 20000 + "<a \"" * 2000 + ">x, y.") == "x, y."
+    assert time.time() - began < 20
 
 
 def test_extract_pages_table(spark, folder):
-    for r in extract.extract_pages(spark.read.parquet(f"{folder}/pages.parquet")).collect():
-        assert "Nicht aulich" not in r["text"] or r["text"].count("Nicht") > 0
-        assert "<p>" not in r["text"] and "track(" not in r["text"]
+    """The given pages hold one article each; all of it, and nothing else, is told."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    for r in extract.extract_pages(pages).collect():
+        inside = re.search(r"<article>(.*)</article>", html[r["page_id"]], re.S)[1]
+        words = lambda x: re.sub(r"\s+", "", unescape(re.sub(r"<[^>]*>", "", x)))
+        assert words(r["text"]) == words(inside)
+    assert extract.extract_pages(pages.limit(0)).count() == 0
 
 
 # 10
