@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, mixed, powers, prefix_hash, span_hash, staged
+from .common import MASK, bounded, mixed, powers, prefix_hash, span_hash, staged
 from .near import grouped, sent, starts
 
 #: Bytes of a repeated string, of a leading token, and windows that a suffix may stand for.
@@ -27,6 +27,8 @@ REACH = LENGTH - TOKEN + 1
 PIECE = 1_000_000
 #: Bytes of text for a range of suffixes, suffixes sampled for each splitter, and suffixes that a task holds back to send together.
 RANGE_BYTES, SAMPLED, HELD = 8_000_000, 64, 400_000
+#: Splitters at most, as they go to the driver and to all tasks: beyond them ranges are cut into pieces of equal width. Ranges a task sorts one by one, and tasks at most.
+MOST_SPLITTERS, RANGES_A_TASK, MOST_TASKS = 4096, 4, 100_000
 #: Added to the number of windows, of REACH at most, of stretches that are known to come again, and of those with a common token.
 AGAIN, COMMON = 128, 64
 #: A leading token with more stretches than this is compared by its windows' first documents instead.
@@ -35,7 +37,7 @@ MANY = 20_000
 OFTEN = SAMPLED // 4
 #: Packed bytes up to which removed runs are sent to all tasks.
 MOST_BYTES = 64_000_000
-FOUND = "open boolean, token long, doc long, version int, at int, windows int"
+FOUND = "open boolean, token long, doc long, version long, at int, windows int"
 
 
 def suffixes(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -107,7 +109,15 @@ def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(token[drawn].view(np.int64))], ["token"])
 
 
-def dealt(batches: Iterator[pa.RecordBatch], cuts: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+def bucket_of(token: np.ndarray, cuts: np.ndarray, pieces: int) -> np.ndarray:
+    """The range of each token, by splitters, each range cut into so many pieces of equal width."""
+    edge = np.concatenate(([np.uint64(0)], cuts, [np.uint64(MASK)])).astype(np.float64)
+    at = np.searchsorted(cuts, token, side="right")
+    part = (token.astype(np.float64) - edge[at]) / np.maximum(edge[at + 1] - edge[at], 1) * pieces
+    return at * pieces + np.clip(part.astype(np.int64), 0, pieces - 1)
+
+
+def dealt(batches: Iterator[pa.RecordBatch], cuts: np.ndarray, often: np.ndarray, pieces: int = 1) -> Iterator[pa.RecordBatch]:
     """Suffixes packed by range: columns one after another, hashes cut to 6 bytes, documents as differences.
 
     A stretch that a smaller document of the same batch has is known to come again: it is marked by AGAIN and goes to
@@ -117,14 +127,15 @@ def dealt(batches: Iterator[pa.RecordBatch], cuts: np.ndarray, often: np.ndarray
 
     def packed() -> pa.RecordBatch:
         token, stretch, doc, version, at, windows = (np.concatenate(c) for c in zip(*held, strict=True))
-        bucket = np.searchsorted(cuts, token, side="right")
-        by = np.argsort(stretch, kind="stable")
-        new = np.append(True, stretch[by][1:] != stretch[by][:-1])
+        token &= ~np.uint64(0xFFFF)  # tokens are compared by their upper 6 bytes
+        bucket = bucket_of(token, cuts, pieces)
+        by = np.lexsort((token, stretch))
+        new = np.append(True, (stretch[by][1:] != stretch[by][:-1]) | (token[by][1:] != token[by][:-1]))
         again = np.empty(len(by), bool)
         again[by] = doc[by] > np.minimum.reduceat(doc[by], np.flatnonzero(new))[np.cumsum(new) - 1]
-        common = np.isin(token & ~np.uint64(0xFFFF), often) & ~again
+        common = np.isin(token, often) & ~again
         spread = again | common
-        bucket[spread] = np.arange(spread.sum()) % (len(cuts) + 1)
+        bucket[spread] = np.arange(spread.sum()) % ((len(cuts) + 1) * pieces)
         windows = windows + AGAIN * again + COMMON * common
         order = np.argsort(bucket, kind="stable")
         edge = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
@@ -133,7 +144,7 @@ def dealt(batches: Iterator[pa.RecordBatch], cuts: np.ndarray, often: np.ndarray
             o = order[s:e]
             six = [x[o].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for x in (token, stretch)]
             d = doc[o]
-            out.append(b"".join([*six, np.diff(d, prepend=0).astype("<i8").tobytes(), version[o].astype("<u2").tobytes(), at[o].astype("<u4").tobytes(), windows[o].astype(np.uint8).tobytes()]))
+            out.append(b"".join([*six, np.diff(d, prepend=0).astype("<i8").tobytes(), version[o].astype("<i8").tobytes(), at[o].astype("<u4").tobytes(), windows[o].astype(np.uint8).tobytes()]))
         return pa.RecordBatch.from_arrays([pa.array(bucket[order[edge[:-1]]], pa.int32()), pa.array(out, pa.binary())], ["bucket", "packed"])
 
     held, n = [], 0
@@ -152,9 +163,9 @@ def dealt(batches: Iterator[pa.RecordBatch], cuts: np.ndarray, often: np.ndarray
 def unpacked(blobs: list[bytes]) -> list[np.ndarray]:
     columns = []
     for b in blobs:
-        n = len(b) // 27
+        n = len(b) // 33
         at, parts = 0, []
-        for width, kind in ((6, None), (6, None), (8, "<i8"), (2, "<u2"), (4, "<u4"), (1, "u1")):
+        for width, kind in ((6, None), (6, None), (8, "<i8"), (8, "<i8"), (4, "<u4"), (1, "u1")):
             raw = np.frombuffer(b, np.uint8, n * width, at)
             at += n * width
             if kind is None:
@@ -177,7 +188,7 @@ def sorted_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token, stretch, doc, version, at, windows = unpacked(t.column("packed").slice(s, e - s).to_pylist())
             known = windows >= COMMON
             yield pa.RecordBatch.from_arrays(
-                [pa.array(windows[known] < AGAIN), pa.array(token[known].view(np.int64)), pa.array(doc[known]), pa.array(version[known].astype(np.int32)), pa.array(at[known].astype(np.int32)), pa.array((windows[known] % COMMON).astype(np.int32))],
+                [pa.array(windows[known] < AGAIN), pa.array(token[known].view(np.int64)), pa.array(doc[known]), pa.array(version[known]), pa.array(at[known].astype(np.int32)), pa.array((windows[known] % COMMON).astype(np.int32))],
                 ["open", "token", "doc", "version", "at", "windows"],
             )
             token, stretch, doc, version, at, windows = (x[~known] for x in (token, stretch, doc, version, at, windows))
@@ -197,7 +208,7 @@ def sorted_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = again | open_
             o = order[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(open_[keep]), pa.array(token[keep].view(np.int64)), pa.array(doc[keep]), pa.array(version[o].astype(np.int32)), pa.array(at[o].astype(np.int32)), pa.array(windows[o].astype(np.int32))],
+                [pa.array(open_[keep]), pa.array(token[keep].view(np.int64)), pa.array(doc[keep]), pa.array(version[o]), pa.array(at[o].astype(np.int32)), pa.array(windows[o].astype(np.int32))],
                 ["open", "token", "doc", "version", "at", "windows"],
             )
 
@@ -231,7 +242,7 @@ def stretches(batches: Iterator[pa.RecordBatch], hot: np.ndarray, by_window: boo
                     content.append(text[a : a + w - 1 + LENGTH])
             doc += [d] * (len(key) - len(doc))
             version += [v] * (len(key) - len(version))
-        columns = [pa.array(key, pa.binary() if by_window else pa.int64()), pa.array(doc, pa.int64()), pa.array(version, pa.int32()), pa.array(place, pa.int32())]
+        columns = [pa.array(key, pa.binary() if by_window else pa.int64()), pa.array(doc, pa.int64()), pa.array(version, pa.int64()), pa.array(place, pa.int32())]
         yield pa.RecordBatch.from_arrays([*columns, *([] if by_window else [pa.array(content, pa.binary())])], ["key", "doc", "version", "at", *([] if by_window else ["content"])])
 
 
@@ -308,6 +319,11 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _unsigned(tokens: list[int]) -> np.ndarray:
+    """Tokens whose upper bit was turned over, so that signed numbers are in the order of unsigned ones."""
+    return np.array(tokens, np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for every document.
 
@@ -315,42 +331,61 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     on the input. Equal texts are found first: of those only the first is sorted, the others go whole.
 
     A null text is an empty one. A document without doc_id stays whole and takes nothing from others. Rows that share a
-    doc_id are told apart by their texts and take nothing from each other. No rows give no rows. Other columns of
-    `docs` are not read.
+    doc_id are told apart by their texts and take nothing from each other; equal rows are treated alike. No rows give no
+    rows. Other columns of `docs` are not read.
+
+    Texts are equal by SHA-256; a stretch comes again if its token and itself agree in 96 bits, a window if its token and
+    itself agree in 128. What reaches the driver: MOST_SPLITTERS splitters, and the few tokens that would fill a range.
     """
-    table = bounded(docs).select("doc_id", "text", F.xxhash64("text").alias("hash")).withColumn("version", F.expr("cast(hash & 65535 as int)"))
+    table = bounded(docs).select("doc_id", "text", F.sha2("text", 256).alias("hash"))
     known = table.where("doc_id is not null and octet_length(text) >= 50")
     copies = staged(known.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first"), "passage-copies")
     n_copies = copies.count()
+    # Ids that several rows have: their rows are told apart by a version, and equal rows are one.
+    several = staged(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("several")), "passage-ids")
+    n_several = several.count()
     total = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    judged = lambda t: t.join(sent(copies, n_copies), "hash", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
-    heads = judged(known).where("not copy").select("doc_id", "version", "text")
+
+    def judged(t: DataFrame) -> DataFrame:
+        t = t.join(sent(copies, n_copies, 80), "hash", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+        t = t.join(sent(several, n_several), "doc_id", "left") if n_several else t.withColumn("several", F.lit(None).cast("boolean"))
+        return t.withColumn("version", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0)).cast("long"))
+
+    heads = judged(known).where("not copy").select("doc_id", "version", "several", "text")
+    if n_several:
+        heads = heads.where("several is null").unionByName(heads.where("several").dropDuplicates(["doc_id", "version"]))
+    heads = heads.drop("several")
 
     ranges = -(-total // RANGE_BYTES)
     part = min(1.0, ranges * SAMPLED * 8 * REACH / 2 / max(1, total))
-    lot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)) + 1)
-    # About SAMPLED tokens for each range.
-    drawn = heads.where(lot).select("text").mapInArrow(sampled, "token long").toPandas()["token"].to_numpy().view(np.uint64) if ranges > 1 else np.zeros(0, np.uint64)
-    seen, times = np.unique(drawn & ~np.uint64(0xFFFF), return_counts=True)
-    often = seen[times >= OFTEN]
-    drawn = drawn[~np.isin(drawn & ~np.uint64(0xFFFF), often)]
-    cuts = np.unique(np.sort(drawn)[np.arange(1, ranges) * len(drawn) // ranges]) if len(drawn) else drawn
-    cuts &= ~np.uint64(0xFFFF)  # tokens are compared by their upper 6 bytes
-
-    suffix = heads.mapInArrow(lambda b: dealt(b, cuts, often), "bucket int, packed binary")
-    found = staged(suffix.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sorted_range, FOUND), "passage-suffixes")
+    lot = F.pmod(F.xxhash64("doc_id", "version", F.lit(11)), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)) + 1)
+    cuts, often, pieces = np.zeros(0, np.uint64), np.zeros(0, np.uint64), 1
+    if ranges > 1:
+        # About SAMPLED tokens for each range, in the order of unsigned numbers.
+        drawn = staged(heads.where(lot).select("text").mapInArrow(sampled, "token long").select(F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("token")), "passage-sample")
+        upper = F.col("token").bitwiseAND(F.lit(-65536))
+        common = drawn.groupBy(upper.alias("token")).agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).select("token")
+        often = _unsigned([r[0] for r in common.collect()])
+        splitters = min(ranges, MOST_SPLITTERS)
+        rest = drawn.withColumn("upper", upper).join(F.broadcast(common.withColumnRenamed("token", "upper")), "upper", "left_anti") if len(often) else drawn
+        cuts = np.unique(_unsigned(rest.agg(F.percentile_approx("token", [i / splitters for i in range(1, splitters)], 10 * splitters)).first()[0] or []) & ~np.uint64(0xFFFF))
+        pieces = -(-ranges // splitters)
+
+    suffix = heads.mapInArrow(lambda b: dealt(b, cuts, often, pieces), "bucket int, packed binary")
+    tasks = max(1, min(ranges // RANGES_A_TASK, MOST_TASKS))
+    found = staged(suffix.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(sorted_range, FOUND), "passage-suffixes")
     opened = found.where("open")
     hot = np.array([r[0] for r in opened.groupBy("token").count().where(F.col("count") > MANY).select("token").collect()], np.int64)
-    listed = staged(opened.select("doc", "version", "token", "at", "windows").repartition("doc", "version").sortWithinPartitions("doc", "version").mapInArrow(places, "doc_id long, version int, places binary"), "passage-places")
+    listed = staged(opened.select("doc", "version", "token", "at", "windows").repartition("doc", "version").sortWithinPartitions("doc", "version").mapInArrow(places, "doc_id long, version long, places binary"), "passage-places")
     held = heads.join(listed, ["doc_id", "version"]).select("doc_id", "version", "text", "places")
-    pieces = held.mapInArrow(lambda b: stretches(b, hot, False), "key long, doc long, version int, at int, content binary")
-    runs = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(windows_again, "doc long, version int, at int, windows int")
+    pieces = held.mapInArrow(lambda b: stretches(b, hot, False), "key long, doc long, version long, at int, content binary")
+    runs = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(windows_again, "doc long, version long, at int, windows int")
     if len(hot):
-        windows = staged(held.mapInArrow(lambda b: stretches(b, hot, True), "key binary, doc long, version int, at int"), "passage-hot")
+        windows = staged(held.mapInArrow(lambda b: stretches(b, hot, True), "key binary, doc long, version long, at int"), "passage-hot")
         runs = runs.unionByName(later_windows(windows))
 
     gone = found.where("not open").select("doc", "version", "at", "windows").unionByName(runs)
-    spans = staged(gone.repartition("doc", "version").sortWithinPartitions("doc", "version", "at").mapInArrow(merged, "doc_id long, version int, runs binary"), "passage-runs")
+    spans = staged(gone.repartition("doc", "version").sortWithinPartitions("doc", "version", "at").mapInArrow(merged, "doc_id long, version long, runs binary"), "passage-runs")
     bytes_ = spans.agg(F.coalesce(F.sum(F.octet_length("runs") + 40), F.lit(0))).first()[0]
     spans = F.broadcast(spans) if bytes_ <= MOST_BYTES else spans
     rows = judged(table).join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "copy", "runs")
