@@ -157,6 +157,37 @@ def test_shards(docs, rows, none, spark):
     assert len(few) == 1
 
 
+def test_shards_beside_a_hot_text(spark):
+    """A text of very many copies, equal rows among them, is cut; pairs and small groups beside it are not."""
+    rows = [(i if i % 2 else 7, "hot text that comes very often") for i in range(3000)] + [(10_000 + i, f"pair {i // 2} of two") for i in range(3000)] + [(20_000 + i, f"group {i // 4}") for i in range(500)]
+    got = shard.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    shards, sizes = collections.defaultdict(set), collections.Counter()
+    for r in got:
+        shards[r["text_crc32"]].add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+    assert len(shards.pop(zlib.crc32(b"hot text that comes very often"))) > 10
+    assert all(len(x) == 1 for x in shards.values()) and len(shards) == 1625
+    assert len(sizes) == 40 and max(sizes.values()) - min(sizes.values()) <= 400
+
+
+def test_pieces(spark, monkeypatch):
+    """Overfull ranges are subdivided by width: the law holds, and groups stay whole."""
+    monkeypatch.setattr(shard, "SAMPLED", 1)
+    monkeypatch.setattr(shard, "LEAST_RANGES", 6)
+    monkeypatch.setattr(shard, "ROWS_A_RANGE", 60)
+    monkeypatch.setattr(shard, "MOST_RANGES", 6)
+    rows = [(i, f"text {i // 3}") for i in range(4000)]
+    got = shard.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+    assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in by.values()) and len(by) == 8
+    sizes = [sum(r["size"] for r in x) for x in by.values()]
+    assert max(sizes) - min(sizes) <= 200
+    assert len({(r["text_crc32"], r["shard"]) for r in got}) == len({r["text_crc32"] for r in got})
+
+
 # 4
 
 
