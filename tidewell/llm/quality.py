@@ -1,7 +1,8 @@
 """Quality of documents by attention-based multiple-instance learning.
 
-A document is a bag of passages. Each passage is encoded from shares of letter kinds, word shapes and repeats; gated
-attention weighs the passages, and the weighted mean of their codes is scored. Only documents have labels.
+A document is a bag of passages. Each passage is encoded from its words, hashed into signed counts, and from shares of
+letter kinds, word shapes and repeats; gated attention weighs the passages, and the weighted mean of their codes is
+scored. Only documents have labels.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, bounded, passes, words
+from .common import SPACE, bounded, passes, staged, words
 
 #: Words in a passage.
 PASSAGE = 64
-#: Bound of the sample that is learned from: labelled documents of each class, and passages of each (spread over the text). Scoring reads all passages.
-SAMPLE, SAMPLE_PASSAGES = 4000, 48
-#: Sizes of the code and of the attention, steps over the whole sample and their length, and decay of weights.
-CODE, GATE, STEPS, STEP, DECAY = 16, 8, 150, 0.02, 1e-4
+#: Bound of the sample that is learned from: labelled documents of each class, and passages of them all together, by whole documents; one of over an eighth of these passages is not learned from. Scoring reads all passages of all documents.
+SAMPLE, SAMPLE_PASSAGES = 4000, 40_000
+#: Places that words are hashed to.
+HASHED = 128
+#: Sizes of the code and of the attention, passes over the sample, documents of a step and its length at first, and decay of weights.
+CODE, GATE, EPOCHS, STEP_DOCS, STEP, DECAY = 16, 8, 12, 256, 0.02, 1e-4
 #: From this score on a document is predicted to be good.
 GOOD = 0.3
 
@@ -30,7 +33,7 @@ KIND[33:127] = SIGN
 KIND[97:123], KIND[65:91], KIND[48:58] = LOWER, UPPER, DIGIT
 KIND[[ord(c) for c in ".,;:?'\"-()"]] = STOP
 LAGS = (1, 2, 3, 4, 5, 7, 10, 15, 20, 30)
-WIDTH = 6 + 6 + 36 + len(LAGS) + 5
+WIDTH = 6 + 6 + 36 + len(LAGS) + 5 + HASHED
 
 
 def encoded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +75,9 @@ def encoded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lines[bag[begin]] = breaks[end[stop]] - breaks[start[begin]]
         upper = np.bincount(bag, (head == UPPER) & (tail == UPPER) & (end - start > 1), rows) / safe[:, 0]
         parts.append(np.stack((mean / 10, spread / 10, size / PASSAGE, lines / safe[:, 0], upper), 1))
+        place = (h >> np.uint64(64 - HASHED.bit_length() + 1)).astype(np.int64)
+        sign = np.where(h & np.uint64(1), 1.0, -1.0)
+        parts.append(np.bincount(bag * HASHED + place, sign, rows * HASHED).reshape(rows, HASHED) / np.sqrt(safe))
         out[:] = np.concatenate(parts, 1)
     return out, np.append(first, len(out))
 
@@ -107,13 +113,24 @@ class Model:
         return {"A": f["x"].T @ dc, "a": dc.sum(0), "V": f["c"].T @ dt, "U": f["c"].T @ dg, "w": (f["t"] * f["g"]).T @ ds, "k": f["z"].T @ dy, "d": dy.sum(keepdims=True)}
 
     def fit(self, x: np.ndarray, start: np.ndarray, y: np.ndarray, importance: np.ndarray) -> Model:
+        """By Adam's rule over STEP_DOCS documents at a time, in one fixed order a pass, with steps that shrink to none."""
         m = {k: [0 * v, 0 * v] for k, v in self.p.items()}
-        importance = importance / importance.sum()
-        for step in range(1, STEPS + 1):
-            for k, g in self.gradients(self.forward(x, start), start, y, importance).items():
-                g = g + DECAY * self.p[k]
-                m[k][0], m[k][1] = 0.9 * m[k][0] + 0.1 * g, 0.99 * m[k][1] + 0.01 * g * g
-                self.p[k] = self.p[k] - STEP * (m[k][0] / (1 - 0.9**step)) / (np.sqrt(m[k][1] / (1 - 0.99**step)) + 1e-8)
+        end, rng = np.append(start[1:], len(x)), np.random.default_rng(29)
+        importance = importance / importance.mean()
+        steps = EPOCHS * -(-len(y) // STEP_DOCS)
+        step = 0
+        for _ in range(EPOCHS):
+            order = rng.permutation(len(y))
+            for at in range(0, len(y), STEP_DOCS):
+                docs = order[at : at + STEP_DOCS]
+                size = end[docs] - start[docs]
+                first = np.cumsum(size) - size
+                own = x[np.arange(size.sum()) + np.repeat(start[docs] - first, size)]
+                step += 1
+                for k, g in self.gradients(self.forward(own, first), first, y[docs], importance[docs] / len(docs)).items():
+                    g = g + DECAY * self.p[k]
+                    m[k][0], m[k][1] = 0.9 * m[k][0] + 0.1 * g, 0.99 * m[k][1] + 0.01 * g * g
+                    self.p[k] = self.p[k] - STEP * (1 - (step - 1) / steps) * (m[k][0] / (1 - 0.9**step)) / (np.sqrt(m[k][1] / (1 - 0.99**step)) + 1e-8)
         return self
 
 
@@ -123,21 +140,21 @@ def held_out(doc_id) -> F.Column:
 
 
 def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features of up to SAMPLE_PASSAGES passages, evenly spread, of every text."""
+    """Features and number of all passages of every text."""
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
-        out = []
+        out, n = [], []
         for part in passes([len(t) for t in texts]):
             x, first = encoded(texts[part])
-            for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                pick = np.unique(np.linspace(s, e - 1, min(e - s, SAMPLE_PASSAGES)).astype(int))
-                out.append(x[pick].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "bag"])
+            n += np.diff(first).tolist()
+            out += [x[s:e].tobytes() if e - s <= SAMPLE_PASSAGES // 8 else b"" for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "label", "n", "bag"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fitted to at most SAMPLE documents of each class, drawn by a hash of doc_id, each class weighed by its share of
-    the labels; None without labels. A document with several labels has the lowest."""
+    """Fitted to at most SAMPLE documents of each class, drawn by a hash of doc_id, and of these to the first that have
+    SAMPLE_PASSAGES passages together, whole; each class is weighed by its share of the labels. None without labels. A
+    document with several labels has the lowest; rows that share a doc_id and the text are one."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"))
     count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not count:
@@ -146,10 +163,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     for label in sorted(count):
         one = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         drawn = one if drawn is None else drawn.unionByName(one)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "label", "text").mapInArrow(bags, "doc_id long, label int, bag binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["bag"])))
-    if not rows:
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label", F.sha2("text", 256)).agg(F.first("text").alias("text"))
+    found = staged(texts.select("doc_id", "label", "text").mapInArrow(bags, "doc_id long, label int, n long, bag binary").where("length(bag) > 0").withColumn("place", F.xxhash64("doc_id", "bag")), "quality-bags")
+    # Numbers alone, at most those of the sample's rows; texts that share an id beyond that are not learned from.
+    sizes = found.select("place", "n").orderBy("place").limit(2 * SAMPLE).collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r["n"]
+        if total > SAMPLE_PASSAGES:
+            break
+        last = r["place"]
+    if last is None:
         return None
+    rows = sorted(found.where(F.col("place") <= last).collect(), key=lambda r: (r["place"], r["doc_id"]))
     each = [np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in rows]
     x = np.concatenate(each)
     y = np.array([r["label"] for r in rows], float)
