@@ -137,6 +137,43 @@ def test_quality_edges(spark, docs, rows, none):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_attention_by_hand():
+    """Scores against a plain loop over passages, gradients against finite differences."""
+    rng = np.random.default_rng(3)
+    x, start, y = rng.normal(size=(23, 9)), np.array([0, 1, 6, 7, 15]), np.array([1.0, 0, 1, 0, 1])
+    weight = rng.random(5)
+    m = quality.Model(x)
+    m.p = {k: v + rng.normal(0, 0.3, v.shape) for k, v in m.p.items()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def score(p, passages):
+        codes = [np.tanh(((v - m.mean) * m.scale) @ p["A"] + p["a"]) for v in passages]
+        gate = np.array([np.exp((np.tanh(c @ p["V"]) * sigmoid(c @ p["U"])) @ p["w"]) for c in codes])
+        return sigmoid(sum(g / gate.sum() * c for g, c in zip(gate, codes, strict=True)) @ p["k"] + p["d"][0])
+
+    def loss(p):
+        s = [score(p, part) for part in np.split(x, start[1:])]
+        return -sum(w * (t * np.log(v) + (1 - t) * np.log(1 - v)) for w, t, v in zip(weight, y, s, strict=True))
+
+    f = m.forward(x, start)
+    assert np.allclose(f["score"], [score(m.p, part) for part in np.split(x, start[1:])])
+    for k, g in m.gradients(f, start, y, weight).items():
+        at = np.ndindex(m.p[k].shape)
+        for i in list(at)[:: max(1, m.p[k].size // 25)]:
+            up, down = ({n: v.copy() for n, v in m.p.items()} for _ in "ud")
+            up[k][i] += 1e-5
+            down[k][i] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - g[i]) < 1e-6, k
+
+
+def test_passages_have_words():
+    """Hashed words tell two texts of alike shapes apart, and every word counts in one passage."""
+    x, first = quality.encoded([b"alpha gamma " * 40, b"betas delta " * 40, b"", b"one"])
+    assert first.tolist() == [0, 2, 4, 5, 6] and x.shape[1] == quality.WIDTH
+    words, other = x[:, -quality.HASHED :], x[:, : -quality.HASHED]
+    assert np.allclose(other[0], other[2]) and not np.allclose(words[0], words[2]) and not x[4].any() and np.abs(words[5]).sum() == 1
+
+
 # 3
 
 
