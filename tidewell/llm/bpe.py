@@ -15,10 +15,12 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import pairwise
+from pathlib import Path
 from struct import pack
 
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from .common import bounded
@@ -41,9 +43,8 @@ def byte_symbols() -> list[str]:
 class Vocabulary:
     """Ranks, ids and word rules, read from a tokenizer file of the `tokenizers` library (BPE with word ends)."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, data: bytes):
+        spec = json.loads(data)
         model = spec["model"]
         self.token = {i: t for t, i in model["vocab"].items()}
         ids, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
@@ -110,18 +111,18 @@ class Vocabulary:
             found = self.word.findall(chunk)
         known = self.known.get
         out = b"".join([known(w) or self._word(w) for w in found])
-        if len(chunk) <= LONGEST:
-            self.known[chunk] = out
-        return out
+        return self._remembered(chunk, out)
 
     def _word(self, word: str) -> bytes:
         ids = self.merged(word)
-        out = pack(f"<{len(ids)}I", *ids)
+        return self._remembered(word, pack(f"<{len(ids)}I", *ids))
+
+    def _remembered(self, word: str, ids: bytes) -> bytes:
         if len(word) <= LONGEST:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[word] = out
-        return out
+            self.known[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids of a text. Strings of special tokens stand for those tokens; white space only separates."""
@@ -155,12 +156,18 @@ _BLANK = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1)
 
 
 @functools.cache
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(data: bytes) -> Vocabulary:
+    """One for each worker and file."""
+    return Vocabulary(data)
+
+
+def shipped(frame: DataFrame, path: str) -> Broadcast:
+    """The file's bytes for all executors: the driver alone reads the path."""
+    return frame.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, keep: bool = False) -> Iterator[pa.RecordBatch]:
-    v = vocabulary(path)
+def encoded(batches: Iterator[pa.RecordBatch], data: bytes, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    v = vocabulary(data)
     for batch in batches:
         n, ids_sha, text_sha, kept = [], [], [], []
         for text in batch.column("text"):
@@ -182,16 +189,18 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
     """Token counts and digests of ids and decoded text for every document, and the ids themselves if asked for.
 
     One pass without a shuffle. A null text is an empty one: no tokens, digests of nothing. doc_id may be null or
-    repeated: each row gives one row. Other columns of `docs` are not read.
+    repeated: each row gives one row; no rows give no rows. Other columns of `docs` are not read.
     """
-    return bounded(docs).select("doc_id", "text").mapInArrow(lambda b: encoded(b, path, keep_ids), SCHEMA + (", ids array<int>" if keep_ids else ""))
+    file = shipped(docs, path)
+    return bounded(docs).select("doc_id", "text").mapInArrow(lambda b: encoded(b, file.value, keep_ids), SCHEMA + (", ids array<int>" if keep_ids else ""))
 
 
 def decode_documents(rows: DataFrame, path: str) -> DataFrame:
     """doc_id and text of rows with doc_id and ids; null ids give an empty text."""
+    file = shipped(rows, path)
 
     def run(batches):
-        v = vocabulary(path)
+        v = vocabulary(file.value)
         for batch in batches:
             texts = [" ".join(v.token[i] for i in x.as_py() or []) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +9,7 @@ from . import bpe, decon, documents, extract, knn, lines, passages, quality, sec
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
-    """The vocabulary file: in TOKENIZERS if that is set, else where public_tokenizers has it."""
-    if folder := os.environ.get("TOKENIZERS"):
-        return f"{folder}/{name}"
+    """The vocabulary file, where public_tokenizers has it; read by the driver alone."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
