@@ -8,11 +8,13 @@ import itertools
 import math
 import random
 import re
+import string
 import struct
 import time
 import zlib
 from fractions import Fraction
 from html import unescape
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +88,7 @@ def union(n, pairs):
 # 1
 
 
-def test_bpe(docs, rows):
+def test_bpe(docs, rows, none, spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer())
@@ -99,12 +101,14 @@ def test_bpe(docs, rows):
     assert collections.Counter(tuple(r)[:4] for r in got.collect()) == want
     back = {r["doc_id"]: r["text"] for r in bpe.decode_documents(got.where("doc_id = 76"), tokenizer()).collect()}
     assert back == {76: "one</w> two</w>"}
+    assert bpe.encode_documents(none, tokenizer()).count() == 0
+    assert [r["text"] for r in bpe.decode_documents(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>"), tokenizer()).collect()] == ["", ""]
 
 
 def test_bpe_words():
     from tokenizers import Tokenizer
 
-    t, v = Tokenizer.from_file(tokenizer()), bpe.vocabulary(tokenizer())
+    t, v = Tokenizer.from_file(tokenizer()), bpe.vocabulary(Path(tokenizer()).read_bytes())
     rng = random.Random(1)
     pools = ["abc'sStTdDrRlLmM '  ", "\x00\x1c\x1f\x0b\x85\xa0 　﻿ ab", "ΣσςİıßẞǅÀÉ́̀a", "½²Ⅷ①٣3९a ", "<|endoftext|><|startoftext|>ab<|", "漢字한글𝒳😀a", "=-#!$%"]
     for _ in range(800):
@@ -115,6 +119,19 @@ def test_bpe_words():
         assert v._heaped([*v.byte.__class__(v.byte[b] for b in word.encode()[:-1]), v.last[ord(word[-1])]]) == v._scanned([*(v.byte[b] for b in word.encode()[:-1]), v.last[ord(word[-1])]])
 
 
+def test_memory_of_words(monkeypatch):
+    """What a worker remembers is bounded, and forgetting changes nothing."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    v, whole = (bpe.Vocabulary(Path(tokenizer()).read_bytes()) for _ in "ab")
+    rng = random.Random(6)
+    for _ in range(300):
+        text = " ".join(f"w{rng.randrange(1000)}-{rng.choice('abc')}.x" for _ in range(20))
+        ids = v.encode(text)
+        assert len(v.known) <= 50
+        whole.known.clear()
+        assert ids == whole.encode(text)
+
+
 # 2
 
 
@@ -731,6 +748,70 @@ def test_battery():
     assert secrets.discoveries([(0, 60, 5), (0, 20, 1)], 100) == {0: 60}
 
 
+def plain_chance(run):
+    """log10 of the one chance of a run, from the three tests by plain loops; None if no alphabet has all letters, 0 if a test rules it out."""
+    letters = run.rstrip("=")
+    fits = [a for _, a in secrets.ALPHABETS if set(letters) <= set(a)]
+    if not fits:
+        return None
+    order, n = fits[0], len(letters)
+    k, x = len(order), [order.index(c) for c in letters]
+    expected = n / k
+    chi = sum((x.count(i) - expected) ** 2 / expected for i in range(k))
+    z = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    above = [i >= k / 2 for i in x]
+    a, b = above.count(True), above.count(False)
+    if not a or not b:
+        return 0.0
+    expected = 1 + 2 * a * b / n
+    spread = math.sqrt((expected - 1) * (expected - 2) / (n - 1)) or math.sqrt(1e-9)
+    turns = len(list(itertools.groupby(above)))
+    mean = sum(x) / n
+    serial = sum((x[i] - mean) * (x[i + 1] - mean) for i in range(n - 1)) / sum((i - mean) ** 2 for i in x)
+    chances = [math.erfc(z / math.sqrt(2)) / 2, math.erfc(max(0.0, abs(turns - expected) - 0.5) / spread / math.sqrt(2)), math.erfc(abs(serial + 1 / n) * math.sqrt(n) / math.sqrt(2))]
+    if min(chances) < secrets.RULED_OUT:
+        return 0.0
+    odds = secrets.ordinary(letters) + n * math.log10(min(len(a) for a in fits)) + math.log10(len(secrets.ALPHABETS))
+    return odds - math.log10(min(1, 3 * min(chances)))
+
+
+def plain_random(texts):
+    """Spans of kind random in each text: every run tested, then Benjamini and Hochberg's rule by its definition, a class of lengths at a time."""
+    letters = set(string.ascii_letters + string.digits + "+/_-")
+    tested = []
+    for t, text in enumerate(texts):
+        at, base = 0, brute_secrets(text)
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in letters:
+                end += 1
+            if end - at >= 20:
+                end += len(re.match("={0,2}", text[end:])[0])
+                if not any(s < end and at < e for s, _, e in base) and (p := plain_chance(text[at:end])) is not None:
+                    tested.append((sum(end - at >= c for c in (32, 64, 128)), -max(0, min(400, int(-10 * p))) / 10, t, at, end))
+            at = max(end, at + 1)
+    found = [[] for _ in texts]
+    for length in range(4):
+        own = sorted(x for x in tested if x[0] == length)
+        passed = [i for i, x in enumerate(own, 1) if 10 ** x[1] <= secrets.RATE * sum(y[1] <= x[1] for y in own) / len(own)]
+        for _, _, t, s, e in own[: max(passed, default=0)]:
+            found[t].append((s, e))
+    return [sorted(f) for f in found]
+
+
+def test_random_spans(spark, folder):
+    """Spans of kind random on the given documents and on planted runs, against the plain version."""
+    rng = random.Random(13)
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    for _ in range(300):
+        alphabet = rng.choice([a for _, a in secrets.ALPHABETS] + [string.ascii_lowercase[:5], "ab", "xyz-_0"])
+        run = "".join(rng.choices(alphabet, k=rng.choice([15, 20, 24, 31, 32, 40, 64, 100, 128, 200]))) + "=" * rng.randrange(4)
+        texts.append(f"see {run} and {'/'.join(rng.choices(['path', 'to', 'some', 'file', 'Name42'], k=8))} there")
+    got = {r["doc_id"]: sorted((s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random") for r in secrets.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = plain_random(texts)
+    assert [got[i] for i in range(len(texts))] == want and sum(map(len, want)) > 100
+
+
 def test_random_alphabets(spark):
     """Random runs of every alphabet are found, and long ordinary runs, which count as tested, are not."""
     rng = random.Random(3)
