@@ -1,11 +1,11 @@
 """Links between similar sets: MinHash bands, odd sketches, exact Jaccard on full sets, and connected components.
 
-Nodes are distinct sets. Bands give groups of candidates; odd sketches drop pairs that are surely apart. In a few
-rounds each group has a leader: its other members are compared with it in full, so rows grow with the group and not
-with its square. What one component holds needs no further comparison, and a leader is done with. Groups that still
-hold several components are told as forests of near sketches, whose components are families: they hold every candidate
-pair that is left. Of a family, the rest is compared with all, block by block. The components of all links are the
-classes.
+Nodes are distinct sets. Bands give groups of candidates; odd sketches drop pairs that are surely apart. Each group has
+a leader, the member that shares its keys with most others: the others are compared with it in full, so rows grow with
+the group and not with its square. Members linked to their leader need no comparison among themselves; the rest of a
+group is held against all of it, block by block, by sketches. What is near is told as forests, whose components are
+families: they hold every candidate pair that is left. Of a family, the rest is compared with all, block by block, on
+full sets. The components of all links are the classes.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from .common import mixed, staged
 
 #: Bits of an odd sketch, and how many standard deviations under the threshold an estimate may lie.
 SKETCH_BITS, DEVIATIONS = 256, 5.0
-#: Members of a group, and of a family, in a block; shingles in a block of a family; and rounds of leaders.
-GROUP_BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES, LEADERS = 512, 512, 400_000, 2
+#: Members of a group in a block, at least and at most, and blocks of a group where these allow; members of a family, and shingles, in a block.
+GROUP_BLOCK, GROUP_MOST, GROUP_BLOCKS, FAMILY_BLOCK, BLOCK_SHINGLES = 512, 8192, 64, 512, 400_000
 #: Columns of the 0/1 matrices that are multiplied at once.
 COLUMNS = 8192
 #: Shingles that are permuted at once.
@@ -266,19 +266,20 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = staged(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     count = edges.count()
-    while True:
+    while count:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(sent(least, 2 * count), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(sent(least, 2 * count), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(sent(low, 2 * count), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after = staged(small, "edges")
+        edges = staged(small, "edges")
         # At the end every node has one parent, and no parent has one.
-        nodes = after.agg(F.count("*").alias("n"), F.count_distinct("u").alias("d")).first()
-        if nodes["n"] == nodes["d"] and after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+        open_ = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).select((F.col("up") + F.col("down") * F.sign("up") > 1).cast("int").alias("open"), "up")
+        still, count = open_.agg(F.max("open"), F.sum("up")).first()
+        if not still:
             break
-        edges, count = after, nodes["n"]
-    return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def in_blocks(rows: DataFrame, *names: str) -> DataFrame:
@@ -294,17 +295,12 @@ class Search:
         self.bits = most_bits(percent / 100, samples)
 
     def groups(self) -> DataFrame:
-        """key, node and c (the node's component, at first itself) for keys that several nodes have."""
+        """key, n (its nodes) and node, for keys that several nodes have."""
         buckets = max(32, self.nodes.count() // BUCKET_NODES)
         dealt = self.nodes.select("bands").mapInArrow(lambda b: counted(b, buckets), "bucket int, packed binary")
         shared = staged(in_blocks(dealt, "bucket").mapInArrow(summed, "key long, n long"), "shared")
         keys = self.nodes.select("node", F.explode("bands").alias("key"))
-        return staged(keys.join(sent(shared.select("key"), shared.count()), "key").select("key", "node", F.col("node").alias("c")), "groups")
-
-    def sketches(self, members: DataFrame) -> tuple[DataFrame, int]:
-        n = members.count()
-        out = staged(self.nodes.select("node", "sketch").join(sent(members, n), "node"), "sketches")
-        return out, n
+        return staged(keys.join(sent(shared, shared.count()), "key").select("key", "n", "node"), "groups")
 
     def sets(self, rows: DataFrame) -> DataFrame:
         """node and items of the nodes in the column of `rows`, each once."""
@@ -314,61 +310,65 @@ class Search:
     def compared(self, rows: DataFrame) -> DataFrame:
         """Links of blocks: family, i, j, side, node and items."""
         percent, sets_of = self.percent, self.sets_of
-        found = in_blocks(rows.select("family", "i", "j", "side", "node", "items"), "family", "i", "j").mapInArrow(lambda b: links(b, percent, sets_of), EDGE)
+        # A leader, of side 1, is the first of its block, so that links are told from it.
+        found = rows.select("family", "i", "j", "side", "node", "items").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side").mapInArrow(lambda b: links(b, percent, sets_of), EDGE)
         return staged(found.where("src <> dst"), "links")
 
     def led(self, groups: DataFrame, sketches: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-        """Links of each group's least node with its others, and the groups without it."""
-        lead = staged(groups.groupBy("key").agg(F.min(F.struct("node", "c")).alias("lead")), "leaders")
-        others = staged(groups.join(sent(lead, lead.count()), "key").where("node <> lead.node").select("key", "node", "c", F.col("lead.node").alias("family"), F.col("lead.c").alias("lead")), "led")
-        pairs = others.where("c <> lead").select("family", "node").distinct()
+        """Links of each group's leader with its others; and the others, as key, node, leader."""
+        rank = F.struct("degree", F.col("node").alias("node"))
+        told = groups.join(sent(sketches.select("node", "degree"), n), "node")
+        lead = staged(told.groupBy("key").agg(F.max(rank).alias("lead")).select("key", F.col("lead.node").alias("family")), "leaders")
+        others = staged(groups.join(sent(lead, lead.count()), "key").where("node <> family").select("key", "node", "family"), "led")
         apart = sum((F.bit_count(F.get("sketch", k).bitwiseXOR(F.get("own", k))) for k in range(SKETCH_BITS // 64)), F.lit(0))
         own = sketches.select(F.col("node").alias("family"), F.col("sketch").alias("own"))
-        near = staged(pairs.join(sent(sketches, n, 64), "node").join(sent(own, n, 64), "family").where(apart <= self.bits).select("family", "node"), "near")
+        pairs = others.select("family", "node").distinct().join(sent(sketches.select("node", "sketch"), n, 64), "node")
+        near = staged(pairs.join(sent(own, n, 64), "family").where(apart <= self.bits).select("family", "node"), "near")
         sets = self.sets(near.select("node").unionByName(near.select(F.col("family").alias("node"))))
         # A block of a leader's pairs, with the leader's own set in each.
         blocks = staged(near.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks")), "blocks")
         m = blocks.count()
         second = near.join(sent(blocks, m), "family").join(sets, "node").select("family", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("i"), F.lit(2).alias("side"), "node", "items")
         first = blocks.withColumn("node", F.col("family")).join(sets, "node").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(1).alias("side"), "node", "items")
-        return self.compared(first.unionByName(second).withColumn("j", F.lit(0))), others.select("key", "node", "c")
-
-    def rest(self, groups: DataFrame, sketches: DataFrame, n: int, component: DataFrame) -> DataFrame:
-        """Links between the components of each group."""
-        shape = groups.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "c")).alias("lead"))
-        rows = groups.join(shape, "key").withColumn("rest", F.col("c") != F.col("lead.c"))
-        count = rows.groupBy("key").agg(F.sum(F.col("rest").cast("int")).alias("r")).where("r > 0")
-        rows = blocked(rows.join(count, "key").join(sent(sketches, n, 64), "node").drop("lead"), F.ceil(F.col("n") / GROUP_BLOCK), F.ceil(F.col("r") / GROUP_BLOCK))
+        return self.compared(first.unionByName(second).withColumn("j", F.lit(0))), others
+
+    def rest(self, others: DataFrame, found: DataFrame, sketches: DataFrame, n: int) -> DataFrame | None:
+        """Links between those of a group that its leader is not linked to and all but the leader; None if there are no such."""
+        m = found.count()
+        linked = found.select(F.explode(F.array(F.struct(F.col("src").alias("family"), F.col("dst").alias("node")), F.struct(F.col("dst").alias("family"), F.col("src").alias("node")))).alias("e")).select("e.*", F.lit(True).alias("linked"))
+        rows = others.join(sent(linked, 2 * m), ["family", "node"], "left").withColumn("rest", F.col("linked").isNull())
+        shape = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("rest").cast("int")).alias("r")).where("r > 0 and n > 1")
+        shape = staged(shape, "rest-keys")
+        if not (k := shape.count()):
+            return None
+        # Links of a leader that is led elsewhere do not stand for its group, so a component is the leader itself.
+        rows = rows.join(sent(shape, k, 24), "key").withColumn("c", F.when(F.col("rest"), F.col("node")).otherwise(F.col("family")))
+        size = F.greatest(F.lit(GROUP_BLOCK), F.least(F.lit(GROUP_MOST), F.ceil(F.col("n") / GROUP_BLOCKS)))
+        rows = blocked(rows.join(sent(sketches.select("node", "sketch"), n, 64), "node"), F.ceil(F.col("n") / size), F.ceil(F.col("r") / size))
         bits = self.bits
         stars = in_blocks(rows.select("key", "i", "j", "side", "node", "c", "sketch"), "key", "i", "j").mapInArrow(lambda b: close_pairs(b, bits), EDGE)
         family = staged(components(stars).withColumnRenamed("root", "family"), "families")
+        if family.isEmpty():
+            return None
+        component = staged(components(found), "components")
         sized = staged(family.join(self.nodes.select("node", "size"), "node").join(component, "node", "left").select("family", "node", "size", F.coalesce("root", "node").alias("c")), "family-members")
-        main = sized.groupBy("family", "c").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+        main = sized.groupBy("family", "c").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         marked = sized.join(main, "family").withColumn("rest", F.col("c") != F.col("main"))
         blocks = lambda own: F.greatest(F.ceil(F.sum(own) / FAMILY_BLOCK), F.ceil(F.sum(F.col("size") * own) / BLOCK_SHINGLES), F.lit(1))
         pieces = marked.groupBy("family").agg(blocks(F.lit(1)).alias("all"), blocks(F.col("rest").cast("int")).alias("few"))
         rows = staged(blocked(marked.join(pieces, "family").select("family", "node", "rest", "all", "few"), F.col("all"), F.col("few")), "family-blocks")
-        return self.compared(rows.join(self.sets(sized.select("node")), "node"))
+        return self.compared(rows.join(self.sets(rows.select("node")), "node"))
 
     def classes(self) -> DataFrame:
         """node and root of the nodes that have links."""
         groups = self.groups()
-        sketches, n = self.sketches(groups.select("node").distinct())
-        edges, component = None, None
-        for step in range(LEADERS + 1):
-            if step < LEADERS:
-                found, groups = self.led(groups, sketches, n)
-            else:
-                found = self.rest(groups, sketches, n, component)
-            edges = found if edges is None else edges.unionByName(found)
-            component = staged(components(edges), "components")
-            if step < LEADERS:
-                known = groups.select("key", "node").join(sent(component, component.count()), "node", "left").select("key", "node", F.coalesce("root", "node").alias("c"))
-                apart = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-                groups = staged(known.join(apart, "key", "left_semi"), "groups")
-                if groups.isEmpty():
-                    break
-        return component
+        # Of each node the sizes of its groups, summed, and its sketch.
+        degree = staged(groups.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
+        n = degree.count()
+        sketches = staged(self.nodes.select("node", "sketch").join(sent(degree, n), "node"), "sketches")
+        found, others = self.led(groups, sketches, n)
+        more = self.rest(others, found, sketches, n)
+        return components(found if more is None else found.unionByName(more))
 
 
 def classes(nodes: DataFrame, percent: int, samples: int, full_sets: Callable[[DataFrame, int], DataFrame], sets_of: Callable[[list[bytes]], list[np.ndarray]] = hashes) -> DataFrame:
