@@ -328,8 +328,7 @@ def test_near_documents(docs, rows, none, width, percent):
     assert documents.near_documents(none).count() == 0
 
 
-@pytest.mark.parametrize("leaders", [1, 2])
-def test_large_families(spark, monkeypatch, leaders):
+def test_large_families(spark, monkeypatch):
     """Blocks of a few members: links across blocks, and between what no leader is near, are found."""
     rng = random.Random(2)
     base = sentence(rng, 200).split(" ")
@@ -341,7 +340,7 @@ def test_large_families(spark, monkeypatch, leaders):
         for _ in range(rng.randint(0, 13)):
             words[rng.randrange(200)] = f"w{rng.random()}"
         rows.append((i, " ".join(words)))
-    for name, value in (("FAMILY_BLOCK", 7), ("GROUP_BLOCK", 5), ("LEADERS", leaders)):
+    for name, value in (("FAMILY_BLOCK", 7), ("GROUP_BLOCK", 5), ("GROUP_MOST", 20), ("GROUP_BLOCKS", 3)):
         monkeypatch.setattr(near, name, value)
     got = {r["doc_id"]: r["component_id"] for r in documents.near_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
     assert [got[i] for i in range(120)] == union(120, links(list(word_sets([t for _, t in rows], 3)), 85))
