@@ -4,6 +4,7 @@ import os
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.sources import files, gitlog, records
 
@@ -42,7 +43,7 @@ def test_gitlog(spark, repo):
     assert rows[1]["message"] == "body é 1" and rows[1]["files_changed"] == ["f1.txt"] and rows[1]["author"] == "A <a@x>"
     assert rows[2]["delta_truncated"].startswith("diff --git") and "lines omitted" in rows[2]["delta_truncated"]
     assert gitlog.read(spark, [repo], since=1700000150).count() == 1
-    assert gitlog.signature(repo) == gitlog.signature(repo)
+    assert gitlog.tips(repo) == [rows[2]["hash"]]
 
 
 def test_gitlog_stream(spark, repo, tmp_path_factory):
@@ -66,10 +67,87 @@ def test_records(spark, tmp_path):
 
 
 def test_table(spark, tmp_path):
-    t = records.Table(spark, f"file://{tmp_path}/t")
-    assert t.read() is None and t.version() == 0
+    t = records.Table(spark, f"file://{tmp_path}/t", ["k"])
+    assert t.read() is None and t.version() is None
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
-    assert t.upsert(rows, ["k"]) == 1
-    assert t.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"]) == 2
-    t.delete(spark.createDataFrame([(1,)], "k int"), ["k"])
-    assert sorted(map(tuple, t.read().collect())) == [(2, "c"), (3, "d")]
+    first = t.upsert(rows)
+    assert t.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")) > first
+    t.delete(spark.createDataFrame([(1,)], "k int"))
+    assert sorted(map(tuple, t.read().select("k", "v").collect())) == [(2, "c"), (3, "d")]
+    # Two writers that began with the same rows: neither loses a row. A batch that is written again changes nothing.
+    other = records.Table(spark, f"file://{tmp_path}/t", ["k"])
+    for _ in range(2):
+        t.upsert(spark.createDataFrame([(4, "e")], "k int, v string"), "x1")
+        other.upsert(spark.createDataFrame([(5, "f")], "k int, v string"), "x2")
+    assert {r["k"] for r in t.read().collect()} == {2, 3, 4, 5}
+    small = t.compacted(f"file://{tmp_path}/small")
+    assert sorted(map(tuple, small.read().select("k", "v").collect())) == [(2, "c"), (3, "d"), (4, "e"), (5, "f")]
+
+
+CASES = [
+    ("/path/to/file.md", ["**/*"], [], True), ("readme.md", ["**/*"], [], True), ("/project/build/docs/README.md", ["**/*"], ["**/build/**"], False), ("/project/docs/build/api.md", ["**/*.md"], ["**/build/**"], False),
+    ("/project/docs/README.md", ["**/*.md"], [], True), ("/project/docs/notes.txt", ["**/*.md"], [], False), ("/p/node_modules/package/index.js", ["**/*"], ["**/build/**", "**/node_modules/**"], False), ("node_modules/z.md", ["**/*"], ["**/node_modules/**"], False),
+    ("a/build/b/c/d.md", ["**/*"], ["**/build/**"], False), ("/p/libs/mylib/build/docs/api.md", ["**/*"], ["**/build/**"], False), ("/p/.stversions/file.md", ["**/*"], [], False), ("/p/a/b/.secret/c/d/file.md", ["**/*"], [], False), ("/p/docs/.gitignore", ["**/*"], [], False),
+    ("/p/my.folder/file.md", ["**/*"], [], True), ("/p/..dots../file.md", ["**/*"], [], False), ("C:\\project\\.hidden\\file.md", ["**/*"], [], False), ("a/x.md", ["a/*.md"], [], True), ("a/b/x.md", ["a/*.md"], [], False), ("b/skip.md", ["**/*"], ["skip.md"], False), ("a/x1.md", ["a/x[0-9].md"], [], True), ("a/xy.md", ["a/x[!0-9].md"], [], True), ("mybuild/x.md", ["**/*"], ["**/build/**"], True),
+]
+
+
+def test_globs(spark):
+    for path, include, exclude, want in CASES:
+        frame = spark.createDataFrame([(path,)], "path string")
+        assert frame.select(files.accepted(F.col("path"), include, exclude)).first()[0] is want, (path, include, exclude)
+
+
+def test_odd_commits(spark, repo, tmp_path_factory):
+    """Control characters in files and messages, renames, and repositories that are found."""
+    env = os.environ | {"GIT_AUTHOR_NAME": "A", "GIT_AUTHOR_EMAIL": "a@x", "GIT_COMMITTER_NAME": "C", "GIT_COMMITTER_EMAIL": "c@x", "GIT_CONFIG_GLOBAL": "/dev/null"}
+    run = lambda *a: subprocess.run(["git", "-C", repo, *a], check=True, capture_output=True, env=env)
+    with open(f"{repo}/odd.txt", "w") as f:
+        f.write("a \x1e b \x1f c \x01 diff --git\n")
+    run("add", ".")
+    run("commit", "-q", "-m", "odd \x1e title\n\n:body\twith \x1f signs")
+    run("mv", "f0.txt", "g0.txt")
+    run("commit", "-q", "-m", "moved")
+    rows = {r["title"]: r for r in gitlog.read(spark, [repo]).collect()}
+    assert len(rows) == 5 and rows["odd \x1e title"]["files_changed"] == ["odd.txt"] and "\x1f c" in rows["odd \x1e title"]["delta_truncated"]
+    assert sorted(rows["moved"]["files_changed"]) == ["f0.txt", "g0.txt"]
+    listed = gitlog.hashes(repo)
+    keep = gitlog.BATCH
+    assert [c[1] for c in gitlog.commits(repo, listed)] == listed and keep == 32
+    root = tmp_path_factory.mktemp("roots")
+    for name in ("a/.git", "b/c/.git", "a/inner/.git", ".hidden/.git", "build/.git"):
+        (root / name).mkdir(parents=True)
+    found = [os.path.relpath(r, root) for r in gitlog.discover([str(root), str(root / "b")], ["**/build/**"])]
+    assert found == ["a", "b/c"] and gitlog.discover([repo]) == [os.path.realpath(repo)]
+
+
+def test_late_commits(spark, repo, tmp_path_factory):
+    """A commit that becomes reachable later, with a time before all others, is read by the stream."""
+    import json
+
+    spark.dataSource.register(gitlog.GitLog)
+    at = str(tmp_path_factory.mktemp("late"))
+    frame = spark.readStream.format("gitlog").option("repos", json.dumps([repo])).load()
+
+    def drain():
+        frame.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/ck").trigger(availableNow=True).start().awaitTermination(120)
+        return [r["title"] for r in spark.read.parquet(f"{at}/out").collect()]
+
+    assert len(drain()) == 3
+    env = os.environ | {"GIT_AUTHOR_NAME": "A", "GIT_AUTHOR_EMAIL": "a@x", "GIT_COMMITTER_NAME": "C", "GIT_COMMITTER_EMAIL": "c@x", "GIT_CONFIG_GLOBAL": "/dev/null", "GIT_AUTHOR_DATE": "1600000000 +0000", "GIT_COMMITTER_DATE": "1600000000 +0000"}
+    subprocess.run(["git", "-C", repo, "commit", "-q", "--allow-empty", "-m", "late"], check=True, capture_output=True, env=env)
+    assert sorted(drain()) == ["late", "title 0", "title 1", "title 2"]
+
+
+def test_yaml(spark):
+    matter = "title: 5\ndate: 2024-01-02\nnested:\n  a: [1, true]\nkeywords: [x, 2]\ntags: [t]\n"
+    rows = spark.createDataFrame([(1, matter), (2, "- a list"), (3, "bad: [1"), (4, None)], "k long, m string")
+    got = {r["k"]: r["fields"] for r in files.yaml_fields(rows, "k", "m").collect()}
+    assert got[1] == '{"date": "2024-01-02", "keywords": ["x", "2"], "nested": {"a": [1, true]}, "title": "5"}'
+    assert got[2] == got[3] == got[4] == "{}"
+
+
+def test_link_headings(spark):
+    page = "[[zero]]\n# One é\n[[a]] ![[no]]\n```\n# code [[no]]\n```\n## Two ##\ntext [[b|B]] and [[c]]"
+    got = files.links_with_context(spark.createDataFrame([(1, page), (2, "none")], "k long, t string"), "k", "t")
+    assert [(r["target"], r["header"]) for r in got.collect()][:2] == [("zero", ""), ("a", "One é")] and got.count() == 4

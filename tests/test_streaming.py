@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 
@@ -47,11 +48,43 @@ def test_windows(spark, stream):
 
 
 def test_apply_changes(spark, stream, tmp_path):
-    table = Table(spark, f"file://{tmp_path}/table")
-    events = stream([("a", "1", False), ("b", "2", False), ("c", None, True)], "path string, body string, deleted boolean")
-    q = changes.apply_changes(events, table, "path", str(tmp_path / "ck"))
+    table = Table(spark, f"file://{tmp_path}/table", ["path"])
+    rows = [("a", "1", False, at(0)), ("b", "2", False, at(0)), ("b", None, True, at(1)), ("b", "3", False, at(2)), ("c", None, True, at(0)), ("d", "4", False, at(0)), ("d", None, True, at(1))]
+    events = stream(rows, "path string, body string, deleted boolean, ts timestamp")
+    q = changes.apply_changes(events, table, ["ts"], str(tmp_path / "ck"))
     q.awaitTermination(60)
-    assert sorted(r["path"] for r in table.read().collect()) == ["a", "b"]
+    assert sorted((r["path"], r["body"]) for r in table.read().collect()) == [("a", "1"), ("b", "3")]
+
+
+def test_snapshots(spark, tmp_path):
+    """Files that come, change and go are handed on once, and again if the work fails."""
+    (tmp_path / "files").mkdir()
+    for name in ("a.md", "b.md", "skip.bin"):
+        (tmp_path / "files" / name).write_text(name)
+    seen, told, fail = Table(spark, f"file://{tmp_path}/seen", ["path"]), [], [True]
+
+    def work(changed, number):
+        if fail:
+            fail.clear()
+            raise RuntimeError("not yet")
+        told.append(sorted((r["file_path"], r["change"], r["action"]) for r in changed.collect()))
+
+    def look():
+        q = changes.snapshots(spark, [str(tmp_path / "files")], seen, work, str(tmp_path / "ck"), "1 second", include=["**/*.md"])
+        try:
+            for _ in range(90):
+                if told or q.exception():
+                    break
+                time.sleep(0.5)
+        finally:
+            q.stop()
+        return told.pop() if told else None
+
+    assert look() is None
+    assert look() == [("a.md", "created", "index"), ("b.md", "created", "index")]
+    (tmp_path / "files" / "a.md").write_text("longer than before")
+    (tmp_path / "files" / "b.md").unlink()
+    assert look() == [("a.md", "modified", "index"), ("b.md", "deleted", "remove")]
 
 
 def test_intents(spark, stream):

@@ -13,9 +13,10 @@ STOPWORDS = (
     "this that these those it its they them their he she him her his hers we us our you your i me my who what which where when how why all each every both few more most "
     "other some such no not only same so than too very just also now here there then"
 ).split()
-#: Words that mark a query as navigational, and those that mark a question.
+#: Words that mark a query as navigational, and the patterns that mark one as factual (identifiers, code, versions, quotes) or as a link.
 NAVIGATIONAL = "section chapter guide tutorial documentation docs".split()
-QUESTIONS = "what how why when where which who".split()
+FACTS = [r"[a-z][A-Z]|[A-Z]{2,}[a-z]", r"\b[a-z]+_[a-z_]+\b", "`[^`]+`", r"\b[vV]?\d+\.\d+(?:\.\d+)?(?:-\w+)?\b", '"[^"]+"']
+LINK = r"\[\[[^\]]+\]\]"
 #: Characters that a token stands for.
 CHARS_A_TOKEN = 3
 
@@ -153,6 +154,16 @@ def glob_pattern(glob: str) -> str:
     return "(?:^|/)" + "".join(part["*"] if p[0] == "*" else part.get(p) or (p if p[0] == "[" and len(p) > 2 else re.escape(p)) for p in parts) + "$"
 
 
+def path_glob(glob: str) -> str:
+    """A regular expression for a glob over whole paths: **/ stands for any folders, or none, and /** for all that lies
+    below; * and ? do not cross a slash. A glob without a slash is for the name alone, in any folder."""
+    glob = glob.replace("\\", "/")
+    part = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    parts = re.findall(r"\*\*/|\*\*|\*|\?|\[!?\]?[^\]]*\]|.", glob)
+    written = "".join(part.get(p) or ("[" + ("^" if p[1] == "!" else "") + p[1 + (p[1] == "!") : -1].replace("\\", "\\\\") + "]" if len(p) > 2 and p[0] == "[" else re.escape(p)) for p in parts)
+    return ("^" if "/" in glob else "(?:^|/)") + written + "$"
+
+
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.[^./]+$", 0))
 
@@ -168,8 +179,8 @@ def decoded(content: Column) -> Column:
 
 def query_type(query: Column) -> Column:
     """factual, navigational or exploratory; the first that matches."""
-    factual = query.rlike(r"[a-z][A-Z]|[A-Z]{2,}[a-z]") | query.rlike(r"\b[a-z]+_[a-z_]+\b") | query.rlike("`[^`]+`") | query.rlike(r"\b[vV]?\d+\.\d+(?:\.\d+)?(?:-\w+)?\b") | query.rlike('"[^"]+"')
-    navigational = F.lower(query).rlike("|".join(NAVIGATIONAL)) | query.rlike(r"\[\[[^\]]+\]\]")
+    factual = query.rlike("|".join(FACTS))
+    navigational = F.lower(query).rlike("|".join(NAVIGATIONAL)) | query.rlike(LINK)
     return F.when(factual, "factual").when(navigational, "navigational").otherwise("exploratory")
 
 

@@ -9,6 +9,8 @@ from ..functions.text import CHARS_A_TOKEN, estimated_tokens
 
 #: Characters of a chunk, of the overlap of forced splits, and of a parent.
 LEAST, MOST, OVERLAP, PARENT_LEAST, PARENT_MOST = 1000, 3000, 200, 1500, 4000
+#: What ends a line.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: Tokens of a commit chunk and of its overlap.
 TOKENS, TOKEN_OVERLAP = 448, 32
 
@@ -42,11 +44,26 @@ def paragraph_chunks(rows: DataFrame, key: str, text: str, most: int = MOST) ->
     return out.withColumn("chunk_id", F.concat(F.col(key).cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")))
 
 
+def windows(text: Column, size: int, overlap: int) -> Column:
+    """Pieces of `size` characters, each with the last `overlap` of the one before; the last may be shorter. None of an empty text."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and under the size of a window")
+    step = size - overlap
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.length(text) - overlap) / step).cast("int") - 1, F.lit(0)))
+    return F.when(F.length(text) > 0, F.transform(starts, lambda i: F.substring(text, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def sentences(text: Column, most: int = MOST) -> Column:
+    """Sentences, which end with a sign and white space, packed up to `most` characters."""
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?…。！？])\s+"), lambda x: F.trim(x, F.lit(" \t\r\n"))), lambda x: x != "")
+    return packed(F.flatten(F.transform(parts, lambda x: split_long(x, most))), most, " ")
+
+
 def line_chunks(text: Column, tokens: int = TOKENS, overlap: int = TOKEN_OVERLAP) -> Column:
     """Lines packed into chunks of tokens * CHARS_A_TOKEN characters; each begins with the last lines of the one before,
     as many as the overlap holds and one at least."""
     most, tail = tokens * CHARS_A_TOKEN, overlap * CHARS_A_TOKEN
-    lines = F.flatten(F.transform(F.split(F.trim(text, F.lit(" \t\r\n")), "\n"), lambda x: split_long(x, most)))
+    lines = F.flatten(F.transform(F.split(F.trim(text, F.lit(" \t\r\n")), LINE_END), lambda x: split_long(x, most)))
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("done"), none.alias("open"))
     size = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x)) + F.greatest(F.size(xs) - 1, F.lit(0))

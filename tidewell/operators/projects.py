@@ -77,3 +77,32 @@ def allowed_projects(claimed: list[str] | None, requested: list[str]) -> list[st
     if beyond := sorted(set(requested) - set(claimed)):
         raise PermissionError(f"not allowed: {', '.join(beyond)}")
     return requested or claimed
+
+
+def registration(places: DataFrame, roots: DataFrame, unsafe: list[str]) -> DataFrame:
+    """place, reason and project: what registering a place as a project's root would mean.
+
+    places: place; roots: project, root. Unsafe roots are refused first; then a place may be registered already, lie inside
+    a registered root (the deepest is told), or hold one; else it is new and gets a name of its own."""
+    from .state import deepest_root
+
+    rows = places.select("place").distinct()
+    exact = roots.select(F.col("root").alias("place"), F.col("project").alias("_exact"))
+    inside = deepest_root(rows, roots.select("project", "root"), "place").select("place", F.col("project").alias("_inside"))
+    holds = roots.select(F.explode(ancestors(F.col("root"))).alias("place"), F.col("root")).where("place <> root").select("place", F.lit(True).alias("_holds")).distinct()
+    rows = rows.join(exact, "place", "left").join(inside, "place", "left").join(holds, "place", "left")
+    reason = F.when(F.col("place").isin(unsafe), "unsafe_root").when(F.col("_exact").isNotNull(), "already_registered").when(F.col("_inside").isNotNull(), "inside_registered_project").when(F.col("_holds"), "contains_registered_project").otherwise("registered")
+    rows = rows.withColumn("reason", reason)
+    taken = roots.select(F.col("root").alias("_key"), F.col("project").alias("_wanted"), F.lit(0).alias("_new"))
+    fresh = rows.where("reason = 'registered'").select(F.col("place").alias("_key"), F.substring_index("place", "/", -1).alias("_wanted"), F.lit(1).alias("_new"))
+    named = unique_names(taken.unionByName(fresh).withColumn("_order", F.struct("_new", "_key")), "_order", "_wanted").where("_order._new = 1").select(F.col("_order._key").alias("place"), F.col("name").alias("_name"))
+    known = F.when(F.col("reason").isin("already_registered", "inside_registered_project"), F.coalesce("_exact", "_inside")).when(F.col("reason") == "registered", F.col("_name"))
+    return rows.join(named, "place", "left").select("place", "reason", known.alias("project"))
+
+
+def rebuild_scope(descriptions: DataFrame, roots: list[str]) -> DataFrame:
+    """Documents of an index whose file lies under one of the roots, which are to be built anew."""
+    inside = F.lit(False)
+    for r in roots:
+        inside = inside | (F.col("file_path") == r.rstrip("/")) | F.startswith("file_path", F.lit(r.rstrip("/") + "/"))
+    return descriptions.where(inside)

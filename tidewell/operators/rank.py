@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import file_name, trigrams, without_suffix
+from ..functions.text import file_name, query_type, trigrams, without_suffix
 from ..functions.vectors import cosine
 
 #: RRF's constant, calibration's slope and middle, uplifts and floors.
 RRF_K, SLOPE, MIDDLE, UPLIFT, COMMUNITY, FLOOR = 60, 150.0, 0.035, 1.2, 1.1, 0.01
 #: Variance under which a strategy's weight shrinks, and the least share that it keeps.
 VARIANCE, LEAST_SHARE = 0.1, 0.25
-#: Results of one query that pairwise steps compare.
-POOL = 100
+#: How much more a list counts for a type of query.
+TYPE_WEIGHTS = {"factual": ("keyword", 1.5), "navigational": ("graph", 1.5), "exploratory": ("vector", 1.3)}
 
 
 def ranked(hits: DataFrame, query_key: str, key: str) -> DataFrame:
@@ -35,6 +38,15 @@ def rrf(hits: DataFrame, query_key: str, key: str, weights: dict[str, float] | N
     return fused.select(query_key, key, "score", F.transform("e", lambda x: x["strategy"]).alias("strategies"), F.map_from_entries("e").alias("strategy_scores"))
 
 
+def type_weights(hits: DataFrame, queries: DataFrame, query_key: str, query: str) -> DataFrame:
+    """hits with a weight: the list that suits a query's type counts more."""
+    kind = query_type(F.col(query))
+    weight = F.lit(1.0)
+    for name, (strategy, factor) in TYPE_WEIGHTS.items():
+        weight = F.when((F.col("_kind") == name) & (F.col("strategy") == strategy), factor).otherwise(weight)
+    return hits.join(queries.select(query_key, kind.alias("_kind")), query_key).withColumn("weight", weight).drop("_kind")
+
+
 def variance_weights(hits: DataFrame, query_key: str) -> DataFrame:
     """query_key, strategy and weight: a strategy whose scores hardly differ counts less; weights keep their sum."""
     v = hits.groupBy(query_key, "strategy").agg(F.var_pop("score").alias("v"))
@@ -84,10 +96,9 @@ def first_of(rows: DataFrame, by: list[str], order: list, n: int = 1) -> DataFra
 
 
 def greedy(hits: DataFrame, query_key: str, key: str, item: str, close) -> DataFrame:
-    """Rows in score order, less those that are close to a row that stays; the first POOL of each query are compared,
-    and only those returned. close(a, b): a condition on two rows' items."""
-    pool = first_of(hits, [query_key], [F.desc("score"), key], POOL)
-    rows = pool.groupBy(query_key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col(key).alias("k"), F.col(item).alias("x")))).alias("rows"))
+    """Rows in score order, less those that are close to a row that stays: all rows of a query, which are a list of
+    candidates and so bounded by its length. close(a, b): a condition on two rows' items."""
+    rows = hits.groupBy(query_key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col(key).alias("k"), F.col(item).alias("x")))).alias("rows"))
     kept = F.aggregate("rows", F.slice("rows", 1, 0), lambda held, r: F.when(F.exists(held, lambda h: close(h["x"], r["x"])), held).otherwise(F.concat(held, F.array(r))))
     return rows.select(query_key, F.posexplode(kept).alias("at", "r")).select(query_key, F.col("r.k").alias(key), (-F.col("r.o")).alias("score"), (F.col("at") + 1).alias("rank"))
 
@@ -108,7 +119,7 @@ def semantic_dedup(hits: DataFrame, query_key: str, key: str, embedding: str, th
 def mmr(hits: DataFrame, query_key: str, key: str, embedding: str, n: int, trade: float = 0.7) -> DataFrame:
     """n rows of each query, one after another: the most of trade * score - (1 - trade) * nearness to rows chosen before.
 
-    The first POOL of each query are weighed, in one group; keys are numbers. Values are compared at 12 digits, ties by key.
+    All rows of a query, which are a list of candidates, are weighed in one group; keys are numbers. Values are compared at 12 digits, ties by key.
     """
     import numpy as np
     import pandas as pd
@@ -126,8 +137,27 @@ def mmr(hits: DataFrame, query_key: str, key: str, embedding: str, n: int, trade
             near = np.maximum(near if i else -2.0, x @ x[best])
         return pd.DataFrame(out, columns=[query_key, key, "value", "rank"])
 
-    pool = first_of(hits, [query_key], [F.desc("score"), key], POOL).select(query_key, key, "score", embedding)
-    return pool.groupBy(query_key).applyInPandas(choose, f"{query_key} long, {key} long, value double, rank long")
+    return hits.select(query_key, key, "score", embedding).groupBy(query_key).applyInPandas(choose, f"{query_key} long, {key} long, value double, rank long")
+
+
+def reranked(rows: DataFrame, query_key: str, key: str, query: str, text: str, load: Callable[[], Callable[[list[str], list[str]], list[float]]], budget: int) -> DataFrame:
+    """rows with rank and rerank_score: the first `budget` of each query in the order of a scorer of (queries, texts), the
+    others after them as they were. load() makes the scorer, once a task. rows: query_key, key, score, query and text."""
+    order = [F.desc("score"), key]
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(query_key).orderBy(*order)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = None
+        for batch in batches:
+            scorer = scorer or load()
+            scores = scorer(batch.column(query).to_pylist(), batch.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(query_key), batch.column(key), pa.array(map(float, scores), pa.float64())], [query_key, key, "rerank_score"])
+
+    few = placed.where(F.col("_place") <= budget).select(F.col(query_key).cast("long"), F.col(key).cast("long"), query, text)
+    scored = few.mapInArrow(run, f"{query_key} long, {key} long, rerank_score double")
+    out = placed.join(scored, [query_key, key], "left")
+    last = Window.partitionBy(query_key).orderBy(F.desc_nulls_last("rerank_score"), "_place")
+    return out.withColumn("rank", F.row_number().over(last)).drop("_place")
 
 
 def commit_results(hits: DataFrame, query_key: str) -> DataFrame:
@@ -166,17 +196,18 @@ def ranking_metrics(ranked_rows: DataFrame, judged: DataFrame, query_key: str, k
     )
 
 
-def compressed(hits: DataFrame, query_key: str, key: str, text: str, document: str, floor: float, ngram: float | None = 0.7, per_document: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(results, counts by query): floor, exact copies, n-gram copies, limit by document, each with what it left."""
+def compressed(hits: DataFrame, query_key: str, key: str, text: str, document: str, floor: float, ngram: float = 0.7, embedding: str | None = None, semantic: float = 0.85, per_document: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(results, counts by query): floor, exact copies, n-gram copies, near vectors (if there is a column of them), limit by document, each with what it left."""
     order = [F.desc("score"), key]
     above = hits.where(F.col("score") >= floor)
     unlike = first_of(above.withColumn("_md5", F.md5(text)), [query_key, "_md5"], order).drop("_md5")
-    apart = unlike if ngram is None else unlike.join(ngram_dedup(unlike, query_key, key, text, ngram).select(query_key, key), [query_key, key], "left_semi")
-    out = first_of(apart, [query_key, document], order, per_document)
-    steps = {"original": hits, "after_threshold": above, "after_content_dedup": unlike, "after_ngram_dedup": apart, "after_doc_limit": out}
+    apart = unlike.join(ngram_dedup(unlike, query_key, key, text, ngram).select(query_key, key), [query_key, key], "left_semi")
+    far = apart.join(semantic_dedup(apart, query_key, key, embedding, semantic).select(query_key, key), [query_key, key], "left_semi") if embedding else apart
+    out = first_of(far, [query_key, document], order, per_document)
+    steps = {"original": hits, "after_threshold": above, "after_content_dedup": unlike, "after_ngram_dedup": apart, "after_dedup": far, "after_doc_limit": out}
     counts = None
     for name, frame in steps.items():
         one = frame.select(query_key, F.lit(name).alias("step"))
         counts = one if counts is None else counts.unionByName(one)
     stats = counts.groupBy(query_key).pivot("step", list(steps)).count().na.fill(0)
-    return out, stats.withColumn("clusters_merged", F.col("after_threshold") - F.col("after_ngram_dedup"))
+    return out, stats.withColumn("clusters_merged", F.col("after_threshold") - F.col("after_dedup"))

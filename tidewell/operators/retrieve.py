@@ -6,17 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, vocabulary_terms, words
+from ..scratch import sent, staged
 
 #: BM25's saturation and length normalisation.
 K1, B = 1.2, 0.75
 #: How much a term counts by field.
 BOOSTS = {"title": 3.0, "headers": 2.5, "keywords": 2.5, "description": 2.0, "tags": 2.0, "aliases": 1.5, "author": 1.0, "content": 1.0}
-#: Queries that one pass over the vectors answers.
-QUERY_BLOCK = 4096
+#: Queries that one pass over the vectors or postings answers, and rows and queries whose scores are held at once.
+QUERY_BLOCK, ROW_SLICE, QUERY_SLICE = 4096, 1024, 256
+#: Scores that differ by less may be equal when they are rounded to 9 digits.
+SLACK = 2e-9
 #: Vocabulary: terms, least count, least length; and expansion: terms and least cosine.
 VOCABULARY, LEAST_COUNT, LEAST_LENGTH, EXPANDED, LEAST_COSINE = 5000, 2, 3, 3, 0.5
 
@@ -64,62 +69,167 @@ def weighted_postings(rows: DataFrame, key: str, fields: dict[str, str]) -> Data
     return each.groupBy(key, "term").agg(F.sum("boost").alias("tf"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists, boosts = batch.column("tokens"), batch.column("boosts")
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy())
+        words_ = lists.flatten().dictionary_encode()
+        vocabulary, code = words_.dictionary, words_.indices.to_numpy()
+        pair, at = np.unique(row * max(1, len(vocabulary)) + code, return_inverse=True)
+        tf = np.bincount(at, boosts.flatten().to_numpy(), len(pair))
+        of = pair // max(1, len(vocabulary))
+        edge = pa.array(np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32))
+        length = np.bincount(of, tf, batch.num_rows)
+        terms = pa.ListArray.from_arrays(edge, vocabulary.take(pa.array(pair % max(1, len(vocabulary)))))
+        yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(length), terms, pa.ListArray.from_arrays(edge, pa.array(tf))], [key, "length", "terms", "tfs"])
+
+
+def term_counts(rows: DataFrame, key: str, fields: dict[str, str], tokens=words) -> DataFrame:
+    """key, length, terms and tfs of every row: its postings side by side, without a shuffle, rows without words left out.
+
+    fields: column by field name, each token weighing its field's boost; `content` weighs 1. Keys are unique numbers."""
+    each = [tokens(F.coalesce(F.col(c), F.lit(""))) for c in fields.values()]
+    wide = rows.select(F.col(key).cast("long").alias(key), F.concat(*each).alias("tokens"), F.concat(*[F.array_repeat(F.lit(BOOSTS[f]), F.size(t)) for f, t in zip(fields, each, strict=True)]).alias("boosts"))
+    return wide.mapInArrow(lambda b: _counted(b, key), f"{key} long, length double, terms array<string>, tfs array<double>").where("length > 0")
+
+
+def _scored(batches: Iterator[pa.RecordBatch], held: Broadcast, k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The k best rows of each batch for each query, and what may tie with them. held: terms, mean length (none: a term
+    counts once), and slices of queries as ids, places of their terms, and weights by query and place."""
+    terms, mean, slices = held.value
+    for batch in batches:
+        for s in range(0, batch.num_rows, ROW_SLICE):
+            part = batch.slice(s, ROW_SLICE)
+            lists = part.column("terms")
+            row = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
+            place = pc.index_in(lists.flatten(), value_set=terms)
+            hit = place.is_valid().to_numpy(zero_copy_only=False)
+            row, place, tf = row[hit], place.fill_null(0).to_numpy()[hit], part.column("tfs").flatten().to_numpy()[hit]
+            keys, length = part.column(names[1]).to_numpy(), part.column("length").to_numpy()
+            weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / mean)) if mean else np.ones(len(row))
+            for ids, places, idf in slices:
+                at = np.searchsorted(places, place)
+                own = (at < len(places)) & (places[np.minimum(at, len(places) - 1)] == place)
+                dense = np.bincount(row[own] * len(places) + at[own], weight[own], part.num_rows * len(places)).reshape(part.num_rows, -1)
+                score = idf @ dense.T
+                n = min(k, part.num_rows)
+                edge = np.partition(score, part.num_rows - n, axis=1)[:, part.num_rows - n] - SLACK
+                q, r = np.nonzero((score >= edge[:, None]) & (score > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys[r]), pa.array(score[q, r])], names)
+
+
+def local_top(counts: DataFrame, key: str, weighted: DataFrame, query_key: str, k: int, mean: float | None) -> DataFrame:
+    """query_key, key, score with 9 digits and rank of the k best rows of every query: the sum of a query's weights (of
+    `weighted`: query_key, term, weight) for the terms that a row holds, saturated by tf and length if a mean is given.
+
+    Rows are scored where they are, for QUERY_BLOCK queries a pass, and only the k best of a slice are shuffled. A pass
+    sends its queries' terms and weights to all executors: some QUERY_BLOCK times the terms of a query."""
+    spark = counts.sparkSession
+    weighted = staged(weighted.select(F.col(query_key).cast("long").alias(query_key), "term", F.col("weight").cast("double").alias("weight")), "query-weights")
+    passes = -(-weighted.select(query_key).distinct().count() // QUERY_BLOCK)
+    names = [query_key, key, "score"]
+    out = spark.createDataFrame([], f"{query_key} long, {key} long, score double")
+    for block in range(passes):
+        rows = weighted.where(F.pmod(F.xxhash64(query_key), F.lit(passes)) == block).toArrow().sort_by([(query_key, "ascending"), ("term", "ascending")])
+        encoded = rows.column("term").combine_chunks().dictionary_encode()
+        ids, place, own_weight = rows.column(query_key).to_numpy(), encoded.indices.to_numpy(), rows.column("weight").to_numpy()
+        slices, every = [], np.unique(ids)
+        for s in range(0, len(every), QUERY_SLICE):
+            some = every[s : s + QUERY_SLICE]
+            own = (ids >= some[0]) & (ids <= some[-1])
+            places = np.unique(place[own])
+            weight = np.zeros((len(some), len(places)))
+            weight[np.searchsorted(some, ids[own]), np.searchsorted(places, place[own])] = own_weight[own]
+            slices.append((some, places, weight))
+        held = spark.sparkContext.broadcast((encoded.dictionary, mean, slices))
+        found = counts.select(key, "length", "terms", "tfs").mapInArrow(lambda b, held=held: _scored(b, held, k, names), out.schema)
+        out = found if block == 0 else out.unionByName(found)
+    return top(out.withColumn("score", F.round("score", 9)), query_key, key, k)
+
+
+def bm25_top(counts: DataFrame, key: str, queries: DataFrame, query_key: str, k: int) -> DataFrame:
+    """The k best rows of every query, as `bm25` scores them. counts: of `term_counts`, best a written table; queries:
+    query_key (a number) and term, each term once a query, and `boost` if some count more."""
+    queries = staged(queries, "query-terms")
+    asked = queries.select("term").distinct()
+    n, mean = counts.agg(F.count("*"), F.avg("length")).first()
+    df = counts.select(F.explode("terms").alias("term")).join(sent(asked, asked.count(), 32), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return local_top(counts, key, queries.join(df, "term").select(query_key, "term", (idf * F.col("boost") if "boost" in queries.columns else idf).alias("weight")), query_key, k, float(mean or 1))
+
+
+def coverage_top(counts: DataFrame, key: str, queries: DataFrame, query_key: str, k: int) -> DataFrame:
+    """The k rows of every query that hold the largest share of its terms."""
+    share = 1.0 / F.count("*").over(Window.partitionBy(query_key))
+    return local_top(counts, key, queries.withColumn("weight", share), query_key, k, None)
+
+
 def top(scored: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
     """The k best rows of every query with their rank; ties go to the smaller key."""
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _best(batches: Iterator[pa.RecordBatch], ids: np.ndarray, matrix: np.ndarray, k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The k nearest rows of each batch to each query."""
+def _best(batches: Iterator[pa.RecordBatch], held: Broadcast, k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The k nearest rows of each batch to each query, and what may tie with them. held: ids and unit vectors of queries, by size."""
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        rows = [(i, np.asarray(v, np.float64)) for i, v in enumerate(batch.column(1).to_pylist()) if v is not None and len(v) == matrix.shape[1] and None not in v]
-        rows = [(i, v / n) for i, v in rows if (n := np.sqrt(v @ v)) > 0 and np.isfinite(n)]
-        if not rows:
-            continue
-        at = np.array([i for i, _ in rows])
-        score = matrix @ np.stack([v for _, v in rows]).T
-        score[ids[:, None] == keys[at][None]] = -np.inf
-        n = min(k, len(at))
-        edge = np.partition(score, len(at) - n, axis=1)[:, len(at) - n]
-        q, r = np.nonzero(score >= edge[:, None])
-        real = np.isfinite(score[q, r])
-        q, r = q[real], r[real]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys[at[r]]), pa.array(score[q, r])], names)
+        for s in range(0, batch.num_rows, ROW_SLICE):
+            part = batch.slice(s, ROW_SLICE)
+            keys, lists = part.column(0).to_numpy(), part.column(1)
+            size = pc.list_value_length(lists).fill_null(-1).to_numpy()
+            for ids, matrix in held.value:
+                width = matrix.shape[1]
+                some = lists.filter(pa.array(size == width))
+                x = some.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
+                length = np.sqrt((x * x).sum(1))
+                real = np.isfinite(length) & (length > 0)  # a null became no number
+                x, own = x[real] / length[real, None], keys[size == width][real]
+                if not len(own):
+                    continue
+                score = matrix @ x.T
+                score[ids[:, None] == own[None]] = -np.inf
+                n = min(k, len(own))
+                edge = np.partition(score, len(own) - n, axis=1)[:, len(own) - n] - SLACK
+                q, r = np.nonzero((score >= edge[:, None]) & np.isfinite(score))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[r]), pa.array(score[q, r])], names)
 
 
 def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, embedding: str, k: int) -> DataFrame:
     """query_id, key and score of the k rows nearest to each query by exact cosine, never itself; score has 9 digits.
 
-    Both frames have key and embedding. Queries go in blocks of QUERY_BLOCK to where the vectors are; only the k best of
-    each batch are shuffled. Vectors without length, or of another size than the query, are not found.
+    Both frames have key and embedding. Queries go to all executors, QUERY_BLOCK for each pass over the vectors; only the
+    k best of each slice are shuffled. Vectors without length, with a null, or of another size than the query, are not found.
     """
-    asked = queries.select(key, embedding).where(F.size(embedding) > 0)
-    n = asked.count()
-    out = None
-    for block in range(max(1, -(-n // QUERY_BLOCK))):
-        # At most about QUERY_BLOCK vectors.
-        drawn = asked.where(F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // QUERY_BLOCK)))) == block).collect()
-        for size in sorted({len(r[1]) for r in drawn}) or [0]:
+    spark = vectors.sparkSession
+    asked = queries.select(F.col(key).cast("long").alias(key), embedding).where(F.size(embedding) > 0)
+    passes = -(-asked.count() // QUERY_BLOCK)
+    names = ["query_id", key, "score"]
+    out = spark.createDataFrame([], f"query_id long, {key} long, score double")
+    for block in range(passes):
+        drawn = asked.where(F.pmod(F.xxhash64(key), F.lit(passes)) == block).collect()
+        sizes = []
+        for size in sorted({len(r[1]) for r in drawn}):
             some = [(r[0], np.asarray(r[1], np.float64)) for r in drawn if len(r[1]) == size and None not in r[1]]
             some = [(i, v / np.sqrt(v @ v)) for i, v in some if v @ v > 0]
-            ids = np.array([i for i, _ in some], np.int64)
-            matrix = np.stack([v for _, v in some]) if some else np.zeros((0, max(size, 1)))
-            names = ["query_id", key, "score"]
-            found = vectors.select(key, embedding).mapInArrow(lambda b, ids=ids, m=matrix, names=names: _best(b, ids, m, k, names) if len(ids) else iter(()), f"query_id long, {key} long, score double")
-            out = found if out is None else out.unionByName(found)
+            if some:
+                sizes.append((np.array([i for i, _ in some], np.int64), np.stack([v for _, v in some])))
+        held = spark.sparkContext.broadcast(sizes)
+        found = vectors.select(F.col(key).cast("long").alias(key), embedding).mapInArrow(lambda b, held=held: _best(b, held, k, names), out.schema)
+        out = found if block == 0 else out.unionByName(found)
     return top(out.withColumn("score", F.round("score", 9)), "query_id", key, k)
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
-    """Nodes within so many hops of the seeds, against or along edges src-dst, and the hops; seeds themselves left out."""
+    """Nodes within so many hops of the seeds, against or along edges src-dst, and the hops; seeds themselves left out.
+
+    The front of each hop is a table, so that the plan does not grow with the hops; AQE splits nodes of many edges."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seen = seeds.select(F.col("node"), F.lit(0).alias("hop"))
-    front = seen
+    both = staged(both, "edges") if hops > 1 else both
+    seen = front = seeds.select(F.col("node"), F.lit(0).alias("hop"))
     for hop in range(1, hops + 1):
         reached = front.select(F.col("node").alias("src")).join(both, "src").select(F.col("dst").alias("node")).distinct()
         front = reached.join(seen, "node", "left_anti").select("node", F.lit(hop).alias("hop"))
+        front = staged(front, "front") if hop < hops else front
         seen = seen.unionByName(front)
     return seen.where("hop > 0")
 
@@ -136,6 +246,12 @@ def vocabulary(rows: DataFrame, text: str) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("count")).where(F.col("count") >= LEAST_COUNT).orderBy(F.desc("count"), "term").limit(VOCABULARY)
 
 
+def near_terms(queries: DataFrame, entries: DataFrame, query_key: str) -> DataFrame:
+    """query_key, term and score: the cosine of each query's embedding and each term's. Both frames have entries that are
+    not zero, as `place` and `value` of unit vectors: queries by query_key, entries by term. Joined by place."""
+    return queries.select(query_key, "place", "value").join(entries.select("term", "place", F.col("value").alias("own")), "place").groupBy(query_key, "term").agg(F.round(F.sum(F.col("value") * F.col("own")), 9).alias("score"))
+
+
 def expanded_query(queries: DataFrame, near: DataFrame, query_key: str, query: str) -> DataFrame:
     """Queries with the terms that are nearest to them and not yet in them. near: query_key, term and score."""
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), "term")
@@ -145,6 +261,34 @@ def expanded_query(queries: DataFrame, near: DataFrame, query_key: str, query: s
     return queries.join(terms, query_key, "left").select(query_key, F.concat_ws(" ", F.col(query), F.array_join(added, " ")).alias("expanded"))
 
 
+def corrected(terms: DataFrame, vocabulary_: DataFrame, term: str = "term") -> DataFrame:
+    """term and correction: the vocabulary's term one letter away (added, dropped or another) for terms that it lacks, of
+    several the most frequent, then the smaller. vocabulary_: term and count.
+
+    Both sides are joined by what is left when any one letter is dropped, so no pair of unlike terms meets."""
+    letters = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
+    lacking = terms.select(F.col(term).alias("typed")).distinct().join(vocabulary_.select(F.col("term").alias("typed")), "typed", "left_anti").where(F.length("typed") >= LEAST_LENGTH)
+    a = lacking.select("typed", F.explode(letters(F.col("typed"))).alias("bare"))
+    b = vocabulary_.select("term", "count", F.explode(letters(F.col("term"))).alias("bare"))
+    near = a.join(b, "bare").where(F.levenshtein("typed", "term") <= 1)
+    return near.groupBy("typed").agg(F.min_by("term", F.struct(-F.col("count"), "term")).alias("correction")).select(F.col("typed").alias("term"), "correction")
+
+
+def shared_tags(hits: DataFrame, tags: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
+    """The k rows of every query that share most tags with its hits and are none of them, as score and rank.
+
+    tags: key and tags (an array). The tags of a query's hits are sent to the rows, so that no tag gathers its rows."""
+    asked = staged(hits.select(query_key, key).join(tags, key).groupBy(query_key).agg(F.array_distinct(F.flatten(F.collect_list("tags"))).alias("wanted"), F.collect_list(key).alias("held")), "wanted-tags")
+    passes = max(1, -(-asked.count() // QUERY_BLOCK))
+    out = None
+    for block in range(passes):
+        # A stated set of queries, QUERY_BLOCK at most with the tags and keys of their few hits, against all rows; k of a task are shuffled.
+        some = F.broadcast(asked.where(F.pmod(F.xxhash64(query_key), F.lit(passes)) == block))
+        found = tags.join(some, F.arrays_overlap("wanted", "tags") & ~F.array_contains("held", tags[key])).select(query_key, key, F.size(F.array_intersect("wanted", "tags")).cast("double").alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return top(out, query_key, key, k)
+
+
 def candidate_limit(n: int, top_k: int = 0, projects: bool = False, per_document: int = 0, git_only: bool = False) -> int:
     """How many candidates a search for n results asks for."""
     limit = max(20, 4 * n, top_k)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import staged
+
 #: From this share of changed chunks on a document is indexed anew, and of shared chunks on a file has moved.
 REINDEX, MOVED = 0.5, 0.8
 #: Seconds: a path is quiet after the first, a lease is stale after the second, and a cursor is read again from the third before it.
@@ -84,6 +84,78 @@ def moves(gone: DataFrame, came: DataFrame, doc: str, digest: str) -> DataFrame:
     return old.select("node", F.col("doc").alias("old")).join(equal.unionByName(best), "node").select("old", "new", F.round("similarity", 6).alias("similarity"))
 
 
+def file_changes(before: DataFrame, now: DataFrame) -> DataFrame:
+    """path, file_path, modified_time, size, change and action of files that differ between two looks: created or modified
+    ones are to be indexed, deleted ones removed. Both: path, file_path, modified_time, size."""
+    old = before.select("path", F.struct("file_path", "modified_time", "size").alias("old"))
+    new = now.select("path", F.struct("file_path", "modified_time", "size").alias("new"))
+    change = F.when(F.col("old").isNull(), "created").when(F.col("new").isNull(), "deleted").when((F.col("old.modified_time") != F.col("new.modified_time")) | (F.col("old.size") != F.col("new.size")), "modified")
+    rows = old.join(new, "path", "full").withColumn("change", change).where("change is not null").withColumn("f", F.coalesce("new", "old"))
+    return rows.select("path", "f.*", "change", F.when(F.col("change") == "deleted", "remove").otherwise("index").alias("action"))
+
+
+def bounded_intake(events: DataFrame, by: Column, limit: int) -> DataFrame:
+    """tick, taken, dropped and reconcile: what a bounded queue takes in each tick, and whether the rest calls for a look at all files."""
+    return events.groupBy(by.alias("tick")).agg(F.count("*").alias("n")).select("tick", F.least("n", F.lit(limit)).alias("taken"), F.greatest(F.col("n") - limit, F.lit(0)).alias("dropped"), (F.col("n") > limit).alias("reconcile"))
+
+
+def page_after(rows: DataFrame, key: str, cursor, n: int) -> DataFrame:
+    """The next n rows by key after a cursor, or the first n: for callers that read a page at a time."""
+    return (rows if cursor is None else rows.where(F.col(key) > cursor)).orderBy(key).limit(n)
+
+
+def monotone(before: DataFrame, now: DataFrame, key: str, request: str, counters: list[str], kept: list[str]) -> DataFrame:
+    """now, with counters that never fall while the request is the same, and values in `kept` that are not lost."""
+    old = before.select(key, F.col(request).alias("_request"), *[F.col(c).alias(f"_{c}") for c in (*counters, *kept)])
+    same = F.col("_request") == F.col(request)
+    rows = now.join(old, key, "left")
+    out = [F.when(same & F.col(c).isNotNull(), F.greatest(F.col(c), F.col(f"_{c}"))).otherwise(F.col(c)).alias(c) for c in counters]
+    out += [F.when(same, F.coalesce(F.col(c), F.col(f"_{c}"))).otherwise(F.col(c)).alias(c) for c in kept]
+    return rows.select(*[c for c in now.columns if c not in (*counters, *kept)], *out)
+
+
+def identity(**parts: object) -> Column:
+    """One value for the configuration, encoder and repositories that a checkpoint was made with."""
+    return F.sha2(F.to_json(F.struct(*[F.lit(str(v)).alias(k) for k, v in sorted(parts.items())])), 256)
+
+
+def resumed(found: DataFrame, checkpoint: DataFrame, own: Column) -> DataFrame:
+    """Files still to do: all of them if the checkpoint's identity is another, else those that it lacks or has with another
+    time or size. Both: path, modified_time, size; checkpoint: identity besides."""
+    return remaining(found, checkpoint.where(F.col("identity") == own), "path")
+
+
+def availability(found: DataFrame, lexical: DataFrame, semantic: DataFrame) -> DataFrame:
+    """lexical, graph and semantic: available once any file is in, complete once all are; words and links come first,
+    vectors are filled in after. All: path."""
+    n = lambda f, name: f.select("path").distinct().agg(F.count("*").alias(name))
+    inside = lambda f: f.select("path").join(found.select("path"), "path", "left_semi")
+    # one row each
+    rows = n(found, "all").join(F.broadcast(n(inside(lexical), "words"))).join(F.broadcast(n(inside(semantic), "vectors")))
+    words = F.when((F.col("words") == 0) & (F.col("all") > 0), "unavailable").otherwise("available")
+    vectors = F.when(F.col("vectors") >= F.col("all"), "complete").when(F.col("words") > 0, "backfilling").otherwise("unavailable")
+    return rows.select(words.alias("lexical"), words.alias("graph"), vectors.alias("semantic"))
+
+
+def flipped(pointer: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """The pointer to the model that searches use, set to `model` if its vectors are whole: one for each that the present
+    model has, all of one size. pointer: one row with model and previous; vectors: model, key, embedding. Else as it was."""
+    old = vectors.join(F.broadcast(pointer.select("model")), "model").select("key").distinct()
+    fresh = vectors.where(F.col("model") == model).select("key", F.size("embedding").alias("s"))
+    state = migrated(old.select("key"), fresh.withColumn("embedding", F.array_repeat(F.lit(0), F.col("s"))), "key").select((F.col("whole") & (F.col("new") > 0)).alias("whole"))
+    return pointer.join(F.broadcast(state)).select(F.when(F.col("whole"), F.lit(model)).otherwise(F.col("model")).alias("model"), F.when(F.col("whole"), F.col("model")).otherwise(F.col("previous")).alias("previous"), "whole")
+
+
+def rolled_back(pointer: DataFrame) -> DataFrame:
+    """The pointer set to the model before; as it was if there is none."""
+    return pointer.select(F.coalesce("previous", "model").alias("model"), F.when(F.col("previous").isNotNull(), F.col("model")).alias("previous"))
+
+
+def contracted(vectors: DataFrame, pointer: DataFrame) -> DataFrame:
+    """The vectors of the model that searches use: those of others may go."""
+    return vectors.join(F.broadcast(pointer.select("model")), "model", "left_semi")
+
+
 def debounced(events: DataFrame, path: str, ts: str, kind: str, tie: str, quiet: str) -> DataFrame:
     """The last event of each burst of a path: a burst ends when nothing comes for the time `quiet`."""
     burst = F.session_window(ts, quiet)
@@ -153,12 +225,13 @@ def resolved_links(links: DataFrame, files: DataFrame) -> DataFrame:
 
 def communities(edges: DataFrame, rounds: int) -> DataFrame:
     """node and community after so many rounds of label propagation: each node takes its neighbours' most frequent label,
-    the smallest of equals."""
+    the smallest of equals. The labels of a round are a table, so that the plan does not grow."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     label = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
+    both = staged(both, "edges")
     for _ in range(rounds):
         seen = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy("src", "community").agg(F.count("*").alias("n"))
-        label = seen.groupBy(F.col("src").alias("node")).agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("community"))
+        label = staged(seen.groupBy(F.col("src").alias("node")).agg(F.max_by("community", F.struct("n", -F.col("community"))).alias("community")), "labels")
     return label
 
 
@@ -173,10 +246,6 @@ def fetch_limit(n: int, projects: bool, most: int = 100) -> int:
     return min(most, max(n, 10 * n if projects else n))
 
 
-def tokens_of(chars: int) -> int:
-    return max(1, math.ceil(chars / 3))
-
-
 def remaining(found: DataFrame, done: DataFrame, path: str) -> DataFrame:
     """Files to do after a break: those not in the checkpoint with the same time and size."""
     return found.join(done.select(path, "modified_time", "size"), [path, "modified_time", "size"], "left_anti")

@@ -1,16 +1,29 @@
-"""Hybrid search: a batch of queries through keyword, vector and graph lists, fusion, filters and limits."""
+"""Hybrid search: a batch of queries through keyword, vector, graph and tag lists, fusion, filters and limits."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lexical_match, metadata_rank
-from ..functions.vectors import dense, hash_embedding
+from ..functions.text import glob_pattern, lexical_match, metadata_rank, query_type
 from ..operators import rank as R
 from ..operators import retrieve as S
+from ..operators.embed import Hashed, Provider
+from ..operators.projects import allowed_projects
+from ..scratch import staged
+
+#: Characters of a snippet and of a factual answer; fields of metadata that answers show; the scope that a caller needs.
+SNIPPET, FACTUAL = 4000, 200
+SAFE = ("chunk_id", "doc_id", "file_path", "header_path", "project_id")
+SCOPE = "search:read"
+#: Fields that a call may have, and how many times more candidates a search of commits asks for, with conditions and without.
+FIELDS = "query top_n min_score similarity_threshold excluded_files uniqueness_mode scope_mode scope_projects preferred_project".split()
+WIDER, WIDE = 10, 4
 
 
 @dataclass(frozen=True)
@@ -23,73 +36,189 @@ class Request:
     project_context: str | None = None
     source_kinds: tuple[str, ...] = ()
     excluded_files: tuple[str, ...] = ()
+    categories: tuple[str, ...] = ()
+    authors: tuple[str, ...] = ()
+    modified_after: int | None = None
     min_score: float | None = None
     similarity_threshold: float | None = None
     max_chunks_per_doc: int = 1
     semantic_only: bool = False
     calibrate: bool = False
     uplift: bool = False
-    weights: dict[str, float] = field(default_factory=lambda: {"vector": 1.0, "keyword": 1.0, "graph": 1.0})
+    adaptive: bool = False
+    expand_tags: bool = False
+    correct: bool = False
+    reranker: Callable | None = None
+    rerank_budget: int | None = None
+    weights: dict[str, float] = field(default_factory=lambda: {"vector": 1.0, "keyword": 1.0, "graph": 1.0, "expansion": 1.0})
 
     def __post_init__(self):
         if isinstance(self.top_n, bool) or not isinstance(self.top_n, int) or not 1 <= self.top_n <= 100:
             raise ValueError("top_n must be an integer from 1 to 100")
-        if self.min_score is not None and not 0 <= self.min_score <= 1:
-            raise ValueError("min_score must be from 0 to 1")
-        if self.similarity_threshold is not None and not 0.5 <= self.similarity_threshold <= 1:
-            raise ValueError("similarity_threshold must be from 0.5 to 1")
+        for name, low in (("min_score", 0), ("similarity_threshold", 0.5)):
+            value = getattr(self, name)
+            if value is not None and (isinstance(value, bool) or not isinstance(value, int | float) or not low <= value <= 1):
+                raise ValueError(f"{name} must be a number from {low} to 1")
         if self.max_chunks_per_doc < 0:
             raise ValueError("max_chunks_per_doc must be 0 or more")
+        if (self.reranker is None) != (self.rerank_budget is None):
+            raise ValueError("a re-ranker and its budget are set together")
+        if self.rerank_budget is not None and self.rerank_budget < 1:
+            raise ValueError("rerank_budget must be 1 or more")
+
+    @classmethod
+    def parse(cls, arguments: dict) -> tuple[str, Request]:
+        """The query and request of a call's arguments; anything odd is refused with what is wrong."""
+        if unknown := sorted(set(arguments) - set(FIELDS)):
+            raise ValueError(f"unexpected: {', '.join(unknown)}")
+        query = arguments.get("query")
+        if not isinstance(query, str) or not query.strip():
+            raise ValueError("query must be text that is not empty")
+        names = {}
+        for name in ("excluded_files", "scope_projects"):
+            names[name] = arguments.get(name, [])
+            if not isinstance(names[name], list | tuple) or not all(isinstance(x, str) for x in names[name]):
+                raise ValueError(f"{name} must be a list of texts")
+        unique, mode, preferred = arguments.get("uniqueness_mode", "one_per_document"), arguments.get("scope_mode") or "global", arguments.get("preferred_project")
+        if unique not in ("allow_multiple", "one_per_document"):
+            raise ValueError("uniqueness_mode must be allow_multiple or one_per_document")
+        if mode not in ("global", "active_project", "explicit_projects"):
+            raise ValueError("scope_mode must be global, active_project or explicit_projects")
+        if (mode == "explicit_projects") != bool(names["scope_projects"]):
+            raise ValueError("scope_projects belong to explicit_projects, which needs them")
+        if preferred is not None and (mode == "global" or not isinstance(preferred, str)):
+            raise ValueError("preferred_project must be text, and not with a global scope")
+        return query.strip(), cls(
+            top_n=arguments.get("top_n", 5), min_score=arguments.get("min_score"), similarity_threshold=arguments.get("similarity_threshold", 0.85),
+            excluded_files=tuple(names["excluded_files"]), projects=tuple(names["scope_projects"]), project_context=preferred, max_chunks_per_doc=int(unique == "one_per_document"),
+        )
+
+    def authorised(self, scopes: list[str], claimed: list[str] | None) -> Request:
+        """This request within a caller's claim; refused without the scope, or beyond the claim."""
+        if SCOPE not in scopes:
+            raise PermissionError(f"missing scope: {SCOPE}")
+        return replace(self, projects=tuple(allowed_projects(claimed, list(self.projects))))
 
 
 class Index:
-    """Tables of an index: records (key long, doc_id, title, body, file_path, header_path, project, source_kind), and
-    edges between keys (src, dst). Postings and embeddings are derived, or given as tables that were written before."""
+    """Tables of an index: records (key long, doc_id, title, body, file_path, header_path, project, source_kind, and if
+    they are to be searched by them, category, author, modified_at in seconds and tags), edges between keys (src, dst),
+    counts (of `term_counts`) and embeddings (key, embedding). The last two are made from records if they are not given."""
+
+    def __init__(self, records: DataFrame, edges: DataFrame | None = None, counts: DataFrame | None = None, embeddings: DataFrame | None = None, provider: Provider | None = None):
+        self.records, self.edges, self.provider = records, edges, provider or Hashed()
+        self.counts = counts if counts is not None else staged(S.term_counts(records, "key", {"content": "body"}), "counts")
+        self.embeddings = embeddings if embeddings is not None else self.provider.embed(records, "key", "body")
+
+    def write(self, folder: str) -> Index:
+        """The index as tables in a folder, from which later searches read: no text is tokenised or encoded again."""
+        for name in ("records", "counts", "embeddings", "edges"):
+            if (frame := getattr(self, name)) is not None:
+                frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return Index.open(self.records.sparkSession, folder, provider=self.provider)
 
-    def __init__(self, records: DataFrame, edges: DataFrame | None = None, postings: DataFrame | None = None, embeddings: DataFrame | None = None):
-        self.records, self.edges = records, edges
-        self.postings = postings if postings is not None else S.postings(records, "key", "body")
-        self.embeddings = embeddings if embeddings is not None else dense(hash_embedding(records, "key", "body"), "key")
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, records: DataFrame | None = None, provider: Provider | None = None) -> Index:
+        """The index in a folder. A table that is missing or cannot be read is made again from records, the given ones
+        where the folder's are lost too; without those the error stands."""
+
+        def read(name: str, columns: set[str]) -> DataFrame | None:
+            try:
+                frame = spark.read.parquet(f"{folder}/{name}")
+                frame.limit(1).collect()
+            except (PySparkException, Py4JError):  # footers that cannot be read come as the latter
+                return None
+            return frame if columns <= set(frame.columns) else None
+
+        held = read("records", {"key", "doc_id", "body"})
+        held = records if held is None else held
+        if held is None:
+            raise FileNotFoundError(f"no records in {folder}")
+        return cls(held, read("edges", {"src", "dst"}), read("counts", {"key", "terms", "tfs"}), read("embeddings", {"key", "embedding"}), provider)
 
     def scope(self, request: Request) -> DataFrame:
         """Records that filters leave: they are applied before any list is made."""
         rows = self.records
-        if request.projects:
-            rows = rows.where(F.col("project").isin(list(request.projects)))
-        if request.source_kinds:
-            rows = rows.where(F.col("source_kind").isin(list(request.source_kinds)))
+        for column, wanted in (("project", request.projects), ("source_kind", request.source_kinds), ("category", request.categories), ("author", request.authors)):
+            if wanted:
+                rows = rows.where(F.col(column).isin(list(wanted)))
+        if request.modified_after is not None:
+            rows = rows.where(F.col("modified_at") > request.modified_after)
         if request.excluded_files:
             rows = rows.where(~R.file_excluded(F.coalesce("file_path", F.lit("")), F.lit(""), F.array(*map(F.lit, request.excluded_files))))
         return rows
 
-    def hits(self, queries: DataFrame, request: Request) -> DataFrame:
-        """qid, key, strategy, score and rank of the candidates of each list. queries: qid long and query."""
-        limit = S.candidate_limit(request.top_n, request.top_k, bool(request.projects), request.max_chunks_per_doc)
+    def _terms(self, queries: DataFrame, request: Request) -> DataFrame:
+        terms = S.query_terms(queries, "qid", F.col("query"))
+        if not request.correct:
+            return terms
+        known = self.counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("count"))
+        better = S.corrected(terms, known)
+        return terms.unionByName(terms.join(better, "term").select("qid", F.col("correction").alias("term"))).distinct()
+
+    def lists(self, queries: DataFrame, request: Request, limit: int) -> dict[str, Callable[[dict[str, DataFrame]], DataFrame | None]]:
+        """How each strategy makes its list (qid, key, score, rank) from those made before."""
+        filtered = any((request.projects, request.source_kinds, request.excluded_files, request.categories, request.authors, request.modified_after is not None))
         scope = self.scope(request).select("key")
-        filtered = bool(request.projects or request.source_kinds or request.excluded_files)
         inside = (lambda f: f.join(scope, "key", "left_semi")) if filtered else (lambda f: f)
-        asked = dense(hash_embedding(queries, "qid", "query"), "qid").select(F.col("qid").alias("key"), "embedding")
-        # Queries have negative keys here: no query is a record.
-        asked = asked.select((-F.col("key") - 1).alias("key"), "embedding")
-        vector = S.cosine_top(inside(self.embeddings), asked, "key", "embedding", limit).select((-F.col("query_id") - 1).alias("qid"), "key", F.lit("vector").alias("strategy"), "score", "rank")
-        if request.semantic_only:
-            return vector
-        keyword = S.top(S.bm25(inside(self.postings), "key", S.query_terms(queries, "qid", F.col("query")), "qid"), "qid", "key", limit)
-        lists = vector.unionByName(keyword.select("qid", "key", F.lit("keyword").alias("strategy"), "score", "rank"))
-        if self.edges is not None:
-            seeds = lists.select("qid", "key").distinct()
+
+        def vector(_):
+            # Queries have negative keys here: no query is a record.
+            asked = self.provider.embed(queries, "qid", "query").select((-F.col("qid") - 1).alias("key"), "embedding")
+            return S.cosine_top(inside(self.embeddings), asked, "key", "embedding", limit).select((-F.col("query_id") - 1).alias("qid"), "key", "score", "rank")
+
+        def keyword(_):
+            return S.bm25_top(inside(self.counts), "key", self._terms(queries, request), "qid", limit)
+
+        def seeds(made):
+            out = None
+            for f in made.values():
+                out = f.select("qid", "key") if out is None else out.unionByName(f.select("qid", "key"))
+            return out.distinct()
+
+        def graph(made):
+            if self.edges is None or not made:
+                return None
+            first = seeds(made)
             both = self.edges.select("src", "dst").unionByName(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-            near = seeds.join(both, seeds["key"] == both["src"]).select("qid", F.col("dst").alias("key")).groupBy("qid", "key").agg(F.count("*").cast("double").alias("score"))
-            near = inside(near.join(seeds, ["qid", "key"], "left_anti"))
-            lists = lists.unionByName(S.top(near, "qid", "key", limit).select("qid", "key", F.lit("graph").alias("strategy"), "score", "rank"))
-        return lists
+            near = first.withColumnRenamed("key", "src").join(both, "src").select("qid", F.col("dst").alias("key")).groupBy("qid", "key").agg(F.count("*").cast("double").alias("score"))
+            return S.top(inside(near.join(first, ["qid", "key"], "left_anti")), "qid", "key", limit)
 
-    def search(self, queries: DataFrame, request: Request | None = None) -> DataFrame:
-        """qid, rank, key, doc_id, score, strategies and record columns of the results of every query.
+        def expansion(made):
+            if not request.expand_tags or not made:
+                return None
+            return S.shared_tags(seeds(made), inside(self.records.select("key", "tags")), "qid", "key", limit)
 
-        After fusion: floor or abstention, metadata rank, limit by document, the first top_n."""
-        request = request or Request()
-        fused = R.rrf(self.hits(queries, request), "qid", "key", request.weights)
+        return {"vector": vector} if request.semantic_only else {"vector": vector, "keyword": keyword, "graph": graph, "expansion": expansion}
+
+    def hits(self, queries: DataFrame, request: Request, failures: list[str] | None = None, limit: int | None = None) -> DataFrame:
+        """qid, key, strategy, score and rank of the candidates of each list. queries: qid long and query.
+
+        With a list of failures, each strategy is run by itself: one that fails is named there, and the others answer."""
+        limit = limit or S.candidate_limit(request.top_n, request.top_k, bool(request.projects), request.max_chunks_per_doc, request.source_kinds == ("git_commit",))
+        made: dict[str, DataFrame] = {}
+        for name, make in self.lists(queries, request, limit).items():
+            try:
+                found = make(dict(made))
+                if found is not None:
+                    made[name] = found if failures is None and name in ("graph", "expansion") else staged(found.select("qid", "key", "score", "rank"), name)
+            except Exception as error:  # a strategy may fail in any way that its provider does
+                if failures is None:
+                    raise
+                failures.append(f"{name}: {str(error).splitlines()[0][:200] if str(error) else type(error).__name__}")
+        out = queries.sparkSession.createDataFrame([], "qid long, key long, strategy string, score double, rank int")
+        for name, found in made.items():
+            out = out.unionByName(found.select("qid", "key", F.lit(name).alias("strategy"), "score", F.col("rank").cast("int").alias("rank")))
+        return out
+
+    def results(self, queries: DataFrame, request: Request, hits: DataFrame) -> DataFrame:
+        """All results of hits, with their rank: floor or abstention, metadata rank, re-ranking, limit by document."""
+        if request.adaptive:
+            fused = R.rrf(R.type_weights(hits, queries, "qid", "query"), "qid", "key")
+        else:
+            fused = R.rrf(hits, "qid", "key", request.weights)
+        # Equal sums of reciprocals may differ in their last bits.
+        fused = fused.withColumn("score", F.round("score", 12))
         rows = fused.join(self.records, "key").join(queries.select("qid", "query"), "qid")
         if request.uplift and request.project_context:
             rows = rows.withColumn("score", R.uplift(F.col("score"), F.col("project"), F.lit(request.project_context)))
@@ -100,35 +229,55 @@ class Index:
             rows = rows.where((F.col("score") >= R.FLOOR) | lexical_match(F.col("query"), place, F.col("body"), F.array_contains("strategies", "keyword")))
         rows = rows.withColumn("metadata_rank", metadata_rank(F.col("query"), F.col("title"), F.col("header_path"), F.col("file_path")))
         order = [F.desc("metadata_rank"), F.desc("score"), "key"]
+        if request.reranker is not None:
+            rows = R.reranked(rows, "qid", "key", "query", "body", request.reranker, request.rerank_budget).drop("rank")
+            order = [F.desc("metadata_rank"), F.desc_nulls_last("rerank_score"), F.desc("score"), "key"]
         document = F.coalesce(F.nullif(F.col("doc_id").cast("string"), F.lit("")), F.concat(F.lit("file:"), F.col("file_path")), F.col("key").cast("string"))
         rows = R.first_of(rows.withColumn("_document", document), ["qid", "_document"], order, request.max_chunks_per_doc).drop("_document")
         if request.similarity_threshold is not None:
-            kept = R.semantic_dedup(rows.join(self.embeddings, "key"), "qid", "key", "embedding", request.similarity_threshold).select("qid", "key")
+            kept = R.semantic_dedup(rows.join(self.embeddings, "key", "left"), "qid", "key", "embedding", request.similarity_threshold).select("qid", "key")
             rows = rows.join(kept, ["qid", "key"], "left_semi")
         if request.calibrate:
             rows = rows.withColumn("confidence", R.calibrated(F.col("score")))
-        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= request.top_n)
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
 
-    def query_documents(self, query: str, request: Request | None = None) -> DataFrame:
-        """Results of one query."""
+    def search(self, queries: DataFrame, request: Request | None = None, failures: list[str] | None = None) -> DataFrame:
+        """qid, rank, key, doc_id, score, strategies and record columns of the results of every query, the first top_n."""
+        request = request or Request()
+        return self.results(queries, request, self.hits(queries, request, failures)).where(F.col("rank") <= request.top_n)
+
+    def _one(self, query: str) -> DataFrame:
         if not query.strip():
             raise ValueError("the query is empty")
-        spark = self.records.sparkSession
-        return self.search(spark.createDataFrame([(0, query.strip())], "qid long, query string"), request).orderBy("rank")
+        return self.records.sparkSession.createDataFrame([(0, query.strip())], "qid long, query string")
+
+    def query_documents(self, query: str, request: Request | None = None) -> DataFrame:
+        """Results of one query."""
+        return self.search(self._one(query), request).orderBy("rank")
+
+    def answer(self, arguments: dict) -> dict:
+        """The response to a call: status, results and whether a strategy failed, or what is wrong with the call."""
+        try:
+            query, request = Request.parse(arguments)
+        except ValueError as error:
+            return {"status": "error", "error": "validation_error", "message": str(error)}
+        failures: list[str] = []
+        rows = self.search(self._one(query), request, failures)
+        shown = rows.select("rank", F.col("key").alias("chunk_id"), "doc_id", "file_path", "header_path", "score", content(F.col("query"), F.col("body")).alias("content"), F.col("project").alias("project_id")).orderBy("rank").drop("rank")
+        return {"status": "ok", "results": [r.asDict() for r in shown.collect()], "degraded": bool(failures), "failures": failures}
 
     def search_with_hypothesis(self, hypothesis: str, request: Request | None = None) -> DataFrame:
         """Results near a made-up answer, by vectors alone."""
-        from dataclasses import replace
-
         return self.query_documents(hypothesis, replace(request or Request(), semantic_only=True))
 
-    def search_git_history(self, query: str, files_glob: str | None = None, after: int | None = None, before: int | None = None, top_n: int = 5) -> DataFrame:
-        """One result a commit. Time and file conditions are applied before the candidates are taken, so none is lost.
+    def search_git_history(self, query: str, files_glob: str | None = None, after: int | None = None, before: int | None = None, top_n: int = 5, include_diff: bool = False) -> DataFrame:
+        """One result a commit, the first top_n commits.
 
-        Records of commits have commit_id, section, committed_at (seconds) and files_changed besides."""
-        from ..functions.text import glob_pattern
-
-        rows = self.records
+        Time and file conditions are applied before candidates are taken. Each list has WIDE times top_n chunks, WIDER times
+        with a condition that is not empty, and 20 at least; all of them count for their commits. Records of commits have
+        commit_id, section, committed_at (seconds) and files_changed besides, and may have author. A message is told of a chunk of the
+        body, a diff of one of a diff and only if asked for."""
+        rows = self.records.where("source_kind = 'git_commit'")
         if after is not None:
             rows = rows.where(F.col("committed_at") > after)
         if before is not None:
@@ -137,7 +286,31 @@ class Index:
             pattern = glob_pattern(files_glob)
             rows = rows.where(F.exists("files_changed", lambda f: f.rlike(pattern)))
         keys = rows.select("key")
-        part = Index(rows, self.edges, self.postings.join(keys, "key", "left_semi"), self.embeddings.join(keys, "key", "left_semi"))
-        found = part.search(self.records.sparkSession.createDataFrame([(0, query)], "qid long, query string"), Request(top_n=100, source_kinds=("git_commit",), max_chunks_per_doc=0))
+        part = Index(rows, self.edges, self.counts.join(keys, "key", "left_semi"), self.embeddings.join(keys, "key", "left_semi"), self.provider)
+        request = Request(top_n=min(100, top_n), source_kinds=("git_commit",), max_chunks_per_doc=0)
+        queries = self._one(query)
+        found = staged(part.results(queries, request, part.hits(queries, request, limit=max(20, top_n * (WIDER if files_glob or after or before else WIDE)))), "commits")
         hits = found.select("qid", "commit_id", F.col("key").alias("chunk_id"), "section", "score", F.col("rank").alias("position"))
-        return R.commit_results(hits, "qid").orderBy(F.desc("score"), "commit_id").limit(top_n)
+        commits = R.commit_results(hits, "qid").orderBy(F.desc("score"), "commit_id").limit(top_n)
+        author = "author" if "author" in found.columns else F.lit(None).cast("string").alias("author")
+        own = found.select(F.col("key").alias("chunk_id"), "title", author, F.col("committed_at").alias("timestamp"), "files_changed", "section", "body")
+        message, diff = F.when(F.col("section") == "body", F.col("body")), F.when(F.lit(include_diff) & (F.col("section") == "diff"), F.col("body"))
+        return commits.join(own, "chunk_id").select(*commits.columns, "title", "author", "timestamp", "files_changed", message.alias("message"), diff.alias("diff")).orderBy(F.desc("score"), "commit_id")
+
+
+def content(query, body):
+    """What an answer shows of a body: the first characters alone of one to a factual query."""
+    short = F.when(F.length(body) > FACTUAL, F.concat(F.left(body, F.lit(FACTUAL)), F.lit("..."))).otherwise(body)
+    return F.when(query_type(query) == "factual", short).otherwise(body)
+
+
+def safe_metadata(metadata):
+    """The fields of a map that answers show."""
+    return F.map_filter(metadata, lambda k, _: k.isin(*SAFE))
+
+
+def shown_hits(results: DataFrame) -> DataFrame:
+    """Hits as other services read them: of results with qid, rank, score, project, source_kind, key, title, body, uri,
+    file_path and metadata (a map of texts), source_rank, snippet, citation and safe metadata."""
+    uri = F.coalesce(F.nullif(F.col("uri"), F.lit("")), F.concat(F.lit("file://"), F.nullif(F.col("file_path"), F.lit(""))))
+    return results.select("qid", F.col("project").alias("workspace_id"), "source_kind", F.col("key").alias("source_id"), "title", F.left("body", F.lit(SNIPPET)).alias("snippet"), F.col("rank").alias("source_rank"), uri.alias("uri"), F.col("score").alias("native_score"), safe_metadata(F.col("metadata")).alias("metadata"))

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import rank as R
 from ..operators import retrieve as S
 from ..operators import state as U
+from ..scratch import sent, staged
 from ..session import table
 from .registry import query
 from .search import KEYWORD, item_terms, keyword_hits, scores_sql
@@ -18,13 +19,10 @@ o as (select *, row_number() over (partition by item_id order by score desc, doc
 
 
 def lists(spark, folder):
-    a = keyword_hits(spark, folder, 20)
-    terms = item_terms(spark, folder)
-    n = terms.groupBy("item_id").agg(F.count("*").alias("n"))
-    held = S.postings(table(spark, folder, "documents"), "doc_id", "text").join(terms, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("h")).join(n, "item_id")
-    b = S.top(held.select("item_id", "doc_id", F.round(F.col("h") / F.col("n"), 9).alias("score")), "item_id", "doc_id", 20)
+    counts = staged(S.term_counts(table(spark, folder, "documents"), "doc_id", {"content": "text"}), "postings")
+    terms = staged(item_terms(spark, folder), "query-terms")
     tagged = lambda f, s: f.select("item_id", "doc_id", F.lit(s).alias("strategy"), "score", "rank")
-    return tagged(a, "keyword").unionByName(tagged(b, "code"))
+    return tagged(S.bm25_top(counts, "doc_id", terms, "item_id", 20), "keyword").unionByName(tagged(S.coverage_top(counts, "doc_id", terms, "item_id", 20), "code"))
 
 
 @query(f"with {LISTS} select item_id, doc_id, round(sum(1.0 / (60 + rank)), 6) as score, list_sort(list(strategy)) as strategies from u group by all")
@@ -82,19 +80,19 @@ def project_uplift(spark, folder):
     return fused.select("item_id", "doc_id", F.round(R.uplift(F.col("score"), F.col("source"), mine), 6).alias("score"))
 
 
-EDGES = "e as materialized (select distinct l_suppkey * 2 as a, l_partkey * 2 + 1 as b from lineitem where l_quantity >= 49), b as materialized (select a as src, b as dst from e union select b, a from e)"
+EDGES = "e as materialized (select distinct l_suppkey * 2 as a, l_partkey * 2 + 1 as b from lineitem), b as materialized (select a as src, b as dst from e union select b, a from e)"
 ROUNDS = "l0 as (select distinct src as node, src as community from b)" + "".join(
     f", n{i} as (select src, community, count(*) as n from b join l{i - 1} on dst = node group by all), l{i} as (select src as node, arg_max(community, struct_pack(n := n, c := -community)) as community from n{i} group by all)" for i in (1, 2, 3)
 )
 
 
 def bulk_edges(spark, folder):
-    return table(spark, folder, "lineitem").where("l_quantity >= 49").select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
+    return table(spark, folder, "lineitem").select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
 
 
 @query(f"with {EDGES}, {ROUNDS} select node, community from l3")
 def community_labels(spark, folder):
-    """Suppliers and parts of large orders, three rounds."""
+    """Suppliers and parts of all orders, three rounds."""
     return U.communities(bulk_edges(spark, folder), 3)
 
 
@@ -164,13 +162,9 @@ r as (select item_id, min(rank) as first, count(*) filter (rank <= 1) as h1, cou
 i as (select item_id, n, (select sum(1 / log2(x + 1)) from range(1, least(n, 3) + 1) t(x)) as i3, (select sum(1 / log2(x + 1)) from range(1, least(n, 5) + 1) t(x)) as i5 from n)
 select item_id, round(coalesce(1.0 / first, 0), 6) as reciprocal_rank, round(coalesce(h1 / n, 0), 6) as recall_at_1, round(coalesce(h3 / n, 0), 6) as recall_at_3, round(coalesce(h5 / n, 0), 6) as recall_at_5, round(coalesce(g3 / i3, 0), 6) as ndcg_at_3, round(coalesce(g5 / i5, 0), 6) as ndcg_at_5 from i left join r using (item_id)""")
 def ranking_metrics(spark, folder):
-    """Documents that hold a benchmark text are what its search should find. Candidates share the item's first five words."""
-    head = lambda c: F.array_join(F.slice(F.split(c, r"\s+"), 1, 5), " ")
-    items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("item"), head("text").alias("gram"))
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(5)), " "))
-    held = F.element_at(F.transform(F.array(F.split("text", r"\s+")), grams), 1)
+    """Documents that hold a benchmark text are what its search should find: a stated set of texts, counted before it is sent, against all documents."""
+    items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("item"))
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    maybe = docs.select("doc_id", F.explode(held).alias("gram")).join(items, "gram").select("item_id", "doc_id", "item").distinct()
-    judged = maybe.join(docs, "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id")
-    out = R.ranking_metrics(keyword_hits(spark, folder, 20), judged, "item_id", "doc_id")
+    judged = docs.join(sent(items, items.count(), 1000), F.contains("text", "item")).select("item_id", "doc_id")
+    out = R.ranking_metrics(keyword_hits(spark, folder, 20), staged(judged, "judged"), "item_id", "doc_id")
     return out.select("item_id", *[F.round(c, 6).alias(c) for c in out.columns[1:]])

@@ -29,11 +29,11 @@ def scan_filter_project(spark, folder):
     return table(spark, folder, "documents").where(F.col("lang").isin("en", "de") & (F.col("source") != "src0")).select("doc_id", "source", "lang", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("select doc_id, md5(replace(text, chr(13), chr(10))) as digest, doc_id % 2 = 1 and regexp_matches(text, '[^\\x00-\\x7f]') as latin from documents where not regexp_matches(text, '[^\\x00-\\xff]')")
+@query("select doc_id, md5(replace(text, chr(13), chr(10))) as digest, doc_id % 2 = 1 and regexp_matches(text, '[^\\x00-\\x7f]') and not regexp_matches(text, '[^\\x00-\\xff]') as latin from documents")
 def decode_fallback(spark, folder):
-    """Texts written as Latin-1 or UTF-8 by turns, and read without knowing which."""
-    rows = table(spark, folder, "documents").where(~F.col("text").rlike("[^\\x00-\\xff]"))
-    content = F.when(F.col("doc_id") % 2 == 1, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    """Texts written as Latin-1, where it has all their letters, or UTF-8 by turns, and read without knowing which."""
+    rows = table(spark, folder, "documents")
+    content = F.when((F.col("doc_id") % 2 == 1) & ~F.col("text").rlike("[^\\x00-\\xff]"), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     rows = rows.select("doc_id", content.alias("content"))
     return rows.select("doc_id", F.md5(T.decoded(F.col("content"))).alias("digest"), (~F.is_valid_utf8(F.col("content").cast("string"))).alias("latin"))
 
@@ -79,12 +79,19 @@ def links_with_context(spark, folder):
     return table(spark, folder, "conversations").select("conv_id", "turn", head("turn").alias("header_turn"), kind.alias("edge_type"))
 
 
-@query("""select page_id, p as path, regexp_matches(p, '(^|/)(en|de)/[^/]*$') and not regexp_matches(p, '(^|/)[^/]*7[^/]*$') as accepted
-from (select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') as p from pages)""")
+#: Prefixes of paths, globs that leave files out, and whether these leave out what begins so.
+PREFIXES = ["", "a/build/b/", "build/", "a/node_modules/", "node_modules/x/", "mybuild/", "a/.venv/lib/", ".git/", "docs/.hidden/", "my.folder/", "x-egg-info/"]
+GONE = ["a/build/b/", "build/", "a/node_modules/", "node_modules/x/", "a/.venv/lib/", ".git/", "docs/.hidden/", "x-egg-info/"]
+
+
+@query(f"""select page_id, prefix || p as path, prefix not in ({', '.join(f"'{x}'" for x in GONE)}) as accepted, prefix not in ({', '.join(f"'{x}'" for x in GONE)}) and regexp_matches(p, '/(en|de)/[^/]*$') and not regexp_matches(p, '7[^/]*$') as narrow
+from (select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') as p from pages), (values {', '.join(f"('{x}')" for x in PREFIXES)}) v(prefix)""")
 def path_predicate(spark, folder):
+    """The default globs, and narrower ones, on pages as files in folders of many names."""
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
-    rows = table(spark, folder, "pages").select("page_id", path.alias("path"))
-    return rows.select("page_id", "path", files.accepted(F.col("path"), ["en/*", "de/*"], ["*7*"]).alias("accepted"))
+    rows = table(spark, folder, "pages").select("page_id", F.explode(F.array(*map(F.lit, PREFIXES))).alias("prefix"), path.alias("p")).select("page_id", F.concat("prefix", "p").alias("path"))
+    narrow = files.accepted(F.col("path"), ["**/en/*", "**/de/*"], [*files.EXCLUDE, "*7*"])
+    return rows.select("page_id", "path", files.accepted(F.col("path"), files.INCLUDE, files.EXCLUDE).alias("accepted"), narrow.alias("narrow"))
 
 
 @query("""with p as (select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') as path from pages), r as (select distinct split_part(path, '/', 1) as root, 'host ' || split_part(path, '/', 1) as project from p

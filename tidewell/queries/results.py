@@ -28,12 +28,12 @@ f as (select q, arg_max(kept, n) as kept from g group by all)"""
 TRI = "list_distinct(list_transform(range(1, greatest(length({0}) - 1, 1)), lambda i: substr(lower({0}), i, 3)))"
 
 
-@query(f"""with recursive {scores_sql()}, {KEYWORD}, pool as materialized (select item_id as q, rank as n, doc_id, k.score, {TRI.format('text')} as x from k join documents using (doc_id) where rank <= 6),
+@query(f"""with recursive {scores_sql()}, {KEYWORD}, pool as materialized (select item_id as q, rank as n, doc_id, k.score, {TRI.format('text')} as x from k join documents using (doc_id) where rank <= 20),
 {_greedy_sql('pool', 'len(list_intersect(o.x, p.x)) / greatest(len(o.x) + len(p.x) - len(list_intersect(o.x, p.x)), 1) >= 0.7')}
 select q as item_id, doc_id, row_number() over (partition by q order by n) as rank from f join pool using (q) where list_contains(kept, n)""")
 def ngram_dedup(spark, folder):
-    """Of the 6 best keyword hits of every item."""
-    hits = keyword_hits(spark, folder, 6).drop("rank").join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    """Of all candidates of every item: the 20 of a search for five results."""
+    hits = keyword_hits(spark, folder, 20).drop("rank").join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     return R.ngram_dedup(hits, "item_id", "doc_id", "text").select("item_id", "doc_id", "rank")
 
 
@@ -94,11 +94,17 @@ def dense_positions(spark, folder):
     return rows.select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rank"))
 
 
-@query(f"""with {scores_sql()}, {KEYWORD}, h as (select item_id, k.doc_id, k.score, source, text from k join documents using (doc_id) where rank <= 20), f1 as (select * from h where score >= 5),
-f2 as (select * from f1 qualify row_number() over (partition by item_id, md5(text) order by score desc, doc_id) = 1), f3 as (select * from f2 qualify row_number() over (partition by item_id, source order by score desc, doc_id) = 1)
-select item_id, count(*) as original, (select count(*) from f1 where f1.item_id = h.item_id) as after_threshold, (select count(*) from f2 where f2.item_id = h.item_id) as after_content_dedup, (select count(*) from f2 where f2.item_id = h.item_id) as after_ngram_dedup,
-(select count(*) from f3 where f3.item_id = h.item_id) as after_doc_limit, (select count(*) from f1 where f1.item_id = h.item_id) - (select count(*) from f2 where f2.item_id = h.item_id) as clusters_merged from h group by item_id""")
+@query(f"""with recursive {scores_sql()}, {KEYWORD}, h as materialized (select item_id, k.doc_id, k.score, source, text from k join documents using (doc_id) where rank <= 20), f1 as (select * from h where score >= 5),
+f2 as materialized (select * from f1 qualify row_number() over (partition by item_id, md5(text) order by score desc, doc_id) = 1), pool as materialized (select item_id as q, row_number() over (partition by item_id order by score desc, doc_id) as n, doc_id, {TRI.format('text')} as x from f2),
+{_greedy_sql('pool', 'len(list_intersect(o.x, p.x)) / greatest(len(o.x) + len(p.x) - len(list_intersect(o.x, p.x)), 1) >= 0.7')}, f3 as materialized (select f2.* from f join pool using (q) join f2 on f2.item_id = q and f2.doc_id = pool.doc_id where list_contains(kept, n)),
+vec as materialized (select f3.item_id as q, row_number() over (partition by item_id order by score desc, f3.doc_id) as n, f3.doc_id, list_transform(embedding, lambda y: cast(y as double)) as x from f3 left join embeddings on vec_id = f3.doc_id),
+g2 as (select q, 1::bigint as n, [1::bigint] as kept from vec where n = 1 union all select g2.q, g2.n + 1, case when exists (select 1 from vec o where o.q = g2.q and list_contains(g2.kept, o.n) and coalesce(list_cosine_similarity(o.x, p.x) >= 0.3, false)) then g2.kept else list_append(g2.kept, p.n) end from g2 join vec p on p.q = g2.q and p.n = g2.n + 1),
+w as (select q, arg_max(kept, n) as kept from g2 group by all), f4 as materialized (select f3.* from w join vec using (q) join f3 on f3.item_id = q and f3.doc_id = vec.doc_id where list_contains(kept, n)), f5 as (select * from f4 qualify row_number() over (partition by item_id, source order by score desc, doc_id) = 1),
+c as (select item_id, 0 as s, count(*) as n from h group by all union all select item_id, 1, count(*) from f1 group by all union all select item_id, 2, count(*) from f2 group by all union all select item_id, 3, count(*) from f3 group by all union all select item_id, 4, count(*) from f4 group by all union all select item_id, 5, count(*) from f5 group by all)
+select item_id, coalesce(sum(n) filter (s = 0), 0)::bigint as original, coalesce(sum(n) filter (s = 1), 0)::bigint as after_threshold, coalesce(sum(n) filter (s = 2), 0)::bigint as after_content_dedup, coalesce(sum(n) filter (s = 3), 0)::bigint as after_ngram_dedup, coalesce(sum(n) filter (s = 4), 0)::bigint as after_dedup, coalesce(sum(n) filter (s = 5), 0)::bigint as after_doc_limit,
+(coalesce(sum(n) filter (s = 1), 0) - coalesce(sum(n) filter (s = 4), 0))::bigint as clusters_merged from c group by item_id""")
 def compression_stats(spark, folder):
-    """Without the n-gram step, which has a query of its own."""
-    hits = keyword_hits(spark, folder, 20).drop("rank").join(table(spark, folder, "documents").select("doc_id", "source", "text"), "doc_id")
-    return R.compressed(hits, "item_id", "doc_id", "text", "source", 5.0, ngram=None)[1]
+    """What each step of result compression leaves of all candidates; the vector threshold suits these vectors."""
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    hits = keyword_hits(spark, folder, 20).drop("rank").join(table(spark, folder, "documents").select("doc_id", "source", "text"), "doc_id").join(vectors, "doc_id", "left")
+    return R.compressed(hits, "item_id", "doc_id", "text", "source", 5.0, embedding="embedding", semantic=0.3)[1]

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.vectors import hash_embedding
 from ..operators import rank as R
 from ..operators import retrieve as S
+from ..scratch import staged
 from ..session import table
 from .registry import query
 
@@ -29,9 +30,8 @@ def item_terms(spark, folder):
 
 def keyword_hits(spark, folder, k):
     """Scores have 9 digits, so that equal ones tie on either engine."""
-    docs = table(spark, folder, "documents")
-    scored = S.bm25(S.postings(docs, "doc_id", "text"), "doc_id", item_terms(spark, folder), "item_id", S.text_lengths(docs, "doc_id", "text"))
-    return S.top(scored.withColumn("score", F.round("score", 9)), "item_id", "doc_id", k)
+    counts = staged(S.term_counts(table(spark, folder, "documents"), "doc_id", {"content": "text"}), "postings")
+    return S.bm25_top(counts, "doc_id", item_terms(spark, folder), "item_id", k)
 
 
 KEYWORD = "k as (select item_id, doc_id, round(score, 9) as score, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) as rank from s)"
@@ -67,8 +67,8 @@ PAGE_FIELDS = r"""select page_id as doc_id, regexp_extract(html, '<title>([^<]*)
 def bm25f_fields(spark, folder):
     body = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style|head)[^>]*>.*?</(script|style|head)>", " "), "<[^>]*>", " ")
     rows = table(spark, folder, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), body.alias("body"))
-    scored = S.bm25(S.weighted_postings(rows, "page_id", {"title": "title", "content": "body"}), "page_id", item_terms(spark, folder), "item_id")
-    return S.top(scored.withColumn("score", F.round("score", 9)), "item_id", "page_id", 10).select("item_id", "page_id", F.round("score", 6).alias("score"), "rank")
+    counts = staged(S.term_counts(rows, "page_id", {"title": "title", "content": "body"}), "postings")
+    return S.bm25_top(counts, "page_id", item_terms(spark, folder), "item_id", 10).select("item_id", "page_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(r"""select p_partkey, list_sort(list_distinct(list_transform(regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_]*') || regexp_extract_all(t, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x)))) as tokens
@@ -78,14 +78,20 @@ def code_tokens(spark, folder):
     return table(spark, folder, "part").select("p_partkey", T.code_tokens(code).alias("tokens"))
 
 
-@query(r"""with t as (select item_id, unnest(case when len(w) > 0 then w else ['__empty__'] end) as token from (select item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as w from (select item_id, regexp_replace(text, '[^\x00-\x7f]', 'é', 'g') as text from benchmark))),
-h as (select item_id, sha256(token) as d from t), e as (select item_id, cast(('0x' || substr(d, 1, 16))::ubigint % 384 as integer) as place, 1.0::double as v from h
-union all select item_id, cast(('0x' || substr(d, 17, 16))::ubigint % 384 as integer), case when ('0x' || substr(d, 34, 1))::integer % 2 = 0 then 0.5 else -0.5 end from h),
-s as (select item_id, place, sum(v) as v from e group by all), n as (select item_id, sqrt(sum(v * v)) as n from s group by all) select item_id, place, round(v / n, 6) as value from s join n using (item_id)""")
+#: Words of any script that are made of ASCII letters alone.
+ASCII = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z0-9_]+'))"
+
+
+def embedding_sql(table_: str, key: str) -> str:
+    """Entries (key, place, value) of the hashed embedding of a table's texts."""
+    return f"""select {key}, place, v / n as value from (select *, sqrt(sum(v * v) over (partition by {key})) as n from (select {key}, place, sum(v) as v from (
+select {key}, cast(('0x' || substr(d, 1, 16))::ubigint % 384 as integer) as place, c::double as v from (select *, sha256(token) as d from (select {key}, token, count(*) as c from (select {key}, unnest(case when len(w) > 0 then w else ['__empty__'] end) as token from (select {key}, {ASCII} as w from {table_})) group by all))
+union all select {key}, cast(('0x' || substr(d, 17, 16))::ubigint % 384 as integer), c * case when ('0x' || substr(d, 34, 1))::integer % 2 = 0 then 0.5 else -0.5 end from (select *, sha256(token) as d from (select {key}, token, count(*) as c from (select {key}, unnest(case when len(w) > 0 then w else ['__empty__'] end) as token from (select {key}, {ASCII} as w from {table_})) group by all))) group by all))"""
+
+
+@query(f"select doc_id, place, round(value, 6) as value from ({embedding_sql('documents', 'doc_id')})")
 def hash_embedding_entries(spark, folder):
-    """Of benchmark texts, with other letters than ASCII's as word ends on both engines."""
-    rows = table(spark, folder, "benchmark").select("item_id", F.regexp_replace("text", r"[^\x00-\x7f]", "-").alias("text"))
-    return hash_embedding(rows, "item_id", "text").select("item_id", "place", F.round("value", 6).alias("value"))
+    return hash_embedding(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "place", F.round("value", 6).alias("value"))
 
 
 COSINE = """v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), c as (select q.vec_id as query_id, d.vec_id, round(list_cosine_similarity(q.e, d.e), 9) as score
@@ -150,17 +156,16 @@ def vocabulary_topn(spark, folder):
     return S.vocabulary(rows, "text")
 
 
-@query(f"""with v as ({VOCABULARY}), q as (select item_id, text, {WORDS.format('text')} as w, regexp_replace(w[1], '[^\\x00-\\x7f]', '', 'g') as f from benchmark), n as (select item_id, term, 1.0 - levenshtein(f, term) / greatest(length(f), length(term)) as score from q, v where len(w) > 0),
-b as (select item_id, term, row_number() over (partition by item_id order by round(score, 9) desc, term) as r from n where round(score, 9) >= 0.5), t as (select item_id, list(term order by r) as terms from b where r <= 3 group by all)
-select item_id, text || coalesce(' ' || list_aggregate(list_filter(terms, lambda x: not list_contains(w, x)), 'string_agg', ' '), ' ') as expanded from q left join t using (item_id)""")
+@query(f"""with v as materialized ({VOCABULARY}), h as (select term, sha256(lower(term)) as d from v where regexp_full_match(term, '[a-z0-9_]+')), e as (select term, cast(('0x' || substr(d, 1, 16))::ubigint % 384 as integer) as place, 1.0::double as v from h union all select term, cast(('0x' || substr(d, 17, 16))::ubigint % 384 as integer), case when ('0x' || substr(d, 34, 1))::integer % 2 = 0 then 0.5 else -0.5 end from h),
+t as (select term, place, v / sqrt(sum(v * v) over (partition by term)) as v from (select term, place, sum(v) as v from e group by all)), q as ({embedding_sql('benchmark', 'item_id')}), n as (select item_id, term, round(sum(q.value * t.v), 9) as score from q join t using (place) group by all),
+b as (select item_id, term, row_number() over (partition by item_id order by score desc, term) as r from n where score >= {S.LEAST_COSINE}), x as (select item_id, list(term order by r) as terms from b where r <= {S.EXPANDED} group by all)
+select item_id, text || ' ' || coalesce(list_aggregate(list_filter(terms, lambda x: not list_contains({WORDS.format('text')}, x)), 'string_agg', ' '), '') as expanded from benchmark left join x using (item_id)""")
 def query_expansion(spark, folder):
-    """Terms near a query's first word; nearness is edit similarity here, as the tables have no term vectors."""
+    """The vocabulary's terms that are nearest to each whole query, by hashed embeddings."""
     rows = table(spark, folder, "documents").select(F.regexp_replace(F.lower("text"), r"[^\x00-\x7f]", " ").alias("text"))
-    terms = F.broadcast(S.vocabulary(rows, "text"))  # S.VOCABULARY rows at most
+    terms = S.vocabulary(rows, "text").where("term rlike '^[a-z0-9_]+$'").select("term", F.col("term").alias("text"))
     queries = table(spark, folder, "benchmark")
-    first = F.regexp_replace(F.get(T.words(F.col("text")), 0), r"[^\x00-\x7f]", "")
-    pairs = queries.select("item_id", first.alias("w")).where("w is not null").join(terms)
-    near = pairs.select("item_id", "term", F.round(1 - F.levenshtein("w", "term") / F.greatest(F.length("w"), F.length("term")), 9).alias("score"))
+    near = S.near_terms(hash_embedding(queries, "item_id", "text"), hash_embedding(terms, "term", "text"), "item_id")
     return S.expanded_query(queries, near, "item_id", "text")
 
 

@@ -49,17 +49,13 @@ def delta_by_hash(spark, folder):
     return U.deltas(rows.where("(doc_id + i) % 4 <> 0").select("doc_id", "h"), rows.where("(doc_id * 7 + i) % 5 <> 0").select("doc_id", "h"), "doc_id", "h")
 
 
-@query(f"""with d as (select min(doc_id) as doc_id, text from documents group by text), l as materialized (select distinct doc_id, md5(l) as h from (select doc_id, unnest(string_split(text, chr(10))) as l from d)), few as (select h from l group by h having count(*) <= 20), k as (select * from l where h in (select h from few)), c as (select doc_id, count(*) as n from k group by all),
-p as (select a.doc_id as o, b.doc_id as n, count(*) as m from k a join k b using (h) where a.doc_id % 2 = 0 and b.doc_id % 2 = 1 group by all), s as (select o, p.n as nw, m / (x.n + y.n - m) as s from p join c x on x.doc_id = o join c y on y.doc_id = p.n where m / (x.n + y.n - m) >= {U.MOVED})
-select o as old, nw as new, round(s, 6) as similarity from s qualify row_number() over (partition by o order by s desc, nw) = 1""")
+@query(f"""with d as (select min(doc_id) as doc_id, text, doc_id % 2 as side from documents group by text, doc_id % 2), l as materialized (select distinct doc_id, side, md5(l) as h from (select doc_id, side, unnest(string_split(text, chr(10))) as l from d)), c as (select doc_id, count(*) as n from l group by all),
+p as (select a.doc_id as o, b.doc_id as n, count(*) as m from l a join l b using (h) where a.side = 0 and b.side = 1 group by all), s as (select o, p.n as nw, m / (x.n + y.n - m) as s from p join c x on x.doc_id = o join c y on y.doc_id = p.n where m / (x.n + y.n - m) >= {U.MOVED}),
+best as (select o, nw, s from s qualify row_number() over (partition by o order by s desc, nw) = 1) select e.doc_id as old, nw as new, round(s, 6) as similarity from best join d on d.doc_id = o and side = 0 join documents e on e.text = d.text and e.doc_id % 2 = 0""")
 def move_detection(spark, folder):
-    """Even documents went and odd ones came. As in the SQL, lines in over 20 distinct texts are left out, and a text is told under its least doc_id alone; move_detection_whole has all."""
-    docs = table(spark, folder, "documents")
-    texts = docs.groupBy(F.md5("text").alias("t")).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
-    lines = texts.select("doc_id", F.explode(F.split("text", "\n")).alias("l")).select("doc_id", F.md5("l").alias("h")).distinct()
-    few = lines.groupBy("h").agg(F.count("*").alias("n")).where("n <= 20").select("h")
-    told = lines.join(few, "h")
-    return U.moves(told.where("doc_id % 2 = 0"), told.where("doc_id % 2 = 1"), "doc_id", "h")
+    """Even documents went and odd ones came: all documents, with all their lines."""
+    lines = line_digests(spark, folder)
+    return U.moves(lines.where("doc_id % 2 = 0"), lines.where("doc_id % 2 = 1"), "doc_id", "h")
 
 
 @query()
@@ -174,9 +170,10 @@ def nested_roots(spark, folder):
     return P.nested(roots.withColumn("name", F.col("root")), "name", "root")
 
 
-@query(f"select path, list(page_id order by page_id) as keys from ({URLS}) group by path having count(*) > 1")
+@query(f"select split_part(path, '/', 1) || '/' || split_part(path, '/', 2) as folder, list(page_id order by page_id) as keys from ({URLS}) group by 1 having count(*) > 1")
 def duplicate_paths(spark, folder):
-    return P.duplicates(page_paths(spark, folder), "path", "page_id")
+    """Folders that several pages share."""
+    return P.duplicates(page_paths(spark, folder).withColumn("folder", F.concat_ws("/", F.slice(F.split("path", "/"), 1, 2))), "folder", "page_id")
 
 
 @query("select o_custkey, arg_min(o_orderkey, struct_pack(a := o_orderpriority not in ('1-URGENT', '2-HIGH'), b := o_orderstatus <> 'O', c := o_orderkey)) as o_orderkey from orders group by all")

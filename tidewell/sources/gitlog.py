@@ -1,58 +1,102 @@
 """Commits of Git repositories as a data source: spark.read.format("gitlog").option("repos", ...).
 
-One partition a repository; `since` (seconds) leaves out older commits. Rows come oldest first, so a cursor saved in
-the middle of a run never skips any. As a stream, an offset holds the seconds of the newest commit read and the
-commits of that time.
+The driver lists hashes; tasks read COMMITS_A_TASK of them each, oldest first; `since` (seconds) leaves out older
+commits. As a stream, an offset holds the tips of every repository's refs, so a commit is read once it can be reached,
+whatever its time says.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import re
 import subprocess
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "repo string, hash string, timestamp long, author string, committer string, title string, message string, files_changed array<string>, delta string"
 #: Lines of a diff that are kept.
 DELTA_LINES = 200
-#: Commits that one call of git shows.
-BATCH = 32
-#: Separators of records and fields, which commits do not hold.
-RECORD, FIELD = "\x1e", "\x1f"
-FORMAT = f"%x1e%H%x1f%ct%x1f%an <%ae>%x1f%cn <%ce>%x1f%s%x1f%b%x1f"
+#: Commits that one call of git shows, and that a task reads.
+BATCH, COMMITS_A_TASK = 32, 2048
+#: Fields end with NUL, which no name or message holds; a record begins with NUL, the next control and a hash.
+FORMAT = "%x00%x01%H%x00%ct%x00%an <%ae>%x00%cn <%ce>%x00%s%x00%b%x00"
+RECORD = re.compile(r"\x00\x01(?=[0-9a-f]{40,64}\x00\d+\x00)")
 
 
 def _git(repo: str, *args: str) -> str:
     return subprocess.run(["git", "-C", repo, *args], capture_output=True, check=True).stdout.decode("utf-8", "replace")
 
 
-def hashes(repo: str, since: int = 0) -> list[str]:
-    """Commits of all refs, oldest first."""
-    return _git(repo, "log", "--all", "--reverse", "--format=%H", *([f"--after={since}"] if since else [])).split()
+def discover(roots: list[str], exclude: list[str] | None = None, hidden: bool = False) -> list[str]:
+    """Repositories under the roots, sorted, each once; none is looked for inside another. exclude: globs of folders."""
+    from ..functions.text import path_glob
 
+    patterns = [re.compile(path_glob(g)) for g in exclude or []]
+    found = set()
+    for root in roots:
+        for folder, inner, _ in os.walk(root):
+            # A folder matches as itself, or as all that lies below it.
+            left_out = lambda d: any(p.search(d) or p.search(d + "/x") for p in patterns)
+            if ".git" in inner:
+                if not left_out(folder):
+                    found.add(os.path.realpath(folder))
+                inner.clear()
+            inner[:] = [d for d in inner if not left_out(os.path.join(folder, d)) and (hidden or not d.startswith("."))]
+    return sorted(found)
 
-def signature(repo: str) -> str:
-    """Changes whenever a ref does."""
-    return _git(repo, "for-each-ref", "--format=%(refname) %(objectname)") + _git(repo, "rev-parse", "HEAD")
 
+def tips(repo: str) -> list[str]:
+    """What the refs and HEAD point to."""
+    refs = _git(repo, "for-each-ref", "--format=%(objectname)").split()
+    head = subprocess.run(["git", "-C", repo, "rev-parse", "-q", "--verify", "HEAD"], capture_output=True, check=False).stdout.decode().split()
+    return sorted({*refs, *head})
 
-def commits(repo: str, since: int = 0) -> Iterator[tuple]:
-    listed = hashes(repo, since)
+
+def hashes(repo: str, since: int = 0, end: list[str] | None = None, start: list[str] | None = None) -> list[str]:
+    """Commits that can be reached from the tips `end`, or from any ref, and not from `start`; oldest first."""
+    end = tips(repo) if end is None else end
+    after = [f"--after={since}"] if since else []
+    return _git(repo, "rev-list", "--reverse", "--ignore-missing", *after, *end, *(["--not", *start] if start else [])).split() if end else []
+
+
+def _parsed(repo: str, record: str) -> tuple:
+    sha, ts, author, committer, title, message, rest = record.split("\x00", 6)
+    at = min((rest.find(m) for m in ("\ndiff --git ", "\ndiff --cc ") if m in rest), default=-1)
+    listed = rest if at < 0 else rest[:at]
+    files = [line.split("\t")[-1] for line in listed.split("\n") if line.startswith(":") and "\t" in line]
+    return repo, sha, int(ts), author, committer, title, message, files, rest[at + 1 :] if at >= 0 else ""
+
+
+def _shown(repo: str, listed: list[str]) -> str:
+    return _git(repo, "show", "--raw", "-p", "-m", "--first-parent", "--no-renames", f"--format={FORMAT}", *listed)
+
+
+def commits(repo: str, listed: list[str]) -> Iterator[tuple]:
+    """The commits of these hashes, in order. A call that fails, or whose records are not those asked for as a diff looks
+    like one, is made again for each commit."""
     for i in range(0, len(listed), BATCH):
-        shown = _git(repo, "show", "--raw", "-p", "-m", "--first-parent", f"--format={FORMAT}", *listed[i : i + BATCH])
-        for record in shown.split(RECORD)[1:]:
-            sha, ts, author, committer, title, message, rest = record.split(FIELD, 6)
-            files = [line.split("\t")[-1] for line in rest.split("\n") if line.startswith(":") and "\t" in line]
-            at = min((rest.find(m) for m in ("\ndiff --git ", "\ndiff --cc ") if m in rest), default=-1)
-            yield repo, sha, int(ts), author, committer, title, message, files, rest[at + 1 :] if at >= 0 else ""
+        some = listed[i : i + BATCH]
+        try:
+            records = RECORD.split(_shown(repo, some))[1:]
+        except subprocess.CalledProcessError:
+            records = []
+        if [r[: r.find("\x00")] for r in records] != some:
+            records = [RECORD.split(_shown(repo, [sha]), maxsplit=1)[1] for sha in some]
+        for record in records:
+            yield _parsed(repo, record)
+
+
+class _Some(InputPartition):
+    def __init__(self, repo: str, listed: list[str]):
+        self.repo, self.listed = repo, listed
 
 
-class _Repo(InputPartition):
-    def __init__(self, repo: str, since: int):
-        self.repo, self.since = repo, since
+def _dealt(repo: str, listed: list[str]) -> list[InputPartition]:
+    return [_Some(repo, listed[i : i + COMMITS_A_TASK]) for i in range(0, len(listed), COMMITS_A_TASK)]
 
 
 class _Reader(DataSourceReader):
@@ -60,31 +104,27 @@ class _Reader(DataSourceReader):
         self.repos, self.since = json.loads(options["repos"]), int(options.get("since", 0))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Repo(r, self.since) for r in self.repos]
+        return [p for r in self.repos for p in _dealt(r, hashes(r, self.since))] or [_Some("", [])]
 
-    def read(self, partition: _Repo) -> Iterator[tuple]:
-        return commits(partition.repo, partition.since)
+    def read(self, partition: _Some) -> Iterator[tuple]:
+        return commits(partition.repo, partition.listed)
 
 
-class _Stream(SimpleDataSourceStreamReader):
+class _Stream(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.repos, self.since = json.loads(options["repos"]), int(options.get("since", 0))
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"cursor": self.since, "seen": []}
+        return {}
 
-    def _new(self, start: dict) -> list[tuple]:
-        # A second is read again, as a commit may come with the second of the last one; `seen` are those told before.
-        return [c for r in self.repos for c in commits(r, max(0, start["cursor"] - 1)) if c[1] not in start["seen"]]
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {r: tips(r) for r in self.repos}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self._new(start)
-        cursor = max([start["cursor"], *(c[2] for c in rows)])
-        seen = sorted({c[1] for r in self.repos for c in commits(r, max(0, cursor - 1))})
-        return iter(rows), {"cursor": cursor, "seen": seen} if rows else start
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [p for r in end for p in _dealt(r, hashes(r, self.since, end[r], start.get(r)))]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter([c for c in self._new(start) if c[2] < end["cursor"] - 1 or c[1] in end["seen"]])
+    def read(self, partition: _Some) -> Iterator[tuple]:
+        return commits(partition.repo, partition.listed)
 
 
 class GitLog(DataSource):
@@ -98,7 +138,7 @@ class GitLog(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
         return _Stream(self.options)
 
 

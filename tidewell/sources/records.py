@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.state import latest
+
 SCHEMA = "workspace_id string, source_kind string, source_id string, title string, body string, created_at timestamp, updated_at timestamp, metadata map<string,string>, uri string, status string, corrupt string"
 REQUIRED = ("source_kind", "source_id", "body")
 
@@ -23,43 +27,49 @@ def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 class Table:
-    """Snapshots of rows in a folder; `current` is a one-row table that names the newest. Readers of the one before are not disturbed."""
+    """Rows by key in a folder of appended changes: the last change of a key holds. A batch that is written again takes its
+    own place, so a stream that runs again changes nothing, and two writers never undo each other.
+
+    A batch's name orders it: by its time unless one is given. `compacted` begins a new folder with what holds."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, key: list[str]):
+        self.spark, self.folder, self.key = spark, folder.rstrip("/"), key
 
-    def _pointers(self) -> list[str]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/current")
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(s.getPath().getName() for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+    def _changes(self) -> DataFrame | None:
+        try:
+            return self.spark.read.option("mergeSchema", True).option("basePath", self.folder).parquet(f"{self.folder}/batch=*")
+        except AnalysisException:
+            return None
 
-    def version(self) -> int:
-        """0 if nothing was ever written."""
-        names = [n for n in self._pointers() if n.startswith("v")]
-        return int(names[-1][1:13]) if names else 0
+    def version(self) -> str | None:
+        """The name of the last batch; readers that hold another are to read again. None if nothing was ever written."""
+        rows = self._changes()
+        return None if rows is None else rows.agg(F.max(F.col("batch").cast("string"))).first()[0]
 
     def read(self) -> DataFrame | None:
-        """The newest whole snapshot; None if there is none."""
-        names = [n for n in self._pointers() if n.startswith("v")]
-        return self.spark.read.parquet(f"{self.folder}/data/{names[-1]}") if names else None
-
-    def write(self, rows: DataFrame) -> int:
-        """A new snapshot: its data first, then its name."""
-        n = self.version() + 1
-        name = f"v{n:012d}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.folder}/data/{name}")
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/current/{name}")
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.mkdirs(hadoop.getParent())
-        fs.create(hadoop, False).close()
-        return n
-
-    def upsert(self, rows: DataFrame, key: list[str]) -> int:
-        from ..operators.state import upsert
-
-        old = self.read()
-        return self.write(rows if old is None else upsert(old.select(rows.columns), rows, key))
-
-    def delete(self, keys: DataFrame, key: list[str]) -> int:
-        old = self.read()
-        return self.version() if old is None else self.write(old.join(keys.select(*key).distinct(), key, "left_anti"))
+        """The rows that hold; None if nothing was ever written."""
+        rows = self._changes()
+        if rows is None:
+            return None
+        return latest(rows.withColumn("batch", F.col("batch").cast("string")), self.key, ["batch"]).where("not _deleted").drop("_deleted", "batch")
+
+    def _write(self, rows: DataFrame, batch: str | None) -> str:
+        batch = batch or f"t{time.time_ns():020d}-{uuid.uuid4().hex}"
+        rows.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+        return batch
+
+    def change(self, rows: DataFrame, deleted: Column, batch: str | None = None) -> str:
+        """Rows, each key once: those for which `deleted` holds go, the others are put in place of what their keys had."""
+        return self._write(rows.withColumn("_deleted", F.coalesce(deleted, F.lit(False))), batch)
+
+    def upsert(self, rows: DataFrame, batch: str | None = None) -> str:
+        return self.change(rows, F.lit(False), batch)
+
+    def delete(self, keys: DataFrame, batch: str | None = None) -> str:
+        return self.change(keys.select(*self.key).distinct(), F.lit(True), batch)
+
+    def compacted(self, folder: str) -> Table:
+        out = Table(self.spark, folder, self.key)
+        if (rows := self.read()) is not None:
+            out.upsert(rows)
+        return out

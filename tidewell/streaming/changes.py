@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.state import file_changes, latest
+from ..scratch import staged
 from ..sources.records import Table
 
 
@@ -23,21 +27,34 @@ def windows(events: DataFrame, by: str, size: str, slide: str | None = None, lat
     return out.select(F.col("w.start").alias("start"), by, "n", "total")
 
 
-def apply_changes(changes: DataFrame, table: Table, key: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Each batch of a stream of rows with `key` and `deleted` goes into the table. A batch that comes twice changes nothing."""
+def apply_changes(changes: DataFrame, table: Table, order: list[str], checkpoint: str, available_now: bool = True, every: str = "30 seconds") -> StreamingQuery:
+    """Each batch of a stream of rows with the table's key and `deleted` goes into the table: of a key the last row by
+    `order`, be it a deletion or not. A batch that comes twice changes nothing."""
 
-    def batch(rows: DataFrame, _: int) -> None:
-        rows = rows.persist()
-        alive = rows.where("not deleted").drop("deleted").dropDuplicates([key])
-        if not alive.isEmpty():
-            table.upsert(alive, [key])
-        gone = rows.where("deleted").select(key)
-        if not gone.isEmpty():
-            table.delete(gone, [key])
-        rows.unpersist()
+    def batch(rows: DataFrame, number: int) -> None:
+        table.change(latest(rows, table.key, order), F.col("deleted"), f"s{number:020d}")
 
     writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+
+
+def snapshots(spark: SparkSession, roots: list[str], seen: Table, work: Callable[[DataFrame, int], None], checkpoint: str, every: str = "60 minutes", **globs) -> StreamingQuery:
+    """Looks at the files under the roots at every tick, and hands what changed since the last look to `work`, with the
+    tick's number: path, change (created, modified or deleted) and action (index or remove). What was handed on is told
+    to `seen`, a table by path, once work has ended, so a tick that fails is looked at again. With the files at hand this
+    is the reconciliation too: nothing that was missed stays missed."""
+    from ..sources import files
+
+    def tick(_: DataFrame, number: int) -> None:
+        found = files.discover(spark, roots, **globs).select("path", "file_path", "modified_time", "size")
+        before = seen.read()
+        changed = staged(file_changes(before if before is not None else found.limit(0), found), "file-changes")
+        if not changed.isEmpty():
+            work(changed, number)
+            seen.change(changed.select("path", "file_path", "modified_time", "size", "action"), F.col("action") == "remove")
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def intents(events: DataFrame, timeout: str = "60 seconds") -> DataFrame:
