@@ -23,14 +23,14 @@ from .common import mixed, staged
 
 #: Bits of an odd sketch, and how many standard deviations under the threshold an estimate may lie.
 SKETCH_BITS, DEVIATIONS = 256, 5.0
-#: Members of a group in a block, at least and at most, and blocks of a group where these allow; members of a family, and shingles, in a block.
-GROUP_BLOCK, GROUP_MOST, GROUP_BLOCKS, FAMILY_BLOCK, BLOCK_SHINGLES = 512, 8192, 64, 512, 400_000
+#: Members of a group in a block, at least and at most, and blocks of a group where these allow; members that a leader is compared with in a block; members of a family, and shingles, in a block.
+GROUP_BLOCK, GROUP_MOST, GROUP_BLOCKS, LED_BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES = 128, 8192, 64, 64, 256, 400_000
 #: Columns of the 0/1 matrices that are multiplied at once.
 COLUMNS = 8192
 #: Shingles that are permuted at once.
 SLICE = 1 << 18
 #: Bytes, and rows, that are sent to all tasks at most; beyond that both sides are shuffled.
-SENT_BYTES, MOST_SENT = 32 << 20, 1_000_000
+SENT_BYTES, MOST_SENT = 16 << 20, 1_000_000
 EDGE = "src long, dst long"
 #: Band keys that a task holds back to count together, and nodes for each range of keys.
 HELD_KEYS, BUCKET_NODES = 1_000_000, 20_000
@@ -326,7 +326,7 @@ class Search:
         near = staged(pairs.join(sent(own, n, 64), "family").where(apart <= self.bits).select("family", "node"), "near")
         sets = self.sets(near.select("node").unionByName(near.select(F.col("family").alias("node"))))
         # A block of a leader's pairs, with the leader's own set in each.
-        blocks = staged(near.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks")), "blocks")
+        blocks = staged(near.groupBy("family").agg(F.ceil(F.count("*") / LED_BLOCK).cast("int").alias("blocks")), "blocks")
         m = blocks.count()
         second = near.join(sent(blocks, m), "family").join(sets, "node").select("family", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("i"), F.lit(2).alias("side"), "node", "items")
         first = blocks.withColumn("node", F.col("family")).join(sets, "node").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(1).alias("side"), "node", "items")
