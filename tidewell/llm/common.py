@@ -15,8 +15,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that one numpy pass works on; a longer text is a pass of its own.
 PASS_BYTES = 1_000_000
-#: Rows that Python takes from Spark at once.
-BATCH_ROWS = 1000
+#: Rows, and bytes, that Python takes from Spark at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 #: UTF-8 bytes 0x20 and 0x09-0x0D end a word.
 SPACE = np.zeros(256, bool)
@@ -40,8 +40,9 @@ def scratch(spark: SparkSession) -> str:
 
 
 def bounded(frame: DataFrame) -> DataFrame:
-    """The same rows; from now on the session sends rows to Python few at a time, as texts may be long."""
+    """The same rows; from now on the session sends rows to Python few at a time, by number and by bytes, as texts may be long."""
     conf = frame.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(BATCH_ROWS, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or BATCH_ROWS))
     return frame
 

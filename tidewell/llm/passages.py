@@ -28,7 +28,7 @@ PIECE = 1_000_000
 #: Bytes of text for a range of suffixes, suffixes sampled for each splitter, and suffixes that a task holds back to send together.
 RANGE_BYTES, SAMPLED, HELD = 8_000_000, 64, 400_000
 #: Splitters at most, as they go to the driver and to all tasks: beyond them ranges are cut into pieces of equal width. Ranges a task sorts one by one, and tasks at most.
-MOST_SPLITTERS, RANGES_A_TASK, MOST_TASKS = 4096, 4, 100_000
+MOST_SPLITTERS, RANGES_A_TASK, MOST_TASKS = 4096, 1, 100_000
 #: Added to the number of windows, of REACH at most, of stretches that are known to come again, and of those with a common token.
 AGAIN, COMMON = 128, 64
 #: A leading token with more stretches than this is compared by its windows' first documents instead.
