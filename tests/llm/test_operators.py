@@ -375,7 +375,7 @@ def test_hot_family(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(near.Search, "compared", lambda self, rows, real=near.Search.compared: (seen.append(rows.count()), real(self, rows))[1])
     monkeypatch.setattr(near, "GROUP_BLOCK", 50)
-    monkeypatch.setattr(near, "FAMILY_BLOCK", 50)
+    monkeypatch.setattr(near, "LED_BLOCK", 50)
     rng = random.Random(31)
     base = [f"w{i}" for i in range(300)]
     for n in (200, 800):
