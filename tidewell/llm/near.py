@@ -2,8 +2,8 @@
 
 Nodes are distinct sets. Bands give groups of candidates; odd sketches drop pairs that are surely apart. Each group has
 a leader, the member that shares its keys with most others: the others are compared with it in full, so rows grow with
-the group and not with its square. Members linked to their leader need no comparison among themselves; the rest of a
-group is held against all of it, block by block, by sketches. What is near is told as forests, whose components are
+the group and not with its square. What one component holds then needs no comparison in it; members outside their
+leader's component are held against all of the group, block by block, by sketches. What is near is told as forests, whose components are
 families: they hold every candidate pair that is left. Of a family, the rest is compared with all, block by block, on
 full sets. The components of all links are the classes.
 """
@@ -24,7 +24,7 @@ from .common import mixed, staged
 #: Bits of an odd sketch, and how many standard deviations under the threshold an estimate may lie.
 SKETCH_BITS, DEVIATIONS = 256, 5.0
 #: Members of a group in a block, at least and at most, and blocks of a group where these allow; members that a leader is compared with in a block; members of a family, and shingles, in a block.
-GROUP_BLOCK, GROUP_MOST, GROUP_BLOCKS, LED_BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES = 128, 8192, 64, 64, 256, 400_000
+GROUP_BLOCK, GROUP_MOST, GROUP_BLOCKS, LED_BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES = 512, 8192, 64, 64, 256, 400_000
 #: Columns of the 0/1 matrices that are multiplied at once.
 COLUMNS = 8192
 #: Shingles that are permuted at once.
@@ -332,17 +332,18 @@ class Search:
         first = blocks.withColumn("node", F.col("family")).join(sets, "node").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(1).alias("side"), "node", "items")
         return self.compared(first.unionByName(second).withColumn("j", F.lit(0))), others
 
-    def rest(self, others: DataFrame, found: DataFrame, sketches: DataFrame, n: int) -> DataFrame | None:
-        """Links between those of a group that its leader is not linked to and all but the leader; None if there are no such."""
-        m = found.count()
-        linked = found.select(F.explode(F.array(F.struct(F.col("src").alias("family"), F.col("dst").alias("node")), F.struct(F.col("dst").alias("family"), F.col("src").alias("node")))).alias("e")).select("e.*", F.lit(True).alias("linked"))
-        rows = others.join(sent(linked, 2 * m), ["family", "node"], "left").withColumn("rest", F.col("linked").isNull())
-        shape = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("rest").cast("int")).alias("r")).where("r > 0 and n > 1")
-        shape = staged(shape, "rest-keys")
+    def rest(self, others: DataFrame, component: DataFrame, sketches: DataFrame, n: int) -> DataFrame | None:
+        """Links between a group's members outside its leader's component and all but the leader; None if there are no such."""
+        m = component.count()
+        at = lambda name, c: component.select(F.col("node").alias(name), F.col("root").alias(c))
+        rows = others.join(sent(at("node", "c"), m), "node", "left").join(sent(at("family", "main"), m), "family", "left")
+        rows = rows.select("key", "node", F.coalesce("c", "node").alias("c"), F.coalesce("main", "family").alias("main")).withColumn("rest", F.col("c") != F.col("main"))
+        # Pairs of one component need no comparison, and pairs with the leader had theirs.
+        shape = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("rest").cast("int")).alias("r"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+        shape = staged(shape.select("key", "n", "r"), "rest-keys")
         if not (k := shape.count()):
             return None
-        # Links of a leader that is led elsewhere do not stand for its group, so a component is the leader itself.
-        rows = rows.join(sent(shape, k, 24), "key").withColumn("c", F.when(F.col("rest"), F.col("node")).otherwise(F.col("family")))
+        rows = rows.join(sent(shape, k, 24), "key").drop("main")
         size = F.greatest(F.lit(GROUP_BLOCK), F.least(F.lit(GROUP_MOST), F.ceil(F.col("n") / GROUP_BLOCKS)))
         rows = blocked(rows.join(sent(sketches.select("node", "sketch"), n, 64), "node"), F.ceil(F.col("n") / size), F.ceil(F.col("r") / size))
         bits = self.bits
@@ -350,7 +351,6 @@ class Search:
         family = staged(components(stars).withColumnRenamed("root", "family"), "families")
         if family.isEmpty():
             return None
-        component = staged(components(found), "components")
         sized = staged(family.join(self.nodes.select("node", "size"), "node").join(component, "node", "left").select("family", "node", "size", F.coalesce("root", "node").alias("c")), "family-members")
         main = sized.groupBy("family", "c").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         marked = sized.join(main, "family").withColumn("rest", F.col("c") != F.col("main"))
@@ -367,8 +367,11 @@ class Search:
         n = degree.count()
         sketches = staged(self.nodes.select("node", "sketch").join(sent(degree, n), "node"), "sketches")
         found, others = self.led(groups, sketches, n)
-        more = self.rest(others, found, sketches, n)
-        return components(found if more is None else found.unionByName(more))
+        component = staged(components(found), "components")
+        more = self.rest(others, component, sketches, n)
+        if more is None or more.isEmpty():
+            return component
+        return components(component.select(F.col("root").alias("src"), F.col("node").alias("dst")).unionByName(more))
 
 
 def classes(nodes: DataFrame, percent: int, samples: int, full_sets: Callable[[DataFrame, int], DataFrame], sets_of: Callable[[list[bytes]], list[np.ndarray]] = hashes) -> DataFrame:
