@@ -264,3 +264,45 @@ def test_scratch_needs_a_shared_folder():
     with pytest.raises(ValueError):
         scratch(Session())
     assert T.path_glob("*.md")
+
+
+def test_settings(tmp_path):
+    from tidewell import config
+
+    assert config.nearest(tmp_path, tmp_path) is None and config.load(None).search.weights["graph"] == 1.0
+    (tmp_path / ".tidewell").mkdir()
+    (tmp_path / ".tidewell" / "config.toml").write_text('[indexing]\ninclude = ["**/*.md"]\nold = 1\n[search]\nkeyword_weight = 2.0\n[[projects]]\nname = "a"\npath = "/a"\n')
+    (tmp_path / "x" / "y").mkdir(parents=True)
+    found = config.load(config.nearest(tmp_path / "x" / "y", tmp_path / "none"))
+    assert found.indexing.include == ("**/*.md",) and found.search.weights["keyword"] == 2.0 and found.projects[0].path == "/a"
+    for bad in ({"rerank_budget": 3}, {"reranker_model": "m"}, {"abstention_threshold": 2.0}, {"project_uplift_multiplier": 0.0}):
+        with pytest.raises(ValueError):
+            config.Search(**bad)
+    with pytest.raises(ValueError):
+        config.Config(projects=(config.Project("a", "/x"), config.Project("a", "/y")))
+
+
+def test_parents(spark):
+    rng = random.Random(4)
+    rows = [(d, i, "x" * rng.choice([10, 700, 1600, 2900]), rng.choice(["A > B", "A > C", "A"])) for d in range(5) for i in range(12)]
+    frame = spark.createDataFrame(rows, "d long, i long, t string, header_path string")
+    got = {(r["d"], r["i"]): r["parent_chunk_id"] for r in C.parents(frame, "d", "i", "t").collect()}
+    for d in range(5):
+        number, size = 0, 0
+        for _, i, t, _ in [r for r in rows if r[0] == d]:
+            if size and (size >= C.PARENT_LEAST or size + len(t) > C.PARENT_MOST):
+                number, size = number + 1, 0
+            size += len(t)
+            assert got[d, i] == f"{d}_parent_{number}"
+    paths = spark.createDataFrame([(["A > B > C", "A > B", "A > B > D"],), (["A", "B"],), (["A > B"],), (["A > Bx", "A > B"],)], "p array<string>")
+    assert [r[0] for r in paths.select(C.shared_path(F.col("p"))).collect()] == ["A > B", "", "A > B", "A"]
+
+
+def test_strategies(spark):
+    frame = spark.createDataFrame([(1, "# H\nOne. Two.\n\nThree.")], "k long, t string")
+    for strategy in ("none", "header_based", "paragraph", "sentence", "sliding_window"):
+        rows = C.chunked(frame, "k", "t", strategy).collect()
+        assert [r["chunk_index"] for r in rows] == list(range(len(rows))) and rows
+    assert C.chunked(frame, "k", "t", "none").first()["content"] == "# H\nOne. Two.\n\nThree."
+    with pytest.raises(ValueError):
+        C.chunked(frame, "k", "t", "other")

@@ -141,18 +141,33 @@ def overlapped(rows: DataFrame, siblings: list[str], order: str, content: str, o
     return rows.withColumn(content, F.when(before.isNotNull(), F.concat(F.right(before, F.lit(overlap)), F.lit("\n\n"), F.col(content))).otherwise(F.col(content)))
 
 
-def parents(chunks: DataFrame, key: str, order: str, content: str, least: int = PARENT_LEAST) -> DataFrame:
-    """parent of each chunk: chunks in order, a new parent once those before it have `least` characters."""
-    w = Window.partitionBy(key).orderBy(order)
-    before = F.coalesce(F.sum(F.length(content)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    number = F.dense_rank().over(Window.partitionBy(key).orderBy(F.floor(before / least))) - 1
-    return chunks.withColumn("parent_chunk_id", F.concat(F.col(key).cast("string"), F.lit("_parent_"), number.cast("string")))
+def parents(chunks: DataFrame, key: str, order: str, content: str, least: int = PARENT_LEAST, most: int = PARENT_MOST) -> DataFrame:
+    """Chunks with parent_chunk_id: in order, a new parent once the open one has `least` characters or would pass `most`."""
+    start = F.struct(F.array().cast("array<int>").alias("numbers"), F.lit(0).alias("number"), F.lit(0).alias("size"))
+
+    def step(acc: Column, one: Column) -> Column:
+        full = (acc["size"] > 0) & ((acc["size"] >= least) | (acc["size"] + one["n"] > most))
+        number = F.when(full, acc["number"] + 1).otherwise(acc["number"])
+        return F.struct(F.concat(acc["numbers"], F.array(number)).alias("numbers"), number.alias("number"), F.when(full, one["n"]).otherwise(acc["size"] + one["n"]).alias("size"))
+
+    listed = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.length(content).alias("n")))).alias("_l"))
+    numbers = listed.select(key, F.inline(F.arrays_zip(F.transform("_l", lambda x: x["o"]).alias(order), F.aggregate("_l", start, step, lambda acc: acc["numbers"]).alias("_number"))))
+    return chunks.join(numbers, [key, order]).withColumn("parent_chunk_id", F.concat(F.col(key).cast("string"), F.lit("_parent_"), F.col("_number").cast("string"))).drop("_number")
+
+
+def shared_path(paths: Column) -> Column:
+    """What an array of header paths has in common at its start; empty if nothing."""
+    parts = F.transform(paths, lambda p: F.split(p, " > "))
+    first = F.get(parts, 0)
+    same = F.filter(F.sequence(F.lit(1), F.greatest(F.size(first), F.lit(1))), lambda i: F.forall(parts, lambda p: F.slice(p, F.lit(1), i) == F.slice(first, F.lit(1), i)))
+    return F.array_join(F.slice(first, F.lit(1), F.coalesce(F.array_max(same), F.lit(0))), " > ")
 
 
 def parent_texts(chunks: DataFrame, key: str, order: str, content: str) -> DataFrame:
-    """parent_chunk_id and its text, from chunks with parents."""
+    """parent_chunk_id and its text, from chunks with parents; and the header path that they share, if they have one."""
     listed = F.array_sort(F.collect_list(F.struct(order, content)))
-    return chunks.groupBy(key, "parent_chunk_id").agg(F.array_join(F.transform(listed, lambda x: x[content]), "\n\n").alias("parent_content"))
+    more = [shared_path(F.collect_list("header_path")).alias("header_path")] if "header_path" in chunks.columns else []
+    return chunks.groupBy(key, "parent_chunk_id").agg(F.array_join(F.transform(listed, lambda x: x[content]), "\n\n").alias("parent_content"), *more)
 
 
 def expanded_parents(hits: DataFrame, query_key: str) -> DataFrame:
@@ -179,3 +194,18 @@ def commit_chunks(commits: DataFrame, tokens: int = TOKENS, overlap: int = TOKEN
 
     every = F.concat(section("summary", summary, 0), section("body", F.coalesce("message", F.lit("")), 0), F.flatten(F.transform(files, lambda f: section("diff", f, overlap))))
     return commits.select("hash", F.inline(every)).withColumn("estimated_tokens", estimated_tokens(F.col("text")))
+
+
+def chunked(rows: DataFrame, key: str, text: str, strategy: str = "header_based", most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
+    """key, chunk_index, chunk_id and content by a strategy: none (the text as it is), header_based, paragraph, sentence or sliding_window."""
+    if strategy == "header_based":
+        found = merged_sections(header_sections(rows, key, text), key, most=most)
+        place = F.row_number().over(Window.partitionBy(key).orderBy("chunk_index", "sub")) - 1
+        return found.withColumn("chunk_index", place).select(key, "chunk_index", "chunk_id", "content")
+    if strategy == "paragraph":
+        return paragraph_chunks(rows, key, text, most).select(key, "chunk_index", "chunk_id", "content")
+    pieces = {"none": F.array(text), "sentence": sentences(F.col(text), most), "sliding_window": windows(F.col(text), most, overlap)}
+    if strategy not in pieces:
+        raise ValueError(f"no such strategy: {strategy}")
+    out = rows.select(key, F.posexplode(pieces[strategy]).alias("chunk_index", "content"))
+    return out.select(key, "chunk_index", F.concat(F.col(key).cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), "content")

@@ -179,11 +179,6 @@ def since(rows: DataFrame, ts: str, cursor: int) -> DataFrame:
     return rows.where(F.unix_timestamp(ts) >= max(0, cursor - AGAIN)) if cursor else rows
 
 
-def next_cursor(rows: DataFrame, ts: str) -> DataFrame:
-    """The cursor after all rows are in: to be saved when the whole run has ended."""
-    return rows.agg(F.max(F.unix_timestamp(ts)).alias("cursor"))
-
-
 def progress(done: Column, total: Column, seconds: Column) -> list[Column]:
     rate = done / F.nullif(seconds, F.lit(0))
     return [F.round(rate, 6).alias("rate"), F.round((total - done) / F.nullif(rate, F.lit(0.0)), 6).alias("eta"), F.round(100 * done / F.nullif(total, F.lit(0)), 6).alias("percent")]

@@ -26,7 +26,7 @@ def paragraph_chunks(spark, folder):
     return C.paragraph_chunks(rows, "doc_id", "text").select("doc_id", "chunk_index", F.md5("content").alias("digest"))
 
 
-@query(f"""with t as (select doc_id, flatten(list_transform(string_split(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10)), lambda x: list_transform(range(0, greatest(1, (length(x) + {C.TOKENS * 3 - 1}) // {C.TOKENS * 3})), lambda i: substr(x, i * {C.TOKENS * 3} + 1, {C.TOKENS * 3})))) as l from documents),
+@query(f"""with t as (select doc_id, flatten(list_transform(string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '{C.LINE_END}', chr(10), 'g'), chr(10)), lambda x: list_transform(range(0, greatest(1, (length(x) + {C.TOKENS * 3 - 1}) // {C.TOKENS * 3})), lambda i: substr(x, i * {C.TOKENS * 3} + 1, {C.TOKENS * 3})))) as l from documents),
 p as (select doc_id, list_reduce(list_prepend([]::varchar[], list_transform(l, lambda x: [x])), lambda a, x: case when len(a) = 0 then x when length(a[-1]) + length(x[1]) + 1 > {C.TOKENS * 3} then a || x else a[:-2] || [a[-1] || chr(10) || x[1]] end) as c from t),
 f as (select doc_id, list_filter(list_transform(c, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') as c from p) select doc_id, generate_subscripts(c, 1) - 1 as chunk_index, md5(unnest(c)) as digest from f where len(c) > 0""")
 def line_pack_chunks(spark, folder):
@@ -34,9 +34,12 @@ def line_pack_chunks(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.posexplode(C.line_chunks(F.col("text"), C.TOKENS, 0)).alias("chunk_index", "c")).select("doc_id", "chunk_index", F.md5("c").alias("digest"))
 
 
-@query()
+@query(f"""with t as (select doc_id, flatten(list_transform(string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '{C.LINE_END}', chr(10), 'g'), chr(10)), lambda x: list_transform(range(0, greatest(1, (length(x) + {C.TOKENS * 3 - 1}) // {C.TOKENS * 3})), lambda i: substr(x, i * {C.TOKENS * 3} + 1, {C.TOKENS * 3})))) as l from documents),
+p as (select doc_id, list_reduce(list_prepend([]::varchar[][], list_transform(l, lambda x: [[x]])), lambda a, x: case when len(a) = 0 then x when list_sum(list_transform(a[-1], lambda y: length(y))) + len(a[-1]) - 1 + length(x[1][1]) + 1 > {C.TOKENS * 3}
+then a || [a[-1][len(a[-1]) + 1 - list_max([1] || list_filter(range(1, len(a[-1]) + 1), lambda k: list_sum(list_transform(a[-1][len(a[-1]) + 1 - k:], lambda y: length(y))) <= {C.TOKEN_OVERLAP * 3})):] || x[1]] else a[:-2] || [a[-1] || x[1]] end) as c from t),
+f as (select doc_id, list_filter(list_transform(c, lambda x: trim(list_aggregate(x, 'string_agg', chr(10)), ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') as c from p) select doc_id, generate_subscripts(c, 1) - 1 as chunk_index, md5(unnest(c)) as digest from f where len(c) > 0""")
 def line_pack_overlap(spark, folder):
-    """With the overlap of diffs; the tests compare it with a plain loop."""
+    """With the overlap of diffs."""
     return table(spark, folder, "documents").select("doc_id", F.posexplode(C.line_chunks(F.col("text"))).alias("chunk_index", "c")).select("doc_id", "chunk_index", F.md5("c").alias("digest"))
 
 
@@ -53,9 +56,14 @@ def header_chunks(spark, folder):
     return rows.select("p_partkey", "section", "level", "header_path", F.md5("content").alias("digest"))
 
 
-@query()
+@query(f"""with p as (select conv_id, string_agg('# ' || role || chr(10) || text, chr(10) order by turn) as page from conversations group by conv_id), s as (select conv_id, list_transform(list_filter(string_split(chr(10) || page, chr(10) || '# '), lambda x: x <> ''), lambda x: split_part(x, chr(10), 1) || chr(10) || trim(substr(x, strpos(x, chr(10)) + 1), ' ' || chr(9) || chr(10) || chr(13))) as l from p),
+m as (select conv_id, list_reduce(list_prepend([]::varchar[], list_transform(l, lambda x: [x])), lambda a, x: case when len(a) = 0 then x when length(a[-1]) < {C.LEAST} then a[:-2] || [a[-1] || chr(10) || chr(10) || x[1]] else a || x end) as c from s),
+e as (select conv_id, case when length(c[-1]) < {C.LEAST} and len(c) > 1 then c[:-3] || [c[-2] || chr(10) || chr(10) || c[-1]] else c end as c from m), u as (select conv_id, unnest(c) as t, generate_subscripts(c, 1) - 1 as i from e),
+q as (select conv_id, i, split_part(t, chr(10), 1) as header_path, case when length(t) > {C.MOST} then list_reduce(list_prepend([]::varchar[], list_transform(flatten(list_transform(list_filter(list_transform(string_split(regexp_replace(t, '\n[ \t\r\n\f]*\n', chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), lambda x: list_transform(range(0, (length(x) + {C.MOST - 1}) // {C.MOST}), lambda k: substr(x, k * {C.MOST} + 1, {C.MOST})))), lambda x: [x])),
+lambda a, x: case when len(a) = 0 then x when length(a[-1]) + 2 + length(x[1]) <= {C.MOST} then a[:-2] || [a[-1] || chr(10) || chr(10) || x[1]] else a || x end) else [t] end as c from u), z as (select conv_id, i, header_path, len(c) as n, unnest(c) as t, generate_subscripts(c, 1) - 1 as sub from q)
+select conv_id, conv_id || '_chunk_' || i || case when n > 1 then '_sub_' || sub else '' end as chunk_id, header_path, length(case when sub > 0 then right(lag(t) over (partition by conv_id, i order by sub), {C.OVERLAP}) || chr(10) || chr(10) || t else t end) as n_chars from z""")
 def merged_header_chunks(spark, folder):
-    """Small sections merged, large ones split; the tests hold the rules."""
+    """Small sections merged, large ones split."""
     rows = table(spark, folder, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(F.lit("# "), x["role"], F.lit("\n"), x["text"])), "\n").alias("page"))
     return C.merged_sections(C.header_sections(rows, "conv_id", "page"), "conv_id").select("conv_id", "chunk_id", "header_path", F.length("content").cast("long").alias("n_chars"))
 

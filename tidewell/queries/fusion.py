@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -106,17 +107,20 @@ def community_boost(spark, folder):
     return boosted.select("p_partkey", F.round(F.col("p_retailprice") * F.when(F.col("seeded"), R.COMMUNITY).otherwise(1.0), 6).alias("score"))
 
 
-RANK = "case when contains(lower(p_name), 'red') or contains(lower(p_type), 'red') or contains(lower(p_brand), 'red') then 2 else 0 end"
+RANKED = """select q, p_partkey, p_retailprice, case when contains(lower(p_name), q) or contains(lower(p_type), q) or contains(lower(p_brand), q) then 2 when len(list_filter(regexp_extract_all(q, '[a-z0-9_./-]+'), lambda t: not list_contains(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[a-z0-9_./-]+'), t))) = 0 then 1 else 0 end as metadata_rank
+from part, (select distinct lower(p_type) as q from part union select distinct lower(p_name) from part union select distinct lower(split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)) from part) q"""
 
 
-@query(f"select p_partkey, {RANK} as metadata_rank, row_number() over (order by {RANK} desc, p_retailprice desc, p_partkey) as position from part qualify position <= 200")
+@query(f"select q, p_partkey, metadata_rank, position from (select *, row_number() over (partition by q order by metadata_rank desc, p_retailprice desc, p_partkey) as position from ({RANKED})) where position <= 100")
 def metadata_rank_sort(spark, folder):
-    """The first 200, as a result page has a length."""
-    from pyspark.sql import Window
-
-    rows = table(spark, folder, "part").withColumn("metadata_rank", T.metadata_rank(F.lit("red"), F.col("p_name"), F.col("p_type"), F.col("p_brand")))
-    first = rows.orderBy(F.desc("metadata_rank"), F.desc("p_retailprice"), "p_partkey").limit(200)
-    return first.select("p_partkey", "metadata_rank", F.row_number().over(Window.orderBy(F.desc("metadata_rank"), F.desc("p_retailprice"), "p_partkey")).alias("position"))
+    """For types and names of parts, as they are and turned round, the first 100 as a result page has a length."""
+    part = table(spark, folder, "part")
+    words = F.split(F.lower("p_name"), " ")
+    asked = part.select(F.explode(F.array(F.lower("p_type"), F.lower("p_name"), F.concat_ws(" ", F.get(words, 1), F.get(words, 0)))).alias("q")).distinct()
+    # A stated set of queries, counted.
+    rows = part.join(sent(asked, asked.count()), how="cross").withColumn("metadata_rank", T.metadata_rank(F.col("q"), F.col("p_name"), F.col("p_type"), F.col("p_brand")))
+    order = Window.partitionBy("q").orderBy(F.desc("metadata_rank"), F.desc("p_retailprice"), "p_partkey")
+    return rows.withColumn("position", F.row_number().over(order)).where("position <= 100").select("q", "p_partkey", "metadata_rank", "position")
 
 
 @query(f"with {LISTS}, f as (select item_id, doc_id, sum(1.0 / (60 + rank)) as score from u group by all) select item_id, doc_id, round(score, 6) as score from f where round(score, 9) >= 0.02")

@@ -61,8 +61,9 @@ def per_document_limit(spark, folder):
     return R.first_of(rows, ["conv_id"], [F.desc("score"), "turn"], 2)
 
 
-PARENTS = f"""select conv_id, turn, text, conv_id || '_parent_' || (dense_rank() over (partition by conv_id order by b) - 1) as parent_chunk_id
-from (select *, floor(coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) / {C.PARENT_LEAST}) as b from conversations)"""
+PARENTS = f"""with recursive o as (select *, row_number() over (partition by conv_id order by turn) as i from conversations), p as (select conv_id, turn, text, i, 0 as number, length(text) as size from o where i = 1 union all
+select o.conv_id, o.turn, o.text, o.i, case when size > 0 and (size >= {C.PARENT_LEAST} or size + length(o.text) > {C.PARENT_MOST}) then number + 1 else number end, case when size > 0 and (size >= {C.PARENT_LEAST} or size + length(o.text) > {C.PARENT_MOST}) then length(o.text) else size + length(o.text) end
+from p join o on o.conv_id = p.conv_id and o.i = p.i + 1) select conv_id, turn, text, conv_id || '_parent_' || number as parent_chunk_id from p"""
 
 
 @query(f"select conv_id, parent_chunk_id, length(string_agg(text, chr(10) || chr(10) order by turn)) as n_chars, md5(string_agg(text, chr(10) || chr(10) order by turn)) as digest from ({PARENTS}) group by all")

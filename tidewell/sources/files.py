@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -127,9 +127,16 @@ def yaml_fields(rows: DataFrame, key: str, matter: str) -> DataFrame:
     return rows.select(key, matter).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, fields string")
 
 
-def parse(files: DataFrame) -> DataFrame:
+def parse(files: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """Documents of Markdown and plain-text files: doc_id (the relative path without suffix), content, metadata, links,
-    tags, transclusions and aliases."""
+    tags, transclusions and aliases. parsers: for other suffixes, functions from such files to the same columns."""
+    out = _parsed(files)
+    for suffix, read in (parsers or {}).items():
+        out = out.unionByName(read(files.where(T.suffix(F.col("path")) == suffix)).select(out.columns))
+    return out
+
+
+def _parsed(files: DataFrame) -> DataFrame:
     rows = files.withColumn("parser", parser_of(F.col("path"))).where("parser is not null").withColumn("raw", T.decoded(F.col("content")))
     md = F.col("parser") == "markdown"
     matter = F.when(md, T.front_matter(F.col("raw"))).otherwise("")
