@@ -373,7 +373,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     suffix = heads.mapInArrow(lambda b: dealt(b, cuts, often, pieces), "bucket int, packed binary")
     tasks = max(1, min(ranges // RANGES_A_TASK, MOST_TASKS))
-    found = staged(suffix.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(sorted_range, FOUND), "passage-suffixes")
+    found = staged(suffix.repartitionById(tasks, F.pmod(F.col("bucket"), F.lit(tasks))).sortWithinPartitions("bucket").mapInArrow(sorted_range, FOUND), "passage-suffixes")
     opened = found.where("open")
     hot = np.array([r[0] for r in opened.groupBy("token").count().where(F.col("count") > MANY).select("token").collect()], np.int64)
     listed = staged(opened.select("doc", "version", "token", "at", "windows").repartition("doc", "version").sortWithinPartitions("doc", "version").mapInArrow(places, "doc_id long, version long, places binary"), "passage-places")
