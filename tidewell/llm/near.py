@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, staged
+from .common import BASE, mixed, staged
 
 #: Bits of an odd sketch, and how many standard deviations under the threshold an estimate may lie.
 SKETCH_BITS, DEVIATIONS = 256, 5.0
@@ -243,6 +243,26 @@ def links(batches: Iterator[pa.RecordBatch], percent: int, sets_of: Callable[[li
         yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[at + 1])], ["src", "dst"])
 
 
+def star_links(batches: Iterator[pa.RecordBatch], percent: int, sets_of: Callable[[list[bytes]], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Links of the first of each block (family, i, j), of side 1, with the others, on full sets."""
+    names = ["family", "i", "j"]
+    for table in grouped(batches, names):
+        edge = starts(table, names)
+        sets = sets_of(table.column("items").to_pylist())
+        node, size = table.column("node").to_numpy(), np.array([len(x) for x in sets])
+        block = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        # A shingle counts in its own block alone.
+        items = mixed(np.concatenate(sets) + np.repeat(block, size).astype(np.uint64) * np.uint64(BASE))
+        first = np.zeros(len(node), bool)
+        first[edge[:-1]] = True
+        lead = np.sort(items[np.repeat(first, size)])
+        at = np.searchsorted(lead, items)
+        both = np.add.reduceat((lead[np.minimum(at, len(lead) - 1)] == items).astype(np.int64), np.cumsum(size) - size)
+        head = edge[:-1][block]
+        linked = np.flatnonzero(~first & (100 * both >= percent * (size + size[head] - both)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[head[linked]]), pa.array(node[linked])], ["src", "dst"])
+
+
 def blocked(rows: DataFrame, size, others) -> DataFrame:
     """The rows of a group in blocks (i, j): each once for every block j of the rest as side 1, and those of the rest (by
     the column `rest`) once for every block i of all as side 2. size and others: how many blocks all and the rest have."""
@@ -307,11 +327,10 @@ class Search:
         members = staged(rows.distinct(), "members")
         return staged(self.full_sets(members, members.count()).dropDuplicates(["node"]), "sets")
 
-    def compared(self, rows: DataFrame) -> DataFrame:
-        """Links of blocks: family, i, j, side, node and items."""
+    def compared(self, rows: DataFrame, found_by: Callable = links) -> DataFrame:
+        """Links of blocks: family, i, j, side, node and items; a leader, of side 1, is the first of its block."""
         percent, sets_of = self.percent, self.sets_of
-        # A leader, of side 1, is the first of its block, so that links are told from it.
-        found = rows.select("family", "i", "j", "side", "node", "items").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side").mapInArrow(lambda b: links(b, percent, sets_of), EDGE)
+        found = rows.select("family", "i", "j", "side", "node", "items").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side").mapInArrow(lambda b: found_by(b, percent, sets_of), EDGE)
         return staged(found.where("src <> dst"), "links")
 
     def led(self, groups: DataFrame, sketches: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -330,7 +349,7 @@ class Search:
         m = blocks.count()
         second = near.join(sent(blocks, m), "family").join(sets, "node").select("family", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("i"), F.lit(2).alias("side"), "node", "items")
         first = blocks.withColumn("node", F.col("family")).join(sets, "node").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(1).alias("side"), "node", "items")
-        return self.compared(first.unionByName(second).withColumn("j", F.lit(0))), others
+        return self.compared(first.unionByName(second).withColumn("j", F.lit(0)), star_links), others
 
     def rest(self, others: DataFrame, component: DataFrame, sketches: DataFrame, n: int) -> DataFrame | None:
         """Links between a group's members outside its leader's component and all but the leader; None if there are no such."""
