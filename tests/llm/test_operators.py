@@ -370,10 +370,26 @@ def test_blocks_meet(spark):
     assert met == {(a, b) for a in range(1000) for b in range(40)}
 
 
+def test_star_links():
+    """Links of leaders, all blocks at once, are those of the pairs one by one."""
+    rng = random.Random(17)
+    sets, rows = {}, []
+    for family in range(30):
+        base = [rng.randrange(1 << 63) for _ in range(rng.randint(1, 40))]
+        for i in range(rng.randint(1, 9)):
+            own = sorted({x if rng.random() < 0.9 else rng.randrange(1 << 63) for x in base})
+            sets[len(rows)] = set(own)
+            rows.append((family, 0, 0, 2 if i else 1, len(rows), np.array(own, np.uint64).tobytes()))
+    table = pa.table(dict(zip(("family", "i", "j", "side", "node", "items"), zip(*rows, strict=True), strict=True)))
+    got = {(a, b) for out in near.star_links(iter(table.to_batches(max_chunksize=7)), 80, near.hashes) for a, b in zip(out.column("src").to_pylist(), out.column("dst").to_pylist(), strict=True)}
+    lead = {f: n for f, _, _, side, n, _ in rows if side == 1}
+    assert got == {(lead[f], n) for f, _, _, side, n, _ in rows if side == 2 and 100 * len(sets[n] & sets[lead[f]]) >= 80 * len(sets[n] | sets[lead[f]])} and got
+
+
 def test_hot_family(spark, monkeypatch):
     """A family's rows grow with its members: all but the leader are compared with it alone."""
     seen = []
-    monkeypatch.setattr(near.Search, "compared", lambda self, rows, real=near.Search.compared: (seen.append(rows.count()), real(self, rows))[1])
+    monkeypatch.setattr(near.Search, "compared", lambda self, rows, *by, real=near.Search.compared: (seen.append(rows.count()), real(self, rows, *by))[1])
     monkeypatch.setattr(near, "GROUP_BLOCK", 50)
     monkeypatch.setattr(near, "LED_BLOCK", 50)
     rng = random.Random(31)
