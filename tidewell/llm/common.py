@@ -1,13 +1,11 @@
-"""What the corpus operators share: the shared scratch folder and vectorised hashing of texts inside tasks."""
+"""What the corpus operators share: small batches and vectorised hashing of texts inside tasks; tables that cut lineage come from the library."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..scratch import staged  # noqa: F401, the operators take it from here
 
 MASK = (1 << 64) - 1
 #: Odd base of the rolling hash, and its inverse modulo 2**64.
@@ -26,19 +24,6 @@ _BYTE = np.random.default_rng(20240607).integers(1, MASK, 256, dtype=np.uint64)
 _powers = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
 
-@functools.cache
-def _own() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of this process in local mode, as in tests, and an error on a cluster, whose executors would write to their own discs."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return (folder or _own()).rstrip("/")
-
-
 def bounded(frame: DataFrame) -> DataFrame:
     """The same rows; from now on the session sends rows to Python few at a time, by number and by bytes, as texts may be long."""
     conf = frame.sparkSession.conf
@@ -47,14 +32,6 @@ def bounded(frame: DataFrame) -> DataFrame:
     return frame
 
 
-def staged(frame: DataFrame, label: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts the lineage, and outlives executors."""
-    spark = frame.sparkSession
-    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse for i < n, kept by the worker."""
     global _powers

@@ -175,11 +175,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         last = r["place"]
     if last is None:
         return None
-    rows = sorted(found.where(F.col("place") <= last).collect(), key=lambda r: (r["place"], r["doc_id"]))
-    each = [np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in rows]
+    rows = found.where(F.col("place") <= last).toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])
+    each = [np.frombuffer(b.as_buffer(), np.float32).reshape(-1, WIDTH) for b in rows.column("bag")]
     x = np.concatenate(each)
-    y = np.array([r["label"] for r in rows], float)
+    y = rows.column("label").to_numpy().astype(float)
     start = np.cumsum([0, *map(len, each)])[:-1]
+    del rows, each
     share = np.bincount(y.astype(int), minlength=2)
     return Model(x).fit(x, start, y, np.array([count[label] / share[label] for label in y.astype(int)]))
 
