@@ -156,6 +156,9 @@ def test_local_scores(spark, monkeypatch):
     assert sorted(map(tuple, got.select("qid", "key", "score", "rank").collect())) == sorted(want)
     joined = S.top(S.bm25(S.postings(rows, "key", "body"), "key", asked, "qid").withColumn("score", F.round("score", 9)), "qid", "key", 7)
     assert sorted(map(tuple, joined.select("qid", "key", "score", "rank").collect())) == sorted(want)
+    monkeypatch.setattr(S, "FEW", 30)
+    got = S.bm25_top(S.term_counts(rows, "key", {"content": "body"}), "key", asked, "qid", 7)
+    assert sorted(map(tuple, got.select("qid", "key", "score", "rank").collect())) == sorted(want)
     assert S.bm25_top(S.term_counts(rows.limit(0), "key", {"content": "body"}), "key", asked, "qid", 7).count() == 0
     assert S.bm25_top(S.term_counts(rows, "key", {"content": "body"}), "key", asked.limit(0), "qid", 7).count() == 0
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +52,18 @@ def hash_embedding(rows: DataFrame, key: str, text: str) -> DataFrame:
     return summed.join(length, key).select(key, "place", F.when(F.col("length") > 0, F.col("value") / F.col("length")).otherwise(F.lit(0.0)).alias("value"))
 
 
+def _filled(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("entries")
+        entry = lists.flatten()
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+        out = np.zeros(batch.num_rows * DIMENSIONS)
+        out[row * DIMENSIONS + entry.field("place").to_numpy()] = entry.field("value").to_numpy()
+        edge = pa.array(np.arange(0, len(out) + 1, DIMENSIONS, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(edge, pa.array(out))], [key, "embedding"])
+
+
 def dense(entries: DataFrame, key: str) -> DataFrame:
-    """key and embedding array of DIMENSIONS numbers, from rows of key, place and value."""
-    at = entries.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("m"))
-    return at.select(key, F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
+    """key and embedding array of DIMENSIONS numbers, from rows of key, place and value, each place once."""
+    at = entries.groupBy(key).agg(F.collect_list(F.struct("place", "value")).alias("entries"))
+    return at.mapInArrow(lambda b: _filled(b, key), f"{key} {dict(entries.dtypes)[key]}, embedding array<double>")

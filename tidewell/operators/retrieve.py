@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ K1, B = 1.2, 0.75
 BOOSTS = {"title": 3.0, "headers": 2.5, "keywords": 2.5, "description": 2.0, "tags": 2.0, "aliases": 1.5, "author": 1.0, "content": 1.0}
 #: Queries that one pass over the vectors or postings answers, and rows and queries whose scores are held at once.
 QUERY_BLOCK, ROW_SLICE, QUERY_SLICE = 4096, 1024, 256
+#: Terms of queries that the driver weighs.
+FEW = 20_000
 #: Scores that differ by less may be equal when they are rounded to 9 digits.
 SLACK = 2e-9
 #: Vocabulary: terms, least count, least length; and expansion: terms and least cosine.
@@ -118,44 +121,73 @@ def _scored(batches: Iterator[pa.RecordBatch], held: Broadcast, k: int, names: l
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys[r]), pa.array(score[q, r])], names)
 
 
+def _pass(counts: DataFrame, key: str, rows: pa.Table, query_key: str, k: int, mean: float | None) -> DataFrame:
+    """query_key, key and score of rows that may be among the k best of the queries in rows (query_key, term, weight)."""
+    names = [query_key, key, "score"]
+    rows = rows.sort_by([(query_key, "ascending"), ("term", "ascending")])
+    encoded = rows.column("term").combine_chunks().dictionary_encode()
+    ids, place, own_weight = rows.column(query_key).to_numpy(), encoded.indices.to_numpy(), rows.column("weight").to_numpy()
+    slices, every = [], np.unique(ids)
+    for s in range(0, len(every), QUERY_SLICE):
+        some = every[s : s + QUERY_SLICE]
+        own = (ids >= some[0]) & (ids <= some[-1])
+        places = np.unique(place[own])
+        weight = np.zeros((len(some), len(places)))
+        weight[np.searchsorted(some, ids[own]), np.searchsorted(places, place[own])] = own_weight[own]
+        slices.append((some, places, weight))
+    held = counts.sparkSession.sparkContext.broadcast((encoded.dictionary, mean, slices))
+    return counts.select(key, "length", "terms", "tfs").mapInArrow(lambda b: _scored(b, held, k, names), f"{query_key} long, {key} long, score double")
+
+
 def local_top(counts: DataFrame, key: str, weighted: DataFrame, query_key: str, k: int, mean: float | None) -> DataFrame:
     """query_key, key, score with 9 digits and rank of the k best rows of every query: the sum of a query's weights (of
     `weighted`: query_key, term, weight) for the terms that a row holds, saturated by tf and length if a mean is given.
 
     Rows are scored where they are, for QUERY_BLOCK queries a pass, and only the k best of a slice are shuffled. A pass
     sends its queries' terms and weights to all executors: some QUERY_BLOCK times the terms of a query."""
-    spark = counts.sparkSession
     weighted = staged(weighted.select(F.col(query_key).cast("long").alias(query_key), "term", F.col("weight").cast("double").alias("weight")), "query-weights")
     passes = -(-weighted.select(query_key).distinct().count() // QUERY_BLOCK)
-    names = [query_key, key, "score"]
-    out = spark.createDataFrame([], f"{query_key} long, {key} long, score double")
+    out = counts.sparkSession.createDataFrame([], f"{query_key} long, {key} long, score double")
     for block in range(passes):
-        rows = weighted.where(F.pmod(F.xxhash64(query_key), F.lit(passes)) == block).toArrow().sort_by([(query_key, "ascending"), ("term", "ascending")])
-        encoded = rows.column("term").combine_chunks().dictionary_encode()
-        ids, place, own_weight = rows.column(query_key).to_numpy(), encoded.indices.to_numpy(), rows.column("weight").to_numpy()
-        slices, every = [], np.unique(ids)
-        for s in range(0, len(every), QUERY_SLICE):
-            some = every[s : s + QUERY_SLICE]
-            own = (ids >= some[0]) & (ids <= some[-1])
-            places = np.unique(place[own])
-            weight = np.zeros((len(some), len(places)))
-            weight[np.searchsorted(some, ids[own]), np.searchsorted(places, place[own])] = own_weight[own]
-            slices.append((some, places, weight))
-        held = spark.sparkContext.broadcast((encoded.dictionary, mean, slices))
-        found = counts.select(key, "length", "terms", "tfs").mapInArrow(lambda b, held=held: _scored(b, held, k, names), out.schema)
+        found = _pass(counts, key, weighted.where(F.pmod(F.xxhash64(query_key), F.lit(passes)) == block).toArrow(), query_key, k, mean)
         out = found if block == 0 else out.unionByName(found)
     return top(out.withColumn("score", F.round("score", 9)), query_key, key, k)
 
 
-def bm25_top(counts: DataFrame, key: str, queries: DataFrame, query_key: str, k: int) -> DataFrame:
+def frequencies(counts: DataFrame) -> DataFrame:
+    """term and df of `term_counts`, sorted by term, so that a written table is read by ranges."""
+    return counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).sort("term")
+
+
+def bm25_top(counts: DataFrame, key: str, queries: DataFrame, query_key: str, k: int, known: DataFrame | None = None, stats: tuple[int, float] | None = None) -> DataFrame:
     """The k best rows of every query, as `bm25` scores them. counts: of `term_counts`, best a written table; queries:
-    query_key (a number) and term, each term once a query, and `boost` if some count more."""
-    queries = staged(queries, "query-terms")
+    query_key (a number) and term, each term once a query. known and stats: `frequencies`, and the number and mean length
+    of rows, if they are at hand. Up to FEW terms of queries are weighed by the driver, more by a join."""
+    few = queries.select(F.col(query_key).cast("long").alias(query_key), "term").limit(FEW + 1).toArrow()
+    n, mean = stats or counts.agg(F.count("*"), F.avg("length")).first()
+    if few.num_rows <= FEW:
+        terms = pc.unique(few.column("term")).to_pylist()
+        if not terms:
+            return top(counts.sparkSession.createDataFrame([], f"{query_key} long, {key} long, score double"), query_key, key, k)
+        if known is not None:
+            df = known.where(F.col("term").isin(terms))
+        else:
+            asked = counts.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+            df = counts.select(F.explode("terms").alias("term")).join(F.broadcast(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.select("term", "df").collect()}
+        weight = [idf.get(t) for t in few.column("term").to_pylist()]
+        rows = few.append_column("weight", pa.array(weight, pa.float64())).filter(pa.array([w is not None for w in weight], pa.bool_()))
+        ids = rows.column(query_key).to_numpy()
+        out = None
+        for block in np.array_split(np.unique(ids), max(1, -(-len(np.unique(ids)) // QUERY_BLOCK))):
+            found = _pass(counts, key, rows.filter(pa.array(np.isin(ids, block))), query_key, k, float(mean or 1))
+            out = found if out is None else out.unionByName(found)
+        return top(out.withColumn("score", F.round("score", 9)), query_key, key, k)
+    queries = staged(queries.select(F.col(query_key).cast("long").alias(query_key), "term"), "query-terms")
     asked = queries.select("term").distinct()
-    n, mean = counts.agg(F.count("*"), F.avg("length")).first()
-    df = counts.select(F.explode("terms").alias("term")).join(sent(asked, asked.count(), 32), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = known if known is not None else counts.select(F.explode("terms").alias("term")).join(sent(asked, asked.count(), 32), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return local_top(counts, key, queries.join(df, "term").select(query_key, "term", (idf * F.col("boost") if "boost" in queries.columns else idf).alias("weight")), query_key, k, float(mean or 1))
+    return local_top(counts, key, queries.join(df, "term").select(query_key, "term", idf.alias("weight")), query_key, k, float(mean or 1))
 
 
 def coverage_top(counts: DataFrame, key: str, queries: DataFrame, query_key: str, k: int) -> DataFrame:
@@ -202,11 +234,12 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, embedding: str,
     """
     spark = vectors.sparkSession
     asked = queries.select(F.col(key).cast("long").alias(key), embedding).where(F.size(embedding) > 0)
-    passes = -(-asked.count() // QUERY_BLOCK)
+    first = asked.limit(QUERY_BLOCK + 1).collect()
+    passes = min(1, len(first)) if len(first) <= QUERY_BLOCK else -(-asked.count() // QUERY_BLOCK)
     names = ["query_id", key, "score"]
     out = spark.createDataFrame([], f"query_id long, {key} long, score double")
     for block in range(passes):
-        drawn = asked.where(F.pmod(F.xxhash64(key), F.lit(passes)) == block).collect()
+        drawn = first if passes == 1 else asked.where(F.pmod(F.xxhash64(key), F.lit(passes)) == block).collect()
         sizes = []
         for size in sorted({len(r[1]) for r in drawn}):
             some = [(r[0], np.asarray(r[1], np.float64)) for r in drawn if len(r[1]) == size and None not in r[1]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -103,10 +104,11 @@ class Request:
 class Index:
     """Tables of an index: records (key long, doc_id, title, body, file_path, header_path, project, source_kind, and if
     they are to be searched by them, category, author, modified_at in seconds and tags), edges between keys (src, dst),
-    counts (of `term_counts`) and embeddings (key, embedding). The last two are made from records if they are not given."""
+    counts (of `term_counts`) and embeddings (key, embedding). The last two are made from records if they are not given.
+    A written index has frequencies too, and its number of rows and mean length are asked for once."""
 
-    def __init__(self, records: DataFrame, edges: DataFrame | None = None, counts: DataFrame | None = None, embeddings: DataFrame | None = None, provider: Provider | None = None):
-        self.records, self.edges, self.provider = records, edges, provider or Hashed()
+    def __init__(self, records: DataFrame, edges: DataFrame | None = None, counts: DataFrame | None = None, embeddings: DataFrame | None = None, provider: Provider | None = None, frequencies: DataFrame | None = None):
+        self.records, self.edges, self.provider, self.frequencies = records, edges, provider or Hashed(), frequencies
         self.counts = counts if counts is not None else staged(S.term_counts(records, "key", {"content": "body"}), "counts")
         self.embeddings = embeddings if embeddings is not None else self.provider.embed(records, "key", "body")
 
@@ -115,6 +117,7 @@ class Index:
         for name in ("records", "counts", "embeddings", "edges"):
             if (frame := getattr(self, name)) is not None:
                 frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+        S.frequencies(self.counts).write.mode("overwrite").parquet(f"{folder}/frequencies")
         return Index.open(self.records.sparkSession, folder, provider=self.provider)
 
     @classmethod
@@ -134,7 +137,14 @@ class Index:
         held = records if held is None else held
         if held is None:
             raise FileNotFoundError(f"no records in {folder}")
-        return cls(held, read("edges", {"src", "dst"}), read("counts", {"key", "terms", "tfs"}), read("embeddings", {"key", "embedding"}), provider)
+        counts = read("counts", {"key", "terms", "tfs"})
+        known = read("frequencies", {"term", "df"}) if counts is not None else None
+        return cls(held, read("edges", {"src", "dst"}), counts, read("embeddings", {"key", "embedding"}), provider, known)
+
+    @functools.cached_property
+    def stats(self) -> tuple[int, float]:
+        """Number and mean length of rows."""
+        return tuple(self.counts.agg(F.count("*"), F.avg("length")).first())
 
     def scope(self, request: Request) -> DataFrame:
         """Records that filters leave: they are applied before any list is made."""
@@ -168,7 +178,10 @@ class Index:
             return S.cosine_top(inside(self.embeddings), asked, "key", "embedding", limit).select((-F.col("query_id") - 1).alias("qid"), "key", "score", "rank")
 
         def keyword(_):
-            return S.bm25_top(inside(self.counts), "key", self._terms(queries, request), "qid", limit)
+            terms = self._terms(queries, request)
+            if filtered:
+                return S.bm25_top(inside(self.counts), "key", terms, "qid", limit)
+            return S.bm25_top(self.counts, "key", terms, "qid", limit, self.frequencies, self.stats)
 
         def seeds(made):
             out = None
