@@ -28,7 +28,7 @@ from .common import bounded
 #: Parts up to which a scan for the smallest rank is cheaper than a heap.
 SHORT = 96
 #: Words that a worker remembers before it begins anew, and the longest that it remembers.
-REMEMBERED, LONGEST = 450_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 NO_RANK = 1 << 62
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
