@@ -243,6 +243,24 @@ def links(batches: Iterator[pa.RecordBatch], percent: int, sets_of: Callable[[li
         yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[at + 1])], ["src", "dst"])
 
 
+def among(items: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which items are among some: each of these has a place in a table; those that another one put out are looked up."""
+    bits = max(10, (8 * len(some)).bit_length())
+    mask = np.uint64((1 << bits) - 1)
+    table, shared = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, bool)
+    at = (some & mask).astype(np.int64)
+    table[at] = some
+    out = some[table[at] != some]
+    shared[(out & mask).astype(np.int64)] = True
+    at = (items & mask).astype(np.int64)
+    found = (table[at] == items) & (items != 0)
+    rest = np.flatnonzero(shared[at] & ~found)
+    found[rest] = np.isin(items[rest], out)
+    if (some == 0).any():
+        found |= items == 0
+    return found
+
+
 def star_links(batches: Iterator[pa.RecordBatch], percent: int, sets_of: Callable[[list[bytes]], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Links of the first of each block (family, i, j), of side 1, with the others, on full sets."""
     names = ["family", "i", "j"]
@@ -255,9 +273,7 @@ def star_links(batches: Iterator[pa.RecordBatch], percent: int, sets_of: Callabl
         items = mixed(np.concatenate(sets) + np.repeat(block, size).astype(np.uint64) * np.uint64(BASE))
         first = np.zeros(len(node), bool)
         first[edge[:-1]] = True
-        lead = np.sort(items[np.repeat(first, size)])
-        at = np.searchsorted(lead, items)
-        both = np.add.reduceat((lead[np.minimum(at, len(lead) - 1)] == items).astype(np.int64), np.cumsum(size) - size)
+        both = np.add.reduceat(among(items, items[np.repeat(first, size)]).astype(np.int64), np.cumsum(size) - size)
         head = edge[:-1][block]
         linked = np.flatnonzero(~first & (100 * both >= percent * (size + size[head] - both)))
         yield pa.RecordBatch.from_arrays([pa.array(node[head[linked]]), pa.array(node[linked])], ["src", "dst"])
