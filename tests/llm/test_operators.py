@@ -370,6 +370,14 @@ def test_blocks_meet(spark):
     assert met == {(a, b) for a in range(1000) for b in range(40)}
 
 
+def test_among():
+    rng = np.random.default_rng(9)
+    for n, m, top in ((1, 5, 4), (1000, 5000, 3000), (20000, 50000, 1 << 63)):
+        some = rng.integers(0, top, n, dtype=np.uint64)
+        items = np.concatenate((rng.choice(some, m), rng.integers(0, top, m, dtype=np.uint64), some << np.uint64(40)))
+        assert (near.among(items, some) == np.isin(items, some)).all()
+
+
 def test_star_links():
     """Links of leaders, all blocks at once, are those of the pairs one by one."""
     rng = random.Random(17)
