@@ -25,8 +25,10 @@ EDITS = 0.2
 WALKS, SAMPLES, PLACES = 8, 8, 2
 #: Words of items that a task works with at once; more items take more passes over the texts.
 ITEM_WORDS = 2_000_000
-#: Places whose windows are embedded at once.
-BLOCK = 2_000
+#: Places whose windows are embedded at once; words of windows, and pairs of a place and an item's segment, that are held at once.
+BLOCK, CELLS, HITS = 2_000, 1 << 20, 1 << 18
+#: Words from which an item's exact distance costs less than the walks of all its windows: its candidates go there at once.
+LONG = 512
 SCHEMA = "doc_id long, item_ids array<long>, n_items long"
 
 
@@ -84,7 +86,7 @@ class Items:
         self.sizes = sorted(found)
         self.ids = {n: [i for i, _ in x] for n, x in found.items()}
         self.words = {n: np.stack([h for _, h in x]) for n, x in found.items()}
-        self.samples = {n: [walk(w, s, half(n))[:, sampled_places(n, s)] for s in range(WALKS)] for n, w in self.words.items()}
+        self.samples = {n: [walk(w, s, half(n))[:, sampled_places(n, s)] for s in range(WALKS)] for n, w in self.words.items() if n <= LONG}
         segments: dict[int, list[tuple[int, int, int, int]]] = {}
         for n, w in self.words.items():
             length = n // (int(EDITS * n) + 1)
@@ -103,27 +105,60 @@ class Items:
 def matches(texts: list[bytes], items: Items) -> list[tuple[int, int, int]]:
     """(number of the text, words, row) of the items that the texts hold."""
     h, _, _, count = words(texts)
-    hits = []
+    out: set[tuple[int, int, int]] = set()
     for length, (key, what, table) in items.segments.items():
         g = gram(h, length)
         at = np.flatnonzero(table[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
         low, high = np.searchsorted(key, g[at], "left"), np.searchsorted(key, g[at], "right")
-        n = high - low
-        at, first = np.repeat(at, n), np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         doc = np.searchsorted(count, at, "right") - 1
-        inside = at + length <= count[doc + 1]
-        if inside.any():
-            at, first, doc = at[inside], first[inside], doc[inside]
-            hits.append(np.column_stack((what[first, 0], what[first, 1], doc, at - what[first, 2])))
-    if not hits:
-        return []
-    out = set()
-    hits = np.unique(np.concatenate(hits), axis=0)
+        own = (high > low) & (at + length <= count[doc + 1])
+        at, low, high, doc = at[own], low[own], high[own], doc[own]
+        # A segment may stand in many items: so many pairs at a time.
+        total = np.cumsum(high - low)
+        begin = 0
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + HITS, "right")))
+            n = (high - low)[begin:end]
+            first = np.repeat(low[begin:end], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out |= found(h, g, length, count, np.column_stack((what[first, 0], what[first, 1], np.repeat(doc[begin:end], n), np.repeat(at[begin:end], n) - what[first, 2])), items, out)
+            begin = end
+    return sorted(out)
+
+
+def found(h: np.ndarray, g: np.ndarray, length: int, count: np.ndarray, hits: np.ndarray, items: Items, known: set) -> set[tuple[int, int, int]]:
+    """Items of hits (size, row, text, start) with a segment of `length` words, block by block; pairs that are known are not tried again."""
+    out: set[tuple[int, int, int]] = set()
+    hits = np.unique(hits, axis=0)
     for size in np.unique(hits[:, 0]).tolist():
         some = hits[hits[:, 0] == size]
-        for s in range(0, len(some), BLOCK):
-            out |= confirmed(h, count, some[s : s + BLOCK], size, items)
-    return sorted(out)
+        block = max(1, min(BLOCK, CELLS // (size + 4 * int(EDITS * size))))
+        for s in range(0, len(some), block):
+            part = some[s : s + block]
+            new = np.array([(d, size, r) not in out and (d, size, r) not in known for _, r, d, _ in part.tolist()], bool)
+            part = part[new]
+            part = part[shared(g, length, count, part, size, items)] if len(part) else part
+            if len(part):
+                out |= confirmed(h, count, part, size, items)
+    return out
+
+
+def shared(g: np.ndarray, length: int, count: np.ndarray, hits: np.ndarray, size: int, items: Items) -> np.ndarray:
+    """Hits around whose start so many runs of `length` words are the item's as no passage within its edits can lack: an edit takes away `length` of an item's runs at most."""
+    edits = int(EDITS * size)
+    need = size - length + 1 - length * edits
+    keep = np.ones(len(hits), bool)
+    if need <= 1:
+        return keep
+    _, row, doc, start = hits.T
+    at = start[:, None] + np.arange(-2 * edits, size + 2 * edits - length + 1)
+    inside = (at >= count[doc][:, None]) & (at + length <= count[doc + 1][:, None])
+    runs = g[np.clip(at, 0, len(g) - 1)]
+    for r in np.unique(row).tolist():
+        own = np.flatnonzero(row == r)
+        mine = np.unique(gram(items.words[size][r], length))
+        place = np.minimum(np.searchsorted(mine, runs[own]), len(mine) - 1)
+        keep[own] = ((mine[place] == runs[own]) & inside[own]).sum(1) >= need
+    return keep
 
 
 def confirmed(h: np.ndarray, count: np.ndarray, hits: np.ndarray, size: int, items: Items) -> set[tuple[int, int, int]]:
@@ -134,17 +169,20 @@ def confirmed(h: np.ndarray, count: np.ndarray, hits: np.ndarray, size: int, ite
     # Words around the start, zeros beyond the text.
     at = start[:, None] + np.arange(-2 * edits, size + 2 * edits)
     region = np.where((at >= low[:, None]) & (at < high[:, None]), h[np.clip(at, 0, len(h) - 1)], np.uint64(0))
-    agreed = np.zeros(len(hits), bool)
+    agreed = np.full(len(hits), size > LONG)
     shifts = 2 * edits + 1
     for s in range(WALKS):
         rest = np.flatnonzero(~agreed)
         if not len(rest):
             break
-        # The windows at all shifts of a hit, one after another.
-        window = np.lib.stride_tricks.sliding_window_view(region[rest, edits : size + 3 * edits], size, axis=1).reshape(-1, size)
-        sample = walk(window, s, half(size))[:, sampled_places(size, s)]
-        same = (sample == np.repeat(items.samples[size][s][row[rest]], shifts, axis=0)).all(2).any(1)
-        agreed[rest[same.reshape(-1, shifts).any(1)]] = True
+        step = max(1, CELLS // (shifts * size))
+        for i in range(0, len(rest), step):
+            # The windows at all shifts of some hits, one after another.
+            part = rest[i : i + step]
+            window = np.lib.stride_tricks.sliding_window_view(region[part, edits : size + 3 * edits], size, axis=1).reshape(-1, size)
+            sample = walk(window, s, half(size))[:, sampled_places(size, s)]
+            same = (sample == np.repeat(items.samples[size][s][row[part]], shifts, axis=0)).all(2).any(1)
+            agreed[part[same.reshape(-1, shifts).any(1)]] = True
     out = set()
     for r in np.unique(row[agreed]).tolist():
         own = np.flatnonzero(agreed & (row == r))
