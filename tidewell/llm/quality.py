@@ -18,8 +18,8 @@ from .common import SPACE, bounded, passes, staged, words
 
 #: Words in a passage.
 PASSAGE = 64
-#: Bound of the sample that is learned from: labelled documents of each class, and passages of them all together, by whole documents; one of over an eighth of these passages is not learned from. Scoring reads all passages of all documents.
-SAMPLE, SAMPLE_PASSAGES = 4000, 40_000
+#: Bound of the sample that is learned from: labelled documents of each class, and passages of them all together, and of one document, evenly spread over it. Scoring reads all passages of all documents.
+SAMPLE, SAMPLE_PASSAGES, SAMPLE_BAG = 4000, 40_000, 625
 #: Places that words are hashed to.
 HASHED = 128
 #: Sizes of the code and of the attention, passes over the sample, documents of a step and its length at first, and decay of weights.
@@ -140,20 +140,20 @@ def held_out(doc_id) -> F.Column:
 
 
 def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features and number of all passages of every text."""
+    """Features and number of the passages of every text; of a text with more than SAMPLE_BAG, so many from all over it."""
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
         out, n = [], []
         for part in passes([len(t) for t in texts]):
             x, first = encoded(texts[part])
-            n += np.diff(first).tolist()
-            out += [x[s:e].tobytes() if e - s <= SAMPLE_PASSAGES // 8 else b"" for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            n += np.minimum(np.diff(first), SAMPLE_BAG).tolist()
+            out += [x[s + np.arange(min(e - s, SAMPLE_BAG)) * (e - s) // max(1, min(e - s, SAMPLE_BAG))].tobytes() for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "label", "n", "bag"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fitted to at most SAMPLE documents of each class, drawn by a hash of doc_id, and of these to the first that have
-    SAMPLE_PASSAGES passages together, whole; each class is weighed by its share of the labels. None without labels. A
+    SAMPLE_PASSAGES passages together; of a longer document SAMPLE_BAG passages, evenly spread, are learned from. Each class is weighed by its share of the labels. None without labels. A
     document with several labels has the lowest; rows that share a doc_id and the text are one."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"))
     count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
