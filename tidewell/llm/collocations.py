@@ -12,6 +12,7 @@ again with another seed, so counts are exact.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,15 +21,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER, MASK, bounded, mixed, passes, prefix_hash, span_hash, staged
+from .common import BASE, LOWER, MASK, PASS_BYTES, bounded, mixed, passes, prefix_hash, span_hash, staged
 
 #: Bytes that end a piece, and those that end a word.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
+PIECE_END = re.compile(rb"[.,;:!?\x0A-\x0D]")
 GAP = SEPARATOR.copy()
 GAP[[0x20, 0x09]] = True
 #: Bytes of text whose suffixes a task sorts together, of text whose suffixes meet in a bucket, and of words that are hashed at once.
-HELD_BYTES, BUCKET_BYTES, HASHED = 24 << 20, 16 << 20, 1 << 20
+HELD_BYTES, BUCKET_BYTES, HASHED = 4 << 20, 8 << 20, 1 << 20
 #: Pointers of a partition that is sorted column by column.
 SMALL = 1 << 15
 #: Bits of the filter of frequent pairs, at least and at most, for each pair, and in a piece of it.
@@ -108,9 +110,9 @@ def suffixes(texts: list[bytes], salt: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first = np.cumsum([0] + [len(t) + 1 for t in texts])
     of = np.searchsorted(first, start, "right") - 1
     key = np.maximum(mixed(key + salt[of]), np.uint64(1))
-    ends = np.cumsum(SEPARATOR[data])
+    ends = np.flatnonzero(SEPARATOR[data])
     last = np.ones(len(start), bool)
-    last[:-1] = ends[start[1:]] != ends[end[:-1] - 1]
+    last[:-1] = np.searchsorted(ends, start[1:]) > np.searchsorted(ends, end[:-1])
     return key, last, of, start, end
 
 
@@ -153,20 +155,30 @@ def packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "lang", "keys", "counts", "sizes", "words"])
 
 
+def cut(text: bytes) -> Iterator[bytes]:
+    """A long text in parts that end where a piece ends; no phrase goes beyond it."""
+    at = 0
+    while len(text) - at > 2 * PASS_BYTES and (end := PIECE_END.search(text, at + PASS_BYTES)):
+        yield text[at : end.end()]
+        at = end.end()
+    yield text[at:] if at else text
+
+
 def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str]]]:
-    """Texts of about HELD_BYTES together, lower-cased, with their languages."""
+    """Texts of about HELD_BYTES together, lower-cased, with their languages; long ones in parts."""
     texts: list[bytes] = []
     langs: list[str] = []
     held = 0
     for batch in batches:
-        for t, x in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-            if t:
-                texts.append(t.translate(LOWER))
-                langs.append(x)
-                held += len(t)
-                if held >= HELD_BYTES:
-                    yield texts, langs
-                    texts, langs, held = [], [], 0
+        for whole, x in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
+            for t in cut(whole.as_py() or b""):
+                if t:
+                    texts.append(t.translate(LOWER))
+                    langs.append(x)
+                    held += len(t)
+                    if held >= HELD_BYTES:
+                        yield texts, langs
+                        texts, langs, held = [], [], 0
     if texts:
         yield texts, langs
 
