@@ -10,6 +10,7 @@ DataFrame functions: no Python runs in a task.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import chain, combinations
 
@@ -36,7 +37,7 @@ class Template:
             if len(a) < 2 or "\\" in a:
                 raise ValueError(f"no control string: {a!r}")
             for b in every:
-                if any(a[i:].startswith(b) or b.startswith(a[i:]) for i in range(1, len(a))):
+                if a != b and a.startswith(b) or any(a[i:].startswith(b) or b.startswith(a[i:]) for i in range(1, len(a))):
                     raise ValueError(f"{a!r} and {b!r} overlap")
 
     def controls(self) -> list[str]:
@@ -142,6 +143,27 @@ def fingerprints(layouts: tuple[Layout, ...] = LAYOUTS) -> dict[str, str]:
     return out
 
 
+def _filled(name: str) -> Callable[[Column], Column]:
+    return lambda m: m[name].isNotNull()
+
+
+def _listed(step: Listed) -> Callable[[Column], Column]:
+    """A turn of an element."""
+
+    def one(m: Column) -> Column:
+        role = m[step.role]
+        for old, new in step.roles:
+            role = F.when(m[step.role] == old, F.lit(new)).otherwise(role)
+        return _turn(role, m[step.text])
+
+    return one
+
+
+def _known(names: list[str], inner: list[str]) -> Callable[[Column], Column]:
+    """An element's known fields as texts, null where it has none."""
+    return lambda m: F.struct(*((m[n] if n in inner else F.lit(None)).cast("string").alias(n) for n in names))
+
+
 def fingerprint(fields: dict[str, Column], layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """64-bit hash of the known paths that a record fills: those whose value is not null, in a list those that any element fills."""
     present: dict[str, Column] = {}
@@ -151,7 +173,7 @@ def fingerprint(fields: dict[str, Column], layouts: tuple[Layout, ...] = LAYOUTS
                 at = fields[s.field]
                 present[s.field] = at.isNotNull()
                 for name in (s.role, s.text):
-                    present[f"{s.field}[].{name}"] = F.exists(at, lambda m, name=name: m[name].isNotNull())
+                    present[f"{s.field}[].{name}"] = F.exists(at, _filled(name))
         else:
             present |= {f: fields[f].isNotNull() for f in (s.fields if isinstance(s, Part) else (s.role, s.text)) if f in fields}
     if not present:
@@ -171,14 +193,7 @@ def _turns(layout: Layout, fields: dict[str, Column]) -> Column:
             if some:
                 out.append(F.when(F.coalesce(*some).isNotNull(), F.array(_turn(F.lit(s.role), F.concat_ws("\n\n", *some)))))
         elif isinstance(s, Listed):
-
-            def listed(m: Column, s=s) -> Column:
-                role = m[s.role]
-                for old, new in s.roles:
-                    role = F.when(m[s.role] == old, F.lit(new)).otherwise(role)
-                return _turn(role, m[s.text])
-
-            out.append(F.transform(fields[s.field], listed))
+            out.append(F.transform(fields[s.field], _listed(s)))
         else:
             out.append(F.array(_turn(*(fields[f] if f in fields else F.lit(None).cast("string") for f in (s.role, s.text)))))
     return F.flatten(F.array_compact(F.array(*out)))
@@ -198,7 +213,7 @@ def canonical(records: DataFrame, json: str | None = None, layouts: tuple[Layout
                 have = records.schema[f.name].dataType
                 inner = getattr(getattr(have, "elementType", None), "names", None)
                 if f.dataType.typeName() == "array" and inner is not None and set(f.dataType.elementType.names) & set(inner):
-                    known[f.name] = F.transform(records[f.name], lambda m, f=f, inner=inner: F.struct(*((m[n] if n in inner else F.lit(None)).cast("string").alias(n) for n in f.dataType.elementType.names)))
+                    known[f.name] = F.transform(records[f.name], _known(f.dataType.elementType.names, inner))
                 elif f.dataType.typeName() == "string" and have.typeName() in ("string", "varchar", "char"):
                     known[f.name] = F.col(f"`{f.name}`")
         rows = records

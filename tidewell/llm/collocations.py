@@ -143,8 +143,8 @@ def routed(columns: list[np.ndarray], buckets: int) -> np.ndarray:
 
 def dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     by = np.argsort(bucket, kind="stable")
-    cut = np.flatnonzero(np.append(True, bucket[by][1:] != bucket[by][:-1])) if len(by) else []
-    for a, b in zip(cut, np.append(cut[1:], len(by)), strict=True):
+    edge = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1)) if len(by) else by
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
         yield int(bucket[by[a]]), by[a:b]
 
 
