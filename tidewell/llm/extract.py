@@ -36,11 +36,16 @@ NAMED = frozenset(
     "promo promos promotion promotions banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars widget widgets footer masthead discussion cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations toolbar pagination pager skip copyright disclaimer hidden complementary contentinfo search".split()
 )
 PLAIN = frozenset("area article articles bar block bottom box button buttons container content form group header icon icons inner item items left link links list main message more outer page panel post posts right section site slot stories text thread title top unit wrap wrapper".split())
+COLUMN = frozenset("div section td".split())
 MAIN, HEADINGS = frozenset("article main".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of names that tell readers' comments where nothing of the article follows, whatever stands beside them; words of cookie notices; how a line of rights begins.
+TALK = frozenset("comment comments commentlist replies responses reactions feedback thread threads discussion discussions reviews disqus".split())
+CONSENT, RIGHTS = frozenset("cookie cookies consent gdpr".split()), re.compile(r"\s*(?:©|\(c\)\s*\d{4}|copyright\s*(?:©|\(c\)|\d{4}))", re.I)
 #: Elements whose names are no hints, as their ids come from titles; and those in which a text that is all link is no list of links.
 UNNAMED, WORDED = frozenset("html body article main p".split()) | HEADINGS, HEADINGS | frozenset("p blockquote figcaption td th caption pre".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)|<(?=/?\Z)", re.S)
-ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s\"'>/=]*+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+READ = frozenset("class id role itemprop hidden aria-hidden".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SIGNS = re.compile(r"[.,;:!?…。、，；：！？¡¿]")
 #: Spread of the smoothing along the page, in nodes; the threshold's share of the mean ratio of a letter; nodes of a path that make a list of links; and letters of named content, to one of other content, that make a name a wrapper's.
@@ -50,27 +55,34 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 class Node:
     """An element. path: a number that elements with the same tags from the root share; hint: 0, or 1 in what is named as
-    no article, 2 in comments and adverts; link: in a link; worded: in a heading, paragraph, cell and the like."""
+    no article, 2 in comments and adverts; link: in a link; worded: in a heading, paragraph, cell and the like; talk: its name
+    may be that of comments; name: its class."""
 
-    __slots__ = ("body", "content", "dropped", "hint", "inside", "link", "parent", "path", "tag", "worded")
+    __slots__ = ("body", "content", "dropped", "hint", "inside", "link", "name", "parent", "path", "tag", "talk", "worded")
 
     def __init__(self, tag: str, parent: Node | None, paths: dict[tuple[int, str, int], int], dropped: bool = False, body: bool = False, hint: int = 0):
         self.tag, self.parent, self.dropped, self.body, self.hint, self.content, self.inside = tag, parent, dropped, body, hint, 0, False
+        self.talk, self.name = False, ""
         self.link = tag == "a" or parent is not None and parent.link
         self.worded = tag in WORDED or parent is not None and parent.worded
         self.path = paths.setdefault((parent.path if parent else -1, tag, hint), len(paths))
 
 
 def hinted(value: str) -> int:
-    """2 if a name is made of words for comments and adverts, 1 if of words for menus, notices and the like, else 0."""
+    """2 if a name is made of words for comments, adverts and cookies, 1 if of words for menus, notices and the like, else 0."""
     out = 0
     for token in value.split():
         found = {w.lower() for w in WORD.findall(token)}
         if found <= NEVER | NAMED | PLAIN:
-            out = max(out, 2 * (not NEVER.isdisjoint(found)), int(not NAMED.isdisjoint(found)))
+            out = max(out, 2 * (not (NEVER | CONSENT).isdisjoint(found)), int(not NAMED.isdisjoint(found)))
     return out
 
 
+def talked(value: str) -> bool:
+    """Whether a name may be that of readers' comments: its last word, or its only known one, says so."""
+    return any((found := [w.lower() for w in WORD.findall(token)]) and found[-1] in TALK for token in value.split())
+
+
 def parsed(page: str) -> tuple[list[Node], list[tuple[Node, int, str]]]:
     """All elements in page order, and (element, block number, raw text) of the text nodes outside dropped elements."""
     paths: dict[tuple[int, str, int], int] = {}
@@ -131,16 +143,18 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[Node, int, str]]]:
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         top = stack[-1]
-        dropped, body, hint = top.dropped or tag in DROPPED, top.body or tag in MAIN, top.hint
+        dropped, body, hint, talk, own = top.dropped or tag in DROPPED, top.body or tag in MAIN, top.hint, False, ""
         if m[3]:
             for a in ATTRIBUTE.finditer(m[3]):
                 name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+                if name not in READ:
+                    continue
                 if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                     dropped = True
                 elif name == "itemprop" and value.lower() == "articlebody" or name == "role" and value.lower() == "main":
                     body = True
                 elif tag not in UNNAMED:
-                    hint = max(hint, hinted(value))
+                    hint, talk, own = max(hint, hinted(value)), talk or talked(value), value if name == "class" else own
                 elif tag in MAIN and "comment" in value.lower():
                     hint = 2
         if tag == "header" and not top.body:
@@ -152,6 +166,7 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[Node, int, str]]]:
             at = close_at.start() if close_at else end
             continue
         stack.append(Node(tag, top, paths, dropped, body, hint))
+        stack[-1].talk, stack[-1].name = talk, own
         every.append(stack[-1])
         still[tag] += 1
     return every, out
@@ -209,6 +224,72 @@ def article(every: list[Node], nodes: list[tuple[Node, int, str]], content: list
         e.inside = e in own or bool(e.parent and e.parent.inside) or not seen and e.tag == "h1" and e.parent is first.parent and not e.hint
 
 
+def placed(every: list[Node], nodes: list[tuple[Node, int, str]], content: list[bool]) -> None:
+    """Hints by place: what follows the article on another path is none of it, however it is called.
+
+    Parts whose name may be that of comments are so if content stands before them and none after. Of articles in an
+    article, those are cards of other stories whose heading is a link and that are short beside it. Of two columns beside
+    each other, the later one goes if it has a heading and the first has the headings of first order and most letters.
+    """
+    number = {id(e): i for i, e in enumerate(every)}
+    # Each element's end in page order, and what it holds: content letters, letters of headings in links, and the like.
+    end = list(range(len(every)))
+    for i in range(len(every) - 1, 0, -1):
+        up = number[id(every[i].parent)]
+        end[up] = max(end[up], end[i])
+    at = [number[id(e)] for e, _, _ in nodes]
+    weight = [0] * (len(every) + 1)
+    for i, (_, _, s), good in zip(at, nodes, content, strict=True):
+        weight[i + 1] += len(s) * good
+    for i in range(len(every)):
+        weight[i + 1] += weight[i]
+    held = lambda i: weight[end[i] + 1] - weight[i]
+    total = weight[-1]
+
+    def drop(i: int) -> None:
+        for e in every[i : end[i] + 1]:
+            e.hint = 2
+
+    for i, e in enumerate(every):
+        if e.talk and e.hint < 2 and weight[i] and weight[i] + held(i) == total and not e.parent.link:
+            drop(i)
+    articles = [i for i, e in enumerate(every) if e.tag == "article"]
+    inner = [i for i in articles if every[i].parent.body]
+    headed: dict[int, list[bool]] = {i: [] for i in inner}
+    for e, _, _ in nodes:
+        if in_heading(e):
+            up = e
+            while up is not None and number[id(up)] not in headed:
+                up = up.parent
+            if up is not None:
+                headed[number[id(up)]].append(e.link)
+    for i in inner:
+        if headed[i] and all(headed[i]) and 4 * held(i) < total:
+            drop(i)
+    first = [e for e in every if e.tag == "h1"]
+    if len(first) == 1 and not first[0].hint:
+        h = number[id(first[0])]
+        up = first[0].parent
+        while up is not None and up.parent is not None:
+            i = number[id(up)]
+            if up.tag in COLUMN and 10 * held(i) >= 7 * total:
+                for j in range(end[i] + 1, end[number[id(up.parent)]] + 1):
+                    e = every[j]
+                    if e.parent is up.parent and e.tag in COLUMN and e.name != up.name and 4 * held(j) < held(i):
+                        begins = next((x for x in every[j + 1 : end[j] + 1] if x.tag in HEADINGS), None)
+                        if begins is not None and begins.tag not in ("h1", "h2"):
+                            drop(j)
+            up = up.parent
+    for k, (e, _, _) in enumerate(nodes):
+        content[k] = content[k] and not e.hint
+
+
+def in_heading(e: Node | None) -> bool:
+    while e is not None and e.tag not in HEADINGS and e.tag in ("a", "b", "em", "i", "span", "strong"):
+        e = e.parent
+    return e is not None and e.tag in HEADINGS
+
+
 def main_text(page: str) -> str:
     """Blocks of the article, in page order, one to a line."""
     every, nodes = parsed(page)
@@ -226,15 +307,25 @@ def main_text(page: str) -> str:
     content = [x >= least and not e.hint for x, (e, _, _) in zip(fused, read, strict=True)]
     if not any(content):
         content = [True] * len(read)
+    placed(every, read, content)
     article(every, read, content)
     lines: dict[int, list[str]] = {}
     known = {id(e): x for x, (e, _, _) in zip(plain, read, strict=True)}
     times = Counter(e.path for e, _, _ in read)
     alone: dict[int, bool] = {}
+    menus = Counter(id(e.parent.parent) for e, _, _ in read if e.tag == "a" and e.parent.tag == "li")
+    linked = {b: menus[id(e.parent.parent)] for e, b, _ in read if e.tag == "a" and e.parent.tag == "li"}
     for e, b, _ in read:
         alone[b] = alone.get(b, True) and e.link and not e.worded and known[id(e)] < least and times[e.path] >= LISTED
+    rights: dict[int, bool] = {}
+    for _, block, s in read:
+        rights.setdefault(block, bool(RIGHTS.match(s)))
+    good = [b for (_, b, _), g in zip(read, content, strict=True) if g and not rights[b]]
+    first, last = (min(good), max(good)) if good else (0, read[-1][1])
     for element, block, s in nodes:
-        if element.inside and not alone.get(block) and (not element.hint or element.hint == 1 and element.body and known.get(id(element), 0) >= least):
+        # Beside the content, a list of links is a menu from two on, and a line of rights is none of the article.
+        beside = block < first and linked.get(block, 0) > 1 or block > last and rights.get(block, False)
+        if element.inside and not beside and not alone.get(block) and (not element.hint or element.hint == 1 and element.body and known.get(id(element), 0) >= least):
             lines.setdefault(block, []).append(s)
     out = [" ".join(html.unescape("".join(parts)).split()) for parts in lines.values()]
     return "\n".join(x for x in out if x)
