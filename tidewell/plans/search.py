@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import functools
+import uuid
+import zlib
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JError
@@ -14,9 +17,11 @@ from pyspark.sql import functions as F
 from ..functions.text import glob_pattern, lexical_match, metadata_rank, query_type
 from ..operators import rank as R
 from ..operators import retrieve as S
+from ..operators.blocks import SMALL_GROUPS, block_top, blocked
 from ..operators.embed import Hashed, Provider
 from ..operators.projects import allowed_projects
 from ..scratch import staged
+from ..sources.store import MANIFESTS, Manifest, Part, Store
 
 #: Characters of a snippet and of a factual answer; fields of metadata that answers show; the scope that a caller needs.
 SNIPPET, FACTUAL = 4000, 200
@@ -101,55 +106,216 @@ class Request:
         return replace(self, projects=tuple(allowed_projects(claimed, list(self.projects))))
 
 
+#: Tables of a segment; folders that records, counts and vectors are dealt to by source kind and by project; columns that these share.
+TABLES, FOLDERS, SHARED = ("records", "counts", "embeddings", "edges", "frequencies", "postings"), 16, ("source_kind", "project")
+#: Queries that are answered from blocks of postings, one by one, and not by a pass over all counts.
+FEW_QUERIES = 4
+
+
+def folder_of(value: str | None) -> int:
+    return zlib.crc32((value or "").encode()) % FOLDERS
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows with the folders that their source kind and project go to."""
+    at = lambda c: (F.crc32(F.coalesce(F.col(c), F.lit("")).cast("binary")) % FOLDERS).cast("int")
+    return rows.withColumns({"_kind": at("source_kind"), "_project": at("project")})
+
+
 class Index:
     """Tables of an index: records (key long, doc_id, title, body, file_path, header_path, project, source_kind, and if
     they are to be searched by them, category, author, modified_at in seconds and tags), edges between keys (src, dst),
     counts (of `term_counts`) and embeddings (key, embedding). The last two are made from records if they are not given.
-    A written index has frequencies too, and its number of rows and mean length are asked for once."""
+
+    A written index lies in a `Store`, and has frequencies and blocks of postings too. What was opened is one manifest's:
+    it stays as it is, whatever others write, until it is opened anew."""
 
     def __init__(self, records: DataFrame, edges: DataFrame | None = None, counts: DataFrame | None = None, embeddings: DataFrame | None = None, provider: Provider | None = None, frequencies: DataFrame | None = None):
         self.records, self.edges, self.provider, self.frequencies = records, edges, provider or Hashed(), frequencies
         self.counts = counts if counts is not None else staged(S.term_counts(records, "key", {"content": "body"}), "counts")
         self.embeddings = embeddings if embeddings is not None else self.provider.embed(records, "key", "body")
+        self.store: Store | None = None
+        self.manifest: Manifest | None = None
+        self.postings: DataFrame | None = None
 
     def write(self, folder: str) -> Index:
-        """The index as tables in a folder, from which later searches read: no text is tokenised or encoded again."""
-        for name in ("records", "counts", "embeddings", "edges"):
-            if (frame := getattr(self, name)) is not None:
-                frame.write.mode("overwrite").parquet(f"{folder}/{name}")
-        S.frequencies(self.counts).write.mode("overwrite").parquet(f"{folder}/frequencies")
-        return Index.open(self.records.sparkSession, folder, provider=self.provider)
+        """The index as the only segment of a store, in place of what the folder held: no text is tokenised or encoded
+        again by later searches. Readers of what it held go on; its tables stay until they are cleaned."""
+        spark = self.records.sparkSession
+        store = Store(spark, folder)
+        first = not store.numbers() and not store._fs.exists(store._path("records"))
+        part = _segment(store, "." if first else f"segments/{uuid.uuid4().hex}", self.records, self.counts, self.embeddings, self.edges)
+        store.commit(lambda m: Manifest(segments=(replace(part, commit=m.number + 1),)))
+        return Index.open(spark, folder, provider=self.provider)
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str, records: DataFrame | None = None, provider: Provider | None = None) -> Index:
-        """The index in a folder. A table that is missing or cannot be read is made again from records, the given ones
-        where the folder's are lost too; without those the error stands."""
+    def create(cls, spark: SparkSession, folder: str, provider: Provider | None = None) -> Index:
+        """The index in a folder, an empty one if there is none."""
+        store = Store(spark, folder)
+        store.commit(lambda m: None if m.number else Manifest())
+        return cls.open(spark, folder, provider=provider)
 
-        def read(name: str, columns: set[str]) -> DataFrame | None:
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, records: DataFrame | None = None, provider: Provider | None = None, number: int | None = None) -> Index:
+        """The index in a folder, at its last manifest or that of a number. A table that is missing or cannot be read is made
+        again from records, the given ones where the folder's are lost too; without those the error stands."""
+        provider = provider or Hashed()
+
+        def sound(part: Part, name: str) -> DataFrame | None:
             try:
-                frame = spark.read.parquet(f"{folder}/{name}")
-                frame.limit(1).collect()
+                if (frame := store.read(part, name)) is not None:
+                    frame.limit(1).collect()
             except (PySparkException, Py4JError):  # footers that cannot be read come as the latter
                 return None
-            return frame if columns <= set(frame.columns) else None
+            return frame
+
+        store = Store(spark, folder)
+        manifest = store.manifest(number) if number or store._fs.exists(store._path(MANIFESTS)) else None
+        if manifest is None:
+            if records is None:
+                raise FileNotFoundError(f"no index in {folder}")
+            return cls(records, provider=provider)
+        frames: dict[str, list[tuple[Part, DataFrame]]] = {name: [] for name in (*TABLES, "files")}
+        for part in manifest.segments:
+            held = {name: sound(part, name) for name in (*TABLES, "files")}
+            if held["records"] is None:
+                if records is None:
+                    raise FileNotFoundError(f"no records in {folder}")
+                return cls(records, provider=provider)
+            if held["counts"] is None:
+                held["counts"] = counted(held["records"])
+            if held["embeddings"] is None and "embeddings" in part.tables:
+                held["embeddings"] = embedded(held["records"], provider)
+            for name, frame in held.items():
+                if frame is not None:
+                    frames[name].append((part, frame))
+        empty = lambda schema: spark.createDataFrame([], schema)
+        live = {name: store.live(manifest, frames[name]) for name in ("records", "counts", "embeddings")}
+        out = cls(
+            live["records"] if live["records"] is not None else empty(RECORD), None,
+            live["counts"] if live["counts"] is not None else empty("key long, length double, terms array<string>, tfs array<double>"),
+            live["embeddings"] if live["embeddings"] is not None else empty("key long, embedding array<double>"), provider,
+        )
+        out.store, out.manifest = store, manifest
+        out.files = store.live(manifest, frames["files"], "docs", "doc_id")
+        edges = store.live(manifest, [(p, f.withColumn("key", F.col("src"))) for p, f in frames["edges"]])
+        if edges is not None:
+            edges = edges.drop("key")
+            # An edge into what was replaced holds, into what is gone it does not.
+            out.edges = edges if not manifest.deletions else edges.join(out.records.select(F.col("key").alias("dst")), "dst", "left_semi")
+        if len(frames["frequencies"]) == len(manifest.segments):
+            sums = [f for _, f in frames["frequencies"]] + [store.read(p, "frequencies").withColumn("df", -F.col("df")) for p in manifest.deletions]
+            if sums:
+                df = functools.reduce(DataFrame.unionByName, sums)
+                out.frequencies = df if len(sums) == 1 else df.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+            out.stats = (manifest.rows, manifest.length / manifest.rows if manifest.rows > 0 else None)
+        if frames["postings"] and len(frames["postings"]) == len(manifest.segments):
+            out.postings = functools.reduce(DataFrame.unionByName, [f.withColumn("_commit", F.lit(p.commit)) for p, f in frames["postings"]])
+        return out
+
+    # Upkeep of a written index
+
+    def fresh(self) -> bool:
+        """Whether nothing was committed since this was opened."""
+        return self.store.numbers()[-1] == self.manifest.number
+
+    def refreshed(self) -> Index:
+        return self if self.fresh() else Index.open(self.store.spark, self.store.folder, provider=self.provider)
+
+    def change(self, records: DataFrame | None = None, removed: DataFrame | None = None, edges: DataFrame | None = None, files: DataFrame | None = None, stream: tuple[str, int] | None = None, vectors: bool = True) -> Index:
+        """The index after a commit: documents of `records` take the place of what had their doc_id, those of `removed`
+        (doc_id) go; the rest is not touched. Keys are unique, but a document may keep its own.
+
+        edges: src and dst of the new records; files: doc_id and what is to be known of the documents' files. A batch
+        of a stream (its name and number) that is in already changes nothing. Without `vectors` the records are found by
+        words first; `embed_missing` makes the vectors. Two writers never lose each other's changes: the later one looks
+        again at what its documents replace."""
+        store, spark = self.store, self.store.spark
+        part = docs = None
+        # Without documents or files nothing is written.
+        names = [x.select(F.col("doc_id").cast("string").alias("doc_id")) for x in (records, removed, files) if x is not None]
+        if not names:
+            return self
+        docs = staged(functools.reduce(DataFrame.unionByName, names).distinct(), "changed-docs")
+        if records is not None:
+            part = _segment(store, f"segments/{uuid.uuid4().hex}", records, None, embedded(records, self.provider) if vectors else None, edges, files)
+
+        def next_(m: Manifest) -> Manifest | None:
+            if stream is not None and m.streams.get(stream[0], -1) >= stream[1]:
+                return None
+            number = m.number + 1
+            gone = _deletion(store, m, docs, number)
+            segments = m.segments + ((replace(part, commit=number),) if part is not None else ())
+            return Manifest(m.number, segments, m.deletions + ((gone,) if gone is not None else ()), m.streams | (dict([stream]) if stream is not None else {}))
+
+        return Index.open(spark, store.folder, provider=self.provider, number=store.commit(next_).number)
+
+    def embed_missing(self) -> Index:
+        """The index with the vectors of segments that were written without."""
+        store = self.store
+        for part in self.manifest.segments:
+            if "embeddings" not in part.tables:
+                at = f"{part.path}/vectors-{uuid.uuid4().hex}"
+                table = {"embeddings": store.write(sorted_by_key(embedded(store.read(part, "records"), self.provider)), at, "embeddings", ("_kind", "_project"))}
+
+                def next_(m: Manifest, part=part, table=table, at=at) -> Manifest | None:
+                    if part not in m.segments:
+                        return None
+                    done = replace(part, tables=part.tables | table, places=part.places | {"embeddings": at})
+                    return Manifest(m.number, tuple(done if p == part else p for p in m.segments), m.deletions, m.streams)
+
+                store.commit(next_)
+        return self.refreshed()
+
+    def merged(self) -> Index:
+        """The index with one segment in place of those of a crowded size class, without the rows that are gone. No text is
+        read for words or vectors again. Deletions that apply to no segment any more are taken off the sums, and go."""
+        store, m = self.store, self.manifest
+        some = store.crowded(m)
+        if not some:
+            return self
+        view = Index.open(store.spark, store.folder, provider=self.provider, number=m.number)
+        if any(view.store.read(p, name) is None for p in some for name in ("records", "counts", "frequencies", "postings", "embeddings")):
+            return self.embed_missing() if any("embeddings" not in p.tables for p in some) else self
+        live = lambda name, table="keys", key="key": store.live(m, [(p, f) for p in some if (f := store.read(p, name)) is not None], table, key)
+        edges = store.live(m, [(p, f.withColumn("key", F.col("src"))) for p in some if (f := store.read(p, "edges")) is not None])
+        last = max(p.commit for p in some)
+        left = [p for p in m.segments if p not in some]
+        folded = tuple(d for d in m.deletions if all(p.commit >= d.commit for p in left) and last >= d.commit)
+        sums = [store.read(p, "frequencies") for p in some] + [store.read(d, "frequencies").withColumn("df", -F.col("df")) for d in folded]
+        sums = functools.reduce(DataFrame.unionByName, sums).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").sort("term")
+        part = _segment(store, f"segments/{uuid.uuid4().hex}", live("records"), live("counts"), live("embeddings"), edges.drop("key") if edges is not None else None, live("files", "docs", "doc_id"), sums)
+        part = replace(part, commit=last, rows=sum(p.rows for p in some) - sum(d.rows for d in folded), length=sum(p.length for p in some) - sum(d.length for d in folded))
+
+        def next_(now: Manifest) -> Manifest | None:
+            if not set(_ids(some)) <= set(_ids(now.segments)):
+                return None
+            held = [p for p in now.segments if p.path not in _ids(some)]
+            # A writer that came between may still need them.
+            kept = tuple(d for d in now.deletions if d not in folded)
+            return Manifest(now.number, (*held, part), kept, now.streams)
 
-        held = read("records", {"key", "doc_id", "body"})
-        held = records if held is None else held
-        if held is None:
-            raise FileNotFoundError(f"no records in {folder}")
-        counts = read("counts", {"key", "terms", "tfs"})
-        known = read("frequencies", {"term", "df"}) if counts is not None else None
-        return cls(held, read("edges", {"src", "dst"}), counts, read("embeddings", {"key", "embedding"}), provider, known)
+        return Index.open(store.spark, store.folder, provider=self.provider, number=store.commit(next_).number)
 
     @functools.cached_property
     def stats(self) -> tuple[int, float]:
         """Number and mean length of rows."""
         return tuple(self.counts.agg(F.count("*"), F.avg("length")).first())
 
+    def _folders(self, rows: DataFrame, request: Request) -> DataFrame:
+        """The rows of the folders that a request's source kinds and projects lie in, and of these the ones that it wants."""
+        for column, at, wanted in (("project", "_project", request.projects), ("source_kind", "_kind", request.source_kinds)):
+            if wanted:
+                if at in rows.columns:
+                    rows = rows.where(F.col(at).isin(sorted({folder_of(x) for x in wanted})))
+                if column in rows.columns:
+                    rows = rows.where(F.col(column).isin(list(wanted)))
+        return rows
+
     def scope(self, request: Request) -> DataFrame:
         """Records that filters leave: they are applied before any list is made."""
-        rows = self.records
-        for column, wanted in (("project", request.projects), ("source_kind", request.source_kinds), ("category", request.categories), ("author", request.authors)):
+        rows = self._folders(self.records, request)
+        for column, wanted in (("category", request.categories), ("author", request.authors)):
             if wanted:
                 rows = rows.where(F.col(column).isin(list(wanted)))
         if request.modified_after is not None:
@@ -166,11 +332,33 @@ class Index:
         better = S.corrected(terms, known)
         return terms.unionByName(terms.join(better, "term").select("qid", F.col("correction").alias("term"))).distinct()
 
-    def lists(self, queries: DataFrame, request: Request, limit: int) -> dict[str, Callable[[dict[str, DataFrame]], DataFrame | None]]:
+    def _from_blocks(self, terms: DataFrame, limit: int) -> DataFrame:
+        """The keyword list of a few queries, each from the blocks of its terms."""
+        each: dict[int, list[str]] = {}
+        for r in terms.collect():
+            each.setdefault(r["qid"], []).append(r["term"])
+        every = sorted({t for x in each.values() for t in x})
+        df = {r["term"]: r["df"] for r in self.frequencies.where(F.col("term").isin(every)).collect()} if every else {}
+        out = self.records.sparkSession.createDataFrame([], "qid long, key long, score double, rank int")
+        alive = lambda rows: self.store.left(self.manifest, rows)
+        for qid, own in each.items():
+            found = block_top(self.postings, self.counts, "key", own, df, self.stats, limit, alive)
+            out = out.unionByName(found.select(F.lit(qid).cast("long").alias("qid"), "key", "score", F.col("rank").cast("int").alias("rank")))
+        return out
+
+    def lists(self, queries: DataFrame, request: Request, limit: int, asked: list | None = None) -> dict[str, Callable[[dict[str, DataFrame]], DataFrame | None]]:
         """How each strategy makes its list (qid, key, score, rank) from those made before."""
         filtered = any((request.projects, request.source_kinds, request.excluded_files, request.categories, request.authors, request.modified_after is not None))
         scope = self.scope(request).select("key")
-        inside = (lambda f: f.join(scope, "key", "left_semi")) if filtered else (lambda f: f)
+        # Kinds and projects are columns of written tables; other conditions are those of records.
+        other = any((request.excluded_files, request.categories, request.authors, request.modified_after is not None))
+
+        def inside(f: DataFrame) -> DataFrame:
+            if not filtered:
+                return f
+            own = self._folders(f, request)
+            return own if not other and set(SHARED) <= set(f.columns) else own.join(scope, "key", "left_semi")
+
 
         def vector(_):
             # Queries have negative keys here: no query is a record.
@@ -181,6 +369,8 @@ class Index:
             terms = self._terms(queries, request)
             if filtered:
                 return S.bm25_top(inside(self.counts), "key", terms, "qid", limit)
+            if self.postings is not None and asked is not None:
+                return self._from_blocks(terms, limit)
             return S.bm25_top(self.counts, "key", terms, "qid", limit, self.frequencies, self.stats)
 
         def seeds(made):
@@ -204,7 +394,7 @@ class Index:
 
         return {"vector": vector} if request.semantic_only else {"vector": vector, "keyword": keyword, "graph": graph, "expansion": expansion}
 
-    def hits(self, queries: DataFrame, request: Request, failures: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    def hits(self, queries: DataFrame, request: Request, failures: list[str] | None = None, limit: int | None = None, asked: list | None = None) -> DataFrame:
         """qid, key, strategy, score and rank of the candidates of each list. queries: qid long and query.
 
         With a list of failures, each strategy is run by itself: one that fails is named there, and the others answer."""
@@ -311,6 +501,79 @@ class Index:
         return commits.join(own, "chunk_id").select(*commits.columns, "title", "author", "timestamp", "files_changed", message.alias("message"), diff.alias("diff")).orderBy(F.desc("score"), "commit_id")
 
 
+def _ids(parts) -> list[str]:
+    return [p.path for p in parts]
+
+
+#: What an empty index has of records.
+RECORD = "key long, doc_id string, title string, body string, file_path string, header_path string, project string, source_kind string"
+
+
+def _shared(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """Rows with their records' kind and project, and the folders of these."""
+    if {"_kind", "_project", *SHARED} <= set(rows.columns):
+        return rows
+    return dealt(rows.join(records.select("key", *SHARED), "key"))
+
+
+def counted(records: DataFrame) -> DataFrame:
+    return _shared(S.term_counts(records, "key", {"content": "body"}), records)
+
+
+def embedded(records: DataFrame, provider: Provider) -> DataFrame:
+    return _shared(provider.embed(records, "key", "body"), records)
+
+
+def sorted_by_key(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly to tasks by folder, large folders to several, and sorted, so that a key is found by its pages."""
+    return rows.hint("rebalance", "_kind", "_project").sortWithinPartitions("_kind", "_project", "key")
+
+
+def _segment(store: Store, path: str, records: DataFrame, counts: DataFrame | None, embeddings: DataFrame | None, edges: DataFrame | None = None, files: DataFrame | None = None, sums: DataFrame | None = None) -> Part:
+    """A segment's tables, written; its sums are those of its counts."""
+    records = records.withColumn("doc_id", F.col("doc_id").cast("string")) if not {"_kind", "_project"} <= set(records.columns) else records
+    records = records if {"_kind", "_project"} <= set(records.columns) else dealt(records)
+    by = ("_kind", "_project")
+    tables = {"records": store.write(sorted_by_key(records), path, "records", by)}
+    records = store.read(Part(path, 0, tables=tables), "records")
+    tables["counts"] = store.write(sorted_by_key(_shared(counts, records) if counts is not None else counted(records)), path, "counts", by)
+    counts = store.read(Part(path, 0, tables=tables), "counts")
+    rows, length = counts.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0.0))).first()
+    work = {
+        "frequencies": lambda: store.write(sums if sums is not None else S.frequencies(counts), path, "frequencies", **SMALL_GROUPS),
+        "postings": lambda: store.write(blocked(counts, "key", length / rows if rows else 1.0), path, "postings", **SMALL_GROUPS),
+    }
+    if embeddings is not None:
+        work["embeddings"] = lambda: store.write(sorted_by_key(_shared(embeddings, records)), path, "embeddings", by)
+    if edges is not None:
+        work["edges"] = lambda: store.write(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst", "_commit")]), path, "edges")
+    if files is not None:
+        work["files"] = lambda: store.write(files.withColumn("doc_id", F.col("doc_id").cast("string")), path, "files")
+    with ThreadPoolExecutor(len(work)) as pool:
+        for name, schema in zip(work, pool.map(lambda f: f(), work.values()), strict=True):
+            tables[name] = schema
+    return Part(path, 0, rows, length, tables)
+
+
+def _deletion(store: Store, m: Manifest, docs: DataFrame, commit: int) -> Part | None:
+    """What a commit takes away: keys of the documents that a manifest holds, and their share of frequencies and sums."""
+    held = store.live(m, [(p, store.read(p, "records").select("key", "doc_id")) for p in m.segments])
+    told = store.live(m, [(p, f.select("doc_id")) for p in m.segments if (f := store.read(p, "files")) is not None], "docs", "doc_id")
+    path = f"deletions/{uuid.uuid4().hex}"
+    none = docs.sparkSession.createDataFrame([], "key long, doc_id string")
+    tables = {"keys": store.write((held if held is not None else none).join(docs, "doc_id", "left_semi").select("key"), path, "keys")}
+    keys = store.read(Part(path, commit, tables=tables), "keys")
+    gone = docs.join(told, "doc_id", "left_semi") if told is not None else docs.limit(0)
+    tables["docs"] = store.write(gone.distinct(), path, "docs")
+    if keys.isEmpty() and store.read(Part(path, commit, tables=tables), "docs").isEmpty():
+        return None
+    counts = store.live(m, [(p, store.read(p, "counts")) for p in m.segments])
+    lost = counts.join(keys, "key", "left_semi")
+    tables["frequencies"] = store.write(S.frequencies(lost), path, "frequencies", **SMALL_GROUPS)
+    rows, length = lost.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0.0))).first()
+    return Part(path, commit, rows, length, tables)
+
+
 def content(query, body):
     """What an answer shows of a body: the first characters alone of one to a factual query."""
     short = F.when(F.length(body) > FACTUAL, F.concat(F.left(body, F.lit(FACTUAL)), F.lit("..."))).otherwise(body)
