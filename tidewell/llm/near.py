@@ -66,10 +66,8 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     n, sets = samples.shape
     place = np.arange(n, dtype=np.uint64)[:, None] << np.uint64(32)
     bit = (mixed(samples.astype(np.uint64) | place) >> np.uint64(64 - int(math.log2(SKETCH_BITS)))).astype(np.int64)
-    flips = np.zeros((sets, SKETCH_BITS), np.uint8)
-    for row in bit:
-        flips[np.arange(sets), row] ^= 1
-    return np.packbits(flips, axis=1).view(np.int64)
+    word, mask = bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64)
+    return np.stack([np.bitwise_xor.reduce(np.where(word == w, mask, np.uint64(0)), axis=0) for w in range(SKETCH_BITS // 64)], axis=1).view(np.int64) if sets else np.zeros((0, SKETCH_BITS // 64), np.int64)
 
 
 def most_bits(similarity: float, samples: int) -> int:
