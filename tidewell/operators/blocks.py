@@ -29,8 +29,8 @@ def part(tf: Column, length: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows that are sorted by term and part."""
+def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of up to `most` rows that are sorted by term and part."""
     rest: pa.Table | None = None
 
     def blocks(t: pa.Table, all_: bool) -> tuple[pa.RecordBatch, pa.Table]:
@@ -39,7 +39,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
         size = np.diff(np.append(new, len(code)))
         place = np.arange(len(code)) - np.repeat(new, size)
-        start = np.flatnonzero(place % BLOCK == 0)
+        start = np.flatnonzero(place % most == 0)
         # The last block may go on in the next batch.
         keep = len(start) if all_ else len(start) - 1
         end = np.append(start[1:], len(code))[:keep]
@@ -71,7 +71,8 @@ def blocked(counts: DataFrame, key: str, mean: float) -> DataFrame:
     length, by falling part; ranges are drawn over both, so a term of many rows lies in several tasks."""
     rows = counts.select(F.col(key).alias("key"), "length", F.inline(F.arrays_zip("terms", "tfs"))).select("key", F.col("length").cast("double").alias("length"), F.col("terms").alias("term"), F.col("tfs").cast("double").alias("tf"))
     rows = rows.withColumn("_part", -part(F.col("tf"), F.col("length"), mean))
-    return rows.repartitionByRange("term", "_part").sortWithinPartitions("term", "_part", "key").select("term", "key", "tf", "length").mapInArrow(_cut, SCHEMA)
+    most = BLOCK
+    return rows.repartitionByRange("term", "_part").sortWithinPartitions("term", "_part", "key").select("term", "key", "tf", "length").mapInArrow(lambda b: _cut(b, most), SCHEMA)
 
 
 def _each(blocks: DataFrame, idf: dict[str, float], mean: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.markdown import read_sections
 from ..functions.text import CHARS_A_TOKEN, estimated_tokens
 
 #: Characters of a chunk, of the overlap of forced splits, and of a parent.
@@ -90,17 +91,15 @@ def line_chunks(text: Column, tokens: int = TOKENS, overlap: int = TOKEN_OVERLAP
 
 
 def header_sections(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, section, level, title, header_path and content of the parts between Markdown headings; 0 and no title before the first."""
-    marked = F.regexp_replace(F.concat(F.lit("\n"), F.col(text)), r"\n(?=#{1,6}[ \t]+\S)", "\n\u0000")
-    parts = rows.select(key, F.posexplode(F.split(marked, "\u0000")).alias("section", "part"))
-    head = F.regexp_extract("part", r"^(#{1,6})[ \t]+([^\n]*)", 1)
-    parts = parts.withColumn("level", F.length(head)).withColumn("title", F.when(F.length(head) > 0, F.regexp_extract("part", r"^#{1,6}[ \t]+([^\n]*?)[ \t#]*(?:\n|$)", 1)))
-    parts = parts.withColumn("content", F.regexp_replace(F.regexp_replace("part", r"^#{1,6}[ \t]+[^\n]*\n?", ""), r"^\s+|\s+$", ""))
+    """key, section, level, title, header_path and content of the parts between Markdown headings; 0 and no title before the first.
+
+    Headings are those of the block structure: none is found in code, HTML, quotes or lists, and underlined ones count."""
+    parts = read_sections(rows, key, text).select(key, F.posexplode("sections").alias("section", "part")).select(key, "section", "part.*")
     # For each level the last heading at or above it that no higher heading has ended.
     w = Window.partitionBy(key).orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
     at = lambda level: F.max(F.when((F.col("level") > 0) & (F.col("level") <= level), F.struct("section", "level", "title"))).over(w)
     path = F.array(*[F.when(at(i)["level"] == i, at(i)["title"]) for i in range(1, 7)])
-    out = parts.withColumn("header_path", F.array_join(F.array_compact(path), " > ")).drop("part")
+    out = parts.withColumn("header_path", F.array_join(F.array_compact(path), " > "))
     return out.where((F.col("section") > 0) | (F.col("content") != ""))
 
 

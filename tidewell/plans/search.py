@@ -146,24 +146,25 @@ class Index:
         first = not store.numbers() and not store._fs.exists(store._path("records"))
         part = _segment(store, "." if first else f"segments/{uuid.uuid4().hex}", self.records, self.counts, self.embeddings, self.edges)
         store.commit(lambda m: Manifest(segments=(replace(part, commit=m.number + 1),)))
-        return Index.open(spark, folder, provider=self.provider)
+        return Index.open(spark, folder, provider=self.provider, probed=False)
 
     @classmethod
     def create(cls, spark: SparkSession, folder: str, provider: Provider | None = None) -> Index:
         """The index in a folder, an empty one if there is none."""
         store = Store(spark, folder)
         store.commit(lambda m: None if m.number else Manifest())
-        return cls.open(spark, folder, provider=provider)
+        return cls.open(spark, folder, provider=provider, probed=False)
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str, records: DataFrame | None = None, provider: Provider | None = None, number: int | None = None) -> Index:
+    def open(cls, spark: SparkSession, folder: str, records: DataFrame | None = None, provider: Provider | None = None, number: int | None = None, probed: bool = True) -> Index:
         """The index in a folder, at its last manifest or that of a number. A table that is missing or cannot be read is made
-        again from records, the given ones where the folder's are lost too; without those the error stands."""
+        again from records, the given ones where the folder's are lost too; without those the error stands. Tables are looked
+        into for that, unless not `probed`."""
         provider = provider or Hashed()
 
         def sound(part: Part, name: str) -> DataFrame | None:
             try:
-                if (frame := store.read(part, name)) is not None:
+                if (frame := store.read(part, name)) is not None and probed:
                     frame.limit(1).collect()
             except (PySparkException, Py4JError):  # footers that cannot be read come as the latter
                 return None
@@ -220,7 +221,7 @@ class Index:
         return self.store.numbers()[-1] == self.manifest.number
 
     def refreshed(self) -> Index:
-        return self if self.fresh() else Index.open(self.store.spark, self.store.folder, provider=self.provider)
+        return self if self.fresh() else Index.open(self.store.spark, self.store.folder, provider=self.provider, probed=False)
 
     def change(self, records: DataFrame | None = None, removed: DataFrame | None = None, edges: DataFrame | None = None, files: DataFrame | None = None, stream: tuple[str, int] | None = None, vectors: bool = True) -> Index:
         """The index after a commit: documents of `records` take the place of what had their doc_id, those of `removed`
@@ -248,7 +249,7 @@ class Index:
             segments = m.segments + ((replace(part, commit=number),) if part is not None else ())
             return Manifest(m.number, segments, m.deletions + ((gone,) if gone is not None else ()), m.streams | (dict([stream]) if stream is not None else {}))
 
-        return Index.open(spark, store.folder, provider=self.provider, number=store.commit(next_).number)
+        return Index.open(spark, store.folder, provider=self.provider, number=store.commit(next_).number, probed=False)
 
     def embed_missing(self) -> Index:
         """The index with the vectors of segments that were written without."""
@@ -274,8 +275,7 @@ class Index:
         some = store.crowded(m)
         if not some:
             return self
-        view = Index.open(store.spark, store.folder, provider=self.provider, number=m.number)
-        if any(view.store.read(p, name) is None for p in some for name in ("records", "counts", "frequencies", "postings", "embeddings")):
+        if any(store.read(p, name) is None for p in some for name in ("records", "counts", "frequencies", "postings", "embeddings")):
             return self.embed_missing() if any("embeddings" not in p.tables for p in some) else self
         live = lambda name, table="keys", key="key": store.live(m, [(p, f) for p in some if (f := store.read(p, name)) is not None], table, key)
         edges = store.live(m, [(p, f.withColumn("key", F.col("src"))) for p in some if (f := store.read(p, "edges")) is not None])
@@ -295,7 +295,7 @@ class Index:
             kept = tuple(d for d in now.deletions if d not in folded)
             return Manifest(now.number, (*held, part), kept, now.streams)
 
-        return Index.open(store.spark, store.folder, provider=self.provider, number=store.commit(next_).number)
+        return Index.open(store.spark, store.folder, provider=self.provider, number=store.commit(next_).number, probed=False)
 
     @functools.cached_property
     def stats(self) -> tuple[int, float]:

@@ -128,3 +128,18 @@ def delta_truncation(spark, folder):
 when regexp_matches(lower(text), 'section|chapter|guide|tutorial|documentation|docs') or regexp_matches(text, '\\[\\[[^\\]]+\\]\\]') then 'navigational' else 'exploratory' end as query_type from conversations""")
 def query_classifier(spark, folder):
     return table(spark, folder, "conversations").select("conv_id", "turn", T.query_type(F.col("text")).alias("query_type"))
+
+
+@query("""select doc_id, s.section, s.level, s.title, s.path as header_path, md5(s.content) as digest from (select doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[`~]', '', 'g'), '^\\s+|\\s+$', '', 'g') as t from documents), unnest([
+{'section': 1, 'level': 1, 'title': 'Doc ' || doc_id, 'path': 'Doc ' || doc_id, 'content': '```bash' || chr(10) || '# install it' || chr(10) || t || chr(10) || '```'},
+{'section': 2, 'level': 2, 'title': 'Use', 'path': 'Doc ' || doc_id || ' > Use', 'content': '> # quoted' || chr(10) || chr(10) || '~~~~' || chr(10) || '~~~' || chr(10) || '## no' || chr(10) || '~~~~'},
+{'section': 3, 'level': 1, 'title': 'End', 'path': 'End', 'content': 'x'}]) u(s)""")
+def markdown_sections(spark, folder):
+    """Sections of documents whose texts stand in fences with comments that look like headings."""
+    from ..operators import chunk as C
+
+    text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[`~]", ""), r"^\s+|\s+$", "")
+    number = F.col("doc_id").cast("string")
+    page = F.concat(F.lit("Doc "), number, F.lit("\n=====\n```bash\n# install it\n"), text, F.lit("\n```\n\n  ## Use ##\n> # quoted\n\n~~~~\n~~~\n## no\n~~~~\nEnd\n=\nx\n"))
+    rows = table(spark, folder, "documents").select("doc_id", page.alias("page"))
+    return C.header_sections(rows, "doc_id", "page").select("doc_id", "section", "level", "title", "header_path", F.md5("content").alias("digest"))

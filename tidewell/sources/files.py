@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import markdown as M
 from ..functions import text as T
 
 #: Suffixes by the parser that reads them.
@@ -43,8 +44,11 @@ def accepted(path: Column, include: list[str], exclude: list[str], hidden: bool
 def discover(spark: SparkSession, roots: list[str], include: list[str] | None = None, exclude: list[str] | None = None, hidden: bool = False) -> DataFrame:
     """path, root, file_path, modified_time, size and content of the files under the roots, each once.
 
-    Content is read only if it is asked for. A file under several roots belongs to the deepest."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).dropDuplicates(["path"])
+    Content is read only if it is asked for. A file under several roots belongs to the deepest: only roots that lie in no
+    other are listed, so no file is met twice and nothing is shuffled."""
+    bare_roots = sorted({r.rstrip("/") for r in roots})
+    outer = [r for r in bare_roots if not any(r != o and r.startswith(o + "/") for o in bare_roots)]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(outer)
     bare = F.regexp_replace("path", "^file:/+", "/")
     root = F.lit(None).cast("string")
     for r in sorted((r.rstrip("/") for r in roots), key=len):
@@ -139,16 +143,17 @@ def parse(files: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]]
 def _parsed(files: DataFrame) -> DataFrame:
     rows = files.withColumn("parser", parser_of(F.col("path"))).where("parser is not null").withColumn("raw", T.decoded(F.col("content")))
     md = F.col("parser") == "markdown"
-    matter = F.when(md, T.front_matter(F.col("raw"))).otherwise("")
-    content = F.when(md, T.body(F.col("raw"))).otherwise(F.col("raw"))
-    rows = rows.withColumn("matter", matter).withColumn("body", content).withColumn("plain", F.when(md, T.without_code(F.col("body"))))
+    rows = rows.withColumn("raw_matter", F.when(md, T.front_matter(F.col("raw"))).otherwise("")).withColumn("body", F.when(md, T.body(F.col("raw"))).otherwise(F.col("raw"))).withColumn("latin", ~F.is_valid_utf8(F.col("content").cast("string")))
+    # Blocks and front matter of Markdown; a plain text has none.
+    held = ["path", "file_path", "root", "modified_time", "parser", "body", "latin"]
+    rows = M.read_matter(rows.withColumn("_read", F.when(md, F.col("body"))), [*held, "_read"], "raw_matter")
+    rows = M.read_blocks(rows, [*held, "matter"], "_read").withColumn("plain", F.when(md, M.prose(F.col("blocks"))))
     none = F.array().cast("array<string>")
-    fields = F.map_filter(F.create_map(*[x for f in FIELDS for x in (F.lit(f), T.front_value(F.col("matter"), f))]), lambda _, v: v.isNotNull())
-    links = F.when(md, F.array_union(T.wikilinks(F.col("plain")), T.front_list(F.col("matter"), "related"))).otherwise(none)
-    tags = F.when(md, F.array_sort(F.array_distinct(F.concat(T.front_list(F.col("matter"), "tags"), T.inline_tags(F.col("plain")))))).otherwise(none)
-    latin = ~F.is_valid_utf8(F.col("content").cast("string"))
-    metadata = F.map_concat(fields, F.map_filter(F.create_map(F.lit("encoding"), F.when(latin, "latin-1")), lambda _, v: v.isNotNull()))
+    fields = F.map_filter("matter.fields", lambda k, v: k.isin(*FIELDS) & (v != ""))
+    links = F.when(md, F.array_distinct(F.concat(T.wikilinks(F.col("plain")), M.referred(F.col("blocks"), F.col("plain")), F.col("matter.related")))).otherwise(none)
+    tags = F.when(md, F.array_sort(F.array_distinct(F.concat(F.col("matter.tags"), T.inline_tags(F.col("plain")))))).otherwise(none)
+    metadata = F.map_concat(fields, F.map_filter(F.create_map(F.lit("encoding"), F.when(F.col("latin"), "latin-1")), lambda _, v: v.isNotNull()))
     return rows.select(
         T.without_suffix(F.col("file_path")).alias("doc_id"), F.col("body").alias("content"), metadata.alias("metadata"), links.alias("links"), tags.alias("tags"),
-        F.when(md, T.transclusions(F.col("plain"))).otherwise(none).alias("transclusions"), T.front_list(F.col("matter"), "aliases").alias("aliases"), T.front_list(F.col("matter"), "keywords").alias("keywords"), "file_path", "root", "modified_time",
+        F.when(md, T.transclusions(F.col("plain"))).otherwise(none).alias("transclusions"), F.col("matter.aliases").alias("aliases"), F.col("matter.keywords").alias("keywords"), "file_path", "root", "modified_time",
     )
