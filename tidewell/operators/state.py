@@ -204,17 +204,22 @@ def deepest_root(files: DataFrame, roots: DataFrame, path: str) -> DataFrame:
     return files.join(found, path, "left")
 
 
+def tried_paths(source: Column, target: Column) -> Column:
+    """Paths that a link from the document at `source` may lead to, the likeliest first: from the root, from the source's
+    folder, and as it stands. Null of addresses with a scheme and of anchors, which are no files."""
+    bare = F.regexp_replace(F.url_decode(F.replace(F.substring_index(target, "#", 1), F.lit("+"), F.lit("%2B"))), "^/+", "")
+    named = F.when(F.endswith(bare, F.lit(".md")), bare).otherwise(F.concat(bare, F.lit(".md")))
+    tried = F.array(named, F.concat(F.regexp_extract(source, r"^(.*/)?[^/]*$", 1), named), bare)
+    return F.when(~target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^//|^#"), tried)
+
+
 def resolved_links(links: DataFrame, files: DataFrame) -> DataFrame:
     """source, target and path of links that lead to a known file: under the source's folder, or from the root.
 
     links: source, target; files: path. Addresses with a scheme and anchors are no files; targets without .md get it."""
     local = links.where(~F.col("target").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^//|^#"))
-    bare = F.regexp_replace(F.url_decode(F.replace(F.substring_index("target", "#", 1), F.lit("+"), F.lit("%2B"))), "^/+", "")
-    named = F.when(F.endswith(bare, F.lit(".md")), bare).otherwise(F.concat(bare, F.lit(".md")))
-    folder = F.regexp_extract("source", r"^(.*/)?[^/]*$", 1)
-    tried = F.array(named, F.concat(folder, named), bare)
     w = Window.partitionBy("source", "target").orderBy("priority")
-    found = local.select("source", "target", F.posexplode(tried).alias("priority", "path")).join(files.select("path").distinct(), "path")
+    found = local.select("source", "target", F.posexplode(tried_paths(F.col("source"), F.col("target"))).alias("priority", "path")).join(files.select("path").distinct(), "path")
     return found.withColumn("r", F.row_number().over(w)).where("r = 1").select("source", "target", "path")
 
 

@@ -108,6 +108,8 @@ class Request:
 
 #: Tables of a segment; folders that records, counts and vectors are dealt to by source kind and by project; columns that these share.
 TABLES, FOLDERS, SHARED = ("records", "counts", "embeddings", "edges", "frequencies", "postings"), 16, ("source_kind", "project")
+#: Tables that go by documents, not by keys.
+OF_DOCUMENTS = ("files", "links")
 #: Queries that are answered from blocks of postings, one by one, and not by a pass over all counts.
 FEW_QUERIES = 4
 
@@ -137,6 +139,7 @@ class Index:
         self.store: Store | None = None
         self.manifest: Manifest | None = None
         self.postings: DataFrame | None = None
+        self.files: DataFrame | None = None
 
     def write(self, folder: str) -> Index:
         """The index as the only segment of a store, in place of what the folder held: no text is tokenised or encoded
@@ -176,9 +179,9 @@ class Index:
             if records is None:
                 raise FileNotFoundError(f"no index in {folder}")
             return cls(records, provider=provider)
-        frames: dict[str, list[tuple[Part, DataFrame]]] = {name: [] for name in (*TABLES, "files")}
+        frames: dict[str, list[tuple[Part, DataFrame]]] = {name: [] for name in (*TABLES, *OF_DOCUMENTS)}
         for part in manifest.segments:
-            held = {name: sound(part, name) for name in (*TABLES, "files")}
+            held = {name: sound(part, name) for name in (*TABLES, *OF_DOCUMENTS)}
             if held["records"] is None:
                 if records is None:
                     raise FileNotFoundError(f"no records in {folder}")
@@ -199,11 +202,15 @@ class Index:
         )
         out.store, out.manifest = store, manifest
         out.files = store.live(manifest, frames["files"], "docs", "doc_id")
+        links = store.live(manifest, frames["links"], "docs", "doc_id")
         edges = store.live(manifest, [(p, f.withColumn("key", F.col("src"))) for p, f in frames["edges"]])
         if edges is not None:
             edges = edges.drop("key")
             # An edge into what was replaced holds, into what is gone it does not.
             out.edges = edges if not manifest.deletions else edges.join(out.records.select(F.col("key").alias("dst")), "dst", "left_semi")
+        if links is not None:
+            linked = document_edges(links, out.records)
+            out.edges = linked if out.edges is None else out.edges.select("src", "dst").unionByName(linked.select("src", "dst"))
         if len(frames["frequencies"]) == len(manifest.segments):
             sums = [f for _, f in frames["frequencies"]] + [store.read(p, "frequencies").withColumn("df", -F.col("df")) for p in manifest.deletions]
             if sums:
@@ -223,11 +230,12 @@ class Index:
     def refreshed(self) -> Index:
         return self if self.fresh() else Index.open(self.store.spark, self.store.folder, provider=self.provider, probed=False)
 
-    def change(self, records: DataFrame | None = None, removed: DataFrame | None = None, edges: DataFrame | None = None, files: DataFrame | None = None, stream: tuple[str, int] | None = None, vectors: bool = True) -> Index:
+    def change(self, records: DataFrame | None = None, removed: DataFrame | None = None, edges: DataFrame | None = None, files: DataFrame | None = None, links: DataFrame | None = None, stream: tuple[str, int] | None = None, vectors: bool = True) -> Index:
         """The index after a commit: documents of `records` take the place of what had their doc_id, those of `removed`
         (doc_id) go; the rest is not touched. Keys are unique, but a document may keep its own.
 
-        edges: src and dst of the new records; files: doc_id and what is to be known of the documents' files. A batch
+        edges: src and dst of the new records; files: doc_id and what is to be known of the documents' files; links: doc_id,
+        target, priority, target_doc and edge_type, of which the first target that is in the index holds. A batch
         of a stream (its name and number) that is in already changes nothing. Without `vectors` the records are found by
         words first; `embed_missing` makes the vectors. Two writers never lose each other's changes: the later one looks
         again at what its documents replace."""
@@ -239,7 +247,7 @@ class Index:
             return self
         docs = staged(functools.reduce(DataFrame.unionByName, names).distinct(), "changed-docs")
         if records is not None:
-            part = _segment(store, f"segments/{uuid.uuid4().hex}", records, None, embedded(records, self.provider) if vectors else None, edges, files)
+            part = _segment(store, f"segments/{uuid.uuid4().hex}", records, None, embedded(records, self.provider) if vectors else None, edges, files, links)
 
         def next_(m: Manifest) -> Manifest | None:
             if stream is not None and m.streams.get(stream[0], -1) >= stream[1]:
@@ -284,7 +292,7 @@ class Index:
         folded = tuple(d for d in m.deletions if all(p.commit >= d.commit for p in left) and last >= d.commit)
         sums = [store.read(p, "frequencies") for p in some] + [store.read(d, "frequencies").withColumn("df", -F.col("df")) for d in folded]
         sums = functools.reduce(DataFrame.unionByName, sums).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").sort("term")
-        part = _segment(store, f"segments/{uuid.uuid4().hex}", live("records"), live("counts"), live("embeddings"), edges.drop("key") if edges is not None else None, live("files", "docs", "doc_id"), sums)
+        part = _segment(store, f"segments/{uuid.uuid4().hex}", live("records"), live("counts"), live("embeddings"), edges.drop("key") if edges is not None else None, live("files", "docs", "doc_id"), live("links", "docs", "doc_id"), sums)
         part = replace(part, commit=last, rows=sum(p.rows for p in some) - sum(d.rows for d in folded), length=sum(p.length for p in some) - sum(d.length for d in folded))
 
         def next_(now: Manifest) -> Manifest | None:
@@ -501,6 +509,14 @@ class Index:
         return commits.join(own, "chunk_id").select(*commits.columns, "title", "author", "timestamp", "files_changed", message.alias("message"), diff.alias("diff")).orderBy(F.desc("score"), "commit_id")
 
 
+def document_edges(links: DataFrame, records: DataFrame) -> DataFrame:
+    """src, dst and edge_type: every record of a linking document to every record of the one that its link leads to."""
+    docs = records.select(F.col("doc_id").alias("target_doc")).distinct()
+    first = links.join(docs, "target_doc").groupBy("doc_id", "target").agg(F.min_by(F.struct("target_doc", "edge_type"), "priority").alias("to")).select("doc_id", "to.*").where("doc_id <> target_doc").distinct()
+    a, b = records.select(F.col("key").alias("src"), "doc_id"), records.select(F.col("key").alias("dst"), F.col("doc_id").alias("target_doc"))
+    return first.join(a, "doc_id").join(b, "target_doc").select("src", "dst", "edge_type")
+
+
 def _ids(parts) -> list[str]:
     return [p.path for p in parts]
 
@@ -529,7 +545,7 @@ def sorted_by_key(rows: DataFrame) -> DataFrame:
     return rows.hint("rebalance", "_kind", "_project").sortWithinPartitions("_kind", "_project", "key")
 
 
-def _segment(store: Store, path: str, records: DataFrame, counts: DataFrame | None, embeddings: DataFrame | None, edges: DataFrame | None = None, files: DataFrame | None = None, sums: DataFrame | None = None) -> Part:
+def _segment(store: Store, path: str, records: DataFrame, counts: DataFrame | None, embeddings: DataFrame | None, edges: DataFrame | None = None, files: DataFrame | None = None, links: DataFrame | None = None, sums: DataFrame | None = None) -> Part:
     """A segment's tables, written; its sums are those of its counts."""
     records = records.withColumn("doc_id", F.col("doc_id").cast("string")) if not {"_kind", "_project"} <= set(records.columns) else records
     records = records if {"_kind", "_project"} <= set(records.columns) else dealt(records)
@@ -547,8 +563,9 @@ def _segment(store: Store, path: str, records: DataFrame, counts: DataFrame | No
         work["embeddings"] = lambda: store.write(sorted_by_key(_shared(embeddings, records)), path, "embeddings", by)
     if edges is not None:
         work["edges"] = lambda: store.write(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst", "_commit")]), path, "edges")
-    if files is not None:
-        work["files"] = lambda: store.write(files.withColumn("doc_id", F.col("doc_id").cast("string")), path, "files")
+    for name, frame in zip(OF_DOCUMENTS, (files, links), strict=True):
+        if frame is not None:
+            work[name] = lambda name=name, frame=frame: store.write(frame.withColumn("doc_id", F.col("doc_id").cast("string")), path, name)
     with ThreadPoolExecutor(len(work)) as pool:
         for name, schema in zip(work, pool.map(lambda f: f(), work.values()), strict=True):
             tables[name] = schema
@@ -558,7 +575,7 @@ def _segment(store: Store, path: str, records: DataFrame, counts: DataFrame | No
 def _deletion(store: Store, m: Manifest, docs: DataFrame, commit: int) -> Part | None:
     """What a commit takes away: keys of the documents that a manifest holds, and their share of frequencies and sums."""
     held = store.live(m, [(p, store.read(p, "records").select("key", "doc_id")) for p in m.segments])
-    told = store.live(m, [(p, f.select("doc_id")) for p in m.segments if (f := store.read(p, "files")) is not None], "docs", "doc_id")
+    told = store.live(m, [(p, f.select("doc_id")) for p in m.segments for name in OF_DOCUMENTS if (f := store.read(p, name)) is not None], "docs", "doc_id")
     path = f"deletions/{uuid.uuid4().hex}"
     none = docs.sparkSession.createDataFrame([], "key long, doc_id string")
     tables = {"keys": store.write((held if held is not None else none).join(docs, "doc_id", "left_semi").select("key"), path, "keys")}

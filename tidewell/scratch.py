@@ -34,6 +34,16 @@ def staged(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def released(frame: DataFrame) -> None:
+    """Removes the files of a staged table that nothing reads any more; those of other tables stay."""
+    spark = frame.sparkSession
+    for at in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        home = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark)).toUri().getPath()
+        if path.toUri().getPath().startswith(f"{home}/"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sent(small: DataFrame, rows: int, width: int = 16) -> DataFrame:
     """Sent to all tasks if its counted rows, of about `width` bytes each, are few."""
     return F.broadcast(small) if rows <= MOST_SENT and rows * width <= SENT_BYTES else small

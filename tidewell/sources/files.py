@@ -45,17 +45,21 @@ def discover(spark: SparkSession, roots: list[str], include: list[str] | None =
     """path, root, file_path, modified_time, size and content of the files under the roots, each once.
 
     Content is read only if it is asked for. A file under several roots belongs to the deepest: only roots that lie in no
-    other are listed, so no file is met twice and nothing is shuffled."""
+    other are listed, so no file is met twice and nothing is shuffled. Files without a byte are not told."""
     bare_roots = sorted({r.rstrip("/") for r in roots})
     outer = [r for r in bare_roots if not any(r != o and r.startswith(o + "/") for o in bare_roots)]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(outer)
+    files = with_roots(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(outer), roots)
+    return files.where(accepted(F.col("file_path"), include or [], exclude or [], hidden))
+
+
+def with_roots(files: DataFrame, roots: list[str]) -> DataFrame:
+    """path, root, file_path, modified_time, size and content of Spark's binary files; the deepest root has a file."""
     bare = F.regexp_replace("path", "^file:/+", "/")
     root = F.lit(None).cast("string")
     for r in sorted((r.rstrip("/") for r in roots), key=len):
         root = F.when(F.startswith(bare, F.lit(r + "/")), F.lit(r)).otherwise(root)
     files = files.select(bare.alias("path"), root.alias("root"), F.col("modificationTime").alias("modified_time"), F.col("length").alias("size"), "content")
-    files = files.withColumn("file_path", F.when(F.col("root").isNotNull(), F.substring("path", F.length("root") + 2, F.length("path"))).otherwise(F.col("path")))
-    return files.where(accepted(F.col("file_path"), include or [], exclude or [], hidden))
+    return files.withColumn("file_path", F.when(F.col("root").isNotNull(), F.substring("path", F.length("root") + 2, F.length("path"))).otherwise(F.col("path")))
 
 
 def parser_of(path: Column) -> Column:
