@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import DIMENSIONS, dense, hash_embedding
+from ..functions.vectors import DIMENSIONS, hashed
 from ..scratch import staged
 
 
@@ -24,12 +24,12 @@ class Provider(Protocol):
 
 
 class Hashed:
-    """The default: hashed tokens, with built-in functions alone."""
+    """The default: hashed tokens, row by row."""
 
     name, dimension = "hashed", DIMENSIONS
 
     def embed(self, rows: DataFrame, key: str, text: str) -> DataFrame:
-        return dense(hash_embedding(rows, key, text), key)
+        return hashed(rows, key, text)
 
 
 class Encoder:

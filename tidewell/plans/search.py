@@ -9,6 +9,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -114,6 +115,11 @@ OF_DOCUMENTS = ("files", "links")
 FEW_QUERIES = 4
 
 
+def local(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The few rows of a frame as a relation that the plan holds itself."""
+    return spark.createDataFrame(rows.toArrow())
+
+
 def folder_of(value: str | None) -> int:
     return zlib.crc32((value or "").encode()) % FOLDERS
 
@@ -370,8 +376,8 @@ class Index:
 
         def vector(_):
             # Queries have negative keys here: no query is a record.
-            asked = self.provider.embed(queries, "qid", "query").select((-F.col("qid") - 1).alias("key"), "embedding")
-            return S.cosine_top(inside(self.embeddings), asked, "key", "embedding", limit).select((-F.col("query_id") - 1).alias("qid"), "key", "score", "rank")
+            vectors = self.provider.embed(queries, "qid", "query").select((-F.col("qid") - 1).alias("key"), "embedding")
+            return S.cosine_top(inside(self.embeddings), vectors, "key", "embedding", limit).select((-F.col("query_id") - 1).alias("qid"), "key", "score", "rank")
 
         def keyword(_):
             terms = self._terms(queries, request)
@@ -408,29 +414,53 @@ class Index:
         With a list of failures, each strategy is run by itself: one that fails is named there, and the others answer."""
         limit = limit or S.candidate_limit(request.top_n, request.top_k, bool(request.projects), request.max_chunks_per_doc, request.source_kinds == ("git_commit",))
         made: dict[str, DataFrame] = {}
-        for name, make in self.lists(queries, request, limit).items():
+        makers = self.lists(queries, request, limit, asked)
+
+        def kept(name: str, found: DataFrame) -> DataFrame:
+            rows = found.select("qid", "key", F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank"))
+            if asked is not None:
+                # Some queries' lists, of up to `limit` rows each, come to the driver and are local from then on.
+                return local(queries.sparkSession, rows)
+            return rows if failures is None and name in ("graph", "expansion") else staged(rows, name)
+
+        def run(name: str) -> DataFrame | None:
             try:
-                found = make(dict(made))
-                if found is not None:
-                    made[name] = found if failures is None and name in ("graph", "expansion") else staged(found.select("qid", "key", "score", "rank"), name)
+                found = makers[name](dict(made))
+                return kept(name, found) if found is not None else None
             except Exception as error:  # a strategy may fail in any way that its provider does
                 if failures is None:
                     raise
                 failures.append(f"{name}: {str(error).splitlines()[0][:200] if str(error) else type(error).__name__}")
+                return None
+
+        # The first two need no other list.
+        alone = [name for name in makers if name in ("vector", "keyword")]
+        if asked is not None and len(alone) > 1:
+            with ThreadPoolExecutor(len(alone)) as pool:
+                made |= {name: found for name, found in zip(alone, pool.map(run, alone), strict=True) if found is not None}
+        for name in makers:
+            if (asked is None or len(alone) < 2 or name not in alone) and (found := run(name)) is not None:
+                made[name] = found
         out = queries.sparkSession.createDataFrame([], "qid long, key long, strategy string, score double, rank int")
         for name, found in made.items():
             out = out.unionByName(found.select("qid", "key", F.lit(name).alias("strategy"), "score", F.col("rank").cast("int").alias("rank")))
         return out
 
-    def results(self, queries: DataFrame, request: Request, hits: DataFrame) -> DataFrame:
+    def results(self, queries: DataFrame, request: Request, hits: DataFrame, asked: list | None = None) -> DataFrame:
         """All results of hits, with their rank: floor or abstention, metadata rank, re-ranking, limit by document."""
+        records, embeddings = self.records, self.embeddings
+        if asked is not None:
+            # Some hundred keys: records are read by their pages, and what is left is one task's work.
+            keys = sorted({r["key"] for r in hits.select("key").collect()})
+            records, embeddings = records.where(F.col("key").isin(keys)), embeddings.where(F.col("key").isin(keys))
         if request.adaptive:
             fused = R.rrf(R.type_weights(hits, queries, "qid", "query"), "qid", "key")
         else:
             fused = R.rrf(hits, "qid", "key", request.weights)
         # Equal sums of reciprocals may differ in their last bits.
         fused = fused.withColumn("score", F.round("score", 12))
-        rows = fused.join(self.records, "key").join(queries.select("qid", "query"), "qid")
+        rows = fused.join(records, "key").join(queries.select("qid", "query"), "qid")
+        rows = rows.repartition(1) if asked is not None else rows
         if request.uplift and request.project_context:
             rows = rows.withColumn("score", R.uplift(F.col("score"), F.col("project"), F.lit(request.project_context)))
         place = F.concat_ws(" ", "title", "header_path", "file_path")
@@ -446,7 +476,7 @@ class Index:
         document = F.coalesce(F.nullif(F.col("doc_id").cast("string"), F.lit("")), F.concat(F.lit("file:"), F.col("file_path")), F.col("key").cast("string"))
         rows = R.first_of(rows.withColumn("_document", document), ["qid", "_document"], order, request.max_chunks_per_doc).drop("_document")
         if request.similarity_threshold is not None:
-            kept = R.semantic_dedup(rows.join(self.embeddings, "key", "left"), "qid", "key", "embedding", request.similarity_threshold).select("qid", "key")
+            kept = R.semantic_dedup(rows.join(embeddings, "key", "left"), "qid", "key", "embedding", request.similarity_threshold).select("qid", "key")
             rows = rows.join(kept, ["qid", "key"], "left_semi")
         if request.calibrate:
             rows = rows.withColumn("confidence", R.calibrated(F.col("score")))
@@ -457,14 +487,27 @@ class Index:
         request = request or Request()
         return self.results(queries, request, self.hits(queries, request, failures)).where(F.col("rank") <= request.top_n)
 
-    def _one(self, query: str) -> DataFrame:
+    def search_few(self, queries: list[str], request: Request | None = None, failures: list[str] | None = None) -> DataFrame:
+        """As `search`, of up to FEW_QUERIES queries, numbered from 0, that the driver holds: their lists are made side by
+        side and come to the driver, keywords are looked up in the blocks of their terms, and nothing is written."""
+        request, spark = request or Request(), self.records.sparkSession
+        asked = list(enumerate(queries))
+        if len(asked) > FEW_QUERIES:
+            return self.search(spark.createDataFrame(asked, "qid long, query string"), request, failures)
+        frame = spark.createDataFrame(pa.table({"qid": pa.array([i for i, _ in asked], pa.int64()), "query": pa.array([q for _, q in asked], pa.string())}))
+        return self.results(frame, request, self.hits(frame, request, failures, asked=asked), asked).where(F.col("rank") <= request.top_n)
+
+    def _said(self, query: str) -> str:
         if not query.strip():
             raise ValueError("the query is empty")
-        return self.records.sparkSession.createDataFrame([(0, query.strip())], "qid long, query string")
+        return query.strip()
+
+    def _one(self, query: str) -> DataFrame:
+        return self.records.sparkSession.createDataFrame([(0, self._said(query))], "qid long, query string")
 
     def query_documents(self, query: str, request: Request | None = None) -> DataFrame:
         """Results of one query."""
-        return self.search(self._one(query), request).orderBy("rank")
+        return self.search_few([self._said(query)], request).orderBy("rank")
 
     def answer(self, arguments: dict) -> dict:
         """The response to a call: status, results and whether a strategy failed, or what is wrong with the call."""
@@ -473,7 +516,7 @@ class Index:
         except ValueError as error:
             return {"status": "error", "error": "validation_error", "message": str(error)}
         failures: list[str] = []
-        rows = self.search(self._one(query), request, failures)
+        rows = self.search_few([self._said(query)], request, failures)
         shown = rows.select("rank", F.col("key").alias("chunk_id"), "doc_id", "file_path", "header_path", "score", content(F.col("query"), F.col("body")).alias("content"), F.col("project").alias("project_id")).orderBy("rank").drop("rank")
         return {"status": "ok", "results": [r.asDict() for r in shown.collect()], "degraded": bool(failures), "failures": failures}
 
