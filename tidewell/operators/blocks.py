@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .retrieve import K1, SLACK, B, top
+from .retrieve import K1, SLACK, B
 
 #: Postings of a block; postings of a query's terms that are summed without bounds, as they are few; candidates that are looked up by their keys.
 BLOCK, DIRECT, LOOKED_UP = 128, 200_000, 5_000
@@ -84,7 +84,7 @@ def _each(blocks: DataFrame, idf: dict[str, float], mean: float) -> DataFrame:
 
 
 def block_top(blocks: DataFrame, counts: DataFrame, key: str, terms: list[str], df: dict[str, int], stats: tuple[int, float], k: int, alive: Callable[[DataFrame], DataFrame] = lambda f: f) -> DataFrame:
-    """key, score (9 digits) and rank of the k best rows for one query's distinct terms, as `bm25_top` ranks them.
+    """key and score (9 digits) of the k best rows for one query's distinct terms, in the order that `bm25_top` ranks them in.
 
     df: in how many rows each term is; stats: number and mean length of rows. alive: leaves the rows of a frame with the
     column `key` that are to be found. A query whose terms have up to DIRECT postings sums them all. Beyond, the terms'
@@ -92,11 +92,12 @@ def block_top(blocks: DataFrame, counts: DataFrame, key: str, terms: list[str],
     remains is scored by its row of counts. Up to LOOKED_UP such rows are asked for by key, more by a join."""
     n, mean = stats
     idf = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in terms if df.get(t, 0) > 0}
-    none = counts.sparkSession.createDataFrame([], "key long, score double, rank int")
+    none = counts.sparkSession.createDataFrame([], "key long, score double")
     if not idf or not mean:
         return none
     own = blocks.where(F.col("term").isin(*idf))
-    best = lambda rows: top(rows.groupBy("key").agg(F.round(F.sum("part"), 9).alias("score")).withColumn("_q", F.lit(0)), "_q", "key", k).drop("_q")
+    # k rows of a task, and then k of these: no window over all.
+    best = lambda rows: rows.groupBy("key").agg(F.round(F.sum("part"), 9).alias("score")).orderBy(F.desc("score"), "key").limit(k)
     if sum(df[t] for t in idf) <= DIRECT:
         return best(alive(_each(own, idf, mean)))
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in idf.items() for x in kv]), F.col("term"))

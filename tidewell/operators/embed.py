@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import DIMENSIONS, hashed
+from ..functions.vectors import DIMENSIONS, embedded_tokens, hashed, token_vectors
 from ..scratch import staged
 
 
@@ -32,6 +32,15 @@ class Hashed:
         return hashed(rows, key, text)
 
 
+def vectors_of(provider: Provider, queries: DataFrame, key: str, text: str) -> dict[int, list[float]]:
+    """The vectors of a few queries that the driver holds; the default embedding makes them there."""
+    if isinstance(provider, Hashed):
+        rows = queries.select(key, embedded_tokens(F.col(text)).alias("tokens")).toArrow()
+        made = token_vectors(rows.column("tokens").combine_chunks())[0] if rows.num_rows else []
+        return dict(zip(rows.column(key).to_pylist(), (v.tolist() for v in made), strict=True))
+    return {r[key]: r["embedding"] for r in provider.embed(queries, key, text).collect()}
+
+
 class Encoder:
     """A model in tasks: load() makes, once a task, a function from texts to vectors; texts go to it BATCH at a time."""
 

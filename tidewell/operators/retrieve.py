@@ -252,6 +252,19 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, embedding: str,
     return top(out.withColumn("score", F.round("score", 9)), "query_id", key, k)
 
 
+def cosine_one(vectors: DataFrame, vector: list[float], key: str, embedding: str, k: int) -> DataFrame:
+    """key and score of the k rows nearest to one vector, in the order that `cosine_top` ranks them in."""
+    v = np.asarray(vector, np.float64)
+    names = ["query_id", key, "score"]
+    out = f"query_id long, {key} long, score double"
+    if not v @ v > 0:
+        return vectors.sparkSession.createDataFrame([], out).select(key, "score")
+    # No row has this id, so none is left out.
+    held = vectors.sparkSession.sparkContext.broadcast([(np.array([np.iinfo(np.int64).min]), (v / np.sqrt(v @ v))[None])])
+    found = vectors.select(F.col(key).cast("long").alias(key), embedding).mapInArrow(lambda b: _best(b, held, k, names), out)
+    return found.select(key, F.round("score", 9).alias("score")).orderBy(F.desc("score"), key).limit(k)
+
+
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
     """Nodes within so many hops of the seeds, against or along edges src-dst, and the hops; seeds themselves left out.
 

@@ -15,11 +15,11 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import glob_pattern, lexical_match, metadata_rank, query_type
+from ..functions.text import glob_pattern, lexical_match, metadata_rank, query_type, words
 from ..operators import rank as R
 from ..operators import retrieve as S
 from ..operators.blocks import SMALL_GROUPS, block_top, blocked
-from ..operators.embed import Hashed, Provider
+from ..operators.embed import Hashed, Provider, vectors_of
 from ..operators.projects import allowed_projects
 from ..scratch import staged
 from ..sources.store import MANIFESTS, Manifest, Part, Store
@@ -73,6 +73,11 @@ class Request:
         if self.rerank_budget is not None and self.rerank_budget < 1:
             raise ValueError("rerank_budget must be 1 or more")
 
+    @property
+    def filtered(self) -> bool:
+        """Whether a condition leaves out records before lists are made."""
+        return any((self.projects, self.source_kinds, self.excluded_files, self.categories, self.authors, self.modified_after is not None))
+
     @classmethod
     def parse(cls, arguments: dict) -> tuple[str, Request]:
         """The query and request of a call's arguments; anything odd is refused with what is wrong."""
@@ -115,9 +120,10 @@ OF_DOCUMENTS = ("files", "links")
 FEW_QUERIES = 4
 
 
-def local(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """The few rows of a frame as a relation that the plan holds itself."""
-    return spark.createDataFrame(rows.toArrow())
+def local(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """The rows of a list (qid, key, score, rank) as a relation that the plan holds itself."""
+    names = [("qid", pa.int64()), ("key", pa.int64()), ("score", pa.float64()), ("rank", pa.int32())]
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [[]] * 4, names, strict=True)], names=[n for n, _ in names]))
 
 
 def folder_of(value: str | None) -> int:
@@ -346,33 +352,56 @@ class Index:
         better = S.corrected(terms, known)
         return terms.unionByName(terms.join(better, "term").select("qid", F.col("correction").alias("term"))).distinct()
 
-    def _from_blocks(self, terms: DataFrame, limit: int) -> DataFrame:
-        """The keyword list of a few queries, each from the blocks of its terms."""
-        each: dict[int, list[str]] = {}
-        for r in terms.collect():
-            each.setdefault(r["qid"], []).append(r["term"])
-        every = sorted({t for x in each.values() for t in x})
-        df = {r["term"]: r["df"] for r in self.frequencies.where(F.col("term").isin(every)).collect()} if every else {}
-        out = self.records.sparkSession.createDataFrame([], "qid long, key long, score double, rank int")
-        alive = lambda rows: self.store.left(self.manifest, rows)
-        for qid, own in each.items():
-            found = block_top(self.postings, self.counts, "key", own, df, self.stats, limit, alive)
-            out = out.unionByName(found.select(F.lit(qid).cast("long").alias("qid"), "key", "score", F.col("rank").cast("int").alias("rank")))
-        return out
+    def _few(self, queries: DataFrame, request: Request, limit: int) -> dict[str, Callable]:
+        """How each strategy makes the lists of a few queries, as rows (qid, key, score, rank) that the driver holds: up to
+        `limit` of each list. Every list is the k best of tasks' k best, without a window."""
+        inside = self._inside(request)
 
-    def lists(self, queries: DataFrame, request: Request, limit: int, asked: list | None = None) -> dict[str, Callable[[dict[str, DataFrame]], DataFrame | None]]:
-        """How each strategy makes its list (qid, key, score, rank) from those made before."""
-        filtered = any((request.projects, request.source_kinds, request.excluded_files, request.categories, request.authors, request.modified_after is not None))
+        def numbered(qid: int, found: DataFrame) -> list[tuple]:
+            return [(qid, r["key"], r["score"], i) for i, r in enumerate(found.collect(), 1)]
+
+        def vector(_):
+            return [x for qid, v in vectors_of(self.provider, queries, "qid", "query").items() for x in numbered(qid, S.cosine_one(inside(self.embeddings), v, "key", "embedding", limit))]
+
+        def keyword(_):
+            if self.postings is None or request.filtered or request.correct:
+                return None
+            each = {r["qid"]: r["terms"] for r in queries.select("qid", F.array_distinct(words(F.col("query"))).alias("terms")).collect()}
+            every = sorted({t for x in each.values() for t in x})
+            df = {r["term"]: r["df"] for r in self.frequencies.where(F.col("term").isin(every)).collect()} if every else {}
+            alive = lambda rows: self.store.left(self.manifest, rows)
+            return [x for qid, own in each.items() for x in numbered(qid, block_top(self.postings, self.counts, "key", own, df, self.stats, limit, alive))]
+
+        def graph(made):
+            if self.edges is None or not made:
+                return None
+            out = []
+            for qid in sorted({r[0] for rows in made.values() for r in rows}):
+                seeds = sorted({r[1] for rows in made.values() for r in rows if r[0] == qid})
+                ends = [self.edges.where(F.col(a).isin(seeds) & ~F.col(b).isin(seeds)).select(F.col(a).alias("seed"), F.col(b).alias("key")) for a, b in (("src", "dst"), ("dst", "src"))]
+                near = inside(ends[0].unionByName(ends[1]).distinct().groupBy("key").agg(F.count("*").cast("double").alias("score")))
+                out += numbered(qid, near.orderBy(F.desc("score"), "key").limit(limit))
+            return out
+
+        return {"vector": vector, "keyword": keyword, "graph": graph}
+
+    def _inside(self, request: Request) -> Callable[[DataFrame], DataFrame]:
+        """Leaves the rows of a frame with the column `key` that are in a request's scope."""
         scope = self.scope(request).select("key")
         # Kinds and projects are columns of written tables; other conditions are those of records.
         other = any((request.excluded_files, request.categories, request.authors, request.modified_after is not None))
 
         def inside(f: DataFrame) -> DataFrame:
-            if not filtered:
+            if not request.filtered:
                 return f
             own = self._folders(f, request)
             return own if not other and set(SHARED) <= set(f.columns) else own.join(scope, "key", "left_semi")
 
+        return inside
+
+    def lists(self, queries: DataFrame, request: Request, limit: int) -> dict[str, Callable[[dict[str, DataFrame]], DataFrame | None]]:
+        """How each strategy makes its list (qid, key, score, rank) from those made before."""
+        inside = self._inside(request)
 
         def vector(_):
             # Queries have negative keys here: no query is a record.
@@ -381,10 +410,8 @@ class Index:
 
         def keyword(_):
             terms = self._terms(queries, request)
-            if filtered:
+            if request.filtered:
                 return S.bm25_top(inside(self.counts), "key", terms, "qid", limit)
-            if self.postings is not None and asked is not None:
-                return self._from_blocks(terms, limit)
             return S.bm25_top(self.counts, "key", terms, "qid", limit, self.frequencies, self.stats)
 
         def seeds(made):
@@ -408,50 +435,62 @@ class Index:
 
         return {"vector": vector} if request.semantic_only else {"vector": vector, "keyword": keyword, "graph": graph, "expansion": expansion}
 
-    def hits(self, queries: DataFrame, request: Request, failures: list[str] | None = None, limit: int | None = None, asked: list | None = None) -> DataFrame:
+    def hits(self, queries: DataFrame, request: Request, failures: list[str] | None = None, limit: int | None = None) -> DataFrame:
         """qid, key, strategy, score and rank of the candidates of each list. queries: qid long and query.
 
         With a list of failures, each strategy is run by itself: one that fails is named there, and the others answer."""
         limit = limit or S.candidate_limit(request.top_n, request.top_k, bool(request.projects), request.max_chunks_per_doc, request.source_kinds == ("git_commit",))
         made: dict[str, DataFrame] = {}
-        makers = self.lists(queries, request, limit, asked)
-
-        def kept(name: str, found: DataFrame) -> DataFrame:
-            rows = found.select("qid", "key", F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank"))
-            if asked is not None:
-                # Some queries' lists, of up to `limit` rows each, come to the driver and are local from then on.
-                return local(queries.sparkSession, rows)
-            return rows if failures is None and name in ("graph", "expansion") else staged(rows, name)
-
-        def run(name: str) -> DataFrame | None:
-            try:
-                found = makers[name](dict(made))
-                return kept(name, found) if found is not None else None
-            except Exception as error:  # a strategy may fail in any way that its provider does
-                if failures is None:
-                    raise
-                failures.append(f"{name}: {str(error).splitlines()[0][:200] if str(error) else type(error).__name__}")
-                return None
-
-        # The first two need no other list.
-        alone = [name for name in makers if name in ("vector", "keyword")]
-        if asked is not None and len(alone) > 1:
-            with ThreadPoolExecutor(len(alone)) as pool:
-                made |= {name: found for name, found in zip(alone, pool.map(run, alone), strict=True) if found is not None}
-        for name in makers:
-            if (asked is None or len(alone) < 2 or name not in alone) and (found := run(name)) is not None:
-                made[name] = found
+        for name, make in self.lists(queries, request, limit).items():
+            found = self._tried(name, lambda make=make: make(dict(made)), failures)
+            if found is not None:
+                found = found.select("qid", "key", "score", "rank")
+                made[name] = found if failures is None and name in ("graph", "expansion") else staged(found, name)
         out = queries.sparkSession.createDataFrame([], "qid long, key long, strategy string, score double, rank int")
         for name, found in made.items():
             out = out.unionByName(found.select("qid", "key", F.lit(name).alias("strategy"), "score", F.col("rank").cast("int").alias("rank")))
         return out
 
-    def results(self, queries: DataFrame, request: Request, hits: DataFrame, asked: list | None = None) -> DataFrame:
+    @staticmethod
+    def _tried(name: str, run: Callable, failures: list[str] | None):
+        try:
+            return run()
+        except Exception as error:  # a strategy may fail in any way that its provider does
+            if failures is None:
+                raise
+            failures.append(f"{name}: {str(error).splitlines()[0][:200] if str(error) else type(error).__name__}")
+            return None
+
+    def few_hits(self, queries: DataFrame, request: Request, failures: list[str] | None = None) -> list[tuple]:
+        """As `hits`, of a few queries, on the driver: (qid, key, strategy, score, rank). Vectors and words are looked up side by side."""
+        limit = S.candidate_limit(request.top_n, request.top_k, bool(request.projects), request.max_chunks_per_doc, request.source_kinds == ("git_commit",))
+        few, all_ = self._few(queries, request, limit), self.lists(queries, request, limit)
+        made: dict[str, list[tuple]] = {}
+
+        def run(name: str) -> list[tuple] | None:
+            def make():
+                rows = few[name](dict(made)) if name in few else None
+                if rows is None and (name not in few or name == "keyword"):
+                    frames = {n: local(queries.sparkSession, x) for n, x in made.items()}
+                    found = all_[name](frames)
+                    rows = None if found is None else [tuple(r) for r in found.select("qid", "key", F.col("score").cast("double"), F.col("rank").cast("int")).collect()]
+                return rows
+
+            return self._tried(name, make, failures)
+
+        alone = [name for name in all_ if name in ("vector", "keyword")]
+        with ThreadPoolExecutor(len(alone)) as pool:
+            made |= {name: rows for name, rows in zip(alone, list(pool.map(run, alone)), strict=True) if rows is not None}
+        for name in all_:
+            if name not in alone and (rows := run(name)) is not None:
+                made[name] = rows
+        return [(qid, key, name, score, rank) for name, rows in made.items() for qid, key, score, rank in rows]
+
+    def results(self, queries: DataFrame, request: Request, hits: DataFrame, keys: list[int] | None = None) -> DataFrame:
         """All results of hits, with their rank: floor or abstention, metadata rank, re-ranking, limit by document."""
         records, embeddings = self.records, self.embeddings
-        if asked is not None:
+        if keys is not None:
             # Some hundred keys: records are read by their pages, and what is left is one task's work.
-            keys = sorted({r["key"] for r in hits.select("key").collect()})
             records, embeddings = records.where(F.col("key").isin(keys)), embeddings.where(F.col("key").isin(keys))
         if request.adaptive:
             fused = R.rrf(R.type_weights(hits, queries, "qid", "query"), "qid", "key")
@@ -460,7 +499,7 @@ class Index:
         # Equal sums of reciprocals may differ in their last bits.
         fused = fused.withColumn("score", F.round("score", 12))
         rows = fused.join(records, "key").join(queries.select("qid", "query"), "qid")
-        rows = rows.repartition(1) if asked is not None else rows
+        rows = rows.repartition(1) if keys is not None else rows
         if request.uplift and request.project_context:
             rows = rows.withColumn("score", R.uplift(F.col("score"), F.col("project"), F.lit(request.project_context)))
         place = F.concat_ws(" ", "title", "header_path", "file_path")
@@ -495,7 +534,10 @@ class Index:
         if len(asked) > FEW_QUERIES:
             return self.search(spark.createDataFrame(asked, "qid long, query string"), request, failures)
         frame = spark.createDataFrame(pa.table({"qid": pa.array([i for i, _ in asked], pa.int64()), "query": pa.array([q for _, q in asked], pa.string())}))
-        return self.results(frame, request, self.hits(frame, request, failures, asked=asked), asked).where(F.col("rank") <= request.top_n)
+        hits = self.few_hits(frame, request, failures)
+        names = [("qid", pa.int64()), ("key", pa.int64()), ("strategy", pa.string()), ("score", pa.float64()), ("rank", pa.int32())]
+        table = pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*hits, strict=True) if hits else [[]] * 5, names, strict=True)], names=[n for n, _ in names])
+        return self.results(frame.coalesce(1), request, spark.createDataFrame(table).coalesce(1), sorted({h[1] for h in hits})).where(F.col("rank") <= request.top_n)
 
     def _said(self, query: str) -> str:
         if not query.strip():
