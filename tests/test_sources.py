@@ -59,6 +59,88 @@ def test_gitlog_stream(spark, repo, tmp_path_factory):
         q.stop()
 
 
+def git(repo, *args, **env):
+    import os
+    import subprocess
+
+    return subprocess.run(["git", "-C", repo, *args], check=True, capture_output=True, env=os.environ | {"GIT_AUTHOR_NAME": "A", "GIT_AUTHOR_EMAIL": "a@x", "GIT_COMMITTER_NAME": "A", "GIT_COMMITTER_EMAIL": "a@x"} | env).stdout.decode()
+
+
+def grown(repo, branch, n):
+    """So many commits on a branch, made at once."""
+    old = git(str(repo), "rev-parse", "-q", "--verify", "HEAD").strip() if (repo / ".git" / "HEAD").exists() and git(str(repo), "for-each-ref") else None
+    import subprocess
+
+    lines = []
+    for i in range(n):
+        lines.append(f"commit refs/heads/{branch}\ncommitter A <a@x> {1700000000 + 1000 * sum(map(ord, branch)) + i} +0000\ndata 3\nm{i % 10}\n\n" + (f"from {old}\n" if i == 0 and old else ""))
+    subprocess.run(["git", "-C", str(repo), "fast-import", "--quiet"], input="".join(lines).encode(), check=True)
+
+
+def test_bounded_places(tmp_path):
+    """10,000 commits in batches of 500: none twice, none lost when tips move in between, in order."""
+    repo = tmp_path / "r"
+    repo.mkdir()
+    git(str(repo), "init", "-q", "-b", "main")
+    grown(repo, "main", 10_000)
+    place, told, steps = None, [], 0
+    while steps < 100:
+        new, taken = gitlog.moved(place, str(repo), 0, 500)
+        if new == place:
+            break
+        own = gitlog.between(str(repo), 0, place, new)
+        assert len(own) == taken <= 500
+        told += own
+        place, steps = new, steps + 1
+        if steps == 3:
+            grown(repo, "other", 700)
+        if steps == 7:
+            git(str(repo), "branch", "again", "other")
+            grown(repo, "main2", 300)
+    assert len(told) == len(set(told)) == 11_000 and set(told) == set(gitlog.hashes(str(repo)))
+    position = {h: i for i, h in enumerate(told)}
+    for line in git(str(repo), "rev-list", "--all", "--parents").splitlines():
+        child, *parents = line.split()
+        assert all(position[p] < position[child] for p in parents)
+
+
+def test_bounded_stream(spark, tmp_path):
+    """A stream with a limit, stopped and begun again, over two repositories."""
+    import json
+
+    repos = []
+    for name, n in (("a", 23), ("b", 4)):
+        (tmp_path / name).mkdir()
+        git(str(tmp_path / name), "init", "-q", "-b", "main")
+        grown(tmp_path / name, "main", n)
+        repos.append(str(tmp_path / name))
+    spark.dataSource.register(gitlog.GitLog)
+    sizes, seen = [], []
+
+    def batch(rows, number):
+        sizes.append(rows.count())
+        seen.extend((r["repo"], r["hash"]) for r in rows.select("repo", "hash").collect())
+
+    def run(until):
+        stream = spark.readStream.format("gitlog").option("repos", json.dumps(repos)).option("limit", 10).option("position", str(tmp_path / "position")).load()
+        q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "ck")).start()
+        try:
+            for _ in range(240):
+                if len(seen) >= until or q.exception():
+                    break
+                q.awaitTermination(0.25)
+            assert q.exception() is None
+        finally:
+            q.stop()
+
+    run(20)
+    grown(tmp_path / "b", "main", 5)
+    run(32)
+    assert len(seen) == len(set(seen)) == 32 and max(sizes) <= 10
+    with pytest.raises(ValueError):
+        gitlog._Stream({"repos": "[]", "limit": "5"})
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"source_kind":"note","source_id":"1","body":"b","workspace_id":"w","metadata":{"a":"b"}}\n{"source_id":"2"}\nnot json\n')
     good, bad = records.read_json(spark, str(tmp_path / "r.json"))

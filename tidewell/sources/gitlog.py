@@ -2,7 +2,7 @@
 
 The driver lists hashes; tasks read COMMITS_A_TASK of them each, oldest first; `since` (seconds) leaves out older
 commits. As a stream, an offset holds the tips of every repository's refs, so a commit is read once it can be reached,
-whatever its time says.
+whatever its time says; with a limit it holds a place on the way there.
 """
 
 from __future__ import annotations
@@ -110,18 +110,69 @@ class _Reader(DataSourceReader):
         return commits(partition.repo, partition.listed)
 
 
+#: Where a repository's stream stands: what can be reached from `from` is done, and of the further commits of `to` the first `at`.
+NOTHING = {"from": [], "to": [], "at": 0}
+
+
+def _ended(place: dict) -> bool:
+    return place["from"] == place["to"]
+
+
+def moved(place: dict | None, repo: str, since: int, most: int) -> tuple[dict, int]:
+    """The place up to `most` commits on, and how many these are. Tips are looked at anew only once those before are done,
+    so commits come in order, and none twice or never, however the tips move."""
+    place = place or NOTHING
+    to = tips(repo) if _ended(place) else place["to"]
+    total = len(hashes(repo, since, to, place["from"]))
+    at = min(total, place["at"] + max(0, most))
+    return ({"from": to, "to": to, "at": 0} if at == total else {"from": place["from"], "to": to, "at": at}), at - min(total, place["at"])
+
+
+def between(repo: str, since: int, start: dict | None, end: dict) -> list[str]:
+    """The commits between two places."""
+    start = start or NOTHING
+    listed = hashes(repo, since, end["to"], start["to"] if _ended(start) else start["from"])
+    return listed[0 if _ended(start) else start["at"] : len(listed) if _ended(end) else end["at"]]
+
+
 class _Stream(DataSourceStreamReader):
+    """Without a limit an offset holds tips, and a batch all new commits. With `limit`, a batch has so many at most, of all
+    repositories together; the last planned place is kept in the file `position`, as Spark tells a Python source neither
+    a limit nor where it stands. A batch that Spark makes again has the same commits."""
+
     def __init__(self, options: dict[str, str]):
         self.repos, self.since = json.loads(options["repos"]), int(options.get("since", 0))
+        self.limit, self.position = int(options.get("limit", 0)), options.get("position")
+        if self.limit and not self.position:
+            raise ValueError("a limit needs a file for the position")
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        return {r: tips(r) for r in self.repos}
+        if not self.limit:
+            return {r: tips(r) for r in self.repos}
+        try:
+            with open(self.position) as f:
+                places = json.load(f)
+        except FileNotFoundError:
+            places = {}
+        left = self.limit
+        for r in self.repos:
+            if left > 0:
+                places[r], taken = moved(places.get(r), r, self.since, left)
+                left -= taken
+        return places
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [p for r in end for p in _dealt(r, hashes(r, self.since, end[r], start.get(r)))]
+        if not self.limit:
+            return [p for r in end for p in _dealt(r, hashes(r, self.since, end[r], start.get(r)))]
+        # What is planned here is done, or planned again, before the next offset is asked for.
+        draft = f"{self.position}.{os.getpid()}"
+        with open(draft, "w") as f:
+            json.dump(end, f)
+        os.replace(draft, self.position)
+        return [p for r in end for p in _dealt(r, between(r, self.since, start.get(r), end[r]))]
 
     def read(self, partition: _Some) -> Iterator[tuple]:
         return commits(partition.repo, partition.listed)
