@@ -91,3 +91,21 @@ def test_intents(spark, stream):
     rows = [("k", "pending", at(0)), ("k", "claimed", at(1)), ("j", "claimed", at(1)), ("j", "succeeded", at(2))]
     got = drained(spark, changes.intents(stream(rows, "key string, state string, ts timestamp")), "intents_seen", "update")
     assert ("j", "succeeded", 1) in got and ("k", "claimed", 1) in got
+
+
+def test_quiet_paths(spark, stream):
+    """One event and none after it: the path is told after its cooldown. A burst is told once, with its last event."""
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    events = stream([("a", "created", at(0)), ("a", "modified", at(3)), ("a", "renamed", at(2)), ("b", "deleted", at(1))], "path string, event_type string, ts timestamp")
+    q = changes.quiet_paths(events, 0.5).writeStream.format("memory").queryName("quiet_seen").outputMode("update").start()
+    try:
+        for _ in range(240):
+            got = sorted((r["path"], r["event_type"], r["n"], r["last_seen"]) for r in spark.table("quiet_seen").collect())
+            if len(got) >= 2 or q.exception():
+                break
+            time.sleep(0.25)
+        assert q.exception() is None
+    finally:
+        q.stop()
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+    assert got == [("a", "modified", 3, at(3)), ("b", "deleted", 1, at(1))]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +81,53 @@ def intents(events: DataFrame, timeout: str = "60 seconds") -> DataFrame:
         yield pd.DataFrame({"key": [key[0]], "state": [current], "attempts": [attempts]})
 
     return events.withWatermark("ts", "1 second").groupBy("key").applyInPandasWithState(step, "key string, state string, attempts int", "state string, attempts int, at long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+QUIET_STATE = "event_type string, n long, last_seen timestamp, due long"
+
+
+def quiet_paths(events: DataFrame, quiet_seconds: float = 1.0) -> DataFrame:
+    """path, event_type, n and last_seen of each burst of a stream of path, event_type and ts, once the path was quiet.
+
+    A timer of the clock tells a path after its cooldown, though nothing else comes; each event of the path sets it anew.
+    Of a burst the last event by ts counts. State is one row a path, and goes when it is told. The stream's update mode and
+    its checkpoint carry it: timers that fall due while the stream is down fire when it is up again. Needs the state
+    store with timers, which is set here."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    wait = int(quiet_seconds * 1000)
+
+    class Burst(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.held = handle.getValueState("burst", QUIET_STATE)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            kind, n, seen, due = self.held.get() if self.held.exists() else (None, 0, None, None)
+            if due is not None:
+                self.handle.deleteTimer(due)
+            for frame in rows:
+                last = frame.sort_values("ts", kind="stable").iloc[-1]
+                n += len(frame)
+                if seen is None or last["ts"].to_pydatetime() >= seen:
+                    kind, seen = last["event_type"], last["ts"].to_pydatetime()
+            due = timerValues.getCurrentProcessingTimeInMs() + wait
+            self.held.update((kind, n, seen, due))
+            self.handle.registerTimer(due)
+            yield pd.DataFrame()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            if not self.held.exists():
+                return
+            kind, n, seen, _ = self.held.get()
+            self.held.clear()
+            yield pd.DataFrame({"path": [key[0]], "event_type": [kind], "n": [n], "last_seen": [pd.Timestamp(seen)]})
+
+        def close(self) -> None:
+            pass
+
+    conf = events.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    grouped = events.select("path", "event_type", "ts").groupBy("path")
+    return grouped.transformWithStateInPandas(Burst(), "path string, event_type string, n long, last_seen timestamp", "update", "processingTime")
