@@ -83,11 +83,11 @@ def _each(blocks: DataFrame, idf: dict[str, float], mean: float) -> DataFrame:
     return rows.select("term", *more, F.col("keys").alias("key"), (weight * part(F.col("tfs"), F.col("lengths"), mean)).alias("part"))
 
 
-def block_top(blocks: DataFrame, counts: DataFrame, key: str, terms: list[str], df: dict[str, int], stats: tuple[int, float], k: int, alive: Callable[[DataFrame], DataFrame] = lambda f: f) -> DataFrame:
+def block_top(blocks: DataFrame, counts: DataFrame, key: str, terms: list[str], df: dict[str, int], stats: tuple[int, float], k: int, alive: Callable[[DataFrame], DataFrame] = lambda f: f, direct: int | None = None) -> DataFrame:
     """key and score (9 digits) of the k best rows for one query's distinct terms, in the order that `bm25_top` ranks them in.
 
     df: in how many rows each term is; stats: number and mean length of rows. alive: leaves the rows of a frame with the
-    column `key` that are to be found. A query whose terms have up to DIRECT postings sums them all. Beyond, the terms'
+    column `key` that are to be found. A query whose terms have up to `direct` postings, DIRECT if it is not given, sums them all. Beyond, the terms'
     best blocks give a score that k rows reach, for which blocks and then rows that cannot reach it are left out; what
     remains is scored by its row of counts. Up to LOOKED_UP such rows are asked for by key, more by a join."""
     n, mean = stats
@@ -98,7 +98,7 @@ def block_top(blocks: DataFrame, counts: DataFrame, key: str, terms: list[str],
     own = blocks.where(F.col("term").isin(*idf))
     # k rows of a task, and then k of these: no window over all.
     best = lambda rows: rows.groupBy("key").agg(F.round(F.sum("part"), 9).alias("score")).orderBy(F.desc("score"), "key").limit(k)
-    if sum(df[t] for t in idf) <= DIRECT:
+    if sum(df[t] for t in idf) <= (DIRECT if direct is None else direct):
         return best(alive(_each(own, idf, mean)))
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in idf.items() for x in kv]), F.col("term"))
     bound = weight * part(F.col("high_tf"), F.col("low_length"), mean)

@@ -323,16 +323,12 @@ def corrected(terms: DataFrame, vocabulary_: DataFrame, term: str = "term") -> D
 def shared_tags(hits: DataFrame, tags: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
     """The k rows of every query that share most tags with its hits and are none of them, as score and rank.
 
-    tags: key and tags (an array). The tags of a query's hits are sent to the rows, so that no tag gathers its rows."""
-    asked = staged(hits.select(query_key, key).join(tags, key).groupBy(query_key).agg(F.array_distinct(F.flatten(F.collect_list("tags"))).alias("wanted"), F.collect_list(key).alias("held")), "wanted-tags")
-    passes = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = None
-    for block in range(passes):
-        # A stated set of queries, QUERY_BLOCK at most with the tags and keys of their few hits, against all rows; k of a task are shuffled.
-        some = F.broadcast(asked.where(F.pmod(F.xxhash64(query_key), F.lit(passes)) == block))
-        found = tags.join(some, F.arrays_overlap("wanted", "tags") & ~F.array_contains("held", tags[key])).select(query_key, key, F.size(F.array_intersect("wanted", "tags")).cast("double").alias("score"))
-        out = found if out is None else out.unionByName(found)
-    return top(out, query_key, key, k)
+    tags: key and tags (an array). Rows and queries meet by equal tags, and what they share is counted before it is
+    shuffled; the join of a tag that many rows have is split by AQE, or needs no shuffle where the wanted tags are few."""
+    each = tags.select(key, F.explode(F.array_distinct("tags")).alias("tag"))
+    wanted = staged(hits.select(query_key, key).join(each, key).select(query_key, "tag").distinct(), "wanted-tags")
+    shared = each.join(sent(wanted, wanted.count(), 64), "tag").groupBy(query_key, key).agg(F.count("*").cast("double").alias("score"))
+    return top(shared.join(hits.select(query_key, key), [query_key, key], "left_anti"), query_key, key, k)
 
 
 def candidate_limit(n: int, top_k: int = 0, projects: bool = False, per_document: int = 0, git_only: bool = False) -> int:

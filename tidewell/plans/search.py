@@ -295,8 +295,10 @@ class Index:
         some = store.crowded(m)
         if not some:
             return self
-        if any(store.read(p, name) is None for p in some for name in ("records", "counts", "frequencies", "postings", "embeddings")):
-            return self.embed_missing() if any("embeddings" not in p.tables for p in some) else self
+        if any(store.read(p, name) is None for p in some for name in ("records", "counts", "frequencies", "postings")):
+            return self
+        if len({"embeddings" in p.tables for p in some}) > 1:
+            return self.embed_missing().merged()
         live = lambda name, table="keys", key="key": store.live(m, [(p, f) for p in some if (f := store.read(p, name)) is not None], table, key)
         edges = store.live(m, [(p, f.withColumn("key", F.col("src"))) for p in some if (f := store.read(p, "edges")) is not None])
         last = max(p.commit for p in some)

@@ -166,9 +166,19 @@ r as (select item_id, min(rank) as first, count(*) filter (rank <= 1) as h1, cou
 i as (select item_id, n, (select sum(1 / log2(x + 1)) from range(1, least(n, 3) + 1) t(x)) as i3, (select sum(1 / log2(x + 1)) from range(1, least(n, 5) + 1) t(x)) as i5 from n)
 select item_id, round(coalesce(1.0 / first, 0), 6) as reciprocal_rank, round(coalesce(h1 / n, 0), 6) as recall_at_1, round(coalesce(h3 / n, 0), 6) as recall_at_3, round(coalesce(h5 / n, 0), 6) as recall_at_5, round(coalesce(g3 / i3, 0), 6) as ndcg_at_3, round(coalesce(g5 / i5, 0), 6) as ndcg_at_5 from i left join r using (item_id)""")
 def ranking_metrics(spark, folder):
-    """Documents that hold a benchmark text are what its search should find: a stated set of texts, counted before it is sent, against all documents."""
+    """Documents that hold a benchmark text are what its search should find. A text's words but the first and last stand
+    whole in a document that holds it, so documents are met by the rarest of them; texts without such words go to all."""
     items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("item"))
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    judged = docs.join(sent(items, items.count(), 1000), F.contains("text", "item")).select("item_id", "doc_id")
+    inner = F.filter(F.slice(T.words(F.col("item")), F.lit(2), F.greatest(F.size(T.words(F.col("item"))) - 2, F.lit(0))), lambda w: w != "")
+    asked = staged(items.withColumn("inner", F.array_distinct(inner)), "judged-items")
+    words = asked.select("item_id", F.explode("inner").alias("word"))
+    known = words.select("word").distinct()
+    held = staged(docs.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word")).join(sent(known, known.count(), 64), "word", "left_semi"), "judged-words")
+    rare = words.join(held.groupBy("word").agg(F.count("*").alias("df")), "word", "left").groupBy("item_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+    met = rare.join(held, "word").select("item_id", "doc_id")
+    short = asked.where(F.size("inner") == 0).select("item_id", "item")
+    pairs = met.join(asked.select("item_id", "item"), "item_id").join(docs, "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id")
+    judged = pairs.unionByName(docs.join(sent(short, short.count(), 1000), F.contains("text", "item")).select("item_id", "doc_id"))
     out = R.ranking_metrics(keyword_hits(spark, folder, 20), staged(judged, "judged"), "item_id", "doc_id")
     return out.select("item_id", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
