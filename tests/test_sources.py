@@ -148,6 +148,28 @@ def test_records(spark, tmp_path):
     assert sorted(r["error"] for r in bad.collect()) == ["missing: source_kind, body", "not a JSON object"]
 
 
+def test_table_order(spark, tmp_path):
+    """A stream's batch after a manual write outranks it, and one that comes again does not."""
+    t = records.Table(spark, f"file://{tmp_path}/t", ["k"])
+    one = lambda v: spark.createDataFrame([(1, v)], "k int, v string")
+    held = lambda: [r["v"] for r in t.read().collect()]
+    t.upsert(one("stream 0"), "s00000000000000000000")
+    t.upsert(one("manual"))
+    assert held() == ["manual"]
+    last = t.upsert(one("stream 1"), "s00000000000000000001")
+    assert held() == ["stream 1"] and t.version() == last
+    assert t.upsert(one("stream 0 again"), "s00000000000000000000") < last and held() == ["stream 1"]
+    t.delete(spark.createDataFrame([(1,)], "k int"))
+    t.upsert(one("stream 1 again"), "s00000000000000000001")
+    assert held() == []
+    # A batch without a number, as they were before, is older than all.
+    one("old").withColumn("_deleted", F.lit(False)).write.parquet(f"{tmp_path}/u/batch=t00000000000000000007-x")
+    u = records.Table(spark, f"file://{tmp_path}/u", ["k"])
+    assert [r["v"] for r in u.read().collect()] == ["old"]
+    u.upsert(one("new"), "s00000000000000000000")
+    assert [r["v"] for r in u.read().collect()] == ["new"]
+
+
 def test_table(spark, tmp_path):
     t = records.Table(spark, f"file://{tmp_path}/t", ["k"])
     assert t.read() is None and t.version() is None

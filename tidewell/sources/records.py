@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -27,10 +26,9 @@ def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 class Table:
-    """Rows by key in a folder of appended changes: the last change of a key holds. A batch that is written again takes its
-    own place, so a stream that runs again changes nothing, and two writers never undo each other.
-
-    A batch's name orders it: by its time unless one is given. `compacted` begins a new folder with what holds."""
+    """Rows by key in a folder of appended changes: the last change of a key holds. All batches, of streams and others, are
+    numbered in one order as they first come. A batch that is written again takes its own place, so a stream that runs
+    again changes nothing, and neither undoes what came after it. `compacted` begins a new folder with what holds."""
 
     def __init__(self, spark: SparkSession, folder: str, key: list[str]):
         self.spark, self.folder, self.key = spark, folder.rstrip("/"), key
@@ -41,20 +39,36 @@ class Table:
         except AnalysisException:
             return None
 
+    @staticmethod
+    def _order() -> Column:
+        """Batches in order; those without a number, of before, come first."""
+        name = F.col("batch").cast("string")
+        return F.when(name.rlike(r"^\d{20}-"), name).otherwise(F.concat(F.lit("0" * 20 + "-"), name))
+
+    def _named(self, batch: str | None) -> str:
+        """The place of a batch: its own if it was written before, else the next."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/batch=*")
+        listed = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        names = [f.getPath().getName()[len("batch=") :] for f in listed or []]
+        if batch is not None and (own := [n for n in names if n == batch or n[21:] == batch]):
+            return own[0]
+        last = max((int(n[:20]) for n in names if n[:20].isdigit() and n[20:21] == "-"), default=0)
+        return f"{last + 1:020d}-{batch or uuid.uuid4().hex}"
+
     def version(self) -> str | None:
         """The name of the last batch; readers that hold another are to read again. None if nothing was ever written."""
         rows = self._changes()
-        return None if rows is None else rows.agg(F.max(F.col("batch").cast("string"))).first()[0]
+        return None if rows is None else rows.agg(F.max(self._order())).first()[0]
 
     def read(self) -> DataFrame | None:
         """The rows that hold; None if nothing was ever written."""
         rows = self._changes()
         if rows is None:
             return None
-        return latest(rows.withColumn("batch", F.col("batch").cast("string")), self.key, ["batch"]).where("not _deleted").drop("_deleted", "batch")
+        return latest(rows.withColumn("batch", self._order()), self.key, ["batch"]).where("not _deleted").drop("_deleted", "batch")
 
     def _write(self, rows: DataFrame, batch: str | None) -> str:
-        batch = batch or f"t{time.time_ns():020d}-{uuid.uuid4().hex}"
+        batch = self._named(batch)
         rows.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
         return batch
 
