@@ -156,6 +156,32 @@ def test_edges_of_changes(spark, tmp_path):
     assert told() == []
 
 
+def test_together(spark, tmp_path):
+    """Two indexes, a written one that was changed and one that was not written, as one over all their records."""
+    rng = random.Random(12)
+    a, b = rows(rng, range(8)), rows(rng, range(4, 12))
+    one = Index(spark.createDataFrame(a, RECORD), spark.createDataFrame([(0, 2)], "src long, dst long")).write(str(tmp_path / "a"))
+    one = one.change(removed=spark.createDataFrame([("d1",)], "doc_id string"))
+    two = Index(spark.createDataFrame(b, RECORD))
+    both = Index.together({"a": one, "b": two})
+    named = lambda name, held: [(k + (0 if name == "a" else 1000), f"{name}:{d}", *rest) for k, d, *rest in held]
+    whole = Index(spark.createDataFrame(named("a", [r for r in a if r[1] != "d1"]) + named("b", b), RECORD), spark.createDataFrame([(0, 2)], "src long, dst long"))
+
+    def told(index, **k):
+        queries = spark.createDataFrame(list(enumerate(ASKED)), "qid long, query string")
+        found = index.search(queries, Request(top_n=100, top_k=100, max_chunks_per_doc=0, **k)).join(index.records.select("key", F.col("body").alias("b")), "key")
+        return sorted((r["qid"], r["doc_id"], r["b"], round(r["score"], 4)) for r in found.collect())
+
+    # Equal scores may lie in another order, as keys are others: lists are long enough for all.
+    assert [x[:3] for x in told(both)] == [x[:3] for x in told(whole)] and both.stats[0] == whole.stats[0]
+    assert {x[:2] for x in told(both, projects=("p1",))} == {x[:2] for x in told(whole, projects=("p1",))}
+    assert frequencies(both) == frequencies(whole) and {r["index"] for r in both.records.collect()} == {"a", "b"}
+    other = Index(spark.createDataFrame(b, RECORD))
+    other.provider = type("P", (), {"name": "other", "dimension": 3})()
+    with pytest.raises(ValueError):
+        Index.together({"a": one, "o": other})
+
+
 def test_vectors_after_words(spark, tmp_path):
     index = Index.create(spark, str(tmp_path / "i"))
     frame = spark.createDataFrame(rows(random.Random(3), range(8)), RECORD)

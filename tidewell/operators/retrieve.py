@@ -79,10 +79,10 @@ def _counted(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordB
         words_ = lists.flatten().dictionary_encode()
         vocabulary, code = words_.dictionary, words_.indices.to_numpy()
         pair, at = np.unique(row * max(1, len(vocabulary)) + code, return_inverse=True)
-        tf = np.bincount(at, boosts.flatten().to_numpy(), len(pair))
+        tf = np.bincount(at, boosts.flatten().to_numpy(), len(pair)).astype(np.float64)
         of = pair // max(1, len(vocabulary))
         edge = pa.array(np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32))
-        length = np.bincount(of, tf, batch.num_rows)
+        length = np.bincount(of, tf, batch.num_rows).astype(np.float64)
         terms = pa.ListArray.from_arrays(edge, vocabulary.take(pa.array(pair % max(1, len(vocabulary)))))
         yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(length), terms, pa.ListArray.from_arrays(edge, pa.array(tf))], [key, "length", "terms", "tfs"])
 
@@ -96,6 +96,12 @@ def term_counts(rows: DataFrame, key: str, fields: dict[str, str], tokens=words)
     return wide.mapInArrow(lambda b: _counted(b, key), f"{key} long, length double, terms array<string>, tfs array<double>").where("length > 0")
 
 
+def counted_tokens(rows: DataFrame, key: str, tokens: str) -> DataFrame:
+    """As `term_counts`, of lists of tokens that an analyser made; each weighs 1."""
+    wide = rows.select(F.col(key).cast("long").alias(key), F.col(tokens).alias("tokens"), F.array_repeat(F.lit(1.0), F.size(tokens)).alias("boosts"))
+    return wide.mapInArrow(lambda b: _counted(b, key), f"{key} long, length double, terms array<string>, tfs array<double>").where("length > 0")
+
+
 def _scored(batches: Iterator[pa.RecordBatch], held: Broadcast, k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     """The k best rows of each batch for each query, and what may tie with them. held: terms, mean length (none: a term
     counts once), and slices of queries as ids, places of their terms, and weights by query and place."""

@@ -233,6 +233,35 @@ class Index:
             out.postings = functools.reduce(DataFrame.unionByName, [f.withColumn("_commit", F.lit(p.commit)) for p, f in frames["postings"]])
         return out
 
+    @classmethod
+    def together(cls, indexes: dict[str, Index]) -> Index:
+        """Several indexes as one: scores compare, as frequencies, numbers and lengths are summed before anything is scored.
+
+        Records keep their columns and get `index`, the name of theirs; keys are hashes of it and the key, and documents of
+        different indexes are different ones, `name:doc_id`. Vectors are those of each index, so providers must agree."""
+        first = next(iter(indexes.values()))
+        if len({(x.provider.name, x.provider.dimension) for x in indexes.values()}) > 1:
+            raise ValueError("indexes with vectors of different providers cannot be searched as one")
+
+        def of(frame: DataFrame, name: str, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+            return frame.withColumns({k: F.xxhash64(F.lit(name), k) for k in keys})
+
+        def every(make: Callable[[str, Index], DataFrame | None]) -> DataFrame | None:
+            frames = [f for name, x in indexes.items() if (f := make(name, x)) is not None]
+            return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
+
+        out = cls(
+            every(lambda name, x: of(_dealt(x.records), name).withColumns({"doc_id": F.concat_ws(":", F.lit(name), F.col("doc_id").cast("string")), "index": F.lit(name)})),
+            every(lambda name, x: of(x.edges.select("src", "dst"), name, ("src", "dst")) if x.edges is not None else None),
+            every(lambda name, x: of(_shared(x.counts, x.records), name)), every(lambda name, x: of(_shared(x.embeddings, x.records), name)), first.provider,
+        )
+        each = [x.frequencies if x.frequencies is not None else S.frequencies(x.counts) for x in indexes.values()]
+        out.frequencies = functools.reduce(DataFrame.unionByName, [f.select("term", "df") for f in each]).groupBy("term").agg(F.sum("df").alias("df"))
+        sums = [x.stats for x in indexes.values()]
+        n = sum(s[0] for s in sums)
+        out.stats = (n, sum(s[0] * s[1] for s in sums if s[0]) / n if n else None)
+        return out
+
     # Upkeep of a written index
 
     def fresh(self) -> bool:
@@ -612,6 +641,10 @@ def _ids(parts) -> list[str]:
 RECORD = "key long, doc_id string, title string, body string, file_path string, header_path string, project string, source_kind string"
 
 
+def _dealt(records: DataFrame) -> DataFrame:
+    return records if {"_kind", "_project"} <= set(records.columns) else dealt(records)
+
+
 def _shared(rows: DataFrame, records: DataFrame) -> DataFrame:
     """Rows with their records' kind and project, and the folders of these."""
     if {"_kind", "_project", *SHARED} <= set(rows.columns):
@@ -635,7 +668,7 @@ def sorted_by_key(rows: DataFrame) -> DataFrame:
 def _segment(store: Store, path: str, records: DataFrame, counts: DataFrame | None, embeddings: DataFrame | None, edges: DataFrame | None = None, files: DataFrame | None = None, links: DataFrame | None = None, sums: DataFrame | None = None) -> Part:
     """A segment's tables, written; its sums are those of its counts."""
     records = records.withColumn("doc_id", F.col("doc_id").cast("string")) if not {"_kind", "_project"} <= set(records.columns) else records
-    records = records if {"_kind", "_project"} <= set(records.columns) else dealt(records)
+    records = _dealt(records)
     by = ("_kind", "_project")
     tables = {"records": store.write(sorted_by_key(records), path, "records", by)}
     records = store.read(Part(path, 0, tables=tables), "records")
