@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.vectors import hash_embedding
 from ..operators import rank as R
 from ..operators import retrieve as S
+from ..operators.cells import Cells
 from ..scratch import staged
 from ..session import table
 from .registry import query
@@ -108,6 +109,29 @@ def cosine_topk_batch(spark, folder):
     return nearest(spark, folder, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"with {COSINE} select query_id, vec_id, round(score, 6) as score, rank from n where rank <= 10")
+def cosine_cells(spark, folder):
+    """The same lists by trained cells: codes of all cells that can matter, then the vectors of what may be in a list."""
+    vectors = table(spark, folder, "embeddings")
+    found = Cells.made(vectors, "vec_id", "embedding").top(vectors, vectors.where("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def cells_recall(spark, folder):
+    """query_id, recall at 10 against the exact lists, codes and vectors that were read of all rows: with as many probes as
+    other queries needed for 0.95."""
+    vectors = table(spark, folder, "embeddings")
+    cells = Cells.made(vectors, "vec_id", "embedding")
+    asked = vectors.where("vec_id % 50 = 0")
+    probes = cells.probes(vectors, vectors.where("vec_id % 50 = 25"), "vec_id", "embedding", 10)
+    found = cells.candidates(asked, "vec_id", "embedding", 10, probes)
+    lists = cells.exact(found, vectors, asked, "vec_id", "embedding", 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    recall = nearest(spark, folder, 10).join(lists, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
+    told = found.groupBy("query_id").agg(F.first("read").alias("codes"), F.count("*").alias("vectors"))
+    return recall.join(told, "query_id").crossJoin(F.broadcast(vectors.agg(F.count("*").alias("n_rows"))))
+
+
 @query(f"""with {COSINE}, r as (select query_id, rank, q.label = d.label as hit from n join embeddings q on q.vec_id = query_id join embeddings d on d.vec_id = n.vec_id where rank <= 10)
 select label, count(*) as queries, round(avg(rr), 6) as mrr from (select query_id, coalesce(max(1.0 / rank) filter (hit), 0.0) as rr from r group by all) join embeddings on vec_id = query_id group by all""")
 def knn_by_label_mrr(spark, folder):
