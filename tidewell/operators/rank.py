@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, query_type, trigrams, without_suffix
 from ..functions.vectors import cosine
+from ..scratch import staged
 
 #: RRF's constant, calibration's slope and middle, uplifts and floors.
 RRF_K, SLOPE, MIDDLE, UPLIFT, COMMUNITY, FLOOR = 60, 150.0, 0.035, 1.2, 1.1, 0.01
@@ -196,18 +197,50 @@ def ranking_metrics(ranked_rows: DataFrame, judged: DataFrame, query_key: str, k
     )
 
 
-def compressed(hits: DataFrame, query_key: str, key: str, text: str, document: str, floor: float, ngram: float = 0.7, embedding: str | None = None, semantic: float = 0.85, per_document: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(results, counts by query): floor, exact copies, n-gram copies, near vectors (if there is a column of them), limit by document, each with what it left."""
-    order = [F.desc("score"), key]
-    above = hits.where(F.col("score") >= floor)
-    unlike = first_of(above.withColumn("_md5", F.md5(text)), [query_key, "_md5"], order).drop("_md5")
-    apart = unlike.join(ngram_dedup(unlike, query_key, key, text, ngram).select(query_key, key), [query_key, key], "left_semi")
-    far = apart.join(semantic_dedup(apart, query_key, key, embedding, semantic).select(query_key, key), [query_key, key], "left_semi") if embedding else apart
-    out = first_of(far, [query_key, document], order, per_document)
-    steps = {"original": hits, "after_threshold": above, "after_content_dedup": unlike, "after_ngram_dedup": apart, "after_dedup": far, "after_doc_limit": out}
-    counts = None
-    for name, frame in steps.items():
-        one = frame.select(query_key, F.lit(name).alias("step"))
-        counts = one if counts is None else counts.unionByName(one)
-    stats = counts.groupBy(query_key).pivot("step", list(steps)).count().na.fill(0)
-    return out, stats.withColumn("clusters_merged", F.col("after_threshold") - F.col("after_dedup"))
+#: The counts that compression of a list of candidates tells, in the order of its steps.
+STEPS = ("original", "after_threshold", "after_content_dedup", "after_ngram_dedup", "after_dedup", "after_doc_limit")
+
+
+def compressed(hits: DataFrame, query_key: str, key: str, text: str, document: str, floor: float, ngram: float = 0.7, embedding: str | None = None, semantic: float = 0.85, per_document: int = 1, totals: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, counts by query): floor, exact copies, n-gram copies, near vectors (if there is a column of them), limit by document, each with what it left.
+
+    A query's candidates, a list of bounded length, are one row, and each step leaves a part of the list: all steps are one pass
+    with one shuffle. Hits and lists are staged, so neither frame makes the hits again. totals: an observation that gets
+    each step's count over all queries from that same pass. A hit with a null score is under the floor."""
+    hits = staged(hits, "hits")
+    # Whole texts stay where they are.
+    row = F.struct(
+        (-F.col("score")).alias("o"), F.col(key).alias("k"), F.md5(text).alias("copy"), F.transform(trigrams(F.col(text)), lambda g: F.xxhash64(g)).alias("grams"),
+        (F.col(embedding) if embedding else F.lit(None).cast("array<double>")).alias("near"), F.col(document).alias("of"),
+    )
+    rows = hits.groupBy(query_key).agg(F.array_sort(F.collect_list(row), _by_score).alias("original"))
+
+    def less(held: Column, close: Callable[[Column, Column], Column]) -> Column:
+        return F.aggregate(held, F.slice(held, 1, 0), lambda kept, r: F.when(F.exists(kept, lambda h: close(h, r)), kept).otherwise(F.concat(kept, F.array(r))))
+
+    def limited(held: Column) -> Column:
+        room = lambda kept, r: F.size(F.filter(kept, lambda h: h["of"].eqNullSafe(r["of"]))) < per_document
+        return F.aggregate(held, F.slice(held, 1, 0), lambda kept, r: F.when(room(kept, r), F.concat(kept, F.array(r))).otherwise(kept)) if per_document else held
+
+    alike = lambda a, b: (F.size(F.array_intersect(a["grams"], b["grams"])) * (1 + ngram) >= ngram * (F.size(a["grams"]) + F.size(b["grams"]))) & (F.size(a["grams"]) + F.size(b["grams"]) > 0)
+    steps = [
+        lambda held: F.filter(held, lambda r: F.coalesce(-r["o"] >= floor, F.lit(False))),
+        lambda held: less(held, lambda a, b: a["copy"].eqNullSafe(b["copy"])),
+        lambda held: less(held, lambda a, b: F.coalesce(alike(a, b), F.lit(False))),
+        lambda held: less(held, lambda a, b: F.coalesce(cosine(a["near"], b["near"]) >= semantic, F.lit(False))) if embedding else held,
+        limited,
+    ]
+    for before, name, step in zip(STEPS[:-1], STEPS[1:], steps, strict=True):
+        rows = rows.withColumn(name, step(F.col(before)))
+    rows = rows.select(query_key, *[F.size(s).cast("long").alias(s) for s in STEPS], F.transform(STEPS[-1], lambda r: r["k"]).alias("_kept"))
+    if totals is not None:
+        rows = rows.observe(totals, *[F.sum(s).alias(s) for s in STEPS])
+    rows = staged(rows, "compressed")
+    kept = rows.select(query_key, F.explode("_kept").alias(key))
+    return hits.join(kept, [query_key, key], "left_semi"), rows.drop("_kept").withColumn("clusters_merged", F.col("after_threshold") - F.col("after_dedup"))
+
+
+def _by_score(a: Column, b: Column) -> Column:
+    """The better first, then the smaller key; a hit without a score last."""
+    less = lambda x, y: F.when(x < y, -1).when(x > y, 1)
+    return F.coalesce(F.when(a["o"].isNull() & b["o"].isNotNull(), 1).when(a["o"].isNotNull() & b["o"].isNull(), -1), less(a["o"], b["o"]), less(a["k"], b["k"]), F.lit(0))
