@@ -160,7 +160,7 @@ class Index:
         store = Store(spark, folder)
         first = not store.numbers() and not store._fs.exists(store._path("records"))
         part = _segment(store, "." if first else f"segments/{uuid.uuid4().hex}", self.records, self.counts, self.embeddings, self.edges)
-        store.commit(lambda m: Manifest(segments=(replace(part, commit=m.number + 1),)))
+        store.commit(lambda m: Manifest(segments=(replace(part, commit=m.number + 1, model=self.provider.name),)))
         return Index.open(spark, folder, provider=self.provider, probed=False)
 
     @classmethod
@@ -191,6 +191,8 @@ class Index:
             if records is None:
                 raise FileNotFoundError(f"no index in {folder}")
             return cls(records, provider=provider)
+        if others := {p.model for p in manifest.segments if p.model and "embeddings" in p.tables} - {provider.name}:
+            raise ValueError(f"the index in {folder} has vectors of {', '.join(sorted(others))}, not of {provider.name}")
         frames: dict[str, list[tuple[Part, DataFrame]]] = {name: [] for name in (*TABLES, *OF_DOCUMENTS)}
         for part in manifest.segments:
             held = {name: sound(part, name) for name in (*TABLES, *OF_DOCUMENTS)}
@@ -295,7 +297,10 @@ class Index:
                 return None
             number = m.number + 1
             gone = _deletion(store, m, docs, number)
-            segments = m.segments + ((replace(part, commit=number),) if part is not None else ())
+            if vectors and (others := {p.model for p in m.segments} - {"", self.provider.name}):
+                raise ValueError(f"the index has vectors of {', '.join(sorted(others))} by now: open it with that provider")
+            own = () if part is None else (replace(part, commit=number, model=self.provider.name if vectors else ""),)
+            segments = m.segments + own
             return Manifest(m.number, segments, m.deletions + ((gone,) if gone is not None else ()), m.streams | (dict([stream]) if stream is not None else {}))
 
         return Index.open(spark, store.folder, provider=self.provider, number=store.commit(next_).number, probed=False)
@@ -311,7 +316,9 @@ class Index:
                 def next_(m: Manifest, part=part, table=table, at=at) -> Manifest | None:
                     if part not in m.segments:
                         return None
-                    done = replace(part, tables=part.tables | table, places=part.places | {"embeddings": at})
+                    done = replace(part, tables=part.tables | table, places=part.places | {"embeddings": at}, model=self.provider.name)
+                    if {p.model for p in m.segments} - {"", self.provider.name}:
+                        raise ValueError(f"the index has vectors of another model than {self.provider.name}")
                     return Manifest(m.number, tuple(done if p == part else p for p in m.segments), m.deletions, m.streams)
 
                 store.commit(next_)
@@ -336,7 +343,7 @@ class Index:
         sums = [store.read(p, "frequencies") for p in some] + [store.read(d, "frequencies").withColumn("df", -F.col("df")) for d in folded]
         sums = functools.reduce(DataFrame.unionByName, sums).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").sort("term")
         part = _segment(store, f"segments/{uuid.uuid4().hex}", live("records"), live("counts"), live("embeddings"), edges.drop("key") if edges is not None else None, live("files", "docs", "doc_id"), live("links", "docs", "doc_id"), sums)
-        part = replace(part, commit=last, rows=sum(p.rows for p in some) - sum(d.rows for d in folded), length=sum(p.length for p in some) - sum(d.length for d in folded))
+        part = replace(part, commit=last, model=next((p.model for p in some if "embeddings" in p.tables), ""), rows=sum(p.rows for p in some) - sum(d.rows for d in folded), length=sum(p.length for p in some) - sum(d.length for d in folded))
 
         def next_(now: Manifest) -> Manifest | None:
             if not set(_ids(some)) <= set(_ids(now.segments)):
