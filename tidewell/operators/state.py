@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import staged
+from ..scratch import released, staged
 
 #: From this share of changed chunks on a document is indexed anew, and of shared chunks on a file has moved.
 REINDEX, MOVED = 0.5, 0.8
@@ -235,6 +237,35 @@ def communities(edges: DataFrame, rounds: int) -> DataFrame:
     return label
 
 
+def settled_communities(edges: DataFrame) -> DataFrame:
+    """node and community when every node has a label that none is more frequent than among its neighbours: label propagation
+    until it is stable. Nodes without edges to others, null ends among them, have none.
+
+    Of the nodes that want another label, those move in a round that come before all neighbours who want one too, in an order
+    drawn anew each round. So no two neighbours move at once, each move brings more edges within a community, and it ends; whole
+    labels of a round at once may swing for ever. The smallest of equally frequent labels is taken."""
+    both = edges.where("src <> dst").select("src", "dst")
+    both = staged(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+    label = staged(both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")), "labels")
+    for round_ in itertools.count():
+        # Votes are summed before they are shuffled, a hub's too.
+        votes = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.count("*").alias("n"))
+        best = votes.groupBy("node").agg(F.max(F.struct("n", (-F.col("community")).alias("c"))).alias("best"))
+        own = votes.join(label, ["node", "community"]).select("node", F.col("n").alias("own"))
+        wants = best.join(own, "node", "left").where(F.col("best.n") > F.coalesce("own", F.lit(0))).select("node", (-F.col("best.c")).alias("wanted"), F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), F.col("node").alias("k")).alias("turn"))
+        wants = staged(wants, "wants")
+        if wants.isEmpty():
+            released(wants)
+            released(both)
+            return label
+        turns = wants.select("node", "turn")
+        behind = both.join(turns.withColumnRenamed("node", "src"), "src").join(turns.select(F.col("node").alias("dst"), F.col("turn").alias("other")), "dst").where("other > turn").select(F.col("src").alias("node"))
+        moves = wants.join(behind, "node", "left_anti").select("node", "wanted")
+        before, label = label, staged(label.join(moves, "node", "left").select("node", F.coalesce("wanted", "community").alias("community")), "labels")
+        released(before)
+        released(wants)
+
+
 def latency(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, least, mean, most, and the 50th, 95th and 99th percentile of each group."""
     p = F.percentile(value, [0.5, 0.95, 0.99])

@@ -97,6 +97,12 @@ def community_labels(spark, folder):
     return U.communities(bulk_edges(spark, folder), 3)
 
 
+@query()
+def community_settled(spark, folder):
+    """Suppliers and parts of all orders, until no node has a label that another is more frequent than around it."""
+    return U.settled_communities(bulk_edges(spark, folder))
+
+
 @query(f"""with {EDGES}, {ROUNDS}, s as (select distinct community from l3 where node % 100 = 0) select p_partkey, round(p_retailprice * case when community in (select community from s) then 1.1 else 1.0 end, 6) as score
 from part left join l3 on node = p_partkey * 2 + 1""")
 def community_boost(spark, folder):
