@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 import math
+import os
 import re
+import tempfile
 import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -122,3 +125,24 @@ def load(path: str | Path | None) -> Config:
     projects = [_section(Project, p | {"path": str(Path(p["path"]).expanduser())}) for p in data.get("projects", [])]
     sections = {"indexing": Indexing, "search": Search, "chunking": Chunking, "git_indexing": Commits}
     return Config(**{name: _section(kind, data.get(name)) for name, kind in sections.items()}, projects=tuple(projects))
+
+
+def registered(path: str | Path, name: str, root: str | Path) -> Config:
+    """The settings after a project was added to a file, which is made if there is none; its other lines and comments stay.
+
+    A name or path that the file has already changes nothing. A reader sees the file as it was or as it is."""
+    path, new = Path(path), Project(name, str(root))
+    text = path.read_text(encoding="utf-8") if path.exists() else ""
+    have = load(path).projects if path.exists() else ()
+    if any(p.name == new.name or Path(p.path) == Path(new.path).expanduser() for p in have):
+        return load(path)
+    # JSON's strings are TOML's, but for one sign that TOML wants written as a number.
+    said = lambda v: json.dumps(v, ensure_ascii=False).replace("\x7f", "\\u007f")
+    text += ("" if not text or text.endswith("\n") else "\n") + ("\n" if text else "") + f"[[projects]]\nname = {said(new.name)}\npath = {said(new.path)}\n"
+    tomllib.loads(text)  # a list of projects on one line cannot be added to
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with tempfile.NamedTemporaryFile("w", encoding="utf-8", dir=path.parent, prefix=f".{path.name}-", delete=False) as f:
+        f.write(text)
+    os.chmod(f.name, path.stat().st_mode if path.exists() else 0o644)
+    os.replace(f.name, path)
+    return load(path)

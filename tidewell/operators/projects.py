@@ -45,24 +45,49 @@ def warnings(roots: DataFrame, name: str, root: str, repository: str, home: str)
 
 
 def detected(places: DataFrame, roots: DataFrame, place: str) -> DataFrame:
-    """Project of each place: named, at exactly this root, in the deepest root, or else of the same repository.
+    """Project of each place: that in whose deepest root it lies, or else one of the same repository. Where a place asks for one,
+    the project of that name, at exactly that root, or in whose deepest root it lies; and else a transient one.
 
-    places: place, and optional columns `named` and `repository`; roots: project, root, and `repository`."""
+    places: place, and optional columns `named` (a name or path that is asked for), `exists` (whether that path does) and
+    `repository`; roots: project, root, and `repository`. A transient project is called as the path's last part, apart from
+    all projects that there are; a name that is no project and no path that exists gives null. Empty names ask for nothing."""
     from .state import deepest_root
 
     out = deepest_root(places, roots.select("project", "root"), place).withColumnRenamed("project", "_inside")
-    if "named" in places.columns:
-        out = out.join(roots.select(F.col("project").alias("named"), F.col("project").alias("_named")).distinct(), "named", "left")
+    own = ["_inside"]
     if "repository" in places.columns:
         out = out.join(roots.where("repository is not null").groupBy("repository").agg(F.min("project").alias("_same")), "repository", "left")
-    choices = [c for c in ("_named", "_inside", "_same") if c in out.columns]
-    return out.withColumn("project", F.coalesce(*choices)).drop(*choices)
+        own.append("_same")
+    if "named" not in places.columns:
+        return out.withColumn("project", F.coalesce(*own)).drop(*own)
+    asked = F.coalesce("named", F.lit("")) != ""
+    bare = F.when(F.col("named").rlike("^/+$"), "/").otherwise(F.regexp_replace("named", "/+$", ""))
+    names = roots.select(F.col("project").alias("named"), F.col("project").alias("_named")).distinct()
+    paths = deepest_root(places.where(asked).select(bare.alias("_path")).distinct(), roots.select("project", "root"), "_path").withColumnRenamed("project", "_at")
+    out = out.join(names, "named", "left").withColumn("_path", bare).join(paths, "_path", "left")
+    found = F.coalesce("_named", "_at")
+    if "exists" in places.columns:
+        # Projects come before paths, so that theirs are the names without a number.
+        fresh = out.where(asked & found.isNull() & F.col("exists")).select(F.lit(1).alias("_new"), F.col("_path").alias("_key"), F.substring_index("_path", "/", -1).alias("_wanted")).distinct()
+        taken = roots.select(F.lit(0).alias("_new"), F.col("project").alias("_key"), F.col("project").alias("_wanted")).distinct()
+        called = unique_names(taken.unionByName(fresh).withColumn("_order", F.struct("_new", "_key")), "_order", "_wanted").where("_order._new = 1")
+        out = out.join(called.select(F.col("_order._key").alias("_path"), F.col("name").alias("_transient")), "_path", "left")
+        found = F.coalesce(found, F.when(F.col("exists"), F.col("_transient")))
+    out = out.withColumn("project", F.when(asked, found).otherwise(F.coalesce(*own)))
+    return out.select(*places.columns, "project")
 
 
 def main_copy(copies: DataFrame, repository: str, root: str, branch: str, preferred: str = "main") -> DataFrame:
-    """One root of each repository: called main or master, on such a branch, on the preferred one, or the first by path."""
+    """One root of each repository: called main or master, on such a branch, on the preferred one or called as it, the one that
+    is looked from, or the first by path.
+
+    The preferred branch is that of the column `head` where there is one, as `gitlog.worktrees` reads it; `current` marks
+    the root that is looked from."""
     last = F.substring_index(root, "/", -1)
-    order = F.struct(~last.isin("main", "master"), ~F.coalesce(F.col(branch).isin("main", "master"), F.lit(False)), F.coalesce(F.col(branch) != preferred, F.lit(True)), F.col(root))
+    wanted = F.col("head") if "head" in copies.columns else F.lit(preferred)
+    current = F.coalesce(F.col("current"), F.lit(False)) if "current" in copies.columns else F.lit(False)
+    on = F.coalesce(F.col(branch) == wanted, F.lit(False)) | F.coalesce(last == wanted, F.lit(False))
+    order = F.struct(~last.isin("main", "master"), ~F.coalesce(F.col(branch).isin("main", "master"), F.lit(False)), ~on, ~current, F.col(root))
     return copies.groupBy(repository).agg(F.min_by(root, order).alias(root))
 
 

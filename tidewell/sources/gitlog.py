@@ -13,6 +13,7 @@ import re
 import subprocess
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -198,6 +199,41 @@ def read(spark: SparkSession, repos: list[str], since: int = 0) -> DataFrame:
     return cleaned(spark.read.format("gitlog").option("repos", json.dumps(repos)).option("since", since).load())
 
 
+def _copies(place: str) -> list[tuple]:
+    """(repository, root, branch, head, current) of all working copies of the repository that a place lies in."""
+    told = lambda *args: subprocess.run(["git", "-C", place, *args], capture_output=True, check=False).stdout.decode(errors="replace").rstrip("\n")
+    if not os.path.isdir(place) or not (common := told("rev-parse", "--path-format=absolute", "--git-common-dir")):
+        return []
+    own = os.path.realpath(told("rev-parse", "--show-toplevel") or place)
+    # HEAD of the common folder, whatever the copies are on.
+    head = subprocess.run(["git", f"--git-dir={common}", "symbolic-ref", "-q", "--short", "HEAD"], capture_output=True, check=False).stdout.decode().strip() or None
+    out = []
+    for block in told("worktree", "list", "--porcelain", "-z").split("\0\0"):
+        fields = dict(line.partition(" ")[::2] for line in block.split("\0") if line)
+        root = fields.get("worktree")
+        if root is None or "bare" in fields or "prunable" in fields or not os.path.isdir(root):
+            continue
+        root = os.path.realpath(root)
+        branch = fields.get("branch", "").removeprefix("refs/heads/") or None
+        out.append((os.path.realpath(common), root, branch, head, root == own))
+    return out
+
+
+def worktrees(places: DataFrame, place: str) -> DataFrame:
+    """place, repository (its common git folder), root, branch, head (the branch that the common folder is on) and current
+    (whether the place lies in it) of every working copy of each place's repository; detached copies have no branch.
+    Copies whose folder is gone are left out, and places outside repositories have none. Read by git in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, *c) for p in batch.column(0).to_pylist() if p for c in _copies(p)]
+            types = [pa.string()] * 5 + [pa.bool_()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [place, "repository", "root", "branch", "head", "current"])
+
+    return places.select(F.col(place).cast("string").alias(place)).distinct().mapInArrow(run, f"{place} string, repository string, root string, branch string, head string, current boolean")
+
+
 def message_text(message: Column) -> Column:
     """Without blank lines at the start, blanks at line ends, and white space at the end."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(message, r"^(?:[ \t]*\n)+", ""), r"(?m)[ \t]+$", ""), r"\s+$", "")
