@@ -72,7 +72,7 @@ def near_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
 
     def full_sets(members: DataFrame, n: int) -> DataFrame:
         first = nodes.select("node", "hash", "check", F.col("first").alias("doc_id")).join(sent(members, n), "node")
-        return table.join(sent(first, n, 32), "doc_id").select("node", "hash", "check", "text").mapInArrow(lambda b: items(b, width), "node long, items binary")
+        return table.join(sent(first, n, 32), "doc_id").select("node", "hash", "check", "text").mapInArrow(lambda b: items(b, width), "node long, items binary").dropDuplicates(["node"])
 
     linked = staged(classes(nodes.select("node", "size", "bands", "sketch"), percent, bands * rows, full_sets), "document-classes")
     n = linked.count()
