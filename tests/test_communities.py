@@ -44,3 +44,15 @@ def test_what_swings_settles(spark):
 
 def test_no_edges(spark):
     assert found(spark, []) == found(spark, [(1, 1)]) == {}
+
+
+def test_many_neighbours_take_few_rounds(spark, monkeypatch):
+    """Where nearly all nodes of one side are neighbours of all of the other, or all of all, a round is not one move."""
+    rng = random.Random(5)
+    pairs = [(a, 1000 + b) for a in range(30) for b in range(120) if rng.random() < 0.7] + [(5000 + a, 5000 + b) for a in range(40) for b in range(a)]
+    tables = []
+    monkeypatch.setattr(U, "staged", lambda f, label, real=U.staged: (tables.append(label), real(f, label))[1])
+    label = found(spark, pairs)
+    assert not unsettled(pairs, label)
+    assert len({label[n] for n in label if n < 5000}) == len({label[n] for n in label if n >= 5000}) == 1
+    assert tables.count("wants") <= 15
