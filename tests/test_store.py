@@ -243,6 +243,24 @@ def test_blocks(spark, corpus, monkeypatch):
         assert got == {r["key"] for r in ranked.collect()}
 
 
+def test_blocks_of_many_queries_at_once(spark, corpus, monkeypatch):
+    """The lists of single queries, with as many jobs for many queries as for few."""
+    monkeypatch.setattr(K, "BLOCK", 4)
+    blocks = K.blocked(corpus, "key", 20.0).persist()
+    stats = corpus.agg(F.count("*"), F.avg("length")).first()
+    rng = random.Random(2)
+    asked = {i: rng.sample([f"w{j}" for j in range(60)], rng.randrange(1, 6)) for i in range(12)} | {90: ["none"], 91: ["w59", "none"]}
+    tables = []
+    monkeypatch.setattr(K, "staged", lambda f, label, real=K.staged: (tables.append(label), real(f, label))[1])
+    for some in (list(asked)[:1], list(asked)):
+        tables.clear()
+        queries = spark.createDataFrame([(i, t) for i in some for t in asked[i]], "qid long, term string")
+        got = {(r["qid"], r["rank"]): (r["key"], r["score"]) for r in K.block_tops(blocks, corpus, "key", queries, "qid", S.frequencies(corpus), stats, 7).collect()}
+        want = {(r["qid"], r["rank"]): (r["key"], r["score"]) for r in S.bm25_top(corpus, "key", queries, "qid", 7).collect()}
+        assert {p: x[0] for p, x in got.items()} == {p: x[0] for p, x in want.items()} and all(math.isclose(got[p][1], want[p][1], abs_tol=2e-9) for p in want)
+        assert len(tables) == 4
+
+
 def test_blocks_are_read_by_term(spark, corpus, tmp_path):
     """What a query reads of written blocks does not grow with the terms that it does not have."""
     from tidewell.sources.store import Store

@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieve import K1, SLACK, B
+from ..scratch import sent, staged
+from .retrieve import K1, SLACK, B, local_top, top
 
 #: Postings of a block; postings of a query's terms that are summed without bounds, as they are few; candidates that are looked up by their keys.
 BLOCK, DIRECT, LOOKED_UP = 128, 200_000, 5_000
@@ -127,3 +128,40 @@ def block_top(blocks: DataFrame, counts: DataFrame, key: str, terms: list[str],
     scored = rows.select("key", "length", F.inline(F.arrays_zip("terms", "tfs"))).where(F.col("terms").isin(*idf))
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in idf.items() for x in kv]), F.col("terms"))
     return best(scored.select("key", (weight * part(F.col("tfs"), F.col("length"), mean)).alias("part")))
+
+
+def block_tops(blocks: DataFrame, counts: DataFrame, key: str, queries: DataFrame, query_key: str, df: DataFrame, stats: tuple[int, float], k: int) -> DataFrame:
+    """query_key, key, score (9 digits) and rank of the k best rows of every query, as `block_top` finds them for one beyond
+    `direct`: for all queries at once, so that the number of Spark's jobs does not grow with theirs.
+
+    queries: query_key (a number) and term, each term once a query; df: term and df, of the queries' terms at least."""
+    n, mean = stats
+    mean = mean or 1.0
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = staged(queries.select(F.col(query_key).cast("long").alias("q"), "term").join(df, "term").select("q", "term", idf.alias("idf")), "block-queries")
+    held_rows = weighed.count()
+    few = lambda rows: sent(rows, held_rows, 64)
+    # Heads alone: the arrays are not read.
+    bound = part(F.col("high_tf"), F.col("low_length"), mean)
+    heads = blocks.select("term", bound.alias("bound")).join(few(weighed.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.max("bound").alias("high"))
+    asked = staged(weighed.join(heads, "term").select("q", "term", "idf", "high", (F.col("idf") * F.col("high")).alias("most")), "block-heads")
+
+    def parts(kept: DataFrame, *more: str) -> DataFrame:
+        """q, key and part of every posting of blocks that are joined with queries."""
+        rows = kept.select("q", "idf", *more, F.inline(F.arrays_zip("keys", "tfs", "lengths")))
+        return rows.select("q", *more, F.col("keys").alias("key"), (F.col("idf") * part(F.col("tfs"), F.col("lengths"), mean)).alias("part"))
+
+    own = blocks.withColumn("bound", bound)
+    first = parts(own.join(few(asked), "term").where("bound >= high")).groupBy("q", "key").agg(F.round(F.sum("part"), 9).alias("score"))
+    first = top(first, "q", "key", k)
+    least = first.groupBy("q").agg(F.when(F.count("*") == k, F.min("score")).otherwise(F.lit(0.0)).alias("least")).select("q", (F.col("least") - SLACK).alias("least"))
+    # Terms that cannot bring a row to that score together are not looked for; of the others, blocks that may.
+    of_q = Window.partitionBy("q")
+    told = asked.join(least, "q").withColumn("every", F.sum("most").over(of_q)).withColumn("up_to", F.sum("most").over(of_q.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)))
+    large = staged(told.where("up_to >= least").select("q", "term", "idf", "most", "every", "least"), "block-terms")
+    kept = own.join(few(large), "term").where(F.col("idf") * F.col("bound") - F.col("most") + F.col("every") >= F.col("least"))
+    some = parts(kept, "most", "every", "least").groupBy("q", "key").agg(F.sum("part").alias("found"), F.sum("most").alias("of"), F.first("every").alias("every"), F.first("least").alias("least"))
+    keys = staged(some.where("found + every - of >= least").select(F.col("key").alias(key)).distinct(), "block-candidates")
+    # A row that is left for any query is scored for all where its counts are: no posting of it is shuffled.
+    rows = counts.join(sent(keys, keys.count()), key, "left_semi")
+    return local_top(rows, key, weighed.select(F.col("q").alias(query_key), "term", F.col("idf").alias("weight")), query_key, k, mean)

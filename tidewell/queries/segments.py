@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import retrieve as S
-from ..operators.blocks import block_top, blocked
+from ..operators.blocks import block_tops, blocked
 from ..plans.search import Index
-from ..scratch import scratch, staged
+from ..scratch import scratch, sent, staged
 from ..session import table
 from .registry import query
 from .search import KEYWORD, POSTINGS, item_terms, scores_sql
@@ -49,10 +49,8 @@ def bm25_blocks(spark, folder):
     counts = staged(S.term_counts(table(spark, folder, "documents"), "doc_id", {"content": "text"}), "postings")
     n, mean = counts.agg(F.count("*"), F.avg("length")).first()
     blocks = staged(blocked(counts, "doc_id", mean), "blocks")
-    terms = item_terms(spark, folder).groupBy("item_id").agg(F.collect_list("term").alias("terms")).collect()
-    df = {r["term"]: r["df"] for r in S.frequencies(counts).join(F.broadcast(item_terms(spark, folder).select("term").distinct()), "term", "left_semi").collect()}
-    rows = []
-    for r in terms:
-        found = block_top(blocks, counts, "doc_id", r["terms"], df, (n, mean), LISTED, direct=0).collect()
-        rows += [(r["item_id"], x["key"], x["score"], i) for i, x in enumerate(found, 1)]
-    return spark.createDataFrame(rows, "item_id long, doc_id long, score double, rank int").withColumn("score", F.round("score", 6))
+    terms = staged(item_terms(spark, folder), "terms")
+    asked = terms.select("term").distinct()
+    df = S.frequencies(counts).join(sent(asked, asked.count(), 32), "term", "left_semi")
+    found = block_tops(blocks, counts, "doc_id", terms, "item_id", df, (n, mean), LISTED)
+    return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
